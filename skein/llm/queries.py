@@ -12,6 +12,11 @@ from skein.llm.decontaminate import contamination
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.packing import pack
 from skein.llm.sharding import shard_by_bytes
+from skein.llm.simhash import near_duplicates
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op6_packing, op7_exact_dedup, op9_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op3_sharding, op6_packing, op7_exact_dedup, op9_decontamination)}
 
 
 OP7_SQL = r"""
