@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table
+from skein.llm.common import id_mod, read_table
 from skein.llm.decontaminate import contamination
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.packing import pack
+from skein.llm.quality import THRESHOLD as QUALITY_THRESHOLD
+from skein.llm.quality import score_quality, train_quality
 from skein.llm.sharding import shard_by_bytes
 from skein.llm.simhash import near_duplicates
+from skein.llm.toxicity import CHAIN
+from skein.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
+from skein.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = score_quality(docs, train_quality(docs, labels), carry=("doc_id",)).select("doc.doc_id", "score")
+    return scored.select(
+        "doc_id",
+        (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -49,8 +65,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, train_toxicity(docs, labels), carry=("doc_id",)).select("doc.doc_id", *CHAIN)
+    return scored.select(
+        "doc_id",
+        (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        *CHAIN[:-1],
+        F.col("toxic").alias("score"),
+        (F.col("toxic") >= TOXIC_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_sharding, op6_packing, op7_exact_dedup, op9_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op3_sharding, op4_quality, op6_packing, op7_exact_dedup, op9_decontamination, op10_toxicity)}
 
 
 OP7_SQL = r"""
