@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import id_mod, read_table
 from skein.llm.decontaminate import contamination
 from skein.llm.exact_dedup import exact_groups
+from skein.llm.lang_id import identify, train_language_id
+from skein.llm.lm import score
 from skein.llm.packing import pack
 from skein.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from skein.llm.quality import score_quality, train_quality
@@ -20,6 +22,12 @@ from skein.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from skein.llm.toxicity import score_toxicity, train_toxicity
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, train_language_id(docs), carry=("doc_id",)).select("doc.doc_id", "lang_pred", "score")
+    return found.select("doc_id", (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, docs.filter(id_mod(F.col("doc_id"), 7) != 2))
+    return scored.select("doc_id", (id_mod(F.col("doc_id"), 7) == 2).alias("held_out"), *scored.columns[1:])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -78,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_sharding, op4_quality, op6_packing, op7_exact_dedup, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op9_decontamination, op10_toxicity)}
 
 
 OP7_SQL = r"""
