@@ -15,6 +15,7 @@ from skein.llm.lm import score
 from skein.llm.packing import pack
 from skein.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from skein.llm.quality import score_quality, train_quality
+from skein.llm.secret_scan import find_secrets, spans_text
 from skein.llm.sharding import shard_by_bytes
 from skein.llm.simhash import near_duplicates
 from skein.llm.toxicity import CHAIN
@@ -67,6 +68,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents"), carry=("doc_id",))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        *(count(k) for k in ("assign", "access", "hex")),
+        F.sha2(spans_text("base").cast("binary"), 256).alias("base_sha256"),
+        spans_text("spans").alias("spans"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=("doc_id",))
     return found.select(
@@ -92,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op8_secrets, op9_decontamination, op10_toxicity)}
 
 
 OP7_SQL = r"""
