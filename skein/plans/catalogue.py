@@ -1,11 +1,496 @@
-"""The registered queries outside the text subpackage."""
+"""The registered queries outside the text subpackage; `oracles` has the SQL of each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions.scores import stepped_decay
+from skein.functions.text import entity_id
+from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
+from skein.plans import oracles
+from skein.sources import lake
+
+LEXICON = {"thing": ("thing", "things"), "earth": ("erth", "erea"), "joining": ("und", "nicht"), "purpose": ("para", "dans"), "article": ("the", "les", "las"), "being": ("was", "are")}
+PATTERNS = ("ation", "heit", "ción", "ment", "erth")
+ERRORS = {"ending": r"(tion|heit|ción)\.", "double": r"(the the|de de|und und)"}
+STRATEGIES = {"comma": r"[\p{L}]+, and", "colon": r"[\p{L}]+: ", "with": r"with [\p{L}]+"}
+TASKS = {"reading": ("the", "that", "this"), "travel": ("dans", "les", "pour"), "law": ("und", "nicht", "der"), "kitchen": ("para", "los", "con una"), "garden": ("thing", "erth")}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def rounded(*names: str, places: int = 6) -> list:
+    return [F.round(F.col(n), places).alias(n) for n in names]
+
+
+def ts(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+# --- lexicon ---------------------------------------------------------------------------------------------------------
+def lexicon_entities(spark, sf):
+    return lexicon.entities_of_hits(lexicon.term_hits(table(spark, sf, "documents"), LEXICON))
+
+
+def cooccurrence_edges(spark, sf):
+    return lexicon.cooccurrence(lexicon.term_hits(table(spark, sf, "documents"), LEXICON)).select("a", "b", *rounded("weight"), "reinforcement_count", "first_doc")
+
+
+def category_links(spark, sf):
+    docs = table(spark, sf, "documents")
+    return lexicon.category_links(lexicon.term_hits(docs, LEXICON), docs, "lang")
+
+
+def substring_patterns(spark, sf):
+    return lexicon.substring_hits(table(spark, sf, "documents"), PATTERNS).groupBy("pattern", "lang").agg(F.count("*").alias("n"))
+
+
+def regex_class_fixes(spark, sf):
+    return lexicon.fixes_pairs(table(spark, sf, "documents"), ERRORS, STRATEGIES)
+
+
+def regex_class_hits(spark, sf):
+    return lexicon.regex_hits(table(spark, sf, "documents"), ERRORS, "error").groupBy("error").agg(F.count("*").alias("n_docs"))
+
+
+def entity_ids(spark, sf):
+    parts, suppliers = table(spark, sf, "part").select(F.col("p_name").alias("name")), table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    return parts.unionByName(suppliers).groupBy(entity_id(F.col("name")).alias("entity_id")).agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+def place_triples(spark, sf):
+    c, s, n, r = (table(spark, sf, t) for t in ("customer", "supplier", "nation", "region"))
+
+    def triples(df, subject, kind, obj, obj_kind, zone, key, doc):
+        return df.select((F.lit(zone).cast("long") * 10**12 + F.col(key)).alias("ord"), F.col(subject).alias("subject"), F.lit(kind).alias("subject_type"), F.lit("PART_OF").alias("relation"), F.col(obj).alias("object"), F.lit(obj_kind).alias("object_type"), F.lit(doc).alias("doc"), F.lit(0.5).alias("confidence"))
+
+    return (
+        triples(c.join(n, c.c_nationkey == n.n_nationkey), "c_name", "customer", "n_name", "nation", 0, "c_custkey", "customer")
+        .unionByName(triples(n.join(r, n.n_regionkey == r.r_regionkey), "n_name", "nation", "r_name", "region", 1, "n_nationkey", "nation"))
+        .unionByName(triples(s.join(n, s.s_nationkey == n.n_nationkey), "s_name", "supplier", "n_name", "nation", 2, "s_suppkey", "supplier"))
+    )
+
+
+def brand_triples(spark, sf):
+    li, o, p = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), table(spark, sf, "part").select("p_partkey", "p_brand")
+    joined = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    return joined.select((F.col("o_orderkey") * 100 + F.col("l_linenumber")).alias("ord"), name.alias("subject"), F.lit("customer").alias("subject_type"), F.lit("USES").alias("relation"), F.col("p_brand").alias("object"), F.lit("brand").alias("object_type"), F.col("o_orderkey").cast("string").alias("doc"), F.lit(0.5).alias("confidence"), F.col("o_orderdate").alias("ts"))
+
+
+REFERENCE = "2001-08-02 00:00:00"
+
+
+def graph_entities(spark, sf):
+    return graph.fold_entities(place_triples(spark, sf))
+
+
+def graph_edges(spark, sf):
+    return graph.fold_edges(brand_triples(spark, sf)).select("src", "dst", "relation", *rounded("weight"), "reinforcement_count", "n_docs", "last_reinforced")
+
+
+def transitive_part_of(spark, sf):
+    return graph.complete(graph.fold_edges(place_triples(spark, sf)))
+
+
+def edge_decay(spark, sf):
+    return graph.decay(graph.fold_edges(brand_triples(spark, sf)), ts(REFERENCE), 1000.0).select("src", "dst", *rounded("weight"), "reinforcement_count")
+
+
+def decay_summary(spark, sf):
+    edges = graph.fold_edges(brand_triples(spark, sf))
+    return graph.decay_summary(edges, graph.decay(edges, ts(REFERENCE), 1000.0))
+
+
+def prune_graph(spark, sf):
+    triples = brand_triples(spark, sf)
+    edges = graph.decay(graph.fold_edges(triples), ts(REFERENCE), 1000.0).withColumn("weight", F.round("weight", 9))
+    entities, weak = graph.prune(graph.fold_entities(triples), edges, 0.3, 5)
+    gone = entities.select(F.lit("entity").alias("what"), "name", F.lit(None).cast("string").alias("dst"))
+    return gone.unionByName(weak.select(F.lit("edge").alias("what"), F.col("src").alias("name"), "dst"))
+
+
+def graph_stats(spark, sf):
+    triples = place_triples(spark, sf)
+    return graph.type_counts(graph.fold_entities(triples), graph.fold_edges(triples))
+
+
+def _supplier_edges(spark, sf):
+    return graph.fold_edges(place_triples(spark, sf).filter("subject_type <> 'customer'"))
+
+
+def neighbours_depth2(spark, sf):
+    seeds = table(spark, sf, "nation").select(F.lower("n_name").alias("name"))
+    return graph.neighbourhood(_supplier_edges(spark, sf), seeds, 2).select("seed", "name", "distance", *rounded("score"))
+
+
+def context_paths(spark, sf):
+    s, r = table(spark, sf, "supplier"), table(spark, sf, "region")
+    pairs = s.select(F.lower("s_name").alias("src"), F.explode(F.array(*map(F.lit, ("africa", "asia")))).alias("dst")).join(r.select(F.lower("r_name").alias("dst")), "dst", "left_semi")
+    return graph.shortest_paths(_supplier_edges(spark, sf), pairs, 4)
+
+
+def components(spark, sf):
+    from skein.session import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    own = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("dst"))
+    s = table(spark, sf, "supplier").join(own, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("src"), "dst")
+    return graph.connected_components(s).groupBy("component").agg(F.count("*").alias("n"))
+
+
+def neighbour_jaccard_drift(spark, sf):
+    triples = brand_triples(spark, sf)
+    half = ts("1998-04-17 00:00:00")
+    old = graph.neighbour_sets(triples.filter(F.col("ts") < half), "subject", "object")
+    new = graph.neighbour_sets(triples.filter(F.col("ts") >= half), "subject", "object")
+    found = graph.drift(old, new, 0.4)
+    return found.select("name", *rounded("jaccard"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+def graph_snapshot(spark, sf):
+    triples = brand_triples(spark, sf)
+    old = graph.neighbour_sets(triples.filter(F.col("ts") < ts("1998-04-17 00:00:00")), "subject", "object").withColumn("version", F.lit(1))
+    return graph.snapshot(old, graph.neighbour_sets(triples, "subject", "object")).select("name", F.array_join("neighbours", ",").alias("neighbours"), "version")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def alias_candidates(spark, sf):
+    return graph.alias_candidates(_vectors(spark, sf), 0.35).select("kind", "a", "b", *rounded("similarity"))
+
+
+def alias_merge(spark, sf):
+    vectors = _vectors(spark, sf)
+    found = graph.alias_candidates(vectors, 0.3).withColumn("similarity", F.round("similarity", 9))
+    mentions = vectors.select("id", F.pmod(F.col("id") * 7, F.lit(11)).alias("mention_count"))
+    return graph.alias_merges(found, mentions).select("alias", "canonical", *rounded("similarity"), "effective")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+def _corpus(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def _queries(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def vector_topk(spark, sf):
+    return retrieve.vector_top_k(_queries(spark, sf), _corpus(spark, sf), 10).select("query_id", "id", *rounded("distance"), "rank")
+
+
+def vector_topk_filtered(spark, sf):
+    pre = retrieve.vector_top_k(_queries(spark, sf), _corpus(spark, sf), 10, prefilter=F.col("label") < 3).withColumn("placement", F.lit("pre"))
+    post = retrieve.vector_top_k(_queries(spark, sf), _corpus(spark, sf), 10, postfilter=F.col("label") < 3).withColumn("placement", F.lit("post"))
+    return pre.unionByName(post).select("placement", "query_id", "id", *rounded("distance"), "rank")
+
+
+def adaptive_stop(spark, sf):
+    hits = retrieve.vector_top_k(_queries(spark, sf), _corpus(spark, sf), 8, "cosine")
+    return retrieve.adaptive_stop(hits, 0.33, 2, 8).select("query_id", "stop_rank", "reason", *rounded("confidence"), "n_hits")
+
+
+def _texts(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _items(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_topk(spark, sf):
+    return retrieve.bm25_top_k(_items(spark, sf), _texts(spark, sf), 10).select("query_id", "id", *rounded("bm25", places=4), "rank", *rounded("score"))
+
+
+def _lists(spark, sf):
+    items = _items(spark, sf)
+    keyword = retrieve.bm25_top_k(items, _texts(spark, sf), 10).select("query_id", "id", "rank")
+    q = table(spark, sf, "embeddings").join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    vector = retrieve.vector_top_k(q, _corpus(spark, sf), 10).select("query_id", "id", "rank")
+    return vector, keyword
+
+
+def rrf_fusion(spark, sf):
+    vector, keyword = _lists(spark, sf)
+    return retrieve.fuse({"vector": (vector, 0.75), "fulltext": (keyword, 0.25)}, 10).select("query_id", "id", *rounded("score"), "origin", "n_sources", "rank")
+
+
+def context_aging(spark, sf):
+    events = table(spark, sf, "events")
+    days = F.timestamp_diff("MICROSECOND", F.col("ts"), ts("2024-02-01 00:00:00")) / F.lit(86_400_000_000)
+    out = retrieve.aged(events.select("event_id", "ts", F.col("value").alias("score")), days, half=10.0)
+    return out.select("event_id", *rounded("score", "score_raw"), "age_factor")
+
+
+def relevance_filter(spark, sf):
+    return retrieve.relevant(_items(spark, sf), _texts(spark, sf), 0.12).select("query_id", "id", *rounded("relevance"))
+
+
+def hybrid_retrieve(spark, sf):
+    vector, keyword = _lists(spark, sf)
+    fused = retrieve.fuse({"vector": (vector, 0.75), "fulltext": (keyword, 0.25)}, 10)
+    docs = _texts(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts"), "id", "left")
+    dated = fused.join(docs, "id").join(_items(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    days = F.timestamp_diff("MICROSECOND", F.col("ts"), ts("2024-02-01 00:00:00")) / F.lit(86_400_000_000)
+    scored = retrieve.aged(dated, days).withColumn("relevance", retrieve.relevance(F.col("query"), F.col("text"))).filter(F.col("relevance") >= retrieve.RELEVANCE)
+    return scored.select("query_id", "id", "origin", *rounded("score", "relevance"), "age_factor")
+
+
+def chunk_documents(spark, sf):
+    return chunks.chunk(table(spark, sf, "documents")).select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+# --- conversations ---------------------------------------------------------------------------------------------------
+def conversation_pairs(spark, sf):
+    return turns.pairs(table(spark, sf, "conversations"))
+
+
+def pair_quality(spark, sf):
+    return turns.accepted_pairs(table(spark, sf, "conversations"))
+
+
+def _outcomes(spark, sf, same=0.15):
+    return turns.outcomes(table(spark, sf, "conversations"), same, 0.1)
+
+
+def outcome_inference(spark, sf):
+    return turns.outcomes(table(spark, sf, "conversations")).withColumn("setting", F.lit("default")).unionByName(_outcomes(spark, sf).withColumn("setting", F.lit("low")))
+
+
+def outcome_rates(spark, sf):
+    return turns.outcome_rates(_outcomes(spark, sf).withColumn("topic", F.pmod("conv_id", F.lit(5))), "topic", "reason")
+
+
+def compaction_snip(spark, sf):
+    return turns.snip(table(spark, sf, "conversations"), 1).select("conv_id", "turn", "role")
+
+
+def compaction_emergency(spark, sf):
+    return turns.emergency_trim(table(spark, sf, "conversations"), 500).select("conv_id", "turn", "role")
+
+
+def compaction_plan(spark, sf):
+    return turns.compaction_plan(table(spark, sf, "conversations"), 300, 700, 1000)
+
+
+def compaction_summary(spark, sf):
+    return turns.summarised(table(spark, sf, "conversations"), 1).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def parent_chain(spark, sf):
+    t = table(spark, sf, "conversations")
+    messages = t.select("conv_id", F.col("turn").alias("id"), F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("parent"), "text")
+    return turns.parent_chain(messages, t.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("id")))
+
+
+# --- routing ---------------------------------------------------------------------------------------------------------
+def _asked(spark, sf):
+    return table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
+def keyword_classify(spark, sf):
+    return routing.keyword_classes(_asked(spark, sf), TASKS)
+
+
+def routing_strategy(spark, sf):
+    tasks = routing.keyword_classes(_asked(spark, sf), TASKS)
+    named = tasks.withColumn("task", F.when(F.col("task") == "reading", "explanation").when(F.col("task") == "law", "code_review").when(F.col("task") == "travel", "architecture").otherwise(F.col("task")))
+    chosen = routing.strategies(named)
+    return chosen.select("query_id", "task", *(F.col(c).cast("double").alias(c) for c in ("vector_weight", "graph_weight", "confidence")), *long("graph_depth", "min_k", "max_k", "max_tokens"))
+
+
+def gate_votes(spark, sf):
+    tasks = routing.keyword_classes(_asked(spark, sf), TASKS)
+    rows = tasks.select(
+        "query_id",
+        F.when(F.col("task") == "law", "debugging").otherwise(F.col("task")).alias("task"),
+        F.when(F.col("query_id") % 3 == 0, None).otherwise(F.col("query_id") % 2).alias("n_entities"),
+        F.when(F.col("query_id") % 5 < 2, "Expert").otherwise("Unknown").alias("level"),
+        F.when(F.col("query_id") % 7 < 3, "t").alias("topic"),
+    )
+    return routing.gate(rows)
+
+
+def context_map(spark, sf):
+    return routing.first_rule(_asked(spark, sf), [("question", r"\?"), ("erth", "erth"), ("thing", r"thing(s|$)")], "none").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def tfidf_centroid(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
+    return routing.centroid_classes(docs, 2000, least=0.05).select("id", "label", "predicted", "cosine")
+
+
+def response_eval(spark, sf):
+    said = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    scored = routing.response_scores(said, ("the", "and", "erth"), ("thing", "und"))
+    return scored.groupBy(F.pmod("conv_id", F.lit(4)).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.max("score").alias("best"))
+
+
+# --- profile and feedback --------------------------------------------------------------------------------------------
+def profile_topics(spark, sf):
+    return profile.topic_weights(table(spark, sf, "documents"), "source", without=("src0",)).select("topic", "n", *rounded("weight"))
+
+
+def topic_drift_ema(spark, sf):
+    events = table(spark, sf, "events")
+    cut = ts("2024-01-04 00:00:00")
+    old, new = (profile.topic_weights(events.filter(c), "event_type", ("user_id",), 100) for c in (F.col("ts") < cut, F.col("ts") >= cut))
+    return profile.drift_and_merge(old, new, "user_id")
+
+
+def replay_buffer(spark, sf):
+    events = table(spark, sf, "events")
+    topic = F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(10)).cast("string"))
+    counts = events.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"))
+    known = events.filter(F.col("user_id") % 2 == 0).select(topic.alias("topic"))
+    return profile.replay_buffer(counts, known).select("topic", "n", *long("novelty"))
+
+
+def competence_map(spark, sf):
+    events = table(spark, sf, "events").withColumn("topic", F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(7)).cast("string")))
+    entries = events.groupBy("topic").agg(F.count("*").alias("entries"))
+    density = events.filter(F.col("user_id") % 7 < 5).groupBy("topic").agg(F.count_distinct("user_id").alias("edges"))
+    recency = events.filter(F.col("user_id") % 7 > 1).groupBy("topic").agg(F.max("ts").alias("last"))
+    good, bad = F.count_if(F.col("value") > 50), F.count_if(F.col("value") <= 20)
+    rates = events.filter(F.col("user_id") % 7 != 3).groupBy("topic").agg(good.alias("g"), bad.alias("b")).filter("g + b >= 5").select("topic", (F.col("g") / (F.col("g") + F.col("b"))).alias("rate"))
+    return profile.competence(entries, density, recency, rates, ts("2024-02-01 00:00:00"))
+
+
+def _arms(spark):
+    return spark.createDataFrame([("default", 0), ("graph_boost", 1), ("deep_graph", 2), ("vector_focus", 3)], "arm string, arm_no int")
+
+
+def bandit_posterior(spark, sf):
+    events = table(spark, sf, "events")
+    arm = F.element_at(F.array(*map(F.lit, ("default", "graph_boost", "deep_graph", "vector_focus", "unknown"))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    context = F.pmod("user_id", F.lit(6)).alias("context")
+    outcomes = events.filter(F.col("event_type").isin("purchase", "error")).select(context, arm.alias("arm"), (F.col("event_type") == "purchase").alias("accepted"))
+    found = profile.posteriors(events.select(context), _arms(spark), outcomes)
+    return found.select("context", "arm", *long("alpha", "beta"), *rounded("mean"), "best")
+
+
+def thompson_draw(spark, sf):
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "error"))
+    arm = F.element_at(F.array(*map(F.lit, ("default", "graph_boost", "deep_graph", "vector_focus"))), (F.pmod("user_id", F.lit(4)) + 1).cast("int"))
+    context = F.pmod("user_id", F.lit(6)).alias("context")
+    found = profile.posteriors(events.select(context), _arms(spark), events.select(context, arm.alias("arm"), (F.col("event_type") == "purchase").alias("accepted")))
+    return profile.thompson(found, seed=1, draws=20)
+
+
+def feedback_latest(spark, sf):
+    events = table(spark, sf, "events")
+    last = profile.latest(events.filter(F.col("event_type").isin("click", "error")), ("user_id",), "ts", "event_id").select("user_id", F.col("event_type").alias("feedback"), F.col("event_id").alias("feedback_event"))
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "value")
+    return bought.join(last, "user_id", "left").filter(F.coalesce(F.col("feedback") != "error", F.lit(True))).select("event_id", "user_id", "value", "feedback", "feedback_event")
+
+
+def instinct_decay(spark, sf):
+    events = table(spark, sf, "events")
+    idle = F.floor(F.timestamp_diff("MICROSECOND", F.col("last"), ts("2024-05-01 00:00:00")) / F.lit(86_400_000_000))
+    per = events.groupBy("user_id", "event_type").agg(F.max("ts").alias("last"), F.count("*").alias("activations"), F.avg("value").alias("mean"))
+    conf = per.withColumn("confidence", F.least(F.lit(0.95), 0.3 + F.col("activations") / 40))
+    out = conf.withColumn("decayed", F.round(stepped_decay(F.col("confidence"), idle), 6))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("decayed") < 0.3).alias("needs_review"), F.round(F.avg("decayed"), 3).alias("mean_confidence"), F.sum("activations").alias("activations"))
+
+
+def instinct_confidence(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("ord"), (F.col("value") > 30).alias("accepted"))
+    return profile.clamped_confidence(events).select("key", *rounded("confidence"), "n")
+
+
+def topic_trigger(spark, sf):
+    return profile.nth_in_session(table(spark, sf, "events"), "user_id", "event_type", ("ts", "event_id"), 3).select("user_id", "event_type", "event_id")
+
+
+def nearest_event(spark, sf):
+    events = table(spark, sf, "events")
+    left = events.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"))
+    right = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"))
+    return profile.nearest(left, right, "user_id", 3600)
+
+
+# --- lake ------------------------------------------------------------------------------------------------------------
+def datalake_stats(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("length"), F.lit("pages").alias("lake"))
+    docs = table(spark, sf, "documents").select(F.col("source").alias("path"), F.length("text").cast("long").alias("length"), F.lit("documents").alias("lake"))
+    files = pages.unionByName(docs).withColumn("category", lake.category(F.col("path")))
+    return lake.lake_stats(files, "lake", "category")
+
+
+def datalake_search(spark, sf):
+    """Pages that hold a word, the first fifty by path: the limit is the feature."""
+    return lake.search(table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")), "Thing", 50).select("path", F.length("content").cast("long").alias("n_chars"))
+
+
+def quality_gate(spark, sf):
+    entries = table(spark, sf, "documents").select("doc_id", F.col("text").alias("reasoning"), F.col("lang").alias("description"))
+    judged = lake.quality_gate(entries, {"reasoning": 300, "description": 2})
+    return judged.groupBy("reasons", "accepted").agg(F.count("*").alias("n"))
+
+
+def unprocessed_files(spark, sf):
+    events = table(spark, sf, "events")
+    files = events.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("ts").alias("modified"))
+    state = events.filter(F.col("ts") < ts("2024-01-30 00:00:00")).groupBy(F.col("user_id").cast("string").alias("file_key")).agg(F.max("ts").alias("modified"))
+    return lake.unprocessed(files, state)
+
+
+# --- streaming -------------------------------------------------------------------------------------------------------
+def _stream(spark, sf):
+    path = f"{sf}/conversations.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).format("parquet")
+    # A file source reads folders; a table that is one file is picked out of its folder by name.
+    if spark.read.parquet(path).select("_metadata.file_name").first()[0] == "conversations.parquet":
+        return reader.option("pathGlobFilter", "conversations.parquet").load(sf)
+    return reader.load(path)
+
+
+def stream_outcomes(spark, sf):
+    from skein.session import shared_folder
+    from skein.streaming.outcomes import stream_outcomes as streamed
+
+    return streamed(spark, _stream(spark, sf), shared_folder(spark, "stream"), 0.15, 0.1)
+
+
+def stream_sessions(spark, sf):
+    from skein.session import shared_folder
+    from skein.streaming.outcomes import run_available, stream_counts
+
+    folder = shared_folder(spark, "sessions")
+    query = stream_counts(_stream(spark, sf)).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    query.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+QUERIES = (
+    lexicon_entities, cooccurrence_edges, category_links, substring_patterns, regex_class_fixes, regex_class_hits, entity_ids,
+    graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
+    neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_merge,
+    vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, chunk_documents,
+    conversation_pairs, pair_quality, outcome_inference, outcome_rates, compaction_snip, compaction_emergency, compaction_plan, compaction_summary, parent_chain,
+    keyword_classify, routing_strategy, gate_votes, context_map, tfidf_centroid, response_eval,
+    profile_topics, topic_drift_ema, replay_buffer, competence_map, bandit_posterior, thompson_draw, feedback_latest, instinct_decay, instinct_confidence, topic_trigger, nearest_event,
+    datalake_stats, datalake_search, quality_gate, unprocessed_files, stream_outcomes, stream_sessions,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL

@@ -18,3 +18,21 @@ def build_session(name: str = "skein", master: str | None = None, shuffle_partit
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The shared folder of `spark.checkpoint.dir`; a folder of our own only where none is set, as in tests."""
+    import tempfile
+
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+    return configured or sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables and stream state, beside the checkpoints."""
+    import uuid
+
+    return f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
