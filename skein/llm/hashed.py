@@ -68,11 +68,11 @@ def ngram_features(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarra
     out = []
     for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
         if a == b:
-            out.append((np.zeros(1, np.int64), np.ones(1, np.float32)))
+            out.append((np.zeros(1, np.int32), np.ones(1, np.float32)))
             continue
         grams = np.concatenate([hashes[a:b], pairs[a + 1 : b], lengths[a:b]]) >> shift
         index, counts = np.unique(grams.astype(np.int64), return_counts=True)
-        out.append((index, np.sqrt(counts / (b - a)).astype(np.float32)))
+        out.append((index.astype(np.int32), np.sqrt(counts / (b - a)).astype(np.float32)))
     return out
 
 
@@ -84,7 +84,7 @@ def word_features(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray
     out = []
     for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
         index = np.unique((np.concatenate([hashes[a:b], prefix[a:b]]) >> shift).astype(np.int64))
-        out.append((index, np.ones(len(index), np.float32)))
+        out.append((index.astype(np.int32), np.ones(len(index), np.float32)))
     return out
 
 
@@ -165,6 +165,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [t for t, _ in got], np.array([y for _, y in got], np.float32)
 
 
+def in_slices(texts: list[bytes], features: Callable[[list[bytes]], list], limit: int = 1 << 20) -> list:
+    """The features of all texts, worked out about `limit` bytes at a time."""
+    out, own, size = [], [], 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size > limit:
+            out += features(own)
+            own, size = [], 0
+    return out + features(own) if own else out
+
+
 def hash_of(text: bytes) -> int:
     import zlib
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import id_mod
-from skein.llm.hashed import Ftrl, from_sparse, labelled_sample, token_hashes, with_scores, word_features
+from skein.llm.hashed import Ftrl, from_sparse, in_slices, labelled_sample, token_hashes, with_scores, word_features
 
 #: Labelled documents of each class that training takes at most, on average, and the longest text among them.
 TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
@@ -73,7 +73,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     texts, y = labelled_sample(docs, labels.filter(id_mod(F.col("doc_id"), 4) != 2), "toxic", per_class, TRAIN_TEXT_BYTES)
     if not len(y):
         texts, y = [b""], np.zeros(1, np.float32)
-    return fit_chain(word_features(texts, BITS), category_labels(texts, y))
+    labels_of = np.vstack([category_labels([t], np.array([v])) for t, v in zip(texts, y, strict=True)])
+    return fit_chain(in_slices(texts, lambda t: word_features(t, BITS)), labels_of)
 
 
 def score_toxicity(docs: DataFrame, chain: list[Ftrl], carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
