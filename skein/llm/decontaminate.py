@@ -166,5 +166,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(clean, pa.string())], names=["doc", "clean"])
 
     ready = found.select("doc", F.col(f"doc.`{text_col}`").cast("binary").alias("__raw"), "spans")
-    cut = ready.mapInArrow(run, ready.select("doc", F.lit("").cast("string").alias("clean")).schema)
+    cut = ready.mapInArrow(run, ready.select("doc").schema.add("clean", "string"))
     return cut.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

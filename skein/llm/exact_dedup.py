@@ -83,11 +83,9 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with its columns; rows that repeat one another entirely are left once."""
-    columns = docs.columns
+    """The rows of `docs` that stay, one for each normalised text, with the columns of `docs`."""
     decided = exact_groups(docs, text_col, id_col).filter("kept")
     alone = decided.filter("group_size = 1").select("doc.*")
-    tied = decided.filter("group_size > 1").select("doc.*")
-    keys = [F.xxhash64(F.col(f"`{c}`")).alias(f"__h{i}") for i, c in enumerate(columns) if c not in (text_col, id_col)]
-    tied = tied.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").alias("__id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256).alias("__text"), *keys)
-    return alone.unionByName(tied.dropDuplicates(["__id", "__text"]).select("doc.*"))
+    # Rows that tie for their group's place repeat the id and the text; one for each digest is left.
+    tied = decided.filter("group_size > 1").dropDuplicates(["digest"]).select("doc.*")
+    return alone.unionByName(tied)

@@ -23,6 +23,7 @@ from skein.llm.text import text_slices
 WINDOW, STATE = 128, 8
 #: Labelled documents of each language and windows of each that training takes at most, on average.
 TRAIN_PER_LANGUAGE, TRAIN_WINDOWS, TRAIN_TEXT_BYTES = 600, 6, 1 << 18
+TRAIN_STEPS = 400
 #: Windows that run side by side.
 BATCH = 2048
 UNDETERMINED = "und"
@@ -137,8 +138,11 @@ def new_network(languages: list[str], state: int = STATE, seed: int = 3) -> Netw
     return Network(languages, table, u, rng.normal(0, 0.1, (len(languages), 2 * state + 1)).astype(np.float32))
 
 
-def train(texts: list[bytes], names: list[str], epochs: int = 8, batch: int = 256, rate: float = 0.02, windows: int = TRAIN_WINDOWS, seed: int = 5) -> Network:
-    """A network for the distinct `names`, by Adam on every position of up to `windows` windows of each text."""
+def train(texts: list[bytes], names: list[str], epochs: int = 8, batch: int = 256, rate: float = 0.02, windows: int = TRAIN_WINDOWS, seed: int = 5, least_steps: int = TRAIN_STEPS) -> Network:
+    """A network for the distinct `names`, by Adam on every position of up to `windows` windows of each text.
+
+    Small samples are gone through more often, so that there are `least_steps` steps.
+    """
     net = new_network(sorted(set(names)))
     if not net.languages:
         return net
@@ -152,6 +156,7 @@ def train(texts: list[bytes], names: list[str], epochs: int = 8, batch: int = 25
     y = np.array([net.languages.index(n) for n in names])[owner[chosen]]
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("table", "u", "v")}
     step = 0
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(y)))) if len(y) else 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for first in range(0, len(order), batch):

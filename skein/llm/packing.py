@@ -7,9 +7,11 @@ found by descending a tournament tree of the bins' free space. Token ids are nev
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,67 +26,149 @@ LENGTH = 1024
 END_ID = 0
 #: Documents whose pieces meet in one group, on average.
 GROUP_DOCS = 1024
-#: Distinct chunks whose ids a worker keeps; beyond that it starts afresh.
-CACHED_CHUNKS = 300_000
+#: Distinct chunks whose ids a worker keeps; later ones are forgotten after each slice of texts.
+CACHED_CHUNKS = 400_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+_CLEAN = re.compile(r" ?\S+")
+
+
+#: Places inside a chunk where the tokenizer always splits: between a letter and a sign, around a lone line end.
+_INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_SIGNS = frozenset(",.;:!?")
+_SPECIAL = "<|endoftext|>"
+#: Parts that are encoded together, one to a line.
+_JOINED = 256
+
+
+def _parts_of(chunk: str) -> list[str]:
+    """A chunk with the space before it, cut where the tokenizer always splits."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in _SIGNS and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return [" " + chunk] if _SPECIAL in chunk else _INSIDE.split(" " + chunk)
+
+
+def _rank_encoder(path: str):
+    """The same ids by a faster encoder, for a byte-level file whose merges are in the order of their ids; else None.
+
+    The ranks come from the file itself.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("ignore_merges"):
+        return None
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip([255, *made], made, strict=False)):
+        return None
+    # Bytes that are no visible characters are named by the characters from 256 on, in order.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    name = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(name[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    encoder = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return encoder.encode_ordinary
+
+
+class _Numbering(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 class ChunkTokenizer:
     """Token ids of whole texts, each distinct space-separated chunk being encoded once and then looked up.
 
     The tokenizer splits at every space that a non-space follows and never merges across, so the ids of a text are
-    those of its chunks in order. A text with other runs of spaces is cut by pattern instead of at every space.
+    those of its chunks in order. A text with other runs of spaces is cut by pattern instead of at every space. A new
+    chunk is put together from its parts; new parts are encoded many at a time, and the ids of each are told apart
+    by the bytes that they stand for.
     """
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.plain = _rank_encoder(path)
+        size = self.tokenizer.get_vocab_size()
+        # Each character of a token's name stands for one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.known = _Numbering()
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, chunks: list[str]) -> None:
-        known, at = self.known, len(self.known)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total, need = int(sizes.sum()), at + len(chunks)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, list[int]]:
+        clean = _CLEAN.fullmatch
+        joinable, alone = [], []
+        for p in parts:
+            (joinable if clean(p) else alone).append(p)
+        out = dict(zip(alone, self._encode(alone), strict=True))
+        groups = [joinable[i : i + _JOINED] for i in range(0, len(joinable), _JOINED)]
+        joined = ["\n".join(g) for g in groups]
+        several = self._encode if self.plain is None else lambda texts: [self._encode([t])[0] if _SPECIAL in t else self.plain(t) for t in texts]
+        for group, ids in zip(groups, several(joined), strict=True):
+            ends = np.cumsum(self.bytes_of[ids])
+            last = np.cumsum([len(p.encode()) + 1 for p in group]) - 1
+            stop = np.searchsorted(ends, last)
+            if stop[-1] + 1 != len(ids) or (ends[stop] != last).any() or (ends[stop[:-1] + 1] != last[:-1] + 1).any():
+                out.update(zip(group, self._encode(group), strict=True))
+                continue
+            stop += 1
+            for part, a, b in zip(group, [0, *(stop[:-1] + 1).tolist()], stop.tolist(), strict=True):
+                out[part] = ids[a:b]
+        return out
+
+    def _add(self, chunks: list[str], at: int) -> None:
+        made = [_parts_of(c) for c in chunks]
+        parts = self._encode_parts(list({p: None for m in made for p in m}))
+        flat: list[int] = []
+        ends = []
+        for m in made:
+            for p in m:
+                flat += parts[p]
+            ends.append(len(flat))
+        sizes = np.diff(ends, prepend=0)
+        total, need = len(flat), at + len(chunks)
         if need > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros(need, np.int64)]) for x in (self.starts, self.sizes))
         if self.filled + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(self.filled + total, np.uint32)])
-        self.ids[self.filled : self.filled + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
+        self.ids[self.filled : self.filled + total] = flat
         self.sizes[at:need], self.starts[at:need] = sizes, self.filled + np.cumsum(sizes) - sizes
         self.filled += total
-        for k, c in enumerate(chunks):
-            known[c] = at + k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.cached:
-            self._clear()
         firsts, chunks, counts = [], [], []
         for text in texts:
-            parts = text.split(" ")
-            if len(parts) > 1 and not all(p and not p[0].isspace() for p in parts[1:]):
-                parts = _BEFORE_WORD.split(text)
+            parts = _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
             firsts.append(parts[0])
             counts.append(len(parts) - 1)
             chunks += parts[1:]
-        get = self.known.get
-        found = list(map(get, chunks))
-        if None in found:
-            self._add(list(dict.fromkeys(c for c, i in zip(chunks, found, strict=True) if i is None)))
-            found = list(map(get, chunks))
-        index = np.array(found, np.int64)
+        mark, before = self.filled, len(self.known)
+        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        new = list(islice(self.known, before, None))
+        if new:
+            self._add(new, before)
         sizes, starts = self.sizes[index], self.starts[index]
         ends = np.cumsum(sizes)
         ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        heads = self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)
-        return [np.concatenate([np.array(h.ids, np.uint32), ids[a:b]]) for h, a, b in zip(heads, bounds, bounds[1:], strict=False)]
+        heads = self._encode(firsts)
+        if len(self.known) > self.cached:
+            for c in new:
+                del self.known[c]
+            self.filled = mark
+        return [np.concatenate([np.array(h, np.uint32), ids[a:b]]) for h, a, b in zip(heads, bounds, bounds[1:], strict=False)]
 
 
 _loaded: dict[str, ChunkTokenizer] = {}
@@ -115,7 +199,7 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_path: str | None, text_co
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = chunk_tokenizer(tokenizer_path or default_tokenizer_path())
         salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for rows, texts in text_slices(batches, "text"):
+        for rows, texts in text_slices(batches, "text", 1 << 22):
             owner, start, size, crc, total = [], [], [], [], []
             for d, ids in enumerate(coder.encode([t.decode("utf-8", "replace") for t in texts])):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)

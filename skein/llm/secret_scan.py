@@ -2,8 +2,8 @@
 
 Three patterns find assignments, access keys and long hexadecimal runs. Beside them every long run of encoding
 characters is a candidate: its encoding is inferred (hexadecimal, base 32 or base 64), and three tests ask whether its
-symbols could be uniformly random: chi-squared on the alphabet, runs above and below the middle, and serial
-correlation. The three p-values are combined by Fisher's method. Dismissing a candidate as not random is a discovery;
+symbols could be uniformly random: chi-squared on the alphabet (its symbols, and its digits and cases), runs above and
+below the middle, and serial correlation. The p-values are combined by Fisher's method. Dismissing a candidate as not random is a discovery;
 within each length class those are made by Benjamini and Hochberg's rule, because short strings have weak tests and
 long ones strong tests. Candidates that are not dismissed are reported as `random`.
 """
@@ -23,7 +23,7 @@ ASSIGN_VALUE_LENGTH = 12
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates for the tests, and the share of dismissals that may be random strings.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-FALSE_DISCOVERIES = 0.05
+FALSE_DISCOVERIES = 0.01
 #: p-values are counted in bins of a hundredth of a decimal power, down to this power.
 BINS, LOWEST_POWER = 100, 15
 _SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string>"
@@ -61,28 +61,38 @@ _STEPS = [
              WHEN c.t RLIKE '^[A-Z2-7]+$' AND c.t RLIKE '[2-7]' AND c.t RLIKE '[A-Z]' THEN 32
              WHEN c.t RLIKE '^[A-Za-z0-9+/_-]+$' AND c.t RLIKE '[a-z]' AND c.t RLIKE '[A-Z]' AND c.t RLIKE '[0-9]' THEN 64
              ELSE 0 END))""",
-    """transform(filter(found, c -> c.k > 0), c -> named_struct('start', c.start, 'end', c.end, 'k', c.k, 'x',
+    # How far digits, cases and letters are from their shares of the alphabet.
+    """transform(filter(found, c -> c.k > 0), c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k', c.k,
+        'n', CAST(length(c.t) AS double), 'digits', CAST(length(regexp_replace(c.t, '[^0-9]', '')) AS double),
+        'lower', CAST(length(regexp_replace(c.t, '[^a-z]', '')) AS double), 'upper', CAST(length(regexp_replace(c.t, '[^A-Z]', '')) AS double)))""",
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k', c.k, 'df', CASE c.k WHEN 64 THEN 2D ELSE 1D END,
+        'cells', CASE c.k WHEN 16 THEN pow(c.digits - c.n * 10 / 16, 2D) * (1 / (c.n * 10 / 16) + 1 / (c.n * 6 / 16))
+                          WHEN 32 THEN pow(c.digits - c.n * 6 / 32, 2D) * (1 / (c.n * 6 / 32) + 1 / (c.n * 26 / 32))
+                          ELSE pow(c.lower - c.n * 26 / 64, 2D) / (c.n * 26 / 64) + pow(c.upper - c.n * 26 / 64, 2D) / (c.n * 26 / 64)
+                               + pow(c.n - c.lower - c.upper - c.n * 12 / 64, 2D) / (c.n * 12 / 64) END))""",
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k,
+        'classes', (pow(c.cells / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)), 'x',
         transform(sequence(1, length(c.t)), i -> CAST(instr(
           CASE c.k WHEN 16 THEN '0123456789abcdef' WHEN 32 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
                    ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END,
           substr(CASE c.k WHEN 16 THEN lower(c.t) ELSE translate(c.t, '-_', '+/') END, i, 1)) - 1 AS double))))""",
-    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', CAST(c.k AS double), 'x', c.x,
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', CAST(c.k AS double), 'classes', c.classes, 'x', c.x,
         'n', CAST(size(c.x) AS double), 'mean', aggregate(c.x, 0D, (a, v) -> a + v) / size(c.x),
         'squares', aggregate(array_distinct(c.x), 0D, (a, v) -> a + pow(size(filter(c.x, y -> y = v)), 2D)),
         'low', CAST(size(filter(c.x, v -> v < c.k / 2)) AS double),
         'runs', 1D + size(filter(sequence(1, size(c.x) - 1), i -> (c.x[i] < c.k / 2) <> (c.x[i - 1] < c.k / 2)))))""",
-    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n,
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'classes', c.classes,
         'chi', (c.k / c.n * c.squares - c.n - (c.k - 1)) / sqrt(2 * (c.k - 1) * (c.n - 1) / c.n),
         'product', 2 * c.low * (c.n - c.low), 'runs', c.runs,
         'around', aggregate(c.x, 0D, (a, v) -> a + pow(v - c.mean, 2D)),
         'next', aggregate(sequence(1, size(c.x) - 1), 0D, (a, i) -> a + (c.x[i] - c.mean) * (c.x[i - 1] - c.mean))))""",
-    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'chi', c.chi,
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'classes', c.classes, 'chi', c.chi,
         'run', CASE WHEN c.product <= c.n THEN 9D ELSE (c.runs - 1 - c.product / c.n) / sqrt(c.product * (c.product - c.n) / (c.n * c.n * (c.n - 1))) END,
         'serial', CASE WHEN c.around = 0 THEN 9D ELSE (c.next / c.around + 1 / c.n) * sqrt(c.n) END))""",
     f"""transform(found, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'half',
-        -ln(greatest(1e-15D, {_upper('c.chi')})) - ln(greatest(1e-15D, least(1D, 2 * {_upper('abs(c.run)')}))) - ln(greatest(1e-15D, least(1D, 2 * {_upper('abs(c.serial)')})))))""",
+        -ln(greatest(1e-15D, {_upper('c.chi')})) - ln(greatest(1e-15D, {_upper('c.classes')})) - ln(greatest(1e-15D, least(1D, 2 * {_upper('abs(c.run)')}))) - ln(greatest(1e-15D, least(1D, 2 * {_upper('abs(c.serial)')})))))""",
     f"""transform(found, c -> named_struct('start', c.start, 'end', c.end, 'size', CAST(floor(log2(c.n)) AS int),
-        'bin', CAST(least({BINS * LOWEST_POWER}D, floor(-{BINS} * log10(greatest(1e-300D, exp(-c.half) * (1 + c.half + c.half * c.half / 2))))) AS int)))""",
+        'bin', CAST(least({BINS * LOWEST_POWER}D, floor(-{BINS} * log10(greatest(1e-300D, exp(-c.half) * (1 + c.half + c.half * c.half / 2 + c.half * c.half * c.half / 6))))) AS int)))""",
 ]
 
 
