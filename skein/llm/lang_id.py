@@ -8,7 +8,6 @@ over all its positions. Training is backpropagation through time in numpy on a b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ TRAIN_STEPS = 400
 BATCH = 2048
 UNDETERMINED = "und"
 _PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -211,7 +209,7 @@ def identify(docs: DataFrame, net: Network, carry: tuple[str, ...] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, "__text"):
-            found = [bool(net.languages and _LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+            found = [bool(net.languages and any(map(str.isalpha, t.decode("utf-8", "replace")))) for t in texts]
             p = document_probabilities(net, [t if f else b"" for t, f in zip(texts, found, strict=True)])
             best = p.argmax(axis=1) if net.languages else np.zeros(len(texts), int)
             names = [net.languages[k] if f else UNDETERMINED for k, f in zip(best.tolist(), found, strict=True)]

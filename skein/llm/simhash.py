@@ -1,12 +1,14 @@
 """Near-duplicate detection on SimHash signatures with a byte-position inverted index.
 
 A signature of 8·m bytes is a set of (position, byte) entries. Two signatures that differ in few bits share many
-entries, so pairs are found by counting shared entries: a posting stands for several positions at once and lists the
-signatures that agree on all of them. Where the differing bits guarantee a minimum number of shared bytes, as 4 bits
-of 8 bytes guarantee 4, the postings of all position sets of that size lose no pair; longer signatures use a fixed
-random choice of sets, whose recall is stated. A pair in a posting is verified on all bits. A posting returns a
-spanning forest of its verified pairs, never the pairs themselves, and postings beyond a size are worked off as pairs
-of bounded chunks. Components of the links give the groups.
+entries: 4 differing bits of 8 bytes leave at least 4 bytes untouched. Lists of single entries would hold a 256th of
+all signatures each, so a posting stands for three positions at once and lists the signatures that agree on all of
+them; any 4 of the 8 positions hold one of 20 such triples, so no pair that reaches the guaranteed matches is lost.
+Inside a posting each pair's shared bytes are tallied over all positions, pairs with fewer than the guaranteed number
+go, and the rest are verified on all bits. Longer signatures guarantee nothing and use a fixed random choice of
+triples, whose recall is stated. A posting returns a spanning forest of its verified pairs, never the pairs
+themselves, and postings beyond a size are worked off as pairs of bounded chunks. Components of the links give the
+groups.
 """
 
 from __future__ import annotations
@@ -67,10 +69,18 @@ def wide_signatures(texts: list[bytes], shingle: int, words: int) -> np.ndarray:
     return out
 
 
+def covering_triples(n: int) -> list[tuple[int, ...]]:
+    """Triples of n positions such that any 4 positions hold one: three classes in a circle, and the triples that lie
+    in one class or have two positions in a class and one in the next (Turán)."""
+    part = [3 * i // n for i in range(n)]
+    inside = lambda t: [sum(part[i] == c for i in t) for c in range(3)]
+    return [t for t in combinations(range(n), 3) for k in [inside(t)] if 3 in k or any(k[c] == 2 and k[(c + 1) % 3] == 1 for c in range(3))]
+
+
 def _posting_sets(sig_words: int, postings: int | None, positions: int) -> list[tuple[int, ...]]:
-    """All sets of `positions` bytes of the signature, or a fixed random choice of `postings` of them."""
+    """Sets of bytes of which any `positions` shared bytes hold one, or a fixed random choice of `postings` sets."""
     if postings is None:
-        return list(combinations(range(8 * sig_words), positions))
+        return covering_triples(8 * sig_words) if positions == 4 else list(combinations(range(8 * sig_words), positions))
     rng, chosen = np.random.default_rng(7), set()
     while len(chosen) < postings:
         chosen.add(tuple(sorted(rng.choice(8 * sig_words, positions, replace=False).tolist())))
@@ -93,6 +103,7 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
 
 def _links(keys: np.ndarray, sigs: np.ndarray, max_bits: int) -> np.ndarray:
     """Rows are sorted by key; the least row that each reaches over verified pairs inside its key."""
+    least = max(0, 8 * sigs.shape[1] - max_bits)
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows, lag = np.arange(len(keys)), 1
     while True:
@@ -100,9 +111,11 @@ def _links(keys: np.ndarray, sigs: np.ndarray, max_bits: int) -> np.ndarray:
         rows = rows[keys[rows] == keys[rows + lag]]
         if not len(rows):
             break
-        near = np.bitwise_count(sigs[rows] ^ sigs[rows + lag]).sum(axis=1, dtype=np.int64) <= max_bits
-        lefts.append(rows[near])
-        rights.append(rows[near] + lag)
+        differing = sigs[rows] ^ sigs[rows + lag]
+        reached = np.flatnonzero((differing.view(np.uint8) == 0).sum(axis=1, dtype=np.int64) >= least) if least else np.arange(len(rows))
+        near = rows[reached[np.bitwise_count(differing[reached]).sum(axis=1, dtype=np.int64) <= max_bits]]
+        lefts.append(near)
+        rights.append(near + lag)
         lag += 1
     return _forest(np.concatenate(lefts), np.concatenate(rights), len(keys))
 

@@ -42,13 +42,13 @@ def category_labels(texts: list[bytes], toxic: np.ndarray, seeds: dict[str, tupl
     return out
 
 
-def fit_chain(rows: list, labels: np.ndarray, bits: int = BITS, folds: int = FOLDS, epochs: int = 2) -> list[Ftrl]:
+def fit_chain(rows: list, labels: np.ndarray, bits: int = BITS, folds: int = FOLDS, epochs: int = 4) -> list[Ftrl]:
     """One model for each column of `labels`, in order."""
     n, width = labels.shape
     fold, before, chain = np.arange(n) % folds, np.zeros((n, 0), np.float32), []
     for c in range(width):
         def fitted(own: np.ndarray, c: int = c, before: np.ndarray = before) -> Ftrl:
-            return Ftrl(bits=bits, dense=c, alpha=1.0, l1=2.0, l2=0.1).fit([rows[i] for i in own], labels[own, c], before[own], epochs)
+            return Ftrl(bits=bits, dense=c, alpha=0.7, l1=6.0, l2=1.0).fit([rows[i] for i in own], labels[own, c], before[own], epochs)
 
         if c + 1 < width:
             unseen = np.zeros(n, np.float32)

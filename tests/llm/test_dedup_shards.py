@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -9,7 +10,7 @@ import xxhash
 from skein.llm import queries
 from skein.llm.exact_dedup import drop_exact_copies, exact_groups
 from skein.llm.sharding import shard_by_bytes
-from skein.llm.simhash import drop_near_duplicates, fingerprint, max_bits_for, near_duplicate_groups, near_duplicates
+from skein.llm.simhash import covering_triples, drop_near_duplicates, fingerprint, max_bits_for, near_duplicate_groups, near_duplicates
 
 
 def norm(t):
@@ -79,6 +80,12 @@ def components(ids, near):
     return {i: find(i) for i in ids}
 
 
+def test_any_four_positions_hold_a_chosen_triple():
+    triples = covering_triples(8)
+    assert len(triples) == 20
+    assert all(any(set(t) <= set(four) for t in triples) for four in combinations(range(8), 4))
+
+
 def test_near_duplicates_match_brute_force(documents, texts, odd_docs, no_docs):
     assert all(fingerprint(t.encode()) == brute_fingerprint(t) for t in list(texts.values())[:60])
     ids = sorted(texts)
