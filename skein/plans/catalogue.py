@@ -271,7 +271,7 @@ def outcome_inference(spark, sf):
 
 
 def outcome_rates(spark, sf):
-    return turns.outcome_rates(_outcomes(spark, sf).withColumn("topic", F.pmod("conv_id", F.lit(5))), "topic", "reason")
+    return turns.outcome_rates(_outcomes(spark, sf).withColumn("topic", F.pmod("conv_id", F.lit(5)).cast("string")), "topic", "reason")
 
 
 def compaction_snip(spark, sf):

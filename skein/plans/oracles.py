@@ -263,7 +263,7 @@ SELECT md5(instruction || output)[1:12] AS pair_id, conv_id, turn, score,
 FROM s WHERE length(instruction) >= 10 AND length(output) >= 20 AND score >= 0.4""",
     "outcome_inference": f"SELECT *, 'default' AS setting FROM ({_outcomes(0.5, 0.3)}) UNION ALL SELECT *, 'low' FROM ({_outcomes(0.15, 0.1)})",
     "outcome_rates": f"""
-WITH o AS (SELECT *, conv_id % 5 AS topic FROM ({_outcomes(0.15, 0.1)}))
+WITH o AS (SELECT *, (conv_id % 5)::VARCHAR AS topic FROM ({_outcomes(0.15, 0.1)}))
 SELECT topic, reason, count(*) AS total, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected,
        CASE WHEN count(*) FILTER (outcome <> 'neutral') > 0 THEN round(count(*) FILTER (outcome = 'accepted') / count(*) FILTER (outcome <> 'neutral'), 6) END AS rate
 FROM o GROUP BY ROLLUP (topic, reason)""",
