@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,22 +160,36 @@ def snapshot(previous: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("name", "neighbours", (F.coalesce("version", F.lit(1)) + changed.cast("int")).cast("long").alias("version"))
 
 
-def alias_candidates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+def alias_candidates(vectors: DataFrame, threshold: float = 0.85, block: int = 2048) -> DataFrame:
     """(kind, a, b, similarity): pairs of one kind with at least this cosine, a before b.
 
-    Vectors are normalised once; a kind is dealt into blocks by id and every two blocks of it meet in an equi-join, so
-    that no kind is confined to one task.
+    A kind is dealt into blocks of about `block` ids, so that none is confined to one task; every two blocks meet in
+    one task, which multiplies them as matrices and gives out only the pairs over the threshold. Vectors of different
+    lengths are no pair and a zero vector has similarity 0.
     """
-    blocks = 16
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select("kind", "id", F.transform("vector", lambda x: x.cast("double")).alias("v"), norm.alias("norm"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = unit.select("kind", F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("block").alias("x"), other.alias("y"))
-    right = unit.select("kind", F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("block").alias("y"), other.alias("x"))
-    pairs = left.join(right, ["kind", "x", "y"]).filter("a < b")
-    product = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.withColumn("similarity", F.when((F.col("na") * F.col("nb") == 0) | (F.size("va") != F.size("vb")), F.lit(0.0)).otherwise(product / (F.col("na") * F.col("nb"))))
-    return scored.filter(F.col("similarity") >= threshold).select("kind", "a", "b", "similarity")
+    sizes = vectors.groupBy("kind").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = vectors.join(sizes, "kind").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", every)
+    rows = dealt.select("kind", "id", F.col("vector").cast("array<double>").alias("v"), "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    schema = rows.select("kind", F.col("id").alias("a"), F.col("id").alias("b")).schema.add("similarity", "double")
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, alike in pdf.groupby(pdf["v"].map(len)):
+            m = np.array(alike["v"].tolist(), np.float64).reshape(len(alike), -1)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            ids, own, at_home = alike["id"].to_numpy(), alike["own"].to_numpy(), bool((pdf["x"] == pdf["y"]).all())
+            left, right = (np.arange(len(ids)), np.arange(len(ids))) if at_home else (np.flatnonzero(own == pdf["x"].iloc[0]), np.flatnonzero(own == pdf["y"].iloc[0]))
+            cosine = unit[left] @ unit[right].T
+            i, j = np.nonzero(cosine >= threshold)
+            a, b, found = ids[left[i]], ids[right[j]], cosine[i, j]
+            keep = a < b if at_home else a != b
+            a, b, found = a[keep], b[keep], found[keep]
+            out.append(pd.DataFrame({"kind": pdf["kind"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": found}))
+        return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+
+    return rows.groupBy("kind", "x", "y").applyInPandas(multiplied, schema)
 
 
 def alias_merges(candidates: DataFrame, mentions: DataFrame) -> DataFrame:

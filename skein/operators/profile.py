@@ -123,10 +123,23 @@ def latest(rows: DataFrame, keys: tuple[str, ...], order: str, tie: str) -> Data
 def clamped_confidence(events: DataFrame, start: float = 0.5, up: float = 0.03, down: float = 0.05, ceiling: float = 0.95, floor: float = 0.2) -> DataFrame:
     """(key, confidence, n) of (key, ord, accepted): each acceptance adds, each other outcome takes away, within bounds.
 
-    Once a bound is hit the result is no sum, so the deltas are folded in order inside one row for each key.
+    Once a bound is hit the result is no sum. But a run of events is a shift between two bounds, and two such runs in
+    a row are one again. So each range partition folds its own part of a key, however hot, and the parts are joined
+    up in order.
     """
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("ord", "accepted"))), F.lit(start), lambda c, e: F.when(e["accepted"], F.least(F.lit(ceiling), c + up)).otherwise(F.greatest(F.lit(floor), c - down)))
-    return events.groupBy("key").agg(folded.alias("confidence"), F.count("*").alias("n"))
+    parts = events.repartitionByRange("key", "ord").withColumn("part", F.spark_partition_id())
+    change = F.array_sort(F.collect_list(F.struct("ord", "accepted")))
+    still = F.struct(F.lit(0.0).alias("by"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+
+    def moved(run: Column, event: Column) -> Column:
+        rise = lambda x: F.least(F.lit(ceiling), x + up)
+        fall = lambda x: F.greatest(F.lit(floor), x - down)
+        bound = lambda x: F.when(event["accepted"], rise(x)).otherwise(fall(x))
+        return F.struct((run["by"] + F.when(event["accepted"], up).otherwise(-down)).alias("by"), bound(run["low"]).alias("low"), bound(run["high"]).alias("high"))
+
+    runs = parts.groupBy("key", "part").agg(F.aggregate(change, still, moved).alias("run"), F.count("*").alias("n"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "run"))), F.lit(start), lambda c, p: F.least(p["run"]["high"], F.greatest(p["run"]["low"], c + p["run"]["by"])))
+    return runs.groupBy("key").agg(joined.alias("confidence"), F.sum("n").alias("n"))
 
 
 def nth_in_session(events: DataFrame, session: str, topic: str, order: tuple[str, ...], n: int = 3) -> DataFrame:

@@ -89,7 +89,7 @@ def read_records(spark: SparkSession, path: str, first_line: bool = False) -> Da
             rows = [(f, i, r) for f, v in zip(pdf["file"], pdf["value"], strict=True) for i, r in enumerate(decode_objects(v)[0])]
             yield pd.DataFrame(rows, columns=["file", "ord", "record"])
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     hard = whole.join(good.filter("NOT good"), "file", "left_semi").mapInPandas(run, "file string, ord long, record string")
     return easy.unionByName(hard)
 
