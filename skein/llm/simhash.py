@@ -216,6 +216,8 @@ def _grouped(signed: DataFrame, sig_words: int, max_bits: int, postings: int | N
     best = linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
     by_node = linked.join(best, F.col("root") == F.col("r")).select("node", "component")
     named = nodes.select("node", "least").join(by_node, "node", "left").select(F.col("node").alias("k"), F.coalesce("component", "least").alias("component_id"))
+    # Written down, so that the last join is one of two plain shuffles, whose large partitions Spark splits.
+    named = cut_lineage(named)
     return signed.join(named, F.col("node") == F.col("k")).select("doc_id", *names[1:], "component_id")
 
 
