@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut_lineage
+
 #: Fixed by the contract: the characters that equality ignores.
 IGNORED = r"[\x20\x09-\x0D]+"
 #: Code points of the normalised text that the second key reads.
@@ -71,6 +73,8 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         .agg(best.alias("best"), F.count("*").alias("n"))
         .filter("n > 1")
     )
+    # Written down, so that the join below is one of two plain shuffles, of which Spark splits a hot group's rows.
+    groups = cut_lineage(groups)
     joined = rows.join(groups, F.col("key") == F.col("group_key"), "left")
     alone = F.col("n").isNull()
     return joined.select(
