@@ -2,8 +2,9 @@
 
 Documents are compared on their text without ASCII white space. Three keys of rising cost refine the groups:
 normalised length, then a hash of a normalised prefix, then SHA-256 of everything. The first two are counted in
-one cheap aggregation over a fixed number of buckets; only rows whose bucket holds another row are hashed in full
-and grouped. Buckets decide nothing: a collision costs one extra hash, and groups are formed on the full hash.
+one cheap aggregation over a fixed number of buckets, and the buckets with several rows are broadcast as bitmaps of a
+fixed total size; only rows of such a bucket are hashed in full and grouped. Buckets decide nothing: a collision costs
+one extra hash, and groups are formed on the full hash.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from skein.llm.common import cut_lineage
 IGNORED = r"[\x20\x09-\x0D]+"
 #: Code points of the normalised text that the second key reads.
 PREFIX_POINTS = 128
-#: Bound on the broadcast set of bucket numbers (8 bytes each), whatever the number of documents.
-BUCKETS = 1 << 20
+#: Buckets of the first two keys; their bitmaps are broadcast and take 8 MB at most, whatever the number of documents.
+BUCKETS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -26,8 +27,28 @@ def normalised(text: Column) -> Column:
 
 
 def _refinement_bucket(norm: Column) -> Column:
+    """A number from 1 to BUCKETS for the first two keys."""
     length, prefix = F.length(norm), F.substring(norm, 1, PREFIX_POINTS)
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BUCKETS))
+    return F.pmod(F.xxhash64(length, prefix), F.lit(BUCKETS)) + 1
+
+
+def _refined(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc, id, points, norm, survives): whether another row shares the row's length and prefix hash."""
+    norm = normalised(F.col(text_col))
+    several = docs.select(_refinement_bucket(norm).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # At most BUCKETS / 32768 rows of 4096 bytes each, so this side has a proven bound.
+    bitmaps = cut_lineage(several.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")))
+    rows = docs.select(
+        F.struct("*").alias("doc"),
+        F.col(id_col).alias("id"),
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
+        norm.alias("norm"),
+    )
+    rows = rows.withColumn("bucket", _refinement_bucket(F.col("norm"))).withColumn("part", F.bitmap_bucket_number("bucket"))
+    at = F.bitmap_bit_position("bucket")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return rows.join(F.broadcast(bitmaps), "part", "left").select("doc", "id", "points", "norm", F.coalesce(bit, F.lit(False)).alias("survives"))
 
 
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
@@ -39,30 +60,13 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     an empty table. `digest` is the SHA-256 of the normalised text for rows that reached the last key, for all rows
     with `digest_all`, else null.
     """
-    norm = normalised(F.col(text_col))
-    shared = (
-        docs.select(_refinement_bucket(norm).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("bucket", F.lit(True).alias("shared"))
-    )
-    rows = docs.select(
-        F.struct("*").alias("doc"),
-        F.col(id_col).alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
-        norm.alias("norm"),
-    )
-    # At most BUCKETS rows of one long each, so this side has a proven bound.
-    rows = rows.withColumn("bucket", _refinement_bucket(F.col("norm"))).join(F.broadcast(shared), "bucket", "left")
-    survives = F.coalesce(F.col("shared"), F.lit(False))
     full = F.sha2(F.col("norm").cast("binary"), 256)
-    rows = rows.select(
+    rows = _refined(docs, text_col, id_col).select(
         "doc",
         "id",
         "points",
-        survives.alias("survives"),
-        (full if digest_all else F.when(survives, full)).alias("digest"),
+        "survives",
+        (full if digest_all else F.when(F.col("survives"), full)).alias("digest"),
     )
     # Rows that are alone already get a spread-out key that equals no digest.
     rows = rows.withColumn("key", F.when(F.col("survives"), F.col("digest")).otherwise(F.hex(F.xxhash64("id", "points"))))
@@ -87,9 +91,15 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, one for each normalised text, with the columns of `docs`."""
-    decided = exact_groups(docs, text_col, id_col).filter("kept")
-    alone = decided.filter("group_size = 1").select("doc.*")
-    # Rows that tie for their group's place repeat the id and the text; one for each digest is left.
-    tied = decided.filter("group_size > 1").dropDuplicates(["digest"]).select("doc.*")
-    return alone.unionByName(tied)
+    """The rows of `docs` that stay, one for each normalised text, with the columns of `docs`.
+
+    Of equal texts the row with the most code points stays, then the smallest id (null ids last), then the one whose
+    columns hash lowest. Rows that are alone after the second key never move; of the others each task sends one row
+    for each full hash, so a hot group shrinks before the shuffle.
+    """
+    rows = _refined(docs, text_col, id_col)
+    alone = rows.filter(~F.col("survives")).select("doc.*")
+    order = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.xxhash64("doc").alias("h"))
+    hashed = rows.filter("survives").select("doc", order.alias("order"), F.sha2(F.col("norm").cast("binary"), 256).alias("digest"))
+    best = hashed.groupBy("digest").agg(F.min_by("doc", "order").alias("doc"))
+    return alone.unionByName(best.select("doc.*"))
