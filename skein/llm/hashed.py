@@ -188,13 +188,17 @@ def with_scores(docs: DataFrame, names: list[str], load: Callable[[], Callable[[
 
     `load` runs once in each task and gives the function from texts to an (n, len(names)) array.
     """
-    ready = docs.select(F.struct(*(carry or ["*"])).alias("doc"), F.col(text_col).cast("binary").alias("__text"))
+    inside = carry is None
+    ready = docs.select(F.struct(*(carry or ["*"])).alias("doc"), *([] if inside else [F.col(text_col).cast("binary").alias("__text")]))
     schema = ready.select("doc").schema
+    place = docs.columns.index(text_col)
     for name in names:
         schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = load()
+        if inside:  # the text is sent once, as part of the row
+            batches = (pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc").field(place).cast(pa.binary())], names=["doc", "__text"]) for b in batches)
         for rows, texts in text_slices(batches, "__text"):
             values = np.asarray(score(texts), np.float64).reshape(len(texts), len(names))
             yield pa.RecordBatch.from_arrays([rows.column("doc"), *(pa.array(v) for v in values.T)], names=["doc", *names])

@@ -27,6 +27,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             rows = batch.slice(first, last - first)
             yield rows, [x or b"" for x in rows.column(column).to_pylist()]
             first = last
+    # A worker lives on after its task; what Arrow keeps for later goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def _grown(which: str, base: int, size: int) -> np.ndarray:
