@@ -5,15 +5,17 @@ entries: 4 differing bits of 8 bytes leave at least 4 bytes untouched. Lists of
 all signatures each, so a posting stands for three positions at once and lists the signatures that agree on all of
 them; any 4 of the 8 positions hold one of 20 such triples, so no pair that reaches the guaranteed matches is lost.
 Inside a posting each pair's shared bytes are tallied over all positions, pairs with fewer than the guaranteed number
-go, and the rest are verified on all bits. Longer signatures guarantee nothing and use a fixed random choice of
-triples, whose recall is stated. A posting returns a spanning forest of its verified pairs, never the pairs
+go, and the rest are verified on all bits. A posting returns a spanning forest of its verified pairs, never the pairs
 themselves, and postings beyond a size are worked off as pairs of bounded chunks. Components of the links give the
 groups.
+
+The corpus stage asks for a Jaccard similarity of shingle sets, of which a signature gives only an estimate. There,
+bands of minima bring together what may be alike, and every link is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import cos, pi
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from skein.llm.common import cut_lineage
 from skein.llm.components import components
@@ -31,8 +34,10 @@ SEED = 42
 SHINGLE, MAX_BITS = 4, 4
 #: Signatures in one posting that are compared within one task; larger postings are dealt out in chunks of half.
 BLOCK = 1024
-#: The corpus stage: five-word shingles, a similarity of 0.8, 256-bit signatures, 96 sets of 3 positions.
-STAGE = {"words": 5, "similarity": 0.8, "sig_words": 4, "postings": 96, "positions": 3}
+#: The corpus stage: five-word shingles, a similarity of 0.8, and 40 bands of 8 minima.
+STAGE = {"words": 5, "similarity": 0.8, "bands": 40, "rows": 8}
+#: Shingles that are compared within one task of the corpus stage; larger groups are dealt out in chunks of half.
+WEIGHT = 1 << 19
 
 
 def _majority(hashes: np.ndarray) -> np.ndarray:
@@ -56,17 +61,32 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(_majority(np.array(hashes, np.uint64).reshape(-1, 1))[0])
 
 
-def wide_signatures(texts: list[bytes], shingle: int, words: int) -> np.ndarray:
-    """(n, words) 64-bit words of the SimHash over each text's distinct shingles; zeros for a text without words."""
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted hashes; none for a text without words, one for a short text."""
     _, _, _, hashes, owner = joined_words(texts, BY_SPACE)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = np.zeros((len(texts), words), np.uint64)
-    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        if b > a:
-            own = np.unique(rolled(hashes[a:b], min(shingle, b - a)))
-            out[d] = _majority(mixed(own[:, None] ^ salts))
-    return out
+    return [np.unique(rolled(hashes[a:b], min(shingle, b - a))) if b > a else np.zeros(0, np.uint64) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit name for each set of hashes."""
+    return mixed(np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64))
+
+
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """(n, bands) keys; two sets share a band's key if `rows` random orders have the same least element in both."""
+    rng = np.random.default_rng(SEED)
+    factor, plus = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
+    factor |= np.uint32(1)
+    out = np.full((len(sets), bands * rows), np.uint32(0xFFFFFFFF))
+    for d, own in enumerate(sets):
+        short = (own >> np.uint64(32)).astype(np.uint32)
+        for a in range(0, len(short), 2048):
+            np.minimum(out[d], (short[a : a + 2048, None] * factor + plus).min(axis=0), out=out[d])
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
+    for k in range(rows):
+        keys = mixed(keys ^ out[:, k::rows].astype(np.uint64) + np.uint64(k << 32))
+    return keys
 
 
 def covering_triples(n: int) -> list[tuple[int, ...]]:
@@ -77,14 +97,9 @@ def covering_triples(n: int) -> list[tuple[int, ...]]:
     return [t for t in combinations(range(n), 3) for k in [inside(t)] if 3 in k or any(k[c] == 2 and k[(c + 1) % 3] == 1 for c in range(3))]
 
 
-def _posting_sets(sig_words: int, postings: int | None, positions: int) -> list[tuple[int, ...]]:
-    """Sets of bytes of which any `positions` shared bytes hold one, or a fixed random choice of `postings` sets."""
-    if postings is None:
-        return covering_triples(8 * sig_words) if positions == 4 else list(combinations(range(8 * sig_words), positions))
-    rng, chosen = np.random.default_rng(7), set()
-    while len(chosen) < postings:
-        chosen.add(tuple(sorted(rng.choice(8 * sig_words, positions, replace=False).tolist())))
-    return sorted(chosen)
+def _posting_sets(sig_words: int, positions: int) -> list[tuple[int, ...]]:
+    """Sets of bytes of which any `positions` shared bytes hold one."""
+    return covering_triples(8 * sig_words) if positions == 4 else list(combinations(range(8 * sig_words), positions))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -168,12 +183,12 @@ def _linker(sig_words: int, max_bits: int, block: int | None):
     return run
 
 
-def links(nodes: DataFrame, sig_words: int, max_bits: int, postings: int | None, positions: int, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between different nodes that connect all nodes within `max_bits` which share a posting.
 
     `nodes` has node and s0.. (longs), one row per distinct signature.
     """
-    sets = _posting_sets(sig_words, postings, positions)
+    sets = _posting_sets(sig_words, positions)
     names = ["node", *(f"s{i}" for i in range(sig_words))]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +221,20 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, postings: int | None,
     return easy.unionByName(more.select("a", "b"))
 
 
-def _grouped(signed: DataFrame, sig_words: int, max_bits: int, postings: int | None, positions: int, block: int) -> DataFrame:
-    """`signed` (doc_id, node, s0..) with component_id: the least doc_id of all documents reachable over links."""
-    signed = cut_lineage(signed)
-    names = ["node", *(f"s{i}" for i in range(sig_words))]
-    nodes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(n).alias(n) for n in names[1:])))
-    roots = components(links(nodes, sig_words, max_bits, postings, positions, block))
+def _grouped(signed: DataFrame, names: list[str], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`signed` (doc_id, node, names) with component_id: the least doc_id of all documents reachable over links.
+
+    `found` gives the links (a, b) of the distinct nodes. `signed` is read several times.
+    """
+    nodes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(n).alias(n) for n in names)))
+    roots = components(found(nodes))
     linked = nodes.select("node", "least").join(roots, "node")
     best = linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
     by_node = linked.join(best, F.col("root") == F.col("r")).select("node", "component")
     named = nodes.select("node", "least").join(by_node, "node", "left").select(F.col("node").alias("k"), F.coalesce("component", "least").alias("component_id"))
     # Written down, so that the last join is one of two plain shuffles, whose large partitions Spark splits.
     named = cut_lineage(named)
-    return signed.join(named, F.col("node") == F.col("k")).select("doc_id", *names[1:], "component_id")
+    return signed.join(named, F.col("node") == F.col("k")).select("doc_id", *names, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -239,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     signed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
     if not 0 <= max_bits < 8:
         raise ValueError("8 bytes guarantee a shared byte only up to 7 differing bits")
-    grouped = _grouped(signed, 1, max_bits, None, 8 - max_bits, block)
+    grouped = _grouped(cut_lineage(signed), ["s0"], lambda nodes: links(nodes, 1, max_bits, 8 - max_bits, block))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -249,28 +265,124 @@ def max_bits_for(similarity: float, bits: int) -> int:
     return next(b for b in range(bits, -1, -1) if cos(pi * b / bits) >= target)
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similarity: float = STAGE["similarity"], sig_words: int = STAGE["sig_words"], postings: int = STAGE["postings"], positions: int = STAGE["positions"], text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def _band_links(rows: DataFrame) -> DataFrame:
+    """(a, b): in each key of (key, node) the first node and each other one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head = None, 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            keys, nodes = rb.column("key").to_numpy(), rb.column("node").to_numpy()
+            new = np.append(True, keys[1:] != keys[:-1])
+            heads = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            if key is not None and keys[0] == key:
+                heads[keys == key] = head
+            key, head = keys[-1], heads[-1]
+            at = np.flatnonzero(heads != nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(heads[at]), pa.array(nodes[at])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs (a, several b) with at least this Jaccard similarity that connect all sets which such pairs connect."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.cumsum(np.append(0, sizes))
+    left, flat, mark, queue = np.arange(len(sets)), ids, np.zeros(ids.max() + 1, bool), []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            flat, left = flat[sizes[left[0]] :], left[1:]
+            continue
+        a = queue.pop()
+        own = ids[bounds[a] : bounds[a + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+        mark[own] = False
+        near = both / (sizes[a] + sizes[left] - both) >= similarity
+        if near.any():
+            yield a, left[near]
+            queue += left[near].tolist()
+            flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+
+
+def _verifier(similarity: float):
+    """Over rows (key, node, members) sorted by key: links (a, b) of the nodes of each key, verified on their members."""
+
+    def solved(own: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        nodes = np.array(list(own), np.int64)
+        for a, near in _alike([np.frombuffer(x, np.uint64) for x in own.values()], similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a], len(near))), pa.array(nodes[near])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, key = {}, None
+        for rb in batches:
+            for k, node, members in zip(rb.column("key").to_pylist(), rb.column("node").to_pylist(), rb.column("members"), strict=True):
+                if k != key:
+                    if len(rows) > 1:
+                        yield from solved(rows)
+                    rows, key = {}, k
+                if node not in rows:
+                    rows[node] = members.as_py()
+        if len(rows) > 1:
+            yield from solved(rows)
+
+    return run
+
+
+def jaccard_links(nodes: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float, weight: int = WEIGHT) -> DataFrame:
+    """(a, b): links between nodes whose sets have at least this Jaccard similarity.
+
+    `nodes` has node and size, `rows` (key, node) what may be alike, `sets` (node, members) the hashes of each set, at
+    least once. Nodes that keys connect form a loose group, and within it every pair is held against the sets, unless
+    other links connect it already.
+    """
+    loose = cut_lineage(components(_band_links(rows)).join(nodes.select("node", "size"), "node"))
+    # A group of many shingles is dealt into chunks of half a task's weight; every two chunks meet in one task.
+    chunks = loose.groupBy("root").agg(F.sum("size").alias("w")).select("root", F.when(F.col("w") <= weight, 1).otherwise(F.ceil(F.col("w") / F.lit(weight // 2))).cast("long").alias("n"))
+    dealt = loose.join(chunks, "root").withColumn("c", F.pmod(F.xxhash64("node"), "n"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = dealt.select("node", F.xxhash64("root", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
+    met = dealt.join(sets, "node").select("key", "node", "members")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(_verifier(similarity), "a long, b long")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similarity: float = STAGE["similarity"], bands: int = STAGE["bands"], rows: int = STAGE["rows"], text_col: str = "text", id_col: str = "doc_id", weight: int = WEIGHT) -> DataFrame:
     """(doc_id, component_id): groups of documents whose sets of `words`-word shingles are `similarity` alike or more.
 
-    Similarity is read off the signatures: two documents link if they differ in at most as many bits as the angle
-    between sets of that Jaccard similarity leads to expect (39 of 256 at 0.8). With 96 postings of 3 bytes a pair at
-    0.8 shares one with probability 0.8, at 0.85 with 0.97, at 0.9 with 0.999. Texts without words form no groups.
+    Every link is a pair whose Jaccard similarity, worked out on the 64-bit hashes of all shingles, is `similarity` or
+    more. A pair comes up for that if it shares one of `bands` bands of `rows` minima or meets in a loose group: at
+    0.8 with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994 at least. Texts without words form no groups.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("node", "long")
-    for i in range(sig_words):
-        schema = schema.add(f"s{i}", "long")
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("node", "long").add("size", "long").add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches):
-            sig = wide_signatures(texts, words, sig_words)
-            node = mixed(np.bitwise_xor.reduce(mixed(sig + np.arange(sig_words, dtype=np.uint64)), axis=1))
-            filled = pa.array((sig != 0).any(axis=1))
-            cols = [pa.array(c.view(np.int64)) for c in (node, *np.ascontiguousarray(sig.T))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *cols], names=schema.names).filter(filled)
-
-    signed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-    grouped = _grouped(signed, sig_words, max_bits_for(similarity, 64 * sig_words), postings, positions, block)
-    return grouped.select("doc_id", "component_id")
+        for given, texts in text_slices(batches):
+            sets = shingle_sets(texts, words)
+            keys = band_keys(sets, bands, rows).view(np.int64)
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
+            sizes = np.array([len(s) for s in sets], np.int64)
+            cols = [given.column("doc_id"), pa.array(set_names(sets).view(np.int64)), pa.array(sizes), listed]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(sizes > 0))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, texts in text_slices(batches):
+            sets = [s for s in shingle_sets(texts, words) if len(s)]
+            out = {n: s for n, s in zip(set_names(sets).view(np.int64).tolist(), sets, strict=True) if n not in seen}
+            # Copies in a task go along once, unless it has seen too many texts to remember.
+            if len(seen) > 200_000:
+                seen.clear()
+            seen |= out.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["node", "members"])
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    signed = cut_lineage(texts.mapInArrow(run, schema))
+    keyed = signed.select(F.explode("bands").alias("key"), "node")
+    sets = texts.select("text").mapInArrow(members, "node long, members binary")
+    return _grouped(signed, ["size"], lambda nodes: jaccard_links(nodes, keyed, sets, similarity, weight)).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:

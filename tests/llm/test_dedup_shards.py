@@ -117,6 +117,35 @@ def test_dense_posting_in_chunks_keeps_every_link(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def pairs_alike(rng, lengths, changes, first=0):
+    """Pairs of texts with exactly known Jaccard similarity: words are all different, and spaced-out words change."""
+    rows, alike = [], {}
+    for n, m in zip(lengths, changes, strict=True):
+        words = [f"w{x}" for x in rng.choice(10**9, n, replace=False)]
+        other = list(words)
+        for j in range(m):
+            other[5 + 10 * j] = f"v{rng.integers(10**9)}"
+        i = first + 2 * len(alike)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+        alike[i] = (n - 4 - 5 * m) / (n - 4 + 5 * m)
+    return rows, alike
+
+
+def test_corpus_stage_links_pairs_from_the_threshold_up(spark):
+    rng = np.random.default_rng(11)
+    lengths = rng.integers(104, 320, 1200)
+    # Shares of changed shingles from 0.06 to 0.16; one of 1/9 is a similarity of 0.8.
+    changes = [max(1, round((n - 4) * s / 5)) for n, s in zip(lengths.tolist(), rng.uniform(0.06, 0.16, 1200), strict=True)]
+    rows, alike = pairs_alike(rng, [*lengths.tolist(), *[94] * 300], [*changes, *[2] * 300])
+    assert alike[2400] == 0.8 and sum(0.7 < x < 0.8 for x in alike.values()) > 200
+    group = {r.doc_id: r.component_id for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {i for i in alike if group[i] == group[i + 1]}
+    assert all(group[i] == i for i in alike)
+    for low, high in ((0.8, 0.801), (0.8, 0.85), (0.85, 0.9)):
+        near = [i for i, x in alike.items() if low <= x < high]
+        assert len(near) > 100 and sum(i in linked for i in near) >= 0.99 * len(near)
+
+
 def test_corpus_stage_finds_similar_texts_and_leaves_others(documents, texts, odd_docs, no_docs):
     assert max_bits_for(0.8, 256) == 38
     ids = sorted(texts)
