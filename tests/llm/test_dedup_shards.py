@@ -131,7 +131,7 @@ def pairs_alike(rng, lengths, changes, first=0):
     return rows, alike
 
 
-def test_corpus_stage_links_pairs_from_the_threshold_up(spark):
+def test_corpus_stage_links_pairs_from_the_threshold_up_and_none_below(spark):
     rng = np.random.default_rng(11)
     lengths = rng.integers(104, 320, 1200)
     # Shares of changed shingles from 0.06 to 0.16; one of 1/9 is a similarity of 0.8.
@@ -140,12 +140,31 @@ def test_corpus_stage_links_pairs_from_the_threshold_up(spark):
     assert alike[2400] == 0.8 and sum(0.7 < x < 0.8 for x in alike.values()) > 200
     group = {r.doc_id: r.component_id for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     linked = {i for i in alike if group[i] == group[i + 1]}
+    assert not [x for i, x in alike.items() if i in linked and x < 0.8]
     assert all(group[i] == i for i in alike)
     for low, high in ((0.8, 0.801), (0.8, 0.85), (0.85, 0.9)):
         near = [i for i, x in alike.items() if low <= x < high]
         assert len(near) > 100 and sum(i in linked for i in near) >= 0.99 * len(near)
 
 
+def test_corpus_stage_verifies_large_groups_in_chunks(spark):
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(120)]
+    rows, sets = [], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(24, rng.integers(0, 8), replace=False):
+            words[5 * at] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(words)))
+        sets.append({tuple(words[a : a + 5]) for a in range(116)})
+    pairs = [(a, b) for b in range(150) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components(range(150), pairs)
+    assert len(set(want.values())) > 10
+    for weight in (1 << 19, 2000):
+        got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), weight=weight).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_corpus_stage_finds_similar_texts_and_leaves_others(documents, texts, odd_docs, no_docs):
     assert max_bits_for(0.8, 256) == 38
     ids = sorted(texts)
