@@ -1,7 +1,7 @@
 """Secret scanning with patterns and a battery of randomness tests, in DataFrame and SQL functions only.
 
 Three patterns find assignments, access keys and long hexadecimal runs. Beside them every long run of encoding
-characters is a candidate: its encoding is inferred (hexadecimal, base 32 or base 64), and three tests ask whether its
+characters is a candidate: its encoding is inferred (hexadecimal, base 32, 36 or 64), and three tests ask whether its
 symbols could be uniformly random: chi-squared on the alphabet (its symbols, and its digits and cases), runs above and
 below the middle, and serial correlation. The p-values are combined by Fisher's method. Dismissing a candidate as not random is a discovery;
 within each length class those are made by Benjamini and Hochberg's rule, because short strings have weak tests and
@@ -21,8 +21,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE_LENGTH = 12
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates for the tests, and the share of dismissals that may be random strings.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates for the tests (an equals sign is padding at the end, or parts a name from a value), their least length with padding, and the share of dismissals that may be random strings.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,6}"
+CANDIDATE_LENGTH = 20
 FALSE_DISCOVERIES = 0.01
 #: p-values are counted in bins of a hundredth of a decimal power, down to this power.
 BINS, LOWEST_POWER = 100, 15
@@ -54,11 +55,12 @@ def _upper(z: str) -> str:
 
 _STEPS = [
     # The text of a candidate without padding, and the size of its alphabet; 0 if no encoding fits.
-    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 't', regexp_replace(c.token, '=+$', '')))""",
+    f"""transform(filter(found, c -> length(c.token) >= {CANDIDATE_LENGTH}), c -> named_struct('start', c.start, 'end', c.end, 't', regexp_replace(c.token, '=+$', '')))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k',
         CASE WHEN length(c.t) < 16 THEN 0
              WHEN (c.t RLIKE '^[0-9a-f]+$' OR c.t RLIKE '^[0-9A-F]+$') AND c.t RLIKE '[0-9]' AND c.t RLIKE '[a-fA-F]' THEN 16
-             WHEN c.t RLIKE '^[A-Z2-7]+$' AND c.t RLIKE '[2-7]' AND c.t RLIKE '[A-Z]' THEN 32
+             WHEN (c.t RLIKE '^[A-Z2-7]+$' OR c.t RLIKE '^[a-z2-7]+$') AND c.t RLIKE '[2-7]' AND c.t RLIKE '[A-Za-z]' THEN 32
+             WHEN (c.t RLIKE '^[A-Z0-9]+$' OR c.t RLIKE '^[a-z0-9]+$') AND c.t RLIKE '[0-9]' AND c.t RLIKE '[A-Za-z]' THEN 36
              WHEN c.t RLIKE '^[A-Za-z0-9+/_-]+$' AND c.t RLIKE '[a-z]' AND c.t RLIKE '[A-Z]' AND c.t RLIKE '[0-9]' THEN 64
              ELSE 0 END))""",
     # How far digits, cases and letters are from their shares of the alphabet.
@@ -68,14 +70,16 @@ _STEPS = [
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k', c.k, 'df', CASE c.k WHEN 64 THEN 2D ELSE 1D END,
         'cells', CASE c.k WHEN 16 THEN pow(c.digits - c.n * 10 / 16, 2D) * (1 / (c.n * 10 / 16) + 1 / (c.n * 6 / 16))
                           WHEN 32 THEN pow(c.digits - c.n * 6 / 32, 2D) * (1 / (c.n * 6 / 32) + 1 / (c.n * 26 / 32))
+                          WHEN 36 THEN pow(c.digits - c.n * 10 / 36, 2D) * (1 / (c.n * 10 / 36) + 1 / (c.n * 26 / 36))
                           ELSE pow(c.lower - c.n * 26 / 64, 2D) / (c.n * 26 / 64) + pow(c.upper - c.n * 26 / 64, 2D) / (c.n * 26 / 64)
                                + pow(c.n - c.lower - c.upper - c.n * 12 / 64, 2D) / (c.n * 12 / 64) END))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k,
         'classes', (pow(c.cells / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)), 'x',
         transform(sequence(1, length(c.t)), i -> CAST(instr(
           CASE c.k WHEN 16 THEN '0123456789abcdef' WHEN 32 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+                   WHEN 36 THEN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'
                    ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END,
-          substr(CASE c.k WHEN 16 THEN lower(c.t) ELSE translate(c.t, '-_', '+/') END, i, 1)) - 1 AS double))))""",
+          substr(CASE c.k WHEN 16 THEN lower(c.t) WHEN 64 THEN translate(c.t, '-_', '+/') ELSE upper(c.t) END, i, 1)) - 1 AS double))))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', CAST(c.k AS double), 'classes', c.classes, 'x', c.x,
         'n', CAST(size(c.x) AS double), 'mean', aggregate(c.x, 0D, (a, v) -> a + v) / size(c.x),
         'squares', aggregate(array_distinct(c.x), 0D, (a, v) -> a + pow(size(filter(c.x, y -> y = v)), 2D)),

@@ -161,3 +161,30 @@ def test_random_strings_are_found_and_words_are_not(spark):
     clean = {r.doc_id: r.text for r in redact_secrets(df).collect()}
     found = next(i for i in planted if len(got[i]) == 1 and got[i][0]["end"] - got[i][0]["start"] == 48)
     assert clean[found] == "see [secret] there"
+
+
+def test_values_after_names_and_all_encodings_are_tested(spark):
+    rng = np.random.default_rng(9)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"64": upper + upper.lower() + digits + "+/", "36": upper.lower() + digits, "36 upper": upper + digits, "32": upper.lower() + "234567"}
+
+    def token(kind, n):
+        while True:
+            out = "".join(kinds[kind][k] for k in rng.integers(0, len(kinds[kind]), n))
+            if re.search("[0-9]", out) and (kind != "64" or re.search("[a-z]", out) and re.search("[A-Z]", out)):
+                return out
+
+    forms = [("64", 40, "aws_secret_access_key=", ""), ("64", 86, "AccountKey=", "=="), ("64", 43, "a?sig=", "="), ("64", 18, "k ", "=="), ("64", 40, "auth=", "&x=1"), ("36", 40, "auth=", ""), ("36", 40, "id ", ""), ("36 upper", 40, "", " end"), ("32", 52, "at ", "====")]
+    rows, want = [], {}
+    for f, (kind, n, before, after) in enumerate(forms):
+        for i in range(30):
+            padding = re.match("=*", after)[0]
+            rows.append((100 * f + i, before + token(kind, n) + after))
+            want[100 * f + i] = f"random:{len(before)}:{len(before) + n + len(padding)}"
+    rows += [(10_000 + i, f"name={'averyordinaryname' * 2}{i} and item=some/where/in/a/folder{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.s for r in find_secrets(df, ("doc_id",)).select("doc.doc_id", spans_text("spans").alias("s")).collect()}
+    for f, form in enumerate(forms):
+        hits = sum(got[100 * f + i] == want[100 * f + i] for i in range(30))
+        assert hits >= 24, (form, hits)
+    assert sum(got[10_000 + i] != "" for i in range(200)) <= 10
