@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What the driver and tasks hold of the vocabulary: totals, and the words counted `least` times or more."""
+    """What the driver and tasks hold of the vocabulary: totals, and the words counted `least` times or more beside the end."""
 
     tokens: int
     distinct: int
@@ -78,7 +78,8 @@ def summarise(vocabulary: DataFrame, table_words: int = TABLE_WORDS) -> Vocabula
         if room < 0 or c < 2:
             break
         least = c
-    rows = vocabulary.filter(F.col("c") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    # The end is scored from the table alone, so it is there whatever its count.
+    rows = vocabulary.filter((F.col("c") >= least) | (F.col("word") == F.lit(END))).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     return Vocabulary(
         sum(c * n for c, n in spectrum.items()), sum(spectrum.values()), spectrum.get(1, 0), spectrum.get(2, 0), least,
         rows.column("word").to_pylist(), rows.column("c").to_numpy(),

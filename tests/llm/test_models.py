@@ -153,3 +153,12 @@ def test_lm_probabilities_add_up(spark):
     assert after <= 0
     # P(end) + sum over w of P(w first); the text w has P(w first) * P(end after w), so compare through longer texts.
     assert 0 < 10 ** got[0] < 1 and all(10**s < 1 for s in got.values())
+
+
+def test_lm_knows_the_end_whatever_its_count(spark):
+    one = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
+    r = score(one, one).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (4, 4, 4) and r.base_score == pytest.approx(4 * math.log10(2 / 9))
+    many = spark.createDataFrame([(i, "a a a b b b") for i in range(3)], "doc_id long, text string")
+    rows = score(many, many, table_words=2).collect()
+    assert {r.n_known for r in rows} == {7} and rows[0].base_score == pytest.approx((6 * math.log10(10) + math.log10(4)) - 7 * math.log10(21 + 3 + 1))
