@@ -14,14 +14,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a folder of our own only where none is set, as in tests."""
+    """The shared folder of `spark.checkpoint.dir`; where none is set, a folder of our own in local mode, else an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Lowers the session's bound on an Arrow batch's bytes to `limit`, so that long rows don't pile up in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df`, written once to the shared checkpoint folder so that later reads don't recompute it."""
     ensure_checkpoint_dir(df.sparkSession)

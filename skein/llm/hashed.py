@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import _BASE, _INVERSE, BY_LETTER, _grown, mixed, text_slices
+from skein.llm.common import bounded_batches
+from skein.llm.text import _BASE, BY_LETTER, blocks, mixed, per_text, run_hashes
 
 #: Number of weights is 2**BITS.
 BITS = 20
@@ -31,20 +32,21 @@ _CLASS = _classes()
 def token_hashes(texts: list[bytes], lower: bool = False, words_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, owners, prefix hashes, lengths) of the tokens of all texts: maximal runs of one class of bytes."""
     joined = b"\n".join(texts)
-    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
-    kind = _CLASS[data]
-    if words_only:
-        kind = np.where(kind == 1, kind, np.uint8(0))
-    edges = np.flatnonzero(np.diff(kind, prepend=np.uint8(255), append=np.uint8(255))) if len(kind) else np.zeros(1, np.int64)
-    starts, ends = edges[:-1], edges[1:]
-    real = kind[starts] > 0
-    starts, ends = starts[real], ends[real]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * _grown("up", _BASE, len(data)), out=sums[1:])
-    down = _grown("down", _INVERSE, len(data) + 1)[starts]
-    sizes = (ends - starts).astype(np.uint64)
-    hashes = mixed((sums[ends] - sums[starts]) * down + sizes)
-    prefix = mixed((sums[np.minimum(ends, starts + 5)] - sums[starts]) * down + np.uint64(1 << 40))
+    joined = joined.lower() if lower else joined
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for at, end in blocks(joined):
+        data = np.frombuffer(joined, np.uint8, end - at, at)
+        kind = _CLASS[data]
+        if words_only:
+            kind = np.where(kind == 1, kind, np.uint8(0))
+        edges = np.flatnonzero(np.diff(kind, prepend=np.uint8(255), append=np.uint8(255)))
+        first, last = edges[:-1], edges[1:]
+        real = kind[first] > 0
+        first, last = first[real], last[real]
+        hashes, sums, down = run_hashes(data, first, last)
+        prefix = mixed((sums[np.minimum(last, first + 5)] - sums[first]) * down + np.uint64(1 << 40))
+        found.append((hashes, first + at, prefix, (last - first).astype(np.uint64)))
+    hashes, starts, prefix, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(offsets, starts, side="right") - 1, prefix, sizes
 
@@ -88,9 +90,35 @@ def word_features(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray
     return out
 
 
+@dataclass
+class Batch:
+    """Rows that are learned from in one step: their numbers, the features they hold, and row, place and value of each entry."""
+
+    own: np.ndarray
+    index: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+
+def batches_of(rows: list[tuple[np.ndarray, np.ndarray]], seed: int = 1, size: int = 8) -> list[Batch]:
+    """All rows in random batches; sorting their features once serves every epoch and model."""
+    order = np.random.default_rng(seed).permutation(len(rows))
+    out = []
+    for first in range(0, len(order), size):
+        own = order[first : first + size]
+        index, place = np.unique(np.concatenate([rows[i][0] for i in own]), return_inverse=True)
+        row = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
+        out.append(Batch(own, index, row, place, np.concatenate([rows[i][1] for i in own])))
+    return out
+
+
 @dataclass
 class Ftrl:
-    """Per-coordinate FTRL-proximal logistic regression over sparse rows, with a bias and a few dense inputs."""
+    """Per-coordinate FTRL-proximal logistic regression over sparse rows, with a bias and a few dense inputs.
+
+    Rows are learned from in small batches, whose gradients and squared gradients are summed.
+    """
 
     bits: int = BITS
     dense: int = 0
@@ -100,25 +128,33 @@ class Ftrl:
     l2: float = 0.5
     weights: np.ndarray = field(init=False)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dense: np.ndarray | None = None, epochs: int = 3, seed: int = 1) -> Ftrl:
-        extra = np.column_stack([np.ones(len(rows), np.float32), *([] if dense is None else dense.T.astype(np.float32))])
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]] | list[Batch], labels: np.ndarray, dense: np.ndarray | None = None, epochs: int = 3, seed: int = 1, learn: np.ndarray | None = None) -> Ftrl:
+        """Learns from the rows where `learn` is true (all by default); `rows` may come in ready-made batches."""
+        batches = rows if rows and isinstance(rows[0], Batch) else batches_of(rows, seed)
         size = (1 << self.bits) + 1 + self.dense
-        tail = np.arange(1 << self.bits, size)
         z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
         l1 = np.full(size, self.l1, np.float32)
-        l1[tail] = 0
+        l1[1 << self.bits :] = 0
+        tail = np.arange(1 << self.bits, size)
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in rng.permutation(len(rows)).tolist():
-                index = np.concatenate([rows[i][0], tail])
-                x = np.concatenate([rows[i][1], extra[i]])
-                zi, ni = z[index], n[index]
-                w = self._solve(zi, ni, l1[index])
-                p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-                g = (p - labels[i]) * x
-                grown = ni + g * g
-                z[index] = zi + g - (np.sqrt(grown) - np.sqrt(ni)) / self.alpha * w
-                n[index] = grown
+            for k in rng.permutation(len(batches)).tolist():
+                b = batches[k]
+                extra = np.column_stack([np.ones(len(b.own), np.float32), *([] if dense is None else dense[b.own].T.astype(np.float32))])
+                zi, ni, zt, nt = z[b.index], n[b.index], z[tail], n[tail]
+                w, wt = self._solve(zi, ni, l1[b.index]), self._solve(zt, nt, l1[tail])
+                sums = np.bincount(b.row, weights=w[b.place] * b.value, minlength=len(b.own)) + extra @ wt
+                error = (1 / (1 + np.exp(-np.clip(sums, -30, 30))) - labels[b.own]).astype(np.float32)
+                if learn is not None:
+                    error *= learn[b.own]
+                part = error[b.row] * b.value
+                for at, old, before, own, g, squares in (
+                    (b.index, zi, ni, w, np.bincount(b.place, part, len(b.index)), np.bincount(b.place, part * part, len(b.index))),
+                    (tail, zt, nt, wt, error @ extra, ((error[:, None] * extra) ** 2).sum(axis=0)),
+                ):
+                    grown = before + squares
+                    z[at] = old + g - (np.sqrt(grown) - np.sqrt(before)) / self.alpha * own
+                    n[at] = grown
         self.weights = self._solve(z, n, l1)
         return self
 
@@ -188,19 +224,11 @@ def with_scores(docs: DataFrame, names: list[str], load: Callable[[], Callable[[
 
     `load` runs once in each task and gives the function from texts to an (n, len(names)) array.
     """
-    inside = carry is None
-    ready = docs.select(F.struct(*(carry or ["*"])).alias("doc"), *([] if inside else [F.col(text_col).cast("binary").alias("__text")]))
-    schema = ready.select("doc").schema
-    place = docs.columns.index(text_col)
-    for name in names:
-        schema = schema.add(name, "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounded_batches(docs.sparkSession)
+
+    def loaded() -> Callable[[list[bytes]], pa.Array]:
         score = load()
-        if inside:  # the text is sent once, as part of the row
-            batches = (pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc").field(place).cast(pa.binary())], names=["doc", "__text"]) for b in batches)
-        for rows, texts in text_slices(batches, "__text"):
-            values = np.asarray(score(texts), np.float64).reshape(len(texts), len(names))
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), *(pa.array(v) for v in values.T)], names=["doc", *names])
+        return lambda texts: pa.StructArray.from_arrays([pa.array(v) for v in np.asarray(score(texts), np.float64).reshape(len(texts), len(names)).T], names=names)
 
-    return ready.mapInArrow(run, schema)
+    values = per_text(F.col(text_col), "struct<" + ",".join(f"{n}:double" for n in names) + ">", loaded)
+    return docs.select(F.struct(*(carry or ["*"])).alias("doc"), values.alias("__scores")).select("doc", *(F.col(f"__scores.{n}").alias(n) for n in names))

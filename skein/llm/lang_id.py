@@ -8,7 +8,7 @@ over all its positions. Training is backpropagation through time in numpy on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_mod
-from skein.llm.text import text_slices
+from skein.llm.common import bounded_batches, id_mod
+from skein.llm.text import per_text
 
 WINDOW, STATE = 128, 8
 #: Labelled documents of each language and windows of each that training takes at most, on average.
 TRAIN_PER_LANGUAGE, TRAIN_WINDOWS, TRAIN_TEXT_BYTES = 600, 6, 1 << 18
 TRAIN_STEPS = 400
+#: Names of languages that training takes at most.
+TRAIN_LANGUAGES = 256
 #: Windows that run side by side.
 BATCH = 2048
 UNDETERMINED = "und"
@@ -46,7 +48,7 @@ class Network:
 def windows_of(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """((width, n) byte numbers with pads at the end, text number of each window); every byte is in one window."""
     counts = [-(-len(t) // width) for t in texts]
-    out = np.full((sum(counts), width), _PAD, np.int64)
+    out = np.full((sum(counts), width), _PAD, np.int16)
     at = 0
     for text, n in zip(texts, counts, strict=True):
         if n:
@@ -170,50 +172,77 @@ def train(texts: list[bytes], names: list[str], epochs: int = 8, batch: int = 25
     return net
 
 
+def _pieces(texts: list[bytes], room: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, parts of texts) of about `room` bytes at a time; `room` is a multiple of a window."""
+    owners, parts, size = [], [], 0
+    for d, text in enumerate(texts):
+        for first in range(0, len(text), room):
+            part = text[first : first + room]
+            owners.append(d)
+            parts.append(part)
+            size += len(part)
+            if size >= room:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
 def document_probabilities(net: Network, texts: list[bytes], batch: int = BATCH) -> np.ndarray:
     """(n, k): the mean over all positions of each text; zeros for an empty text."""
-    x, owner = windows_of(texts)
     sums = np.zeros((len(texts), len(net.languages)))
-    for first in range(0, len(owner), batch):
-        part = np.ascontiguousarray(x[:, first : first + batch])
-        p = position_probabilities(net, forward(net, part)[0])
-        p *= (part != _PAD)[:, None, :]
-        np.add.at(sums, owner[first : first + batch], p.sum(axis=0).T)
+    for owners, parts in _pieces(texts, batch * WINDOW):
+        x, owner = windows_of(parts)
+        for first in range(0, len(owner), batch):
+            part = np.ascontiguousarray(x[:, first : first + batch])
+            p = position_probabilities(net, forward(net, part)[0])
+            p *= (part != _PAD)[:, None, :]
+            np.add.at(sums, np.array(owners)[owner[first : first + batch]], p.sum(axis=0).T)
     return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
-def train_language_id(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
+def train_language_id(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, languages: int = TRAIN_LANGUAGES, text_bytes: int = TRAIN_TEXT_BYTES, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
     """Learned from text and non-null language of ids whose crc32 modulo 4 is not 2, about `per_language` of each.
 
-    The choice goes by a hash of the id. Texts over TRAIN_TEXT_BYTES, and rows without id, text or language, are not
-    learned from. Without any such row the network knows no language.
+    The choice goes by a hash of the id. The bounds on the sample: the `languages` most frequent names are learned,
+    and texts over `text_bytes`, and rows without id, text or language, are not learned from. Without any such row the
+    network knows no language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (id_mod(F.col(id_col), 4) != 2))
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()}
+    # A dirty column may hold any number of names; the most frequent ones are learned.
+    named = known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages)
+    counts = {r["l"]: r["n"] for r in named.collect()}
     share = F.lit(0)
     for name, n in counts.items():
         share = F.when(F.col(lang_col) == name, min(1_000_000, int(1_000_000 * per_language / n))).otherwise(share)
-    rows = known.filter((F.octet_length(F.col(text_col)) <= TRAIN_TEXT_BYTES) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1_000_000)) < share))
+    rows = known.filter((F.octet_length(F.col(text_col)) <= text_bytes) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1_000_000)) < share))
     got = sorted((r["l"], bytes(r["t"])) for r in rows.select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("t")).toLocalIterator())
     return train([t for _, t in got], [n for n, _ in got])
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether the text, read as UTF-8, holds a character of a letter category."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def identify(docs: DataFrame, net: Network, carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
     """(doc, lang_pred, score) for every whole text, `doc` being the row or its columns `carry`.
 
     A null text, one without any letter, or any text when the network knows no language, is `und` with score 0.
     The score is the document's probability of the predicted language; ties go to the first language by name.
     """
-    ready = docs.select(F.struct(*(carry or ["*"])).alias("doc"), F.col(text_col).cast("binary").alias("__text"))
-    schema = ready.select("doc").schema.add("lang_pred", "string").add("score", "double")
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, "__text"):
-            found = [bool(net.languages and any(map(str.isalpha, t.decode("utf-8", "replace")))) for t in texts]
+    def load() -> Callable[[list[bytes]], pa.Array]:
+        def work(texts: list[bytes]) -> pa.Array:
+            found = [bool(net.languages) and has_letter(t) for t in texts]
             p = document_probabilities(net, [t if f else b"" for t, f in zip(texts, found, strict=True)])
             best = p.argmax(axis=1) if net.languages else np.zeros(len(texts), int)
             names = [net.languages[k] if f else UNDETERMINED for k, f in zip(best.tolist(), found, strict=True)]
-            score = np.where(found, p.max(axis=1, initial=0), 0.0)
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc", "lang_pred", "score"])
+            score = np.clip(np.where(found, p.max(axis=1, initial=0), 0.0), 0, 1)
+            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+        return work
 
-    return ready.mapInArrow(run, schema)
+    found = per_text(F.col(text_col), "struct<lang_pred:string,score:double>", load)
+    return docs.select(F.struct(*(carry or ["*"])).alias("doc"), found.alias("__found")).select("doc", "__found.lang_pred", "__found.score")
