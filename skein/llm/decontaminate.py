@@ -1,48 +1,69 @@
 """Benchmark decontamination: a hash set of the benchmark's word windows, scanned over every document.
 
-The windows of one block of benchmark items travel with the tasks; a block is cut off at a fixed number of bytes,
-and a larger benchmark is worked off block by block over the same documents. Each document's windows are hashed in
-bulk, looked up, and every hash hit is compared with the window's words before it counts.
+The windows of a block of benchmark items travel with the tasks as sorted 64-bit hashes; a block is cut off at a fixed
+number of bytes. Each document's windows are hashed in bulk and looked up, and every hash hit is compared with the
+window's words before it counts. A larger benchmark takes one scan a block, of which only the documents with hits are
+written down.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut_lineage
-from skein.llm.text import BY_LETTER, joined_words, rolled, text_slices
+from skein.llm.common import bounded_batches, cut_lineage
+from skein.llm.text import BY_LETTER, joined_words, per_text, rolled, text_slices
 
 WINDOW = 10
 #: Bytes of benchmark text whose windows a task holds at once.
-BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 20
+BLOCK_BYTES = 16 << 20
 SPANS = "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>"
-_SPAN_TYPE = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
+FOUND = f"struct<n_words:bigint,spans:{SPANS},items:array<string>>"
+_SPAN_NAMES = ("first_word", "end_word", "first_byte", "end_byte")
+_SPAN_TYPE = pa.list_(pa.struct([(n, pa.int64()) for n in _SPAN_NAMES]))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(BY_LETTER).split()
 
 
-def window_index(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[int, dict[int, dict[bytes, list[str]]]]:
-    """width -> hash -> words of the window -> ids of the items that hold it."""
-    out: dict[int, dict[int, dict[bytes, list[str]]]] = {}
-    for item, text in items:
-        buffer, starts, ends, hashes, _ = joined_words([text], BY_LETTER)
-        if not len(starts):
-            continue
-        width = min(window, len(starts))
-        for i, h in enumerate(rolled(hashes, width).tolist()):
-            key = b" ".join(buffer[starts[i] : ends[i + width - 1]].split())
-            ids = out.setdefault(width, {}).setdefault(h, {}).setdefault(key, [])
-            if not ids or ids[-1] != item:
-                ids.append(item)
-    return out
+@dataclass
+class Windows:
+    """Windows of one width, by rising hash: their items and the places of their words in `Index.buffer`."""
+
+    width: int
+    hashes: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+@dataclass
+class Index:
+    ids: list[str]
+    buffer: bytes
+    tables: list[Windows]
+
+
+def window_index(items: list[tuple[str, bytes]], window: int = WINDOW) -> Index:
+    """All windows of the items; an item with fewer words than `window` is one window of its own width."""
+    plain = [b" ".join(words_of(text)) for _, text in items]
+    buffer, starts, ends, hashes, owner = joined_words(plain, BY_LETTER)
+    counts = np.bincount(owner, minlength=len(items))
+    tables = []
+    for width in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        rolling = rolled(hashes, width)
+        first = np.arange(len(rolling))
+        fits = (owner[first] == owner[first + width - 1]) & ((width == window) | (counts[owner[first]] == width))
+        first = first[fits]
+        first = first[np.argsort(rolling[first], kind="stable")]
+        tables.append(Windows(width, rolling[first], owner[first].astype(np.int32), starts[first], ends[first + width - 1]))
+    return Index([i for i, _ in items], buffer, tables)
 
 
 def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -56,54 +77,58 @@ def _merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _scan(index: dict) -> object:
-    """A function over Arrow batches that adds this block's hits to the columns n_words, spans and items."""
-    tables = []
-    for width, hashes in index.items():
-        seen = np.zeros(1 << _FILTER_BITS, bool)
-        seen[np.fromiter(hashes, np.uint64, len(hashes)) >> np.uint64(64 - _FILTER_BITS)] = True
-        tables.append((width, hashes, seen))
+def _scan(index: Index) -> Callable[[list[bytes]], pa.Array]:
+    """A function from texts to their numbers of words, spans and items."""
+    filters = []
+    for table in index.tables:
+        bits = min(26, max(12, (8 * len(table.hashes)).bit_length()))
+        seen = np.zeros(1 << bits, bool)
+        seen[table.hashes >> np.uint64(64 - bits)] = True
+        filters.append((table, np.uint64(64 - bits), seen))
 
-    def found(texts: list[bytes]) -> tuple[np.ndarray, dict[int, list], dict[int, set]]:
+    def found(texts: list[bytes]) -> pa.Array:
         buffer, starts, ends, hashes, owner = joined_words(texts, BY_LETTER)
         first_of = np.searchsorted(owner, np.arange(len(texts) + 1))
         byte_of = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        for width, by_hash, seen in tables:
-            windows = rolled(hashes, width)
+        spans: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        for table, shift, seen in filters:
+            windows = rolled(hashes, table.width)
             n = len(windows)
-            maybe = seen[windows >> np.uint64(64 - _FILTER_BITS)] & (owner[:n] == owner[width - 1 : width - 1 + n])
-            for i in np.flatnonzero(maybe).tolist():
-                texts_of = by_hash.get(int(windows[i]))
-                a, b = int(starts[i]), int(ends[i + width - 1])
-                ids = texts_of and texts_of.get(b" ".join(buffer[a:b].split()))
-                if ids:
+            maybe = np.flatnonzero(seen[windows >> shift] & (owner[:n] == owner[table.width - 1 : table.width - 1 + n]))
+            at = np.searchsorted(table.hashes, windows[maybe])
+            held = at < len(table.hashes)
+            maybe, at = maybe[held], at[held]
+            held = table.hashes[at] == windows[maybe]
+            for i, k in zip(maybe[held].tolist(), at[held].tolist(), strict=True):
+                a, b = int(starts[i]), int(ends[i + table.width - 1])
+                words, hit = b" ".join(buffer[a:b].split()), False
+                while k < len(table.hashes) and table.hashes[k] == windows[i]:
+                    if index.buffer[table.start[k] : table.end[k]] == words:
+                        items[owner[i]].add(index.ids[table.item[k]])
+                        hit = True
+                    k += 1
+                if hit:
                     d = int(owner[i])
-                    w, at = i - int(first_of[d]), int(byte_of[d])
-                    spans.setdefault(d, []).append((w, w + width, a - at, b - at))
-                    items.setdefault(d, set()).update(ids)
-        return np.diff(first_of), spans, items
+                    w, byte = i - int(first_of[d]), int(byte_of[d])
+                    spans[d].append((w, w + table.width, a - byte, b - byte))
+        listed = [[dict(zip(_SPAN_NAMES, s, strict=True)) for s in _merged(own)] for own in spans]
+        return pa.StructArray.from_arrays(
+            [pa.array(np.diff(first_of), pa.int64()), pa.array(listed, _SPAN_TYPE), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+            names=["n_words", "spans", "items"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, "__text"):
-            n_words, spans, items = found(texts)
-            old_spans, old_items = rows.column("spans").to_pylist(), rows.column("items").to_pylist()
-            all_spans, all_items = [], []
-            for d in range(len(texts)):
-                if d in spans:
-                    merged = _merged([*(tuple(s.values()) for s in old_spans[d]), *spans[d]])
-                    all_spans.append([dict(zip(("first_word", "end_word", "first_byte", "end_byte"), s, strict=True)) for s in merged])
-                    all_items.append(sorted({*old_items[d], *items[d]}))
-                else:
-                    all_spans.append(old_spans[d])
-                    all_items.append(old_items[d])
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), rows.column("__text"), pa.array(n_words, pa.int64()), pa.array(all_spans, _SPAN_TYPE), pa.array(all_items, pa.list_(pa.string()))],
-                names=["doc", "__text", "n_words", "spans", "items"],
-            )
-
-    return run
+    return found
+
+
+_MERGE = """
+aggregate(array_sort(concat(spans, coalesce(more_spans, array()))), CAST(array() AS {t}), (acc, s) ->
+  CASE WHEN size(acc) > 0 AND s.first_word <= element_at(acc, -1).end_word
+    THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct(
+      'first_word', element_at(acc, -1).first_word, 'end_word', greatest(element_at(acc, -1).end_word, s.end_word),
+      'first_byte', element_at(acc, -1).first_byte, 'end_byte', greatest(element_at(acc, -1).end_byte, s.end_byte))))
+    ELSE concat(acc, array(s)) END)
+""".format(t=SPANS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -115,28 +140,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     and sorted as such, of items with an occurring window (a null id is written "null"). Null and empty texts have
     no words. Items that share a window all count. Repeated rows each get their own result.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).cast("binary").alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    doc = F.struct(*(carry or ["*"]))
-    state = docs.select(
-        doc.alias("doc"),
-        F.col(text_col).cast("binary").alias("__text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.from_json(F.lit("[]"), SPANS).alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    schema = state.schema
-    for block in range(blocks):
+
+    def found(block: int) -> Column:
         # About block_bytes of text: what reaches the driver and each task has that bound.
         part = [(r["id"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toLocalIterator()]
-        state = state.mapInArrow(_scan(window_index(part, window)), schema)
-        if block + 1 < blocks:
-            state = cut_lineage(state)
+        index = window_index(part, window)
+        return per_text(F.col(text_col), FOUND, lambda: _scan(index))
+
+    state = docs.select(F.struct(*(carry or ["*"])).alias("doc"), found(0).alias("__f"), *([_row_key(docs).alias("__k")] if blocks > 1 else []))
+    state = state.select("doc", "__f.*", *(["__k"] if blocks > 1 else []))
+    if blocks > 1:
+        # Rows that agree in all columns have one key and the same hits.
+        rest = None
+        for block in range(1, blocks):
+            own = docs.select(_row_key(docs).alias("__k"), found(block).alias("f")).filter(F.size("f.items") > 0).select("__k", "f.spans", "f.items")
+            own = cut_lineage(own.distinct())
+            rest = own if rest is None else rest.unionByName(own)
+        more = rest.groupBy("__k").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+        state = state.join(more, "__k", "left").select(
+            "doc", "n_words", F.expr(_MERGE).alias("spans"), F.array_sort(F.array_union("items", F.coalesce("more_items", F.array().cast("array<string>")))).alias("items")
+        )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end_word"] - s["first_word"])
     return state.select("doc", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.concat_ws(":", F.xxhash64(*columns).cast("string"), F.xxhash64(F.lit(1), *columns).cast("string"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_hit_words: int = 1, **how: object) -> DataFrame:
     """The rows of `docs` with fewer than `min_hit_words` words inside benchmark windows; all other columns untouched."""
     return contamination(docs, benchmark, **how).filter(F.col("n_hit") < min_hit_words).select("doc.*")
