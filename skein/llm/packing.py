@@ -7,7 +7,7 @@ found by descending a tournament tree of the bins' free space. Token ids are nev
 
 from __future__ import annotations
 
-import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import text_slices
+from skein.llm.common import bounded_batches
+from skein.llm.text import hand_back, text_slices
 
 LENGTH = 1024
 END_ID = 0
-#: Documents whose pieces meet in one group, on average.
-GROUP_DOCS = 1024
-#: Distinct chunks whose ids a worker keeps; later ones are forgotten after each slice of texts.
+#: Pieces that meet in one group, on average.
+GROUP_PIECES = 2048
+#: Distinct chunks whose ids a task keeps; later ones are forgotten after each slice of texts.
 CACHED_CHUNKS = 400_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -50,31 +51,6 @@ def _parts_of(chunk: str) -> list[str]:
     return [" " + chunk] if _SPECIAL in chunk else _INSIDE.split(" " + chunk)
 
 
-def _rank_encoder(path: str):
-    """The same ids by a faster encoder, for a byte-level file whose merges are in the order of their ids; else None.
-
-    The ranks come from the file itself.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("ignore_merges"):
-        return None
-    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
-    if any(a >= b for a, b in zip([255, *made], made, strict=False)):
-        return None
-    # Bytes that are no visible characters are named by the characters from 256 on, in order.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    name = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(name[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    encoder = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoder.encode_ordinary
-
-
 class _Numbering(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -96,7 +72,6 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.plain = _rank_encoder(path)
         size = self.tokenizer.get_vocab_size()
         # Each character of a token's name stands for one byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -115,8 +90,7 @@ class ChunkTokenizer:
         out = dict(zip(alone, self._encode(alone), strict=True))
         groups = [joinable[i : i + _JOINED] for i in range(0, len(joinable), _JOINED)]
         joined = ["\n".join(g) for g in groups]
-        several = self._encode if self.plain is None else lambda texts: [self._encode([t])[0] if _SPECIAL in t else self.plain(t) for t in texts]
-        for group, ids in zip(groups, several(joined), strict=True):
+        for group, ids in zip(groups, self._encode(joined), strict=True):
             ends = np.cumsum(self.bytes_of[ids])
             last = np.cumsum([len(p.encode()) + 1 for p in group]) - 1
             stop = np.searchsorted(ends, last)
@@ -171,16 +145,6 @@ class ChunkTokenizer:
         return [np.concatenate([np.array(h, np.uint32), ids[a:b]]) for h, a, b in zip(heads, bounds, bounds[1:], strict=False)]
 
 
-_loaded: dict[str, ChunkTokenizer] = {}
-
-
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """One per worker process and path."""
-    if path not in _loaded:
-        _loaded[path] = ChunkTokenizer(path)
-    return _loaded[path]
-
-
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -194,10 +158,8 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_path: str | None, text_co
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = chunk_tokenizer(tokenizer_path or default_tokenizer_path())
+        coder = ChunkTokenizer(tokenizer_path or default_tokenizer_path())
         salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for rows, texts in text_slices(batches, "text", 1 << 22):
             owner, start, size, crc, total = [], [], [], [], []
@@ -213,6 +175,8 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_path: str | None, text_co
             out = [rows.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, range(salt, salt + len(owner))))]
             salt += len(owner)
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        del coder
+        hand_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -240,7 +204,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): where each piece of each row of `docs` lies.
 
     A document is its token ids and a final id 0; a null or empty text is that id alone. Pieces are at most `length`
@@ -248,7 +212,10 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer_path: str | None = Non
     sequence. Pieces are dealt to groups by a hash of where they were read, so that repeated ids or rows, and the
     pieces of one long document, spread evenly. An empty table gives an empty table.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    bounded_batches(docs.sparkSession)
+    # A text has a token for every byte at most and about one for four; groups are counted by the pieces to come.
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()
+    groups = max(1, -(-(size["n"] + (size["b"] or 0) // (4 * length)) // group_pieces))
     pieces = cut_pieces(docs, length, tokenizer_path, text_col, id_col)
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups)))
     schema = pieces.drop("salt", "group").schema.add("sequence_id", "long").add("offset", "long")
