@@ -1,32 +1,38 @@
 """Language-model scores by a Brown class bigram model.
 
 Training words are counted over all training texts. Exchange clustering moves the most frequent words between classes
-while the likelihood of the class bigrams rises; its input is one matrix of bigram counts over all training texts, in
-which every other word appears as its frequency class. A text's probability is the product, over its tokens and a
-final end, of class-transition and word-emission probabilities.
+while the likelihood of the class bigrams rises; in its input, one matrix of bigram counts, all other words are one
+node. Then every other repeated word makes its own exchange step on Spark: over all training texts the
+classes of its neighbours are counted, and it joins the class under which they are likeliest. Words seen once stand for
+unknown words, as one more class. Class bigrams are counted over all training texts with every word in its class. A
+text's probability is the product, over its tokens and a final end, of class-transition and word-emission probabilities.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log10
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from skein.llm.common import cut_lineage
-from skein.llm.text import text_slices
+from skein.llm.common import bounded_batches, cut_lineage
+from skein.llm.text import hand_back, per_text, text_slices
 
-#: Bounds, whatever the corpus: words that exchange clustering moves, its classes, words whose counts travel with tasks.
-EXCHANGE_WORDS, CLASSES, TABLE_WORDS = 1500, 48, 200_000
+#: Words that seed the classes by full exchange, and the number of classes.
+EXCHANGE_WORDS, CLASSES = 1500, 48
+#: Words, and the longest of them, whose class and counts travel with the tasks; all others meet theirs in a join, to the same scores.
+TABLE_WORDS, TABLE_BYTES = 200_000, 64
 PASSES = 5
-_BANDS = 40
 _FLUSH = 200_000
+#: In a text's classes: a word that is not in the table.
+_OUTSIDE = 255
 END = b""  # no word is empty
 
 
@@ -58,7 +64,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What the driver and tasks hold of the vocabulary: totals, and the words counted `least` times or more beside the end."""
+    """What the driver and tasks hold of the vocabulary: totals, and the most frequent words beside the end."""
 
     tokens: int
     distinct: int
@@ -69,6 +75,10 @@ class Vocabulary:
     counts: np.ndarray
 
 
+def in_table(least: int) -> Column:
+    return (F.col("c") >= least) & (F.octet_length("word") <= TABLE_BYTES)
+
+
 def summarise(vocabulary: DataFrame, table_words: int = TABLE_WORDS) -> Vocabulary:
     """Totals and the table of frequent words; the cut is a count, taken from how many words have each count."""
     spectrum = {r["c"]: r["n"] for r in vocabulary.groupBy("c").agg(F.count("*").alias("n")).toLocalIterator()}
@@ -79,47 +89,34 @@ def summarise(vocabulary: DataFrame, table_words: int = TABLE_WORDS) -> Vocabula
             break
         least = c
     # The end is scored from the table alone, so it is there whatever its count.
-    rows = vocabulary.filter((F.col("c") >= least) | (F.col("word") == F.lit(END))).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    rows = vocabulary.filter(in_table(least) | (F.col("word") == F.lit(END))).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     return Vocabulary(
         sum(c * n for c, n in spectrum.items()), sum(spectrum.values()), spectrum.get(1, 0), spectrum.get(2, 0), least,
         rows.column("word").to_pylist(), rows.column("c").to_numpy(),
     )
 
 
-def node_numbers(vocab: Vocabulary, exchange_words: int) -> np.ndarray:
-    """A node for each table word: 0 the end, then own nodes for frequent words, then one for each power of two of the count.
-
-    The last node, that of words outside the table, has no entry here; it is 1 + exchange_words + _BANDS.
-    """
-    end = next((i for i, w in enumerate(vocab.words) if w == END), None)
-    out = np.zeros(len(vocab.words), np.int64)
-    own = [i for i in range(len(vocab.words)) if i != end]
-    out[own] = np.arange(1, len(own) + 1)
-    beyond = out > exchange_words
-    out[beyond] = exchange_words + 1 + np.minimum(np.log2(vocab.counts[beyond]).astype(np.int64), _BANDS - 1)
-    return out
+def seed_words(vocab: Vocabulary, exchange_words: int) -> list[bytes]:
+    """The most frequent words of the table beside the end, `exchange_words` at most."""
+    return [w for w in vocab.words if w != END][:exchange_words]
 
 
-def bigram_matrix(docs: DataFrame, index: dict[bytes, int], nodes: np.ndarray, n_nodes: int) -> np.ndarray:
-    """Counts of neighbouring nodes over all texts, the end standing before the first token; bounded by n_nodes²."""
-    rare = n_nodes - 1
-    lookup = np.append(nodes, rare)
+def bigram_matrix(docs: DataFrame, words: list[bytes]) -> np.ndarray:
+    """Counts of neighbours over all texts: 0 is the end, which stands before the first token too, then `words`, then all others."""
+    n_nodes = len(words) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, outside = index.get, len(nodes)
-        sums = np.zeros(n_nodes * n_nodes, np.int32)
+        node = {w: i + 1 for i, w in enumerate(words)}
+        get, other = node.get, n_nodes - 1
+        sums = np.zeros(n_nodes * n_nodes, np.int64)
         for _, texts in text_slices(batches):
             ids = [0]
-            at = []
             for text in texts:
-                ids += [get(w, outside) for w in tokens_of(text)]
-                at.append(len(ids))
+                ids += [get(w, other) for w in tokens_of(text)]
                 ids.append(0)
-            row = lookup[ids]
-            row[0] = 0
-            row[at] = 0
+            row = np.array(ids, np.int64)
             pairs, n = np.unique(row[:-1] * n_nodes + row[1:], return_counts=True)
-            sums[pairs] += n.astype(np.int32)
+            sums[pairs] += n
         pairs = np.flatnonzero(sums)
         for a in range(0, len(pairs), 100_000):
             own = pairs[a : a + 100_000]
@@ -187,115 +184,268 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, passes: in
 
 
 @dataclass
-class ClassModel:
-    """Log10 tables; class_of and emission have one entry for each table word, the last class is that of other words."""
-
-    vocab: Vocabulary
-    class_of: np.ndarray
-    emission: np.ndarray
-    transition: np.ndarray
-    rare_tokens: float
+class Seeds:
+    """The classes of the seed words (the end has class 0), and how likely their neighbours make each class.
+
+    `left[l, b]` is the log probability that class l stands before a word of class b, `right[r, b]` that r follows it.
+    """
+
+    class_of: dict[bytes, int]
+    left: np.ndarray
+    right: np.ndarray
+    size: np.ndarray
+
+
+def seed_classes(docs: DataFrame, vocab: Vocabulary, exchange_words: int, classes: int) -> Seeds:
+    """Full exchange among the most frequent words of `docs` (text as bytes)."""
+    words = seed_words(vocab, exchange_words)
+    pairs = bigram_matrix(docs, words)
+    own = exchange(pairs, len(words), classes)[: len(words) + 1]
+    one = np.zeros((len(own), max(1, min(classes, len(words))) + 1))
+    one[np.arange(len(own)), own] = 1
+    between = one.T @ pairs[: len(own), : len(own)] @ one + 0.5
+    class_of = {END: 0} | {w: int(c) for w, c in zip(words, own[1:], strict=True)}
+    return Seeds(class_of, np.log(between / between.sum(axis=0)), np.log(between.T / between.sum(axis=1)), between.sum(axis=0))
+
+
+def neighbour_classes(docs: DataFrame, seeds: Seeds) -> DataFrame:
+    """(word, slot, n) of the words that are no seeds: class c before the word is slot c, class c after it slot k + c."""
+    class_of, k = seeds.class_of, len(seeds.size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, words, found = dict(class_of), [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n for _, n in found])).astype(np.int64)
+            for a in range(0, len(codes), 100_000):
+                part = codes[a : a + 100_000]
+                named = pa.array([words[i] for i in (part // (2 * k)).tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([named, pa.array((part % (2 * k)).astype(np.int32)), pa.array(n[a : a + 100_000])], names=["word", "slot", "n"])
+
+        for _, texts in text_slices(batches):
+            ids = [0]
+            for text in texts:
+                for w in tokens_of(text):
+                    i = own.get(w)
+                    if i is None:
+                        own[w] = i = k + len(words)
+                        words.append(w)
+                    ids.append(i)
+                ids.append(0)
+            row = np.array(ids, np.int64)
+            here, before = np.flatnonzero((row[1:] >= k) & (row[:-1] < k)) + 1, np.flatnonzero((row[:-1] >= k) & (row[1:] < k))
+            codes = np.concatenate([(row[here] - k) * 2 * k + row[here - 1], (row[before] - k) * 2 * k + k + row[before + 1]])
+            found.append(np.unique(codes, return_counts=True))
+            if len(words) > _FLUSH or len(found) > 50:
+                yield from out()
+                own, words, found = dict(class_of), [], []
+        if found:
+            yield from out()
+
+    return docs.select("text").mapInArrow(run, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+
+def likeliest_class(seeds: Seeds) -> Callable[[Column], Column]:
+    """From an array of (slot, n) to the class, 1 and up, under which a word's neighbours are likeliest; ties go to the lowest."""
+    weight = np.concatenate([seeds.left, seeds.right])[:, 1:]
+    bias = 1e-6 * np.log(seeds.size[1:])
+
+    @F.arrow_udf("int")
+    def chosen(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in arrays:
+            sizes = np.array([len(x) if x is not None else 0 for x in found.to_pylist()], np.int64)
+            flat = found.flatten()
+            counts = np.zeros((len(found), len(weight)))
+            counts[np.repeat(np.arange(len(found)), sizes), flat.field("slot").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+            score = counts @ weight + bias
+            yield pa.array((score.argmax(axis=1) + 1 if weight.shape[1] else np.ones(len(found))).astype(np.int32))
+
+    return chosen
+
+
+def classed_words(docs: DataFrame, vocabulary: DataFrame, seeds: Seeds) -> DataFrame:
+    """(word, c, class) of every word: seeds keep theirs, repeated words take the likeliest, words seen once are class k."""
+    k = len(seeds.size)
+    of_seed = docs.sparkSession.createDataFrame(list(seeds.class_of.items()), "word binary, seed int")  # EXCHANGE_WORDS rows at most
+    seen = neighbour_classes(docs, seeds).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
+    every = vocabulary.join(F.broadcast(of_seed), "word", "left")
+    known = every.filter("seed IS NOT NULL OR c = 1").select("word", "c", F.coalesce("seed", F.lit(k)).alias("class"))
+    rest = every.filter("seed IS NULL AND c > 1").join(seen, "word", "left")
+    return known.unionByName(rest.select("word", "c", likeliest_class(seeds)("found").alias("class")))
+
+
+@dataclass
+class Table:
+    """Of the most frequent words: numbers, counts and classes; of all classes, the last for words seen once: total counts."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    classes: np.ndarray
+    totals: np.ndarray
     discount: float
-    unknown: float
-
-
-def build_model(vocab: Vocabulary, nodes: np.ndarray, pairs: np.ndarray, classes: np.ndarray) -> ClassModel:
-    """Transitions are smoothed with the classes' own shares; other words give up a discount to unknown ones."""
-    k = int(classes.max()) + 1
-    one = np.zeros((len(pairs), k))
-    one[np.arange(len(pairs)), classes] = 1
-    between = one.T @ pairs @ one
-    arrivals = between.sum(axis=0)
-    shares = (arrivals + 0.5) / (arrivals.sum() + 0.5 * k)
-    strength = 5.0
-    transition = (between + strength * shares) / (between.sum(axis=1, keepdims=True) + strength)
-    class_of = classes[nodes]
-    totals = np.bincount(class_of, weights=vocab.counts, minlength=k)
-    rare = vocab.tokens - int(vocab.counts.sum())
-    kinds = vocab.distinct - len(vocab.words)
-    discount = vocab.once / (vocab.once + 2 * vocab.twice) if vocab.once else 0.5
-    # The class of other words keeps its unknown share even if no such word was seen.
-    unknown = discount * kinds / rare if rare else 1.0
-    return ClassModel(vocab, class_of, np.log10(vocab.counts / totals[class_of]), np.log10(transition), float(rare), discount, unknown)
-
-
-def train_class_model(docs: DataFrame, vocabulary: DataFrame, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, table_words: int = TABLE_WORDS) -> ClassModel:
-    """The model of `docs` (text as bytes) with their `vocabulary` of (word, c)."""
-    vocab = summarise(vocabulary, table_words)
-    nodes = node_numbers(vocab, exchange_words)
-    index = {w: i for i, w in enumerate(vocab.words)}
-    pairs = bigram_matrix(docs, index, nodes, exchange_words + _BANDS + 2)
-    movable = min(exchange_words, sum(1 for w in vocab.words if w != END))
-    return build_model(vocab, nodes, pairs, exchange(pairs, movable, classes))
 
+    @property
+    def unknown(self) -> float:
+        """The share of its class that an unknown word has; all of it if no word was seen once."""
+        return self.discount if self.totals[-1] else 1.0
 
-def score(docs: DataFrame, train: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how: int) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of `docs`.
+    def emission(self) -> np.ndarray:
+        single = np.where(self.classes == len(self.totals) - 1, self.discount, 0.0)
+        return np.log10((self.counts - single) / self.totals[self.classes])
 
-    Words are runs without ASCII white space, A-Z lower-cased; an end follows each text and counts as a token, so a
-    null or empty text has one. `base_score` is the add-one unigram log10 probability under the counts of `train`;
-    `score` that of the class model, unknown words counting as one word of the class of other words. Repeated rows
-    each get their scores. With an empty `train` every word is unknown.
+
+def word_table(classed: DataFrame, vocab: Vocabulary, classes: int) -> Table:
+    rows = classed.filter(in_table(vocab.least) | (F.col("word") == F.lit(END))).select("word", "c", "class").toArrow()
+    totals = np.zeros(classes)
+    for r in classed.groupBy("class").agg(F.sum("c").alias("n")).collect():
+        totals[r["class"]] = r["n"]
+    discount = vocab.once / (vocab.once + 2 * vocab.twice) if 0 < vocab.once < vocab.once + vocab.twice else 0.5
+    return Table(rows.column("word").to_pylist(), rows.column("c").to_numpy(), rows.column("class").to_numpy().astype(np.int64), totals, discount)
+
+
+def in_classes(texts: DataFrame, table: Table) -> DataFrame:
+    """`texts` (doc_id, learn, text as bytes) with row_id, n_tokens, n_known, base, own, classes, at and others in place of the text.
+
+    `classes` has a byte for each token and the end, _OUTSIDE for a word that the table lacks; `others` are those
+    words, each once, with their frequency, and `at` says for each place which of them it is.
     """
-    learn = train.select(F.col(text_col).cast("binary").alias("text"))
-    vocabulary = cut_lineage(word_counts(learn))
-    model = train_class_model(learn, vocabulary, **how)
-    vocab = model.vocab
-    index = {w: i for i, w in enumerate(vocab.words)}
-    table = np.log10(vocab.counts + 1)
-    divisor = log10(vocab.tokens + vocab.distinct + 1)
-    end = index.get(END)
+    words, counts, classes, emission = table.words, table.counts, table.classes, table.emission()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, outside = index.get, len(table)
-        rare = model.transition.shape[0] - 1
-        classes = np.append(model.class_of, rare)
-        base_of, emission_of = np.append(table, 0.0), np.append(model.emission, 0.0)
-        stop = outside if end is None else end
-        transition = model.transition
+        index = {w: i for i, w in enumerate(words)}
+        get, outside, end = index.get, len(words), index.get(END, len(words))
+        base_of, emission_of = np.append(np.log10(counts + 1), 0.0), np.append(emission, 0.0)
+        class_of = np.append(classes, _OUTSIDE).astype(np.uint8)
         row_id = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for rows, texts in text_slices(batches):
-            n_tokens, n_known, base, own, others = [], [], [], [], []
-            for text in texts:
-                words = tokens_of(text)
-                ids = np.array([get(w, outside) for w in words] + [stop], np.int64)
-                c = classes[ids]
-                c[-1] = 0
-                before = np.concatenate([[0], c[:-1]])
-                n_tokens.append(len(ids))
-                n_known.append(int((ids != outside).sum()))
-                base.append(float(base_of[ids].sum()))
-                own.append(float(transition[before, c].sum() + emission_of[ids].sum()))
-                others.append(list(Counter(words[i] for i in np.flatnonzero(ids[:-1] == outside).tolist()).items()))
-            arrays = [pa.array(range(row_id, row_id + len(texts)), pa.int64()), rows.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)]
+            listed = [tokens_of(t) for t in texts]
+            ids = np.array([get(w, outside) for own in listed for w in [*own, END]], np.int64)
+            sizes = np.array([len(own) + 1 for own in listed], np.int64)
+            stops = np.cumsum(sizes)
+            ids[stops - 1] = end
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            codes = class_of[ids]
+            codes[stops - 1] = 0
+            per_doc = lambda values: np.bincount(doc, values, len(texts))  # noqa: E731, B023
+            names, numbers, times, bounds, at = [], [], [], [0], []
+            for own, first, stop in zip(listed, (stops - sizes).tolist(), stops.tolist(), strict=True):
+                number: dict[bytes, int] = {}
+                place = np.array([number.setdefault(own[i], len(number)) for i in np.flatnonzero(ids[first : stop - 1] == outside).tolist()], np.int32)
+                at.append(place.tobytes())
+                names += number
+                numbers += range(len(number))
+                times += np.bincount(place, minlength=len(number)).tolist()
+                bounds.append(len(names))
+            other = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(names, pa.binary()), pa.array(times, pa.int64())], names=["k", "word", "m"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(row_id, row_id + len(texts)), pa.int64()), rows.column("doc_id"), rows.column("learn"), pa.array(sizes),
+                    pa.array(per_doc(ids != outside).astype(np.int64)), pa.array(per_doc(base_of[ids])), pa.array(per_doc(emission_of[ids])),
+                    pa.array([codes[a:b].tobytes() for a, b in zip(stops - sizes, stops, strict=True)], pa.binary()), pa.array(at, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), other),
+                ],
+                names=["row_id", "doc_id", "learn", "n_tokens", "n_known", "base", "own", "classes", "at", "others"],
+            )
             row_id += len(texts)
-            listed = pa.array([[{"word": w, "m": m} for w, m in o] for o in others], pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*arrays, listed], names=["row_id", "doc_id", "n_tokens", "n_known", "base", "own", "others"])
-
-    fields = "n_tokens long, n_known long, base double, own double, others array<struct<word:binary,m:bigint>>"
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scored = cut_lineage(texts.mapInArrow(run, f"row_id long, doc_id {id_type}, {fields}"))
-    # Words outside the table meet their counts in a join; each text sends a word once.
-    others = scored.select("row_id", F.explode("others").alias("o")).select("row_id", "o.word", "o.m")
-    rarer = vocabulary.filter(F.col("c") < vocab.least)
-    found = others.join(rarer, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    known = F.col("c") > 0
-    log_rare = log10(max(model.rare_tokens, 1.0))
-    emission = F.when(known, F.log10(F.col("c") - F.lit(model.discount)) - F.lit(log_rare)).otherwise(F.lit(log10(model.unknown)))
+        hand_back()
+
+    fields = "n_tokens long, n_known long, base double, own double, classes binary, at binary, others array<struct<k:int,word:binary,m:bigint>>"
+    id_type = texts.select("doc_id").schema[0].dataType.simpleString()
+    return texts.select("doc_id", "learn", "text").mapInArrow(run, f"row_id long, doc_id {id_type}, learn boolean, {fields}")
+
+
+@F.arrow_udf(BinaryType())
+def _filled(classes: pa.Array, at: pa.Array, found: pa.Array) -> pa.Array:
+    """The classes of a text with those of the words that the table lacks put in their places."""
+    out = []
+    for own, place, classed in zip(classes.to_pylist(), at.to_pylist(), found.to_pylist(), strict=True):
+        if place:
+            by_number = np.zeros(len(classed), np.uint8)
+            for x in classed:
+                by_number[x["k"]] = x["class"]
+            row = np.frombuffer(own, np.uint8).copy()
+            row[np.flatnonzero(row == _OUTSIDE)] = by_number[np.frombuffer(place, np.int32)]
+            own = row.tobytes()
+        out.append(own)
+    return pa.array(out, pa.binary())
+
+
+def transitions(sequences: DataFrame, classes: int, strength: float = 5.0) -> np.ndarray:
+    """Log10 probabilities from class to class over `sequences` (classes), smoothed with the classes' own shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(classes * classes, np.int64)
+        for _, texts in text_slices(batches, "classes"):
+            row = np.frombuffer(b"".join([b"\0", *texts]), np.uint8).astype(np.int64)
+            sums += np.bincount(row[:-1] * classes + row[1:], minlength=classes * classes)
+        pairs = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(sums[pairs], pa.int64())], names=["pair", "n"])
+
+    between = np.zeros(classes * classes)
+    for r in sequences.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        between[r["pair"]] = r["n"]
+    between = between.reshape(classes, classes)
+    shares = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * classes)
+    return np.log10((between + strength * shares) / (between.sum(axis=1, keepdims=True) + strength))
+
+
+def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, table_words: int = TABLE_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of `docs`.
+
+    The rows where `learn` is true are learned from. Words are runs without ASCII white space, A-Z lower-cased; an end
+    follows each text and counts as a token, so a null or empty text has one. `base_score` is the add-one unigram
+    log10 probability; `score` that of the class model, an unknown word being one event of the class of words seen
+    once. Repeated rows each get their scores. If nothing is learned from, every word is unknown. At most 200 classes.
+    """
+    if not 0 < classes <= 200:
+        raise ValueError("classes are numbered in a byte, from 1 to 200")
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("binary").alias("text"))
+    training = texts.filter("learn").select("text")
+    vocabulary = cut_lineage(word_counts(training))
+    vocab = summarise(vocabulary, table_words)
+    seeds = seed_classes(training, vocab, exchange_words, classes)
+    classed = cut_lineage(classed_words(training, vocabulary, seeds))
+    k = len(seeds.size) + 1
+    table = word_table(classed, vocab, k)
+    coded = cut_lineage(in_classes(texts, table))
+    # Words outside the table meet their counts and classes in a join; each text sends a word once.
+    others = coded.select("row_id", F.explode("others").alias("o")).select("row_id", "o.*")
+    rarer = classed.filter(~in_table(vocab.least) & (F.col("word") != F.lit(END)))
+    found = others.join(rarer, "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("class", F.coalesce("class", F.lit(k - 1)))
+    known, single = F.col("c") > 0, F.when(F.col("class") == k - 1, table.discount).otherwise(0.0)
+    total = F.element_at(F.array(*(F.lit(max(float(t), 1.0)) for t in table.totals)), F.col("class") + 1)
+    emission = F.when(known, F.log10((F.col("c") - single) / total)).otherwise(F.lit(log10(table.unknown)))
     sums = found.groupBy("row_id").agg(
         F.sum(F.when(known, F.col("m")).otherwise(0)).alias("more_known"),
         F.sum(F.col("m") * F.log10(F.col("c") + F.lit(1))).alias("more_base"),
         F.sum(F.col("m") * emission).alias("more_own"),
+        F.collect_list(F.struct("k", "class")).alias("found"),
     )
-    total = scored.drop("others").join(sums, "row_id", "left")
-    own = F.col("own") + F.coalesce("more_own", F.lit(0.0))
-    return total.select(
+    whole = coded.drop("others").join(sums, "row_id", "left").select(
+        "doc_id", "learn", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base"), (F.col("own") + F.coalesce("more_own", F.lit(0.0))).alias("own"),
+        _filled("classes", "at", "found").alias("classes"),
+    )
+    whole = cut_lineage(whole)
+    moves = transitions(whole.filter("learn"), k)
+
+    def load() -> Callable[[list[bytes]], pa.Array]:
+        def work(texts: list[bytes]) -> pa.Array:
+            rows = [np.frombuffer(b"\0" + t, np.uint8) for t in texts]
+            return pa.array([float(moves[row[:-1], row[1:]].sum()) for row in rows], pa.float64())
+
+        return work
+
+    scored = whole.withColumn("score", F.col("own") + per_text(F.col("classes"), "double", load))
+    divisor = log10(vocab.tokens + vocab.distinct + 1)
+    return scored.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
-        own.alias("score"),
-        F.pow(F.lit(10.0), -own / F.col("n_tokens")).alias("perplexity"),
+        (F.col("base") - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -53,7 +53,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    scored = score(docs, docs.filter(id_mod(F.col("doc_id"), 7) != 2))
+    scored = score(docs, id_mod(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (id_mod(F.col("doc_id"), 7) == 2).alias("held_out"), *scored.columns[1:])
 
 

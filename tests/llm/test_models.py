@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import queries
 from skein.llm.hashed import Ftrl, ngram_features
 from skein.llm.lang_id import Network, document_probabilities, gradients, identify, new_network, train, train_language_id, windows_of
-from skein.llm.lm import exchange, score
+from skein.llm.lm import classed_words, exchange, score, seed_classes, summarise, word_counts, word_table
 from skein.llm.quality import keep_quality, score_quality, train_quality
 from skein.llm.text import BY_LETTER, BY_SPACE, joined_words
 from skein.llm.toxicity import category_labels, fit_chain, predict_chain, score_toxicity, train_toxicity
@@ -137,28 +138,86 @@ def test_lm_scores(spark, sf_dir, texts, odd_docs, no_docs):
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
     own = [r for r in rows if r.held_out]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
-    small = score(odd_docs, odd_docs, table_words=3, exchange_words=2, classes=2)
-    assert small.count() == odd_docs.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in small.collect())
-    assert score(no_docs, odd_docs).count() == 0
-    assert {r.n_known for r in score(odd_docs, no_docs).collect()} == {0}
-
-
-def test_lm_probabilities_add_up(spark):
-    """Over every word that can follow and the unknown one, the model's probabilities sum to one."""
-    train_docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "a b d", "e a b", "c c a f g"])], "doc_id long, text string")
-    words = ["a", "b", "c", "d", "e", "f", "g", "unseen"]
-    probes = spark.createDataFrame([(0, "")] + [(i + 1, w) for i, w in enumerate(words)] + [(100 + i, f"{w} {x}") for i, (w, x) in enumerate((w, x) for w in words[:1] for x in words)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in score(probes, train_docs).collect()}
-    after = score(spark.createDataFrame([(0, "a")], "doc_id long, text string"), train_docs).first().score
-    assert after <= 0
-    # P(end) + sum over w of P(w first); the text w has P(w first) * P(end after w), so compare through longer texts.
-    assert 0 < 10 ** got[0] < 1 and all(10**s < 1 for s in got.values())
+    learned = F.col("doc_id").isNull() | (F.col("doc_id") != 4)
+    wide = sorted(tuple(r) for r in score(odd_docs, learned, exchange_words=1, classes=2).fillna(-1, "doc_id").collect())
+    narrow = sorted(tuple(r) for r in score(odd_docs, learned, exchange_words=1, classes=2, table_words=3).fillna(-1, "doc_id").collect())
+    assert len(wide) == odd_docs.count() and all(r[5] <= 0 and r[1] >= 1 for r in wide)
+    assert [r[:4] for r in wide] == [r[:4] for r in narrow]
+    assert np.allclose([r[4:] for r in wide], [r[4:] for r in narrow])  # the table is a cache, no part of the model
+    assert score(no_docs, F.lit(True)).count() == 0
+    assert {r.n_known for r in score(odd_docs, F.lit(False)).collect()} == {0}
+
+
+def plain_scores(texts, learn, seeds, totals_of_classes):
+    """The class model once more, in loops: the seeds' classes are given, all else follows from the texts."""
+    k = len(seeds.size)
+    tokens = {i: t.encode().lower().split() for i, t in texts.items()}
+    counts = Counter(w for i in learn for w in [*tokens[i], b""])
+    around = {w: Counter() for w in counts}
+    for i in learn:
+        row = [b"", *tokens[i], b""]
+        for a, b in zip(row, row[1:], strict=False):
+            if b not in seeds.class_of and a in seeds.class_of:
+                around[b][("left", seeds.class_of[a])] += 1
+            if a not in seeds.class_of and b in seeds.class_of:
+                around[a][("right", seeds.class_of[b])] += 1
+    classes = {}
+    for w, c in counts.items():
+        if w in seeds.class_of:
+            classes[w] = seeds.class_of[w]
+        elif c == 1:
+            classes[w] = k
+        else:
+            gain = [sum(n * (seeds.left if side == "left" else seeds.right)[x, b] for (side, x), n in around[w].items()) + 1e-6 * math.log(seeds.size[b]) for b in range(1, k)]
+            classes[w] = 1 + gain.index(max(gain))
+    totals, moves = Counter(), Counter()
+    for w, c in counts.items():
+        totals[classes[w]] += c
+    for i in learn:
+        row = [0, *(classes[w] for w in tokens[i]), 0]
+        moves.update(zip(row, row[1:], strict=False))
+    arrivals, everything = Counter(), sum(moves.values())
+    leaving = Counter()
+    for (a, b), n in moves.items():
+        arrivals[b] += n
+        leaving[a] += n
+    share = lambda b: (arrivals[b] + 0.5) / (everything + 0.5 * (k + 1))
+    move = lambda a, b: (moves[a, b] + 5 * share(b)) / (leaving[a] + 5)
+    once, twice = (sum(c == x for c in counts.values()) for x in (1, 2))
+    discount = once / (once + 2 * twice) if 0 < once < once + twice else 0.5
+    for a in range(k + 1):
+        assert sum(move(a, b) for b in range(k + 1)) == pytest.approx(1)
+    given = lambda w: discount if counts[w] == 0 and once else 1.0 if counts[w] == 0 else (counts[w] - (discount if classes[w] == k else 0)) / totals[classes[w]]
+    for b in range(k + 1):
+        own = sum(given(w) for w in counts if classes[w] == b) + (given(b"never seen") if b == k else 0)
+        assert own == pytest.approx(1) or not totals[b]
+    assert all(totals[b] == n for b, n in enumerate(totals_of_classes))
+    out = {}
+    for i, words in tokens.items():
+        row = [*words, b""]
+        at = [0, *(classes.get(w, k) for w in words), 0]
+        out[i] = sum(math.log10(move(a, b)) for a, b in zip(at, at[1:], strict=False)) + sum(math.log10(given(w)) for w in row)
+    return out
+
+
+def test_lm_matches_a_plain_version_whose_probabilities_add_up(spark, documents, texts):
+    small = documents.filter("doc_id < 80").select("doc_id", "text")
+    own = {i: t for i, t in texts.items() if i < 80}
+    learn = [i for i in own if i % 5]
+    training = small.filter("doc_id % 5 <> 0").select(F.col("text").cast("binary").alias("text")).fillna("")
+    vocabulary = word_counts(training).cache()
+    vocab = summarise(vocabulary, 100)
+    seeds = seed_classes(training, vocab, 40, 6)
+    totals = word_table(classed_words(training, vocabulary, seeds), vocab, len(seeds.size) + 1).totals
+    want = plain_scores(own, learn, seeds, totals)
+    got = {r.doc_id: r.score for r in score(small, F.col("doc_id") % 5 != 0, exchange_words=40, classes=6, table_words=100).collect()}
+    assert got == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()}
 
 
 def test_lm_knows_the_end_whatever_its_count(spark):
     one = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
-    r = score(one, one).first()
+    r = score(one, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (4, 4, 4) and r.base_score == pytest.approx(4 * math.log10(2 / 9))
     many = spark.createDataFrame([(i, "a a a b b b") for i in range(3)], "doc_id long, text string")
-    rows = score(many, many, table_words=2).collect()
+    rows = score(many, F.lit(True), table_words=2).collect()
     assert {r.n_known for r in rows} == {7} and rows[0].base_score == pytest.approx((6 * math.log10(10) + math.log10(4)) - 7 * math.log10(21 + 3 + 1))
