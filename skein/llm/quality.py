@@ -15,14 +15,15 @@ BITS = 20
 THRESHOLD = 0.7
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Ftrl:
+def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, text_bytes: int = TRAIN_TEXT_BYTES) -> Ftrl:
     """A model of `labels.quality`, learned only from ids whose crc32 modulo 4 is not 2.
 
-    Classes are sampled to the same bound; the bias is shifted back to the classes' shares among all training labels.
-    Without labels of both classes every score is the share of label 1, or one half.
+    The sample is bounded: about `per_class` documents of each class, none of them over `text_bytes`. The bias is
+    shifted back to the classes' shares among all training labels. If only one class was seen, every score is 0.982
+    (label 1) or 0.018 (label 0); without any labels it is one half.
     """
     allowed = labels.filter(id_mod(F.col("doc_id"), 4) != 2)
-    texts, y = labelled_sample(docs, allowed, "quality", per_class, TRAIN_TEXT_BYTES)
+    texts, y = labelled_sample(docs, allowed, "quality", per_class, text_bytes)
     model = Ftrl(bits=BITS, alpha=1.0, l1=1.0, l2=0.1)
     if len(set(y.tolist())) < 2:
         model.weights = np.zeros((1 << BITS) + 1, np.float32)

@@ -2,9 +2,9 @@
 
 Categories are predicted one after another; each model sees the words of the text and the probabilities of the
 categories before it. In training those probabilities are out-of-fold predictions, so that a later model meets the
-same kind of numbers that it will get for new texts. Weak category labels come from seed words: a document that is
-labelled toxic and holds a seed of a category belongs to it, one that holds none belongs to `other`. The last link
-of the chain predicts the label itself.
+same kind of numbers that it will get for new texts; copies of a text are in one fold. The labels say only whether a
+document is toxic, so the categories are kinds of toxic texts, found by clustering them on the words that tell them
+from the others. The last link of the chain predicts the label itself.
 """
 
 from __future__ import annotations
@@ -14,49 +14,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import id_mod
-from skein.llm.hashed import Ftrl, from_sparse, in_slices, labelled_sample, token_hashes, with_scores, word_features
+from skein.llm.hashed import Batch, Ftrl, batches_of, from_sparse, hash_of, in_slices, labelled_sample, with_scores, word_features
 
 #: Labelled documents of each class that training takes at most, on average, and the longest text among them.
 TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
 BITS = 22
-FOLDS = 3
+KINDS, FOLDS = 3, 3
+#: Words of the greatest weight on which toxic texts are clustered.
+KIND_WORDS = 1000
 THRESHOLD = 0.5
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid"),
-    "dehumanising": ("scum", "trash", "worthless"),
-    "contempt": ("pathetic", "disgusting"),
-}
-CHAIN = [*SEEDS, "other", "toxic"]
-
-
-def category_labels(texts: list[bytes], toxic: np.ndarray, seeds: dict[str, tuple[str, ...]] = SEEDS) -> np.ndarray:
-    """(n, categories + 2) labels in the order of the chain: the seeded categories, `other` and `toxic`."""
-    hashes, owner, _, _ = token_hashes(texts, lower=True, words_only=True)
-    out = np.zeros((len(texts), len(seeds) + 2), np.float32)
-    for c, words in enumerate(seeds.values()):
-        wanted = token_hashes([w.encode() for w in words], lower=True, words_only=True)[0]
-        out[owner[np.isin(hashes, wanted)], c] = 1
-    out *= toxic[:, None]
+CHAIN = [*(f"kind_{i + 1}" for i in range(KINDS)), "toxic"]
+
+
+def _model(bits: int, dense: int) -> Ftrl:
+    return Ftrl(bits=bits, dense=dense, alpha=0.5, l1=6.0, l2=1.0)
+
+
+def kinds_of(vectors: np.ndarray, kinds: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """The cluster of each row by cosine; the first centre is the longest row, each further one the row farthest from all."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+    centres = unit[[int(norms.argmax())]] if len(unit) else unit
+    while 0 < len(centres) < min(kinds, len(unit)):
+        centres = np.vstack([centres, unit[int((unit @ centres.T).max(axis=1).argmin())]])
+    own = np.zeros(len(unit), np.int64)
+    for _ in range(rounds if len(unit) else 0):
+        new = (unit @ centres.T).argmax(axis=1)
+        sums = np.array([unit[new == c].sum(axis=0) for c in range(len(centres))])
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+        if (new == own).all():
+            break
+        own = new
+    return own
+
+
+def category_labels(rows: list, batches: list[Batch], toxic: np.ndarray, bits: int = BITS, kinds: int = KINDS, epochs: int = 4) -> np.ndarray:
+    """(n, kinds + 1) labels in the order of the chain: a toxic text's kind, and whether it is toxic."""
+    plain = _model(bits, 0).fit(batches, toxic, epochs=epochs).weights[: 1 << bits]
+    own = np.flatnonzero(toxic)
+    telling = np.argsort(-plain, kind="stable")[:KIND_WORDS]
+    telling = np.sort(telling[plain[telling] > 0])
+    vectors = np.zeros((len(own), len(telling)))
+    for k, i in enumerate(own):
+        index = rows[i][0]
+        held = index[np.isin(index, telling)]
+        vectors[k, np.searchsorted(telling, held)] = plain[held]
+    out = np.zeros((len(rows), kinds + 1), np.float32)
+    out[own, kinds_of(vectors, kinds)] = 1
     out[:, -1] = toxic
-    out[:, -2] = toxic * (out[:, : len(seeds)].sum(axis=1) == 0)
     return out
 
 
-def fit_chain(rows: list, labels: np.ndarray, bits: int = BITS, folds: int = FOLDS, epochs: int = 4) -> list[Ftrl]:
-    """One model for each column of `labels`, in order."""
+def fit_chain(batches: list[Batch], labels: np.ndarray, fold: np.ndarray, bits: int = BITS, epochs: int = 4) -> list[Ftrl]:
+    """One model for each column of `labels`, in order; `fold` numbers the folds of out-of-fold predictions from 0."""
     n, width = labels.shape
-    fold, before, chain = np.arange(n) % folds, np.zeros((n, 0), np.float32), []
+    before, chain = np.zeros((n, 0), np.float32), []
     for c in range(width):
-        def fitted(own: np.ndarray, c: int = c, before: np.ndarray = before) -> Ftrl:
-            return Ftrl(bits=bits, dense=c, alpha=0.7, l1=6.0, l2=1.0).fit([rows[i] for i in own], labels[own, c], before[own], epochs)
-
         if c + 1 < width:
             unseen = np.zeros(n, np.float32)
-            for f in range(folds):
-                held = np.flatnonzero(fold == f)
-                if len(held):
-                    unseen[held] = fitted(np.flatnonzero(fold != f)).predict([rows[i] for i in held], before[held])
-        chain.append(fitted(np.arange(n)))
+            for f in np.unique(fold):
+                held = fold == f
+                part = _model(bits, c).fit(batches, labels[:, c], before, epochs, learn=~held)
+                unseen[held] = part.predict_batches(batches, n, before)[held]
+        chain.append(_model(bits, c).fit(batches, labels[:, c], before, epochs))
         before = np.column_stack([before, unseen])
     return chain
 
@@ -68,17 +89,21 @@ def predict_chain(chain: list[Ftrl], rows: list) -> np.ndarray:
     return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> list[Ftrl]:
-    """The chain, learned from `labels.toxic` of ids whose crc32 modulo 4 is not 2; without labels it predicts 0."""
-    texts, y = labelled_sample(docs, labels.filter(id_mod(F.col("doc_id"), 4) != 2), "toxic", per_class, TRAIN_TEXT_BYTES)
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, text_bytes: int = TRAIN_TEXT_BYTES) -> list[Ftrl]:
+    """The chain, learned from `labels.toxic` of ids whose crc32 modulo 4 is not 2; without labels it predicts 0.
+
+    The sample is bounded: about `per_class` documents of each label, none of them over `text_bytes`.
+    """
+    texts, y = labelled_sample(docs, labels.filter(id_mod(F.col("doc_id"), 4) != 2), "toxic", per_class, text_bytes)
     if not len(y):
         texts, y = [b""], np.zeros(1, np.float32)
-    labels_of = np.vstack([category_labels([t], np.array([v])) for t, v in zip(texts, y, strict=True)])
-    return fit_chain(in_slices(texts, lambda t: word_features(t, BITS)), labels_of)
+    rows = in_slices(texts, lambda t: word_features(t, BITS))
+    batches = batches_of(rows)
+    return fit_chain(batches, category_labels(rows, batches, y), np.array([hash_of(t) % FOLDS for t in texts]))
 
 
 def score_toxicity(docs: DataFrame, chain: list[Ftrl], carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
-    """(doc, insult, dehumanising, contempt, other, toxic): probabilities for every whole text; null counts as empty."""
+    """(doc, kind_1, kind_2, kind_3, toxic): probabilities for every whole text; null counts as empty."""
     parts, bits = [m.sparse() for m in chain], chain[0].bits
 
     def load():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import queries
-from skein.llm.hashed import Ftrl, ngram_features
+from skein.llm.hashed import Ftrl, batches_of, ngram_features
 from skein.llm.lang_id import Network, document_probabilities, gradients, identify, new_network, train, train_language_id, windows_of
 from skein.llm.lm import classed_words, exchange, score, seed_classes, summarise, word_counts, word_table
 from skein.llm.quality import keep_quality, score_quality, train_quality
@@ -47,7 +47,7 @@ def test_gradients_match_differences():
 def test_every_byte_is_read():
     x, owner = windows_of([b"", b"a" * 128, b"b" * 129])
     assert x.shape == (128, 3) and owner.tolist() == [1, 2, 2] and (x != 256).sum() == 257
-    net = train([b"aaaa bbbb " * 20, b"cccc dddd " * 20] * 4, ["x", "y"] * 4, epochs=20)
+    net = train([b"aaaa bbbb " * 20, b"cccc dddd " * 20] * 4, ["x", "y"] * 4, epochs=20, least_steps=60)
     p = document_probabilities(net, [b"aaaa " * 9, b"dddd " * 9, b""])
     assert p[0].argmax() == 0 and p[1].argmax() == 1 and p[2].sum() == 0
     assert p[0].sum() == pytest.approx(1, abs=1e-4)
@@ -102,16 +102,75 @@ def test_toxicity_query_on_held_out_documents(spark, odd_docs, no_docs, few_labe
     assert train_toxicity(no_docs, few_labels.limit(0))
 
 
-def test_chain_feeds_earlier_categories_forward():
-    texts = [b"you idiot", b"you scum", b"pathetic thing", b"odd slur", b"kind words"] * 12
-    toxic = np.array([1, 1, 1, 1, 0] * 12, np.float32)
-    y = category_labels(texts, toxic)
-    assert y[:5].tolist() == [[1, 0, 0, 0, 1], [0, 1, 0, 0, 1], [0, 0, 1, 0, 1], [0, 0, 0, 1, 1], [0, 0, 0, 0, 0]]
-    rows = [(np.array([hash(t) % 1000], np.int32), np.ones(1, np.float32)) for t in texts]
-    chain = fit_chain(rows, y, bits=10, epochs=10)
-    assert [m.dense for m in chain] == [0, 1, 2, 3, 4]
-    p = predict_chain(chain, rows)[:, -1]
-    assert p[toxic == 1].min() > p[toxic == 0].max()
+def word_rows(texts):
+    return [(np.unique([zlib.crc32(w) % 1000 for w in t.split()]).astype(np.int32), np.ones(len({zlib.crc32(w) % 1000 for w in t.split()}), np.float32)) for t in texts]
+
+
+def test_kinds_are_clusters_of_toxic_texts_and_feed_the_chain():
+    texts = [b"you idiot moron", b"scum and trash here", b"pathetic awful rot", b"kind words here", b"you and all"] * 40
+    toxic = np.array([1, 1, 1, 0, 0] * 40, np.float32)
+    rows = word_rows(texts)
+    batches = batches_of(rows)
+    y = category_labels(rows, batches, toxic, 10)
+    assert sorted(map(tuple, y[:3].tolist())) == [(0, 0, 1, 1), (0, 1, 0, 1), (1, 0, 0, 1)] and not y[3:5].any()
+    assert (y == np.tile(y[:5], (40, 1))).all()
+    chain = fit_chain(batches, y, np.array([zlib.crc32(t) % 3 for t in texts]), 10, epochs=20)
+    assert [m.dense for m in chain] == [0, 1, 2, 3]
+    p = predict_chain(chain, rows)
+    assert p[toxic == 1, -1].min() > p[toxic == 0, -1].max()
+    for i in range(5):  # the same in loops
+        before = []
+        for m in chain:
+            margin = sum(float(m.weights[k]) for k in rows[i][0]) + float(m.weights[1 << 10]) + sum(float(w) * x for w, x in zip(m.weights[(1 << 10) + 1 :], before, strict=True))
+            before.append(1 / (1 + math.exp(-margin)))
+        assert p[i].tolist() == pytest.approx(before, abs=1e-5)
+
+
+def test_learning_in_batches_matches_loops():
+    """One step a batch: gradients and their squares are summed over its rows, weights solved before and after."""
+    texts = [b"a b", b"b c", b"c d a", b"d"] * 5
+    rows, y, dense = word_rows(texts), np.array([1, 0, 1, 0] * 5, np.float32), np.linspace(0, 1, 20, dtype=np.float32)[:, None]
+    learn = np.arange(20) % 4 != 3
+    batches = batches_of(rows, size=3)
+    model = Ftrl(bits=10, dense=1, alpha=0.5, l1=0.1, l2=0.3).fit(batches, y, dense, epochs=2, seed=4, learn=learn)
+    z, n, rng = Counter(), Counter(), np.random.default_rng(4)
+    solve = lambda k: 0.0 if abs(z[k]) <= (0.1 if k < 1024 else 0) else (math.copysign(0.1 if k < 1024 else 0, z[k]) - z[k]) / ((1 + math.sqrt(n[k])) / 0.5 + 0.3)
+    for _ in range(2):
+        for b in rng.permutation(len(batches)).tolist():
+            g, g2 = Counter(), Counter()
+            for i in batches[b].own.tolist():
+                x = {int(k): 1.0 for k in rows[i][0]} | {1024: 1.0, 1025: float(dense[i, 0])}
+                error = (1 / (1 + math.exp(-sum(solve(k) * v for k, v in x.items()))) - y[i]) * learn[i]
+                for k, v in x.items():
+                    g[k] += error * v
+                    g2[k] += (error * v) ** 2
+            step = {k: (z[k] + g[k] - (math.sqrt(n[k] + g2[k]) - math.sqrt(n[k])) / 0.5 * solve(k), n[k] + g2[k]) for k in g}
+            for k, (a, c) in step.items():
+                z[k], n[k] = a, c
+    for k in g:
+        assert model.weights[k] == pytest.approx(solve(k), abs=1e-4)
+
+
+def test_language_network_matches_loops():
+    """Gate, candidate and pooled softmax once more, byte by byte."""
+    net = new_network(["a", "b", "c"], 4)
+    texts = [b"hello w\xc3\xb6rld", b"x" * 200, b"one two three " * 30]
+    squash = lambda x: x / (1 + abs(x))
+    for text, got in zip(texts, document_probabilities(net, texts), strict=True):
+        total = np.zeros(3)
+        for first in range(0, len(text), 128):
+            part, states = text[first : first + 128], {}
+            for side, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+                h = np.zeros(4)
+                for i in order:
+                    a = squash(net.u[side].astype(float) @ h + net.table[side, part[i]])
+                    gate, candidate = 0.5 + 0.5 * a[:4], a[4:]
+                    h = h + gate * (candidate - h)
+                    states[side, i] = h
+            for i in range(len(part)):
+                e = np.exp(net.v[:, :-1] @ np.concatenate([states[0, i], states[1, i]]) + net.v[:, -1])
+                total += e / e.sum()
+        assert got == pytest.approx(total / len(text), abs=1e-4)
 
 
 def test_exchange_finds_two_kinds_of_words():
