@@ -108,8 +108,8 @@ def batches_of(rows: list[tuple[np.ndarray, np.ndarray]], seed: int = 1, size: i
     for first in range(0, len(order), size):
         own = order[first : first + size]
         index, place = np.unique(np.concatenate([rows[i][0] for i in own]), return_inverse=True)
-        row = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
-        out.append(Batch(own, index, row, place, np.concatenate([rows[i][1] for i in own])))
+        row = np.repeat(np.arange(len(own), dtype=np.int32), [len(rows[i][0]) for i in own])
+        out.append(Batch(own, index.astype(np.int32), row, place.astype(np.int32), np.concatenate([rows[i][1] for i in own])))
     return out
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import id_mod
-from skein.llm.hashed import Ftrl, from_sparse, in_slices, labelled_sample, ngram_features, with_scores
+from skein.llm.hashed import Ftrl, batches_of, from_sparse, in_slices, labelled_sample, ngram_features, with_scores
+from skein.llm.text import hand_back
 
 #: Labelled documents of each class that training takes at most, on average, and the longest text among them.
 TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
@@ -29,7 +30,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER
         model.weights = np.zeros((1 << BITS) + 1, np.float32)
         model.weights[-1] = 4.0 if y.any() else -4.0 if len(y) else 0.0
         return model
-    model.fit(in_slices(texts, lambda t: ngram_features(t, BITS)), y, epochs=4)
+    model.fit(batches_of(in_slices(texts, lambda t: ngram_features(t, BITS))), y, epochs=4)
+    hand_back()
     shares = {r["quality"]: r["n"] for r in allowed.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     model.weights[-1] += np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model
