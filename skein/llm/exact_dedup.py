@@ -1,10 +1,10 @@
 """Exact duplicate removal by progressive refinement, in DataFrame functions only.
 
-Documents are compared on their text without ASCII white space. Three keys of rising cost refine the groups:
-normalised length, then a hash of a normalised prefix, then SHA-256 of everything. The first two are counted in
-one cheap aggregation over a fixed number of buckets, and the buckets with several rows are broadcast as bitmaps of a
-fixed total size; only rows of such a bucket are hashed in full and grouped. Buckets decide nothing: a collision costs
-one extra hash, and groups are formed on the full hash.
+Documents are compared on their text without ASCII white space. Three keys of rising cost refine the groups: the
+length of that text; for rows that share it, a hash of its beginning; for rows that share both, SHA-256 of everything.
+The first two are counted in aggregations over a fixed number of buckets, and the buckets with several rows are
+broadcast as bitmaps of a fixed total size. Buckets decide nothing: a collision costs one extra hash, and groups are
+formed on the full hash.
 """
 
 from __future__ import annotations
@@ -15,40 +15,59 @@ from pyspark.sql import functions as F
 from skein.llm.common import cut_lineage
 
 #: Fixed by the contract: the characters that equality ignores.
-IGNORED = r"[\x20\x09-\x0D]+"
-#: Code points of the normalised text that the second key reads.
-PREFIX_POINTS = 128
-#: Buckets of the first two keys; their bitmaps are broadcast and take 8 MB at most, whatever the number of documents.
+IGNORED = " \t\n\x0b\x0c\r"
+#: Code points of the normalised text that the second key reads, and of the text in which they are looked for first.
+PREFIX_POINTS, HEAD_POINTS = 128, 512
+#: Buckets of a key; their bitmap is broadcast and takes 8 MB at most, whatever the number of documents.
 BUCKETS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), IGNORED, "")
+    out = F.coalesce(text, F.lit(""))
+    for c in IGNORED:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
-def _refinement_bucket(norm: Column) -> Column:
-    """A number from 1 to BUCKETS for the first two keys."""
-    length, prefix = F.length(norm), F.substring(norm, 1, PREFIX_POINTS)
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BUCKETS)) + 1
+def _prefix(text: Column) -> Column:
+    """The beginning of the normalised text; the whole text is read only if its head is mostly white space."""
+    head = normalised(F.substring(text, 1, HEAD_POINTS))
+    return F.substring(F.when((F.length(head) >= PREFIX_POINTS) | (F.length(text) <= HEAD_POINTS), head).otherwise(normalised(text)), 1, PREFIX_POINTS)
 
 
-def _refined(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc, id, points, norm, survives): whether another row shares the row's length and prefix hash."""
-    norm = normalised(F.col(text_col))
-    several = docs.select(_refinement_bucket(norm).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # At most BUCKETS / 32768 rows of 4096 bytes each, so this side has a proven bound.
-    bitmaps = cut_lineage(several.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")))
-    rows = docs.select(
-        F.struct("*").alias("doc"),
-        F.col(id_col).alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
-        norm.alias("norm"),
-    )
-    rows = rows.withColumn("bucket", _refinement_bucket(F.col("norm"))).withColumn("part", F.bitmap_bucket_number("bucket"))
+def _bucket(*keys: Column) -> Column:
+    """A number from 1 to BUCKETS."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + 1
+
+
+def _with_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.bitmap_bucket_number("bucket"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(part, bits): a bitmap of the values of `bucket` that several rows have."""
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # At most BUCKETS / 32768 rows of 4096 bytes each, so what is broadcast has a proven bound.
+    return cut_lineage(several.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")))
+
+
+def _is_shared() -> Column:
+    """Whether the row's bucket is set in the bitmap that it was joined with."""
     at = F.bitmap_bit_position("bucket")
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
-    return rows.join(F.broadcast(bitmaps), "part", "left").select("doc", "id", "points", "norm", F.coalesce(bit, F.lit(False)).alias("survives"))
+    return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
+
+
+def _refined(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc, id, points, text, survives): whether another row shares the row's length and prefix hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    length = F.length(normalised(text))
+    lengths = _shared(docs.select(_bucket(length).alias("bucket")))
+    alike = _with_part(docs.select(text.alias("text"), length.alias("length"), _bucket(length).alias("bucket")))
+    alike = alike.join(F.broadcast(lengths), "part").filter(_is_shared())
+    both = _shared(alike.select(_bucket(F.col("length"), _prefix(F.col("text"))).alias("bucket")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("points"), text.alias("text"), _bucket(length, _prefix(text)).alias("bucket"))
+    return _with_part(rows).join(F.broadcast(both), "part", "left").select("doc", "id", "points", "text", _is_shared().alias("survives"))
 
 
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
@@ -60,7 +79,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     an empty table. `digest` is the SHA-256 of the normalised text for rows that reached the last key, for all rows
     with `digest_all`, else null.
     """
-    full = F.sha2(F.col("norm").cast("binary"), 256)
+    full = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     rows = _refined(docs, text_col, id_col).select(
         "doc",
         "id",
@@ -100,6 +119,6 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     rows = _refined(docs, text_col, id_col)
     alone = rows.filter(~F.col("survives")).select("doc.*")
     order = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.xxhash64("doc").alias("h"))
-    hashed = rows.filter("survives").select("doc", order.alias("order"), F.sha2(F.col("norm").cast("binary"), 256).alias("digest"))
+    hashed = rows.filter("survives").select("doc", order.alias("order"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"))
     best = hashed.groupBy("digest").agg(F.min_by("doc", "order").alias("doc"))
     return alone.unionByName(best.select("doc.*"))
