@@ -35,14 +35,23 @@ def _tokens(text: str, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
 
 
-_LOCATE = """
-  CASE WHEN size({m}) = 0 THEN CAST(array() AS array<struct<start:bigint,end:bigint,token:string>>) ELSE
-  aggregate(sequence(0, size({m}) - 1),
-    named_struct('at', 0L, 'out', CAST(array() AS array<struct<start:bigint,end:bigint,token:string>>)),
-    (acc, i) -> named_struct(
-      'at', acc.at + length({g}[i]) + length({m}[i]),
-      'out', concat(acc.out, array(named_struct('start', acc.at + length({g}[i]), 'end', acc.at + length({g}[i]) + length({m}[i]), 'token', {m}[i])))),
-    acc -> acc.out) END
+_PLACES = "array<struct<start:bigint,end:bigint,token:string>>"
+#: Matches are placed in parts of this many, so that no long array grows by one element at a time.
+_PART = 1024
+_LOCATE = f"""
+  CASE WHEN size({{m}}) = 0 THEN CAST(array() AS {_PLACES}) ELSE
+  flatten(aggregate(
+    transform(sequence(0, (size({{m}}) - 1) div {_PART}), k ->
+      aggregate(sequence(CAST(k AS int) * {_PART}, least(size({{m}}), (CAST(k AS int) + 1) * {_PART}) - 1),
+        named_struct('at', 0L, 'out', CAST(array() AS {_PLACES})),
+        (acc, i) -> named_struct(
+          'at', acc.at + length({{g}}[i]) + length({{m}}[i]),
+          'out', concat(acc.out, array(named_struct('start', acc.at + length({{g}}[i]), 'end', acc.at + length({{g}}[i]) + length({{m}}[i]), 'token', {{m}}[i])))))),
+    named_struct('at', 0L, 'out', CAST(array() AS array<{_PLACES}>)),
+    (acc, part) -> named_struct(
+      'at', acc.at + part.at,
+      'out', concat(acc.out, array(transform(part.out, s -> named_struct('start', acc.at + s.start, 'end', acc.at + s.end, 'token', s.token))))),
+    acc -> acc.out)) END
 """
 
 
@@ -73,13 +82,15 @@ _STEPS = [
                           WHEN 36 THEN pow(c.digits - c.n * 10 / 36, 2D) * (1 / (c.n * 10 / 36) + 1 / (c.n * 26 / 36))
                           ELSE pow(c.lower - c.n * 26 / 64, 2D) / (c.n * 26 / 64) + pow(c.upper - c.n * 26 / 64, 2D) / (c.n * 26 / 64)
                                + pow(c.n - c.lower - c.upper - c.n * 12 / 64, 2D) / (c.n * 12 / 64) END))""",
+    # The symbols as numbers: the text is brought to its alphabet once, split once, and each symbol looked up.
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k,
-        'classes', (pow(c.cells / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)), 'x',
-        transform(sequence(1, length(c.t)), i -> CAST(instr(
-          CASE c.k WHEN 16 THEN '0123456789abcdef' WHEN 32 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
-                   WHEN 36 THEN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'
-                   ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END,
-          substr(CASE c.k WHEN 16 THEN lower(c.t) WHEN 64 THEN translate(c.t, '-_', '+/') ELSE upper(c.t) END, i, 1)) - 1 AS double))))""",
+        'classes', (pow(c.cells / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)),
+        'letters', filter(split(CASE c.k WHEN 16 THEN lower(c.t) WHEN 64 THEN translate(c.t, '-_', '+/') ELSE upper(c.t) END, ''), x -> x <> ''),
+        'alphabet', CASE c.k WHEN 16 THEN '0123456789abcdef' WHEN 32 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+                             WHEN 36 THEN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'
+                             ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END))""",
+    """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k, 'classes', c.classes,
+        'x', transform(c.letters, x -> CAST(instr(c.alphabet, x) - 1 AS double))))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', CAST(c.k AS double), 'classes', c.classes, 'x', c.x,
         'n', CAST(size(c.x) AS double), 'mean', aggregate(c.x, 0D, (a, v) -> a + v) / size(c.x),
         'squares', aggregate(array_distinct(c.x), 0D, (a, v) -> a + pow(size(filter(c.x, y -> y = v)), 2D)),

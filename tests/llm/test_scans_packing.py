@@ -1,6 +1,9 @@
 import hashlib
+import math
 import re
 import secrets
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -188,3 +191,111 @@ def test_values_after_names_and_all_encodings_are_tested(spark):
         hits = sum(got[100 * f + i] == want[100 * f + i] for i in range(30))
         assert hits >= 24, (form, hits)
     assert sum(got[10_000 + i] != "" for i in range(200)) <= 10
+
+
+def upper_tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(token):
+    """(length, p-value) of one candidate by its inferred alphabet, in loops; None if no encoding fits."""
+    t = token.rstrip("=")
+    has = lambda p: re.search(p, t) is not None
+    whole = lambda p: re.fullmatch(p, t) is not None
+    up, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    if len(t) < 16:
+        return None
+    if (whole("[0-9a-f]+") or whole("[0-9A-F]+")) and has("[0-9]") and has("[a-fA-F]"):
+        k, alphabet, u = 16, digits + "abcdef", t.lower()
+    elif (whole("[A-Z2-7]+") or whole("[a-z2-7]+")) and has("[2-7]") and has("[A-Za-z]"):
+        k, alphabet, u = 32, up + "234567", t.upper()
+    elif (whole("[A-Z0-9]+") or whole("[a-z0-9]+")) and has("[0-9]") and has("[A-Za-z]"):
+        k, alphabet, u = 36, digits + up, t.upper()
+    elif has("[a-z]") and has("[A-Z]") and has("[0-9]"):
+        k, alphabet, u = 64, up + up.lower() + digits + "+/", t.replace("-", "+").replace("_", "/")
+    else:
+        return None
+    x, n = [alphabet.index(c) for c in u], len(t)
+    kinds = [sum(c in digits for c in t), sum(c.islower() for c in t), sum(c.isupper() for c in t)]
+    if k == 64:
+        shares, seen, df = (26, 26, 12), (kinds[1], kinds[2], n - kinds[1] - kinds[2]), 2
+    else:
+        shares = {16: (10, 6), 32: (6, 26), 36: (10, 26)}[k]
+        seen, df = (kinds[0], n - kinds[0]), 1
+    cells = sum((s - n * w / k) ** 2 / (n * w / k) for s, w in zip(seen, shares, strict=True))
+    classes = ((cells / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    chi = (k / n * sum(x.count(v) ** 2 for v in set(x)) - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    low = sum(v < k / 2 for v in x)
+    product, runs = 2 * low * (n - low), 1 + sum((a < k / 2) != (b < k / 2) for a, b in zip(x, x[1:], strict=False))
+    run = 9 if product <= n else (runs - 1 - product / n) / math.sqrt(product * (product - n) / (n * n * (n - 1)))
+    mean = sum(x) / n
+    around = sum((v - mean) ** 2 for v in x)
+    serial = 9 if not around else (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / around + 1 / n) * math.sqrt(n)
+    parts = [upper_tail(chi), upper_tail(classes), min(1, 2 * upper_tail(abs(run))), min(1, 2 * upper_tail(abs(serial)))]
+    half = -sum(math.log(max(1e-15, p)) for p in parts)
+    return n, max(1e-300, math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6))
+
+
+def brute_random(texts, rate=0.01):
+    """Spans of candidates that are not dismissed, by the plain step-up rule in each length class."""
+    tested = []
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,6}", t):
+            found = battery(m[0]) if len(m[0]) >= 20 else None
+            if found:
+                tested.append((i, m.start(), m.end(), int(math.log2(found[0])), found[1]))
+    out = set()
+    for size in {x[3] for x in tested}:
+        own = sorted((x for x in tested if x[3] == size), key=lambda x: x[4])
+        cut = max((r for r, x in enumerate(own, 1) if x[4] <= rate * r / len(own)), default=0)
+        out |= {x[:3] for x in own[cut:]}
+    return out, {x[:3]: x[4] for x in tested}
+
+
+def test_battery_and_discovery_rule_match_loops(spark):
+    rng = np.random.default_rng(12)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    texts = []
+    for i in range(400):
+        a = alphabets[i % 4]
+        own = a if i % 3 else a[: len(a) // 3] + a[-8:]
+        texts.append(f"at {''.join(own[k] for k in rng.integers(0, len(own), int(rng.integers(16, 90))))}{'=' * int(rng.integers(0, 3))} and")
+    texts += [f"someWordsThatAre{i}WrittenTogether2 zzzzzzzzzzzzzzzzzzzzzzzzB1" for i in range(100)]
+    want, p = brute_random(texts)
+    rows = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), ("doc_id",)).select("doc.doc_id", "base", "spans").collect()
+    got = {(r.doc_id, s["start"], s["end"]) for r in rows for s in r["spans"] if s["kind"] == "random"}
+    base = {r.doc_id: r["base"] for r in rows}
+    want = {w for w in want if not any(b["start"] < w[2] and w[1] < b["end"] for b in base[w[0]])}
+    # p-values are counted in bins of a hundredth of a decimal power, so only candidates at the very border may differ.
+    assert len(got ^ want) <= 2 and len(got) > 100 and len(p) - len(got) > 100
+
+
+def test_a_candidate_of_a_megabyte_takes_linear_time(spark):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    image = letters[rng.integers(0, 64, 1_000_000)].tobytes().decode()
+    many = " ".join(f"{i:016x}" for i in range(20_000))
+    df = spark.createDataFrame([(0, f"src={image} end"), (1, many)], "doc_id int, text string").repartition(2)
+    began = time.time()
+    got = {r.doc_id: r["spans"] for r in find_secrets(df, ("doc_id",)).select("doc.doc_id", "spans").collect()}
+    assert time.time() - began < 120
+    assert [s["start"] for s in got[1] if s["kind"] == "hex"] == [17 * i for i in range(20_000)]
+    assert len(got[0]) == 1 and got[0][0]["end"] == 4 + len(image)
+
+
+def test_chunk_tokenizer_on_random_unicode():
+    """Thousands of strings of all categories, with runs of spaces, controls and the text of the special token."""
+    rng = np.random.default_rng(8)
+    pools = [[chr(c) for c in range(lo, hi) if unicodedata.category(chr(c)) != "Cs"] for lo, hi in ((9, 14), (32, 33), (33, 127), (127, 256), (0x300, 0x600), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x4F00), (0x1F600, 0x1F650), (0, 32), (0xAC00, 0xAC80), (0x1D400, 0x1D440))]
+    whole, texts = Tokenizer.from_file(default_tokenizer_path()), []
+    for _ in range(6000):
+        parts = []
+        for _ in range(int(rng.integers(1, 12))):
+            pool = pools[int(rng.integers(len(pools)))]
+            parts.append("".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 6)))))
+            parts.append(("", " ", "  ", "\n", " \n ", "<|endoftext|>", "\t ", "'s")[int(rng.integers(8))])
+        texts.append("".join(parts))
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    coder = ChunkTokenizer(default_tokenizer_path(), 5000)
+    got = [ids.tolist() for a in range(0, len(texts), 200) for ids in coder.encode(texts[a : a + 200])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
