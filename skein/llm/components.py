@@ -10,16 +10,20 @@ from skein.llm.common import cut_lineage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    # Written down, so that the join is one of two plain shuffles, of which Spark splits the rows of a hub.
+    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
     moved = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b")
     return moved.filter("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Here a < b: b's smaller neighbours and b itself all move to the least of them.
-    least = edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("k"), "m")
+    edges = cut_lineage(edges)
+    least = cut_lineage(edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("k"), "m"))
     moved = edges.join(least, F.col("b") == F.col("k")).select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"), F.col("b").alias("c"))
-    return moved.select("a", "b").unionByName(moved.select("a", F.col("c").alias("b"))).filter("a < b").distinct()
+    # One pass over the join gives both moves.
+    ends = moved.select("a", F.explode(F.array("b", "c")).alias("b"))
+    return ends.filter("a < b").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

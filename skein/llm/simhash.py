@@ -6,8 +6,8 @@ all signatures each, so a posting stands for three positions at once and lists t
 them; any 4 of the 8 positions hold one of 20 such triples, so no pair that reaches the guaranteed matches is lost.
 Inside a posting each pair's shared bytes are tallied over all positions, pairs with fewer than the guaranteed number
 go, and the rest are verified on all bits. A posting returns a spanning forest of its verified pairs, never the pairs
-themselves, and postings beyond a size are worked off as pairs of bounded chunks. Components of the links give the
-groups.
+themselves. Rows of postings beyond a size are keyed once more with a fourth position, which a linking pair shares as
+well; only what is oversized then is worked off as pairs of bounded chunks. Components of the links give the groups.
 
 The corpus stage asks for a Jaccard similarity of shingle sets, of which a signature gives only an estimate. There,
 bands of minima bring together what may be alike, and every link is verified on the shingle sets themselves.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import cos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +210,15 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block
     easy, hot = found.filter("key IS NULL").select("a", "b"), found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
     if hot.isEmpty():
         return easy
-    # An oversized posting is dealt into chunks of half a block; every two chunks meet in one task.
+    if positions > len(sets[0]):
+        # The rows of an oversized posting that may still link share one more position, so each is keyed anew by that.
+        again = hot.join(nodes.select(*names), "node").select("key", *names)
+        again = again.mapInArrow(_one_position_more(sets, sig_words), schema).repartition("key").sortWithinPartitions("key")
+        found = cut_lineage(again.mapInArrow(_linker(sig_words, max_bits, block), "a long, b long, key long").distinct())
+        easy, hot = easy.unionByName(found.filter("key IS NULL").select("a", "b")), found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
+        if hot.isEmpty():
+            return easy
+    # What is oversized still is dealt into chunks of half a block; every two chunks meet in one task.
     chunks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("long").alias("n"))
     dealt = hot.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("node"), "n"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -221,6 +228,26 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block
     return easy.unionByName(more.select("a", "b"))
 
 
+def _one_position_more(sets: list[tuple[int, ...]], sig_words: int):
+    """Over rows (key, node, s0..) of oversized postings: a row for each further position, whose byte joins the key."""
+    names = [f"s{i}" for i in range(sig_words)]
+    width = len(sets[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            keys, node = rb.column("key").to_numpy(), rb.column("node").to_numpy()
+            sig = np.column_stack([rb.column(n).to_numpy() for n in names])
+            of_byte = np.ascontiguousarray(sig).view(np.uint8).astype(np.int64)
+            number = keys >> (8 * width)
+            for q in range(8 * sig_words):
+                own = np.flatnonzero([q not in sets[p] for p in number.tolist()])
+                if len(own):
+                    longer = (((number[own] * 8 * sig_words + q) << 8 * width | keys[own] & ((1 << 8 * width) - 1)) << 8) | of_byte[own, q]
+                    yield pa.RecordBatch.from_arrays([pa.array(longer), pa.array(node[own]), *(pa.array(c) for c in sig[own].T)], names=["key", "node", *names])
+
+    return run
+
+
 def _grouped(signed: DataFrame, names: list[str], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`signed` (doc_id, node, names) with component_id: the least doc_id of all documents reachable over links.
 
@@ -259,12 +286,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def max_bits_for(similarity: float, bits: int) -> int:
-    """Expected differing bits of two equally long shingle sets with this Jaccard similarity."""
-    target = 2 * similarity / (1 + similarity)
-    return next(b for b in range(bits, -1, -1) if cos(pi * b / bits) >= target)
-
-
 def _band_links(rows: DataFrame) -> DataFrame:
     """(a, b): in each key of (key, node) the first node and each other one."""
 
