@@ -1,32 +1,19 @@
-"""Session builder with the settings that every operator expects."""
+"""Shared folders of a session."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
-def build_session(name: str = "skein", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session in UTC with adaptive execution; the master and partition count stay as submitted unless given."""
-    builder = (
-        SparkSession.builder.appName(name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
-    if master:
-        builder = builder.master(master)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
-
-
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a folder of our own only where none is set, as in tests."""
+    """The shared folder of `spark.checkpoint.dir`; where none is set, a folder of our own in local mode, else an error."""
     import tempfile
 
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
