@@ -59,9 +59,5 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
 def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance))

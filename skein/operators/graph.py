@@ -6,11 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scores import age_days, decayed_weight
-from skein.functions.text import jaccard, normal_name
+from skein.functions.text import bigrams, jaccard, normal_name
+from skein.session import ensure_checkpoints
 
 REINFORCE, INFERRED_WEIGHT = 0.1, 0.3
 TRANSITIVE = ("DEPENDS_ON", "PART_OF")
@@ -19,7 +20,8 @@ TRANSITIVE = ("DEPENDS_ON", "PART_OF")
 def fold_entities(triples: DataFrame) -> DataFrame:
     """Entities of triples (ord, subject, subject_type, relation, object, object_type, doc, confidence).
 
-    A triple mentions its subject and its object; the type that came first stays.
+    A triple mentions its subject and its object; the type that came first stays. `n_docs` counts the documents;
+    `entity_docs` lists them.
     """
     sides = triples.select(
         F.explode(
@@ -31,11 +33,68 @@ def fold_entities(triples: DataFrame) -> DataFrame:
     ).select("m.*")
     named = sides.withColumn("name", normal_name(F.col("name")))
     first = F.min_by("type", F.struct("ord", "side"))
-    return named.groupBy("name").agg(first.alias("type"), F.count("*").alias("mention_count"), F.count_distinct("doc").alias("n_docs")).select(
-        F.substring(F.md5(F.col("name").cast("binary")), 1, 12).alias("entity_id"), "name", "type", "mention_count", "n_docs"
+    return named.groupBy("name").agg(first.alias("type"), F.count("*").alias("mention_count"), F.count_distinct("doc").alias("n_docs"), F.min("ord").alias("first_ord")).select(
+        F.substring(F.md5(F.col("name").cast("binary")), 1, 12).alias("entity_id"), "name", "type", "mention_count", "n_docs", "first_ord"
     )
 
 
+def entity_docs(triples: DataFrame) -> DataFrame:
+    """(name, doc): the documents of each entity, a row for each, so that no entity's list grows in one row."""
+    sides = triples.select(F.explode(F.array("subject", "object")).alias("name"), "doc")
+    return sides.select(normal_name(F.col("name")).alias("name"), "doc").filter("doc IS NOT NULL").distinct()
+
+
+def merged_entities(rows: DataFrame) -> DataFrame:
+    """Upserts (name, ord, type, description, aliases, mentions, seen) folded to one row a name.
+
+    The first type and the first description that isn't empty stay, aliases are united in the order in which they
+    came, mentions add up, and the last sight counts. Aliases of a name are a short list.
+    """
+    named = rows.withColumn("name", normal_name(F.col("name")))
+    alias = named.select("name", "ord", F.posexplode("aliases").alias("pos", "alias")).groupBy("name", "alias").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    listed = alias.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    described = F.col("description").isNotNull() & (F.col("description") != "")
+    folded = named.groupBy("name").agg(
+        F.min_by("type", "ord").alias("type"),
+        F.min_by("description", F.when(described, F.col("ord"))).alias("description"),
+        F.sum("mentions").alias("mention_count"),
+        F.max("seen").alias("last_seen"),
+    )
+    return folded.join(listed, "name", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def _holds(query: Column, exact: bool) -> Column:
+    low = F.lower(query)
+    test = (lambda x: F.lower(x) == low) if exact else (lambda x: F.contains(F.lower(x), low))
+    return test(F.col("name")) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), test)
+
+
+def search_entities(entities: DataFrame, query: str, kind: str | None = None, limit: int = 10) -> DataFrame:
+    """The entities (name, aliases, type, mention_count, first_ord) that hold the query in a name or alias, most mentioned first."""
+    found = entities.filter(_holds(F.lit(query), exact=False))
+    if kind is not None:
+        found = found.filter(F.col("type") == kind)
+    return found.orderBy(F.desc("mention_count"), "first_ord").limit(limit)
+
+
+def find_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, entity_id, name): for each of `names` (query) the first entity whose name or alias it is, in any case."""
+    keys = entities.select("entity_id", "name", "first_ord", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))).alias("key"))
+    hit = names.select("query", F.lower("query").alias("key")).join(keys, "key")
+    return hit.groupBy("query").agg(F.min_by("entity_id", "first_ord").alias("entity_id"), F.min_by("name", "first_ord").alias("name"))
+
+
+def relations_of(edges: DataFrame, names: DataFrame, direction: str = "both", relation: str | None = None) -> DataFrame:
+    """(name, direction, src, dst, relation, weight): edges out of and into each of `names` (name); a loop counts both ways."""
+    own = edges if relation is None else edges.filter(F.col("relation") == relation)
+    parts = [
+        names.select("name").distinct().join(own, F.col("name") == F.col(end)).select("name", F.lit(way).alias("direction"), "src", "dst", "relation", "weight")
+        for way, end in (("out", "src"), ("in", "dst"))
+        if direction in (way, "both")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fold_edges(triples: DataFrame) -> DataFrame:
     """One edge for each ordered pair: the first relation and weight stay, each later triple adds 0.1 up to 1."""
     pairs = triples.select(normal_name(F.col("subject")).alias("src"), normal_name(F.col("object")).alias("dst"), "relation", "confidence", "ord", "doc", *([F.col("ts")] if "ts" in triples.columns else []))
@@ -78,46 +137,99 @@ def decay_summary(edges: DataFrame, decayed: DataFrame) -> DataFrame:
     )
 
 
-def prune(entities: DataFrame, edges: DataFrame, min_weight: float = 0.3, min_mentions: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(removed entities, removed edges): weak edges go, then entities left without edges and rarely mentioned."""
-    weak = edges.filter(F.col("weight") < min_weight)
-    kept = edges.filter(F.col("weight") >= min_weight)
+def prune(entities: DataFrame, edges: DataFrame, min_weight: float = 0.3, min_mentions: int = 1, keep_inferred: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(removed entities, removed edges): weak edges go, then entities left without edges and rarely mentioned.
+
+    With `keep_inferred` edges marked `inferred` stay whatever their weight.
+    """
+    weak = F.col("weight") < min_weight
+    if keep_inferred:
+        weak = weak & ~F.coalesce("inferred", F.lit(False))
+    gone, kept = edges.filter(weak), edges.filter(~weak | F.col("weight").isNull())
     ends = kept.select(F.col("src").alias("name")).unionByName(kept.select(F.col("dst").alias("name")))
-    return entities.filter(F.col("mention_count") <= min_mentions).join(ends, "name", "left_anti"), weak
+    return entities.filter(F.col("mention_count") <= min_mentions).join(ends, "name", "left_anti"), gone
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    pairs = edges.select("src", "dst")
+def undirected(edges: DataFrame, min_weight: float | None = None) -> DataFrame:
+    pairs = (edges if min_weight is None else edges.filter(F.col("weight") >= min_weight)).select("src", "dst")
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """(seed, name, distance, score): nodes within `depth` undirected steps of each seed, the seed itself left out."""
-    both = undirected(edges)
-    frontier = seeds.select(F.col("name").alias("seed"), "name", F.lit(0).cast("long").alias("distance"))
+def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: float | None = None) -> DataFrame:
+    """(seed, name, distance, score): nodes within `depth` undirected steps of each seed, the seed itself left out.
+
+    Only edges of `min_weight` or more are walked. Each step is cut off by a checkpoint.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    both = undirected(edges, min_weight)
+    frontier = seeds.select(F.col("name").alias("seed"), "name", F.lit(0).cast("long").alias("distance")).distinct()
     seen = frontier
     for step in range(1, depth + 1):
         reached = frontier.join(both, frontier["name"] == both["src"]).select("seed", F.col("dst").alias("name")).distinct()
-        frontier = reached.join(seen, ["seed", "name"], "left_anti").withColumn("distance", F.lit(step).cast("long"))
+        frontier = reached.join(seen, ["seed", "name"], "left_anti").withColumn("distance", F.lit(step).cast("long")).checkpoint()
         seen = seen.unionByName(frontier)
     return seen.filter("distance > 0").withColumn("score", 1.0 / (1 + F.col("distance")))
 
 
+def neighbourhood_docs(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """(seed, doc): the documents (name, doc) of each seed and of its neighbourhood (seed, name)."""
+    both = near.select("seed", "name").unionByName(near.select("seed", F.col("seed").alias("name"))).distinct()
+    return both.join(docs, "name").select("seed", "doc").distinct()
+
+
+def first_neighbours(near: DataFrame, n: int) -> DataFrame:
+    """The first `n` of each seed's neighbourhood, by falling score, then name."""
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "name")))
+    return ranked.filter(F.col("rank") <= n)
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4) -> DataFrame:
-    """(src, dst, path): for each pair (src, dst) the least of its shortest undirected paths of up to `max_nodes` nodes."""
+    """(src, dst, path): for each pair (src, dst) the least of its shortest undirected paths of up to `max_nodes` nodes.
+
+    The search goes from both ends and meets in the middle, so a hub is opened from the side that reaches it first and
+    no path is carried beyond half its length.
+    """
+    ensure_checkpoints(edges.sparkSession)
     both = undirected(edges).select(F.col("src").alias("from"), F.col("dst").alias("to"))
-    open_ = pairs.select("src", "dst", F.array("src").alias("nodes"))
-    done = []
-    for _ in range(max_nodes - 1):
-        grown = open_.join(both, F.element_at("nodes", -1) == F.col("from")).filter(~F.array_contains("nodes", F.col("to")))
-        grown = grown.select("src", "dst", F.concat("nodes", F.array("to")).alias("nodes"))
+
+    def grown(open_: DataFrame, backwards: bool) -> DataFrame:
+        end = F.element_at("nodes", 1 if backwards else -1)
+        longer = F.concat(F.array("to"), F.col("nodes")) if backwards else F.concat(F.col("nodes"), F.array("to"))
+        step = open_.join(both, end == F.col("from")).filter(~F.array_contains("nodes", F.col("to"))).select("key", "to", longer.alias("nodes"))
         # Of several paths to one node the least is enough, for their continuations are the same.
-        grown = grown.groupBy("src", "dst", F.element_at("nodes", -1).alias("end")).agg(F.min("nodes").alias("nodes")).drop("end")
-        hit = grown.filter(F.element_at("nodes", -1) == F.col("dst"))
-        done.append(hit)
-        open_ = grown.join(hit.select("src", "dst"), ["src", "dst"], "left_anti")
-    found = reduce(DataFrame.unionByName, done)
-    return found.select("src", "dst", F.array_join("nodes", " -> ").alias("path"), F.size("nodes").cast("long").alias("n_nodes"))
+        return step.groupBy("key", F.col("to").alias("at")).agg(F.min("nodes").alias("nodes")).checkpoint()
+
+    wanted = pairs.select("src", "dst").filter("src <> dst").distinct()
+    left = [wanted.select("src").distinct().select(F.col("src").alias("key"), F.col("src").alias("at"), F.array("src").alias("nodes"))]
+    right = [wanted.select("dst").distinct().select(F.col("dst").alias("key"), F.col("dst").alias("at"), F.array("dst").alias("nodes"))]
+    found = []
+    for steps in range(1, max_nodes):
+        here, there = steps - steps // 2, steps // 2
+        while len(left) <= here:
+            left.append(grown(left[-1], False))
+        while len(right) <= there:
+            right.append(grown(right[-1], True))
+        a = wanted.join(left[here].select(F.col("key").alias("src"), "at", F.col("nodes").alias("l")), "src")
+        b = right[there].select(F.col("key").alias("dst"), "at", F.col("nodes").alias("r"))
+        met = a.join(b, ["dst", "at"]).select("src", "dst", F.concat("l", F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))).alias("nodes"))
+        hit = met.filter(F.size(F.array_distinct("nodes")) == F.size("nodes")).groupBy("src", "dst").agg(F.min("nodes").alias("nodes")).checkpoint()
+        found.append(hit)
+        wanted = wanted.join(hit.select("src", "dst"), ["src", "dst"], "left_anti").checkpoint()
+    every = reduce(DataFrame.unionByName, found)
+    return every.select("src", "dst", F.array_join("nodes", " -> ").alias("path"), F.size("nodes").cast("long").alias("n_nodes"))
+
+
+def context_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4) -> DataFrame:
+    """(src, dst, path, n_nodes): the edge from src to dst, else the one from dst to src, else the shortest path.
+
+    An edge is written `a --[relation]--> b`.
+    """
+    arrow = lambda a, b: F.concat(a, F.lit(" --["), F.col("relation"), F.lit("]--> "), b)
+    ahead = pairs.select("src", "dst").join(edges.select("src", "dst", "relation"), ["src", "dst"]).select("src", "dst", F.lit(0).alias("way"), arrow(F.col("src"), F.col("dst")).alias("path"))
+    back = pairs.select("src", "dst").join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "relation"), ["src", "dst"]).select("src", "dst", F.lit(1).alias("way"), arrow(F.col("dst"), F.col("src")).alias("path"))
+    direct = ahead.unionByName(back).groupBy("src", "dst").agg(F.min_by("path", "way").alias("path")).withColumn("n_nodes", F.lit(2).cast("long"))
+    rest = pairs.select("src", "dst").join(direct.select("src", "dst"), ["src", "dst"], "left_anti")
+    return direct.unionByName(shortest_paths(edges, rest, max_nodes))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -140,8 +252,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return labels
 
 
-def neighbour_sets(edges: DataFrame, key: str, value: str) -> DataFrame:
-    return edges.groupBy(F.col(key).alias("name")).agg(F.array_sort(F.collect_set(value)).alias("neighbours"))
+def neighbour_sets(edges: DataFrame, key: str = "src", value: str = "dst", both_ways: bool = True) -> DataFrame:
+    """(name, neighbours): the sorted distinct names at the other end of a node's edges, of either direction."""
+    pairs = edges.select(F.col(key).alias("name"), F.col(value).alias("near"))
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select(F.col("near").alias("name"), F.col("name").alias("near")))
+    return pairs.groupBy("name").agg(F.array_sort(F.collect_set("near")).alias("neighbours"))
 
 
 def drift(old: DataFrame, new: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -164,8 +280,8 @@ def alias_candidates(vectors: DataFrame, threshold: float = 0.85, block: int = 2
     """(kind, a, b, similarity): pairs of one kind with at least this cosine, a before b.
 
     A kind is dealt into blocks of about `block` ids, so that none is confined to one task; every two blocks meet in
-    one task, which multiplies them as matrices and gives out only the pairs over the threshold. Vectors of different
-    lengths are no pair and a zero vector has similarity 0.
+    one task, which multiplies them as matrices and gives out only the pairs over the threshold: work that grows with
+    the square of a kind. Null vectors and vectors of different lengths are no pair, a zero vector has similarity 0.
     """
     sizes = vectors.groupBy("kind").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -175,6 +291,7 @@ def alias_candidates(vectors: DataFrame, threshold: float = 0.85, block: int = 2
 
     def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        pdf = pdf[pdf["v"].notna()]
         for _, alike in pdf.groupby(pdf["v"].map(len)):
             m = np.array(alike["v"].tolist(), np.float64).reshape(len(alike), -1)
             norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -207,6 +324,86 @@ def alias_merges(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     return merges.join(gone, "canonical", "left").select("alias", "canonical", "similarity", F.coalesce(F.col("gone") > F.col("order"), F.lit(True)).alias("effective"))
 
 
+def rewritten_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """Entities (name, type, mention_count, aliases) after effective merges (alias, canonical): the canonical one stays.
+
+    It takes over mentions and names of those merged into it. A chain of merges is followed to its end.
+    """
+    final = final_names(merges)
+    moved = entities.join(final.withColumnRenamed("alias", "name"), "name", "left").withColumn("into", F.coalesce("canonical", "name"))
+    own = F.col("into") == F.col("name")
+    names = F.when(own, F.col("aliases")).otherwise(F.concat(F.array("name"), F.col("aliases")))
+    listed = moved.select("into", F.explode(names).alias("a")).groupBy("into").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
+    folded = moved.groupBy("into").agg(F.max(F.when(own, F.col("type"))).alias("type"), F.sum("mention_count").alias("mention_count"))
+    return folded.join(listed, "into", "left").select(F.col("into").alias("name"), "type", "mention_count", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def final_names(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(alias, canonical) with every chain followed to its end, by doubling steps that are cut off by checkpoints."""
+    ensure_checkpoints(merges.sparkSession)
+    now = merges.select("alias", "canonical").checkpoint()
+    for _ in range(max_rounds):
+        ahead = now.select(F.col("alias").alias("canonical"), F.col("canonical").alias("next"))
+        new = now.join(ahead, "canonical", "left").select("alias", F.coalesce("next", "canonical").alias("canonical"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        now = new.select("alias", "canonical")
+        if new.filter("moved").isEmpty():
+            return now
+    raise RuntimeError("merges form a circle")
+
+
+def rewritten_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """Edges (src, dst, relation, weight) with merged ends; an edge that was there before wins, else the heaviest.
+
+    Edges between an alias and its canonical entity go.
+    """
+    final = final_names(merges)
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(final.select(F.col("alias").alias(end), F.col("canonical").alias(f"new_{end}")), end, "left")
+    moved = F.col("new_src").isNotNull() | F.col("new_dst").isNotNull()
+    named = out.select(F.coalesce("new_src", "src").alias("s"), F.coalesce("new_dst", "dst").alias("d"), "relation", "weight", moved.alias("moved"), "src", "dst")
+    named = named.filter(~F.col("moved") | (F.col("s") != F.col("d")))
+    order = F.struct("moved", (-F.col("weight")).alias("w"), "src", "dst")
+    return named.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.min_by("relation", order).alias("relation"), F.min_by("weight", order).alias("weight"))
+
+
+def recognised(queries: DataFrame, entities: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """(query_id, name, at): entities (name, mention_count, first_ord) that words of the queries (query_id, text) name.
+
+    Candidates are neighbouring pairs of words, then words, of two characters or more. A candidate's entity is the
+    most mentioned one whose name holds it, even inside a word; it counts if at least `ratio` of its name's words are
+    in the candidate. `at` is the candidate's place. The first three characters of a candidate lead to the names that
+    hold them, so that names are not compared with every candidate.
+    """
+    parts = lambda text: F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = queries.select("query_id", parts(F.col("text")).alias("w")).select("query_id", F.posexplode(F.concat(bigrams(F.col("w")), F.col("w"))).alias("at", "candidate"))
+    asked = asked.filter(F.length("candidate") >= 2)
+    # The most mentioned entity that holds a candidate is found once for each distinct candidate.
+    distinct = asked.select("candidate", F.substring("candidate", 1, 3).alias("gram")).distinct()
+    named = entities.select("name", "mention_count", "first_ord", F.lower("name").alias("low"), parts(F.col("name")).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1)))
+    grams = named.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(F.substr("low", i, F.lit(2)), F.substr("low", i, F.lit(3))))))))
+    hit = distinct.join(grams, "gram").filter(F.contains("low", F.col("candidate")))
+    order = F.struct((-F.col("mention_count")).alias("m"), "first_ord", "name")
+    best = hit.groupBy("candidate").agg(F.min_by("name", order).alias("name"), F.min_by("words", order).alias("words"))
+    held = F.size(F.array_intersect("words", F.split("candidate", " "))) / F.size(F.array_distinct("words"))
+    good = best.filter((F.size("words") > 0) & (held >= ratio)).select("candidate", "name")
+    return asked.join(good, "candidate").groupBy("query_id", "name").agg(F.min("at").cast("long").alias("at"))
+
+
+def expansion_queries(seeds: DataFrame, near: DataFrame, per_seed: int = 3, limit: int = 5) -> DataFrame:
+    """(query_id, expansion, score, no): "seed neighbour" texts of each query's seeds (query_id, name, at).
+
+    The first `per_seed` of a seed's neighbourhood (seed, name, score) count, two names in either order once, and of a
+    query's texts the first `limit` by falling score, then by the order in which they came.
+    """
+    chosen = first_neighbours(near, per_seed).select(F.col("seed").alias("name"), F.col("name").alias("other"), "score", "rank")
+    pairs = seeds.join(chosen, "name").withColumn("key", F.array_sort(F.array("name", "other"))).withColumn("ord", F.struct("at", "name", "rank"))
+    once = pairs.groupBy("query_id", "key").agg(F.min("ord").alias("ord"), F.min_by(F.concat_ws(" ", "name", "other"), "ord").alias("expansion"), F.min_by("score", "ord").alias("score"))
+    ranked = once.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")))
+    return ranked.filter(F.col("no") <= limit).select("query_id", "expansion", "score", F.col("no").cast("long").alias("no"))
+
+
 def type_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, type, n): totals and counts by type of entities and edges; a null type is the total."""
     def counts(df: DataFrame, what: str, col: str) -> DataFrame:

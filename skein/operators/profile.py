@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.scores import half_life, level, linear_saturation, log_saturation
+from skein.functions.scores import half_life, level, linear_saturation, log_saturation, stepped_decay
+from skein.functions.text import date_in, extension
 
 #: Weights of entries, density, recency and outcome by (graph, recency, outcome) being known.
 COMPETENCE_WEIGHTS = {
@@ -23,6 +24,250 @@ COMPETENCE_WEIGHTS = {
 #: Prior successes and failures of the first arm and of all others.
 DEFAULT_PRIOR, OTHER_PRIOR = (2, 1), (1, 1)
 DRIFT, ALPHA_CALM, ALPHA_DRIFT, TOPICS = 0.3, 0.3, 0.7, 10
+#: Categories that say what is done, not what it is about.
+META_CATEGORIES = ("general", "error_fix", "explanation", "code_generation", "refactor", "decision")
+#: The canonical task type of a category; None drops it, others stand for themselves.
+TASK_TYPES = {
+    "debugging": "debugging", "debugging-real": "debugging", "error_fix": "debugging", "code_review": "code_review", "code-review": "code_review",
+    "ddd": "architecture", "hexagonal": "architecture", "clean-architecture": "architecture", "architecture-decisions": "architecture", "api-design": "architecture",
+    "ml": "ml_engineering", "ml-finetuning": "ml_engineering", "ml-rag": "ml_engineering", "ml-embeddings": "ml_engineering", "ml-agents": "ml_engineering",
+    "ml-prompting": "ml_engineering", "ml-quantization": "ml_engineering", "ml-deployment": "ml_engineering", "ml-vectordb": "ml_engineering", "ml-evaluation": "ml_engineering",
+    "agents": "ml_engineering", "langgraph": "ml_engineering", "docker": "devops", "kubernetes": "devops", "terraform": "devops", "cicd": "devops", "nginx": "devops", "git": "devops",
+    "angular": "frontend", "react": "frontend", "nextjs": "frontend", "typescript": "frontend", "postgresql": "backend", "fastapi": "backend", "python": "backend",
+    "security": "security", "keycloak": "security", "testing": "testing", "refactoring": "refactoring", "code_generation": "generation", "explanation": "generation",
+    "general": None, "decision": None, "refactor": None,
+}
+#: Languages by suffix, frameworks by category in order, formal categories.
+LANGUAGES = {
+    ".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".java": "Java", ".go": "Go", ".rs": "Rust",
+    ".rb": "Ruby", ".cs": "C#", ".cpp": "C++", ".c": "C", ".kt": "Kotlin", ".swift": "Swift",
+}
+CODE_SUFFIXES = (*LANGUAGES, ".h", ".vue", ".svelte", ".sh", ".sql")
+FRAMEWORKS = {"fastapi": "FastAPI with async/await and Pydantic", "django": "Django", "flask": "Flask", "angular": "Angular", "react": "React with TypeScript", "nextjs": "Next.js"}
+FORMAL = ("ddd", "terraform", "kubernetes", "civil_law", "labor_law")
+#: Rows that a table of topics or instincts may have where each row of another table is held against all of them.
+SMALL_TABLE = 10_000
+
+
+def small(table: DataFrame, limit: int = SMALL_TABLE) -> list:
+    """All rows of a table that has `limit` rows at most; more are an error, never cut off."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows in a table that should be small")
+    return rows
+
+
+def tag_counts(rows: DataFrame) -> DataFrame:
+    """(what, name, n) of (category, tags): rows by category, by each of their tags, and in all (a null name)."""
+    every = F.concat(F.array(F.struct(F.lit("category").alias("what"), F.col("category").alias("name")), F.struct(F.lit("total").alias("what"), F.lit(None).cast("string").alias("name"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.struct(F.lit("tag").alias("what"), t.alias("name"))))
+    return rows.select(F.inline(every)).groupBy("what", "name").agg(F.count("*").alias("n"))
+
+
+def capture_counts(captures: DataFrame) -> DataFrame:
+    """(what, name, n) of (project, file_modified, tool): by project, by suffix in its own case, by tool, and in all."""
+    every = F.array(*(F.struct(F.lit(w).alias("what"), c.alias("name")) for w, c in (("project", F.col("project")), ("suffix", extension(F.col("file_modified"))), ("tool", F.col("tool")), ("total", F.lit(None).cast("string")))))
+    named = captures.select(F.inline(every)).filter("what = 'total' OR name <> ''")
+    return named.groupBy("what", "name").agg(F.count("*").alias("n"))
+
+
+def task_types(counts: DataFrame, top: int = 10) -> DataFrame:
+    """(task_type, n) of (category, n): categories brought to their canonical types, the `top` first by count, then name."""
+    meant = F.create_map(*(F.lit(x) for k, v in TASK_TYPES.items() if v for x in (k, v)))
+    dropped = [k for k, v in TASK_TYPES.items() if v is None]
+    named = counts.filter(~F.col("category").isin(*dropped)).select(F.coalesce(meant[F.col("category")], F.col("category")).alias("task_type"), "n")
+    return named.groupBy("task_type").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "task_type").limit(top)
+
+
+def profile(categories: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """One row of a profile from (category, n) and (suffix, n): domain, confidence, formality, patterns, topics, task types.
+
+    The share of code is 0.6 of the suffixes' and 0.4 of the categories', or the one that is known; over 0.3 the domain
+    is software development, else the most frequent category. Ties go by name. Without any counts all is unknown.
+    """
+    code = F.sum(F.when(F.col("suffix").isin(*CODE_SUFFIXES), F.col("n")).otherwise(0))
+    ext = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_ext"), F.coalesce(code, F.lit(0)).alias("code_ext"), F.count("*").alias("n_suffixes"))
+    first = suffixes.orderBy(F.desc("n"), "suffix").limit(1).select(F.col("suffix").alias("top_suffix"))
+    known = F.sum(F.when(F.col("category").isin(*TASK_TYPES), F.col("n")).otherwise(0))
+    formal = F.sum(F.when(F.col("category").isin(*FORMAL), F.col("n")).otherwise(0))
+    marked = ("ddd", "hexagonal", "clean-architecture", "docker", "kubernetes", "terraform", "langgraph", "agents", "ml", "ml-rag", "ml-agents", *FRAMEWORKS)
+    cat = categories.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_cat"), F.coalesce(known, F.lit(0)).alias("code_cat"), F.coalesce(formal, F.lit(0)).alias("n_formal"),
+        F.collect_set(F.when(F.col("category").isin(*marked), F.col("category"))).alias("held"),
+    )
+    order = lambda names: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(names).alias("x")))), lambda r: r["x"])
+    top5 = categories.orderBy(F.desc("n"), "category").limit(5).agg(order("category").alias("top_five"), F.max("n").alias("top_n"))
+    tasks = task_types(categories).agg(order("task_type").alias("task_types"))
+    weights = topic_weights_of(categories).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "topic", F.round("weight", 6).alias("weight")))), lambda r: F.struct(r["topic"].alias("topic"), r["weight"].alias("weight"))).alias("topics"))
+    # Every side is one row.
+    row = ext.join(cat).join(top5).join(tasks).join(weights).join(first, F.lit(True), "left")
+    ratio = (
+        F.when((F.col("n_ext") > 0) & (F.col("n_cat") > 0), 0.6 * F.col("code_ext") / F.col("n_ext") + 0.4 * F.col("code_cat") / F.col("n_cat"))
+        .when(F.col("n_ext") > 0, F.col("code_ext") / F.col("n_ext"))
+        .when(F.col("n_cat") > 0, F.col("code_cat") / F.col("n_cat"))
+    )
+    row = row.withColumn("ratio", ratio).withColumn("code", F.coalesce(F.col("ratio") > 0.3, F.lit(False)))
+    has = lambda c: F.array_contains("held", c)
+    language = F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v)))[F.col("top_suffix")]
+    framework = F.lit(None).cast("string")
+    for name, text in reversed(FRAMEWORKS.items()):
+        framework = F.when(has(name), F.lit(text)).otherwise(framework)
+    infra = F.array_compact(F.array(*(F.when(has(n), F.lit(n.capitalize())) for n in ("docker", "kubernetes", "terraform"))))
+    real = F.slice(F.filter("top_five", lambda c: ~c.isin(*META_CATEGORIES)), 1, 3)
+    of_code = F.array_compact(
+        F.array(
+            F.when(language.isNotNull(), F.concat(F.lit("Use "), language, F.lit(" for code examples"))),
+            F.when(framework.isNotNull(), F.concat(F.lit("Prefer "), framework)),
+            F.when(has("ddd") | has("hexagonal"), F.lit("Follow DDD and hexagonal architecture")).when(has("clean-architecture"), F.lit("Follow clean architecture patterns")),
+            F.when(F.size(infra) > 0, F.concat(F.lit("Deploy with "), F.array_join(infra, ", "))),
+            F.when(has("langgraph") | has("agents") | has("ml") | has("ml-rag") | has("ml-agents"), F.lit("Build AI agents and RAG pipelines")),
+        )
+    )
+    of_other = F.when(F.size(real) > 0, F.array(F.concat(F.lit("Key areas: "), F.array_join(real, ", ")))).otherwise(F.array().cast("array<string>"))
+    return row.select(
+        F.when(F.col("code"), "software_development").when(F.col("n_cat") > 0, F.replace(F.get("top_five", F.lit(0)), F.lit("-"), F.lit("_"))).otherwise("unknown").alias("domain"),
+        F.round(F.when(F.col("code"), F.least(F.col("ratio"), F.lit(1.0))).when(F.col("n_cat") > 0, F.col("top_n") / F.col("n_cat")).otherwise(0.0), 6).alias("confidence"),
+        F.round(F.when(F.col("n_cat") > 0, F.least(0.4 + 0.6 * F.col("n_formal") / F.col("n_cat"), F.lit(1.0))).otherwise(0.5), 6).alias("formality"),
+        F.when(F.col("code"), of_code).otherwise(of_other).alias("patterns"),
+        "topics",
+        "task_types",
+        (F.col("n_ext") + F.col("n_cat")).cast("long").alias("n"),
+    )
+
+
+def topic_weights_of(counts: DataFrame, top: int = TOPICS) -> DataFrame:
+    """(topic, n, weight) of (category, n): the most frequent categories that are no meta ones, by their share of those."""
+    own = counts.filter(~F.col("category").isin(*META_CATEGORIES))
+    total = own.agg(F.sum("n").alias("total"))
+    return own.join(F.broadcast(total)).select(F.col("category").alias("topic"), "n", (F.col("n") / F.col("total")).alias("weight")).orderBy(F.desc("n"), "topic").limit(top)
+
+
+def ordered_union(old: Column, new: Column, most: int | None = None) -> Column:
+    """The elements of both arrays in the order in which they first come, `most` at most."""
+    both = F.array_distinct(F.concat(old, new))
+    return F.slice(both, 1, most) if most else both
+
+
+def drifted_topics(old: DataFrame, new: DataFrame, key: str, least: float = 0.1) -> DataFrame:
+    """(key, topics): topics of (key, topic, weight) whose weight changed by over `least`, by name."""
+    both = old.select(key, "topic", F.col("weight").alias("o")).join(new.select(key, "topic", F.col("weight").alias("n")), [key, "topic"], "full").fillna(0.0, ["o", "n"])
+    moved = both.filter(F.round(F.abs(F.col("o") - F.col("n")), 9) > least)
+    return moved.groupBy(key).agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+
+
+def topics_of_captures(captures: DataFrame, topics: list[str], by_suffix: dict[str, str]) -> DataFrame:
+    """`captures` (tags, project, file_modified, …) with a row for each topic that they belong to.
+
+    A topic is among the tags, or part of the project's name, or what the file's suffix stands for. The topics are a
+    short list, so each capture is held against them in its own row and nothing is joined.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
+    by_file = F.create_map(*(F.lit(x) for k, v in by_suffix.items() for x in (k, v.lower())))[low(extension(F.col("file_modified")))]
+    held = F.filter(F.array(*map(F.lit, topics)).cast("array<string>"), lambda t: F.array_contains(tags, F.lower(t)) | F.contains(low(F.col("project")), F.lower(t)) | F.coalesce(by_file == F.lower(t), F.lit(False)))
+    return captures.select("*", F.explode(held).alias("topic"))
+
+
+def latest_activity(matched: DataFrame, files: DataFrame, topics: list[str]) -> DataFrame:
+    """(topic, last): the latest ISO time of captures (topic, timestamp) and of dates in file names (name) that hold the topic."""
+    held = F.filter(F.array(*map(F.lit, topics)).cast("array<string>"), lambda t: F.contains(F.lower("name"), F.lower(t)))
+    dated = files.select(F.explode(held).alias("topic"), date_in(F.col("name")).alias("timestamp")).filter("timestamp IS NOT NULL")
+    return matched.select("topic", "timestamp").filter("timestamp <> ''").unionByName(dated).groupBy("topic").agg(F.max("timestamp").alias("last"))
+
+
+def topic_edges(topics: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic, edges): edges at the entity that a topic names, loops left out; a topic without an entity has no row.
+
+    `names` has (key, name): each entity under its name and aliases.
+    """
+    found = topics.select("topic", F.lower("topic").alias("key")).join(names.select(F.lower("key").alias("key"), "name").distinct(), "key").select("topic", "name").distinct()
+    ends = edges.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return found.join(ends, "name", "left").groupBy("topic").agg(F.sum(F.coalesce("n", F.lit(0))).alias("edges"))
+
+
+def experts(competences: DataFrame) -> DataFrame:
+    return competences.filter("level = 'Expert'")
+
+
+def competence_of(topics: DataFrame, competences: DataFrame) -> DataFrame:
+    """(topic, level, score) of asked topics (topic), Unknown and 0 where nothing is known."""
+    known = competences.select(F.lower("topic").alias("key"), "level", "score")
+    found = topics.withColumn("key", F.lower("topic")).join(known, "key", "left")
+    return found.select("topic", F.coalesce("level", F.lit("Unknown")).alias("level"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+#: Categories of instincts, and the least confidence of one that is used.
+INSTINCT_CATEGORIES, USABLE = ("workflow", "preference", "shortcut", "context", "timing"), 0.3
+
+
+def matched_instincts(queries: DataFrame, instincts: DataFrame, least: float = USABLE) -> DataFrame:
+    """(query_id, id, confidence, rank): enabled instincts (id, pattern, confidence, enabled) whose pattern a query holds, best first."""
+    usable = small(instincts.filter(F.col("enabled") & (F.col("confidence") >= least)).select("id", F.lower("pattern").alias("pattern"), "confidence"))
+    rows = F.array(*(F.struct(F.lit(r["id"]).alias("id"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["confidence"]).alias("confidence")) for r in usable)) if usable else F.array().cast("array<struct<id:string,pattern:string,confidence:double>>")
+    held = F.filter(rows, lambda i: F.contains(F.lower("text"), i["pattern"]))
+    best = F.array_sort(F.transform(held, lambda i: F.struct((-i["confidence"]).alias("c"), i["id"].alias("id"))))
+    found = queries.select("query_id", F.posexplode(best).alias("pos", "i"))
+    return found.select("query_id", "i.id", (-F.col("i.c")).alias("confidence"), (F.col("pos") + 1).cast("long").alias("rank"))
+
+
+def changed_instincts(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """`current` (id, pattern, category, confidence, enabled) after the last change (id, ord, deleted, …) of each id.
+
+    A change of a category outside the list is left out.
+    """
+    fields = ["pattern", "category", "confidence", "enabled"]
+    good = changes.filter(F.col("deleted") | F.col("category").isin(*INSTINCT_CATEGORIES))
+    last = good.groupBy("id").agg(F.max_by(F.struct("deleted", *fields), "ord").alias("c"))
+    kept = current.select("id", *fields).join(last.select("id"), "id", "left_anti")
+    return kept.unionByName(last.filter("NOT c.deleted").select("id", *(f"c.{f}" for f in fields)))
+
+
+def instinct_stats(instincts: DataFrame) -> DataFrame:
+    """One row: total, enabled, needing review, mean confidence of enabled ones, activations."""
+    on = F.col("enabled")
+    return instincts.agg(
+        F.count("*").alias("total"), F.count_if(on).alias("enabled"), F.count_if(on & (F.col("confidence") < USABLE)).alias("needs_review"),
+        F.coalesce(F.round(F.avg(F.when(on, F.col("confidence"))), 3), F.lit(0.0)).alias("mean_confidence"), F.coalesce(F.sum("activations"), F.lit(0)).alias("activations"),
+    )
+
+
+def decayed_instincts(instincts: DataFrame, reference: Column) -> DataFrame:
+    """`instincts` (confidence, last_used, …) with `confidence` lowered in steps for every month without use, and idle_days."""
+    idle = F.floor(F.timestamp_diff("MICROSECOND", F.col("last_used"), reference) / F.lit(86_400_000_000))
+    return instincts.withColumn("idle_days", idle).withColumn("confidence", F.round(stepped_decay(F.col("confidence"), F.col("idle_days")), 6))
+
+
+def review_candidates(instincts: DataFrame) -> DataFrame:
+    return instincts.filter(F.col("enabled") & (F.col("confidence") < USABLE))
+
+
+def feedback_of(outcomes: DataFrame) -> DataFrame:
+    """`outcomes` that are accepted or rejected, with `feedback` positive or negative."""
+    meant = F.when(F.col("outcome") == "accepted", "positive").when(F.col("outcome") == "rejected", "negative")
+    return outcomes.withColumn("feedback", meant).filter("feedback IS NOT NULL")
+
+
+def loop_updates(outcomes: DataFrame, decisions: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each turn's outcome teaches: (context, arm, accepted) of its decision, (key, ord, accepted) of its instincts.
+
+    `outcomes` has (conv_id, turn, outcome) where the outcome is what the next turn said about this one, `decisions`
+    (conv_id, turn, context, arm) and `matched` (conv_id, turn, id). Neutral outcomes teach nothing.
+    """
+    said = feedback_of(outcomes).select("conv_id", "turn", (F.col("feedback") == "positive").alias("accepted"))
+    arms = said.join(decisions, ["conv_id", "turn"]).select("context", "arm", "accepted")
+    events = said.join(matched, ["conv_id", "turn"]).select(F.col("id").alias("key"), F.struct("conv_id", "turn").alias("ord"), "accepted")
+    return arms, events
+
+
+def best_arms(posterior: DataFrame) -> DataFrame:
+    """(context, arm, mean) of the arm with the largest mean other than the default one; the lower number wins ties."""
+    order = F.struct((-F.col("mean")).alias("m"), "arm_no")
+    return posterior.filter("arm_no > 0").groupBy("context").agg(F.min_by("arm", order).alias("arm"), F.max("mean").alias("mean"))
+
+
+def new_habits(events: DataFrame, session: str, topic: str, order: tuple[str, ...], text: str, known: DataFrame, n: int = 3, least_words: int = 5) -> DataFrame:
+    """The n-th query of each topic in each session, of queries of `least_words` words or more; topics of `known` (pattern) are left out."""
+    long_ = events.filter(F.size(F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")) >= least_words)
+    return nth_in_session(long_, session, topic, order, n).join(known.select(F.col("pattern").alias(topic)).distinct(), topic, "left_anti")
 
 
 def topic_weights(rows: DataFrame, topic: str, keys: tuple[str, ...] = (), top: int = TOPICS, without: tuple[str, ...] = ()) -> DataFrame:
@@ -89,17 +334,20 @@ def competence(entries: DataFrame, density: DataFrame, recency: DataFrame, rates
 
 
 def posteriors(contexts: DataFrame, arms: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(context, arm, alpha, beta, mean, best) from outcomes (context, arm, accepted); rows of unknown arms don't count.
+    """(context, arm, arm_no, alpha, beta, mean, best) from outcomes (context, arm, accepted); rows of unknown arms don't count.
 
     Every context has every arm, by its prior if it was never drawn; arms are a short fixed table (arm, arm_no).
     """
+    if arms.count() > SMALL_TABLE:
+        raise ValueError(f"more than {SMALL_TABLE} arms")
     grid = contexts.select("context").distinct().join(F.broadcast(arms))
     counts = outcomes.groupBy("context", "arm").agg(F.count_if("accepted").alias("won"), F.count_if(~F.col("accepted")).alias("lost"))
     first = F.col("arm_no") == 0
     full = grid.join(counts, ["context", "arm"], "left").fillna(0, ["won", "lost"])
     full = full.withColumn("alpha", F.when(first, DEFAULT_PRIOR[0]).otherwise(OTHER_PRIOR[0]) + F.col("won")).withColumn("beta", F.when(first, DEFAULT_PRIOR[1]).otherwise(OTHER_PRIOR[1]) + F.col("lost"))
     full = full.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
-    best = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("mean"), "arm_no")) == 1
+    # The default arm takes no part: what is best is what may replace it.
+    best = (F.row_number().over(Window.partitionBy("context").orderBy(first, F.desc("mean"), "arm_no")) == 1) & ~first
     return full.select("context", "arm", "arm_no", "alpha", "beta", "mean", best.alias("best"))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from skein.functions.text import bigrams, space_tokens, words
+from skein.session import ensure_checkpoints
 
 #: Words and phrases of each task.
 TASK_KEYWORDS = {
@@ -29,7 +36,7 @@ STRATEGIES = {
     "general": (2, 0.6, 0.4, 0.7, 1, 5, 768),
 }
 STRATEGY_FIELDS = ("graph_depth", "vector_weight", "graph_weight", "confidence", "min_k", "max_k", "max_tokens")
-MAX_FEATURES = 5000
+MAX_FEATURES, MAX_CLASSES, LEAST_CORPUS = 5000, 500, 50
 
 
 def keyword_classes(queries: DataFrame, keywords: dict[str, tuple[str, ...]] = TASK_KEYWORDS) -> DataFrame:
@@ -62,37 +69,86 @@ def strategies(classified: DataFrame, table: dict[str, tuple] = STRATEGIES) -> D
     return classified.select("*", *(field(i).alias(n) for i, n in enumerate(STRATEGY_FIELDS)))
 
 
-def terms_of(rows: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(id, label, term, tf) of (id, label, text): words without stop words, and their neighbouring pairs."""
+def tokenised(rows: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(id, label, w) of (id, label, text), written down once: the words without stop words, in order."""
+    ensure_checkpoints(rows.sparkSession)
     kept = words(F.col("text"))
-    if stop:
-        kept = F.filter(kept, lambda w: ~w.isin(*stop))
-    both = rows.select("id", "label", kept.alias("w")).select("id", "label", F.explode(F.concat("w", bigrams(F.col("w")))).alias("term"))
-    return both.groupBy("id", "label", "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf(rows: DataFrame, max_features: int = MAX_FEATURES, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(id, label, term, weight): unit vectors over the most frequent terms of the corpus, with smoothed idf."""
-    tf = terms_of(rows, stop)
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    n = rows.agg(F.count("*").alias("n"))
-    # The vocabulary has at most max_features rows and the count one, whatever the corpus.
-    weighted = tf.join(F.broadcast(stats.select("term", "df")), "term").join(F.broadcast(n))
-    weighted = weighted.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "id").select("id", "label", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def centroid_classes(rows: DataFrame, max_features: int = MAX_FEATURES, stop: tuple[str, ...] = (), least: float = 0.3) -> DataFrame:
-    """(id, label, predicted, cosine): the class whose mean vector is nearest; null under `least`. Ties go by name."""
-    vectors = tfidf(rows, max_features, stop)
-    members = rows.groupBy("label").agg(F.count("*").alias("members"))
-    centroids = vectors.groupBy("label", "term").agg(F.sum("weight").alias("w")).join(members, "label").select(F.col("label").alias("class"), "term", (F.col("w") / F.col("members")).alias("cw"))
-    norms = centroids.groupBy("class").agg(F.sqrt(F.sum(F.col("cw") * F.col("cw"))).alias("cn"))
-    dots = vectors.join(centroids, "term").groupBy("id", "label", "class").agg(F.sum(F.col("weight") * F.col("cw")).alias("dot"))
-    scored = dots.join(norms, "class").withColumn("cosine", F.round(F.col("dot") / F.col("cn"), 9))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "class"))).filter("rank = 1")
-    return best.select("id", "label", F.when(F.col("cosine") >= least, F.col("class")).alias("predicted"), F.round("cosine", 6).alias("cosine"))
+    return rows.select("id", "label", (F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept).alias("w")).checkpoint()
+
+
+def vocabulary(tokens: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, df) of the most frequent words and neighbouring pairs of (w); at most `max_features` rows."""
+    every = F.concat("w", bigrams(F.col("w")))
+    counted = F.concat(
+        F.transform(every, lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))),
+    )
+    sums = tokens.select(F.inline(counted)).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    return sums.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+
+
+def tfidf(tokens: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(id, label, terms, weights) of (id, label, w): unit vectors over the vocabulary, with smoothed idf.
+
+    The vocabulary has at most `max_features` rows whatever the corpus, so it travels with the tasks and a document's
+    vector is made where the document is. `terms` are numbers of the vocabulary, in rising order.
+    """
+    chosen = vocabulary(tokens, max_features).collect()
+    n = tokens.count()
+    number = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
+    idf = np.zeros(len(number))
+    for r in chosen:
+        idf[number[r["term"]]] = np.log((1 + n) / (1 + r["df"])) + 1
+    schema = tokens.select("id", "label").schema.add("terms", ArrayType(IntegerType())).add("weights", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = number.get
+        for rb in batches:
+            terms, weights = [], []
+            for held in rb.column("w").to_pylist():
+                held = held or []
+                found = [i for i in map(get, held) if i is not None] + [i for i in map(get, map(" ".join, zip(held, held[1:], strict=False))) if i is not None]
+                index, tf = np.unique(np.array(found, np.int64), return_counts=True)
+                w = tf * idf[index]
+                terms.append(index.astype(np.int32))
+                weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("label"), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=schema.names)
+
+    return tokens.mapInArrow(run, schema)
+
+
+def centroid_classes(rows: DataFrame, max_features: int = MAX_FEATURES, stop: tuple[str, ...] = (), least: float = 0.3, least_corpus: int = LEAST_CORPUS) -> DataFrame:
+    """(id, label, predicted, cosine): the class whose mean vector is nearest; null under `least`. Ties go by name.
+
+    The centroids are `max_features` numbers for each class, a table whose size is checked before it travels with the
+    tasks. Rows without a term of the vocabulary are left out; below `least_corpus` rows nothing is predicted.
+    """
+    tokens = tokenised(rows, stop)
+    if tokens.count() < least_corpus:
+        return rows.select("id", "label", F.col("label").alias("predicted"), F.lit(0.0).alias("cosine")).limit(0)
+    vectors = tfidf(tokens, max_features).filter(F.size("terms") > 0).checkpoint()
+    members = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()}
+    if len(members) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    names = sorted(members, key=lambda c: (c is not None, c))
+    centroids = np.zeros((len(names), max_features))
+    pairs = F.arrays_zip("terms", "weights")
+    for r in vectors.select("label", F.explode(pairs).alias("p")).groupBy("label", F.col("p.terms").alias("term")).agg(F.sum("p.weights").alias("w")).toLocalIterator():
+        centroids[names.index(r["label"]), r["term"]] = r["w"] / members[r["label"]]
+    length = np.sqrt((centroids * centroids).sum(axis=1))
+    real = np.flatnonzero(length > 0)
+    names, unit = [names[i] for i in real], centroids[real] / length[real, None]
+    schema = vectors.select("id", "label", F.col("label").alias("predicted")).schema.add("cosine", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            cosines = np.round([unit[:, t] @ np.array(w) for t, w in zip(rb.column("terms").to_pylist(), rb.column("weights").to_pylist(), strict=True)], 9).reshape(rb.num_rows, len(names))
+            best = cosines.argmax(axis=1) if rb.num_rows else np.zeros(0, int)
+            top = cosines.max(axis=1) if rb.num_rows else np.zeros(0)
+            predicted = pa.array([names[b] if c >= least else None for b, c in zip(best, top, strict=True)], rb.schema.field("label").type)
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("label"), predicted, pa.array(top)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema).select("id", "label", "predicted", F.round("cosine", 6).alias("cosine"))
 
 
 def gate(rows: DataFrame, always: tuple[str, ...] = ("debugging", "architecture", "code_review")) -> DataFrame:
@@ -108,21 +164,100 @@ def gate(rows: DataFrame, always: tuple[str, ...] = ("debugging", "architecture"
     return rows.select("query_id", (forced | (yes >= no)).alias("inject"), F.when(forced, F.lit(1.0)).otherwise(F.round(F.abs(yes - no) / total, 3)).alias("confidence"))
 
 
+def valid_pattern(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 def first_rule(queries: DataFrame, rules: list[tuple[str, str]], otherwise: str) -> DataFrame:
-    """`queries` with `rule`: the name of the first (name, pattern) whose case-insensitive pattern is found in the text."""
+    """`queries` with `rule`: the name of the first (name, pattern) whose case-insensitive pattern is found in the text.
+
+    A pattern that is no regular expression is dropped.
+    """
     out = F.lit(otherwise)
-    for name, pattern in reversed(rules):
+    for name, pattern in reversed([r for r in rules if valid_pattern(r[1])]):
         out = F.when(F.col("text").rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
     return queries.withColumn("rule", out)
 
 
 def response_scores(rows: DataFrame, include: tuple[str, ...], exclude: tuple[str, ...], weights: tuple[float, float, float] = (0.5, 0.3, 0.2), ideal: int = 200) -> DataFrame:
-    """`rows` with `score`: required terms, length against the ideal and clarity, less 0.2 for each forbidden term."""
+    """`rows` with `score`: required terms, length against the ideal and clarity, less 0.2 for each forbidden term.
+
+    Without required terms all of them are held.
+    """
     low = F.lower("text")
-    held = F.size(F.filter(F.array(*map(F.lit, include)), lambda t: F.contains(low, t))) / len(include)
-    bad = F.size(F.filter(F.array(*map(F.lit, exclude)), lambda t: F.contains(low, t)))
+    count = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(low, t)))
+    held = count(include) / len(include) if include else F.lit(1.0)
     n = F.length("text")
     complete = F.when(n < 0.3 * ideal, 0.3).when(n < 0.6 * ideal, 0.6).otherwise(F.least(F.lit(1.0), n / (1.5 * ideal)))
     clear = F.when(n < 50, 0.5).when(n > 2000, 0.7).otherwise(1.0)
-    score = weights[0] * held + weights[1] * complete + weights[2] * clear - 0.2 * bad
+    score = weights[0] * held + weights[1] * complete + weights[2] * clear - 0.2 * count(exclude)
     return rows.withColumn("score", F.round(F.greatest(F.lit(0.0), score), 3))
+
+
+def response_report(scored: DataFrame, *dimensions: str) -> DataFrame:
+    """(dimension values or nulls, n, mean_score, best, mean_latency): over all rows and by each dimension on its own."""
+    return scored.groupingSets([[], *([F.col(d)] for d in dimensions)], *dimensions).agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.max("score").alias("best"), F.round(F.avg("latency"), 2).alias("mean_latency"), *(F.grouping(d).cast("long").alias(f"all_{d}") for d in dimensions)
+    )
+
+
+def detected_topics(queries: DataFrame, topics: DataFrame) -> DataFrame:
+    """(query_id, topic, level): the first of (topic, score, level) by falling score whose lower-cased name is a token.
+
+    Hyphens of the query part tokens, so a topic whose name holds a hyphen or a space is never found. Ties go by name.
+    """
+    tokens = F.array_distinct(space_tokens(F.replace("text", F.lit("-"), F.lit(" "))))
+    asked = queries.select("query_id", F.explode(tokens).alias("token"))
+    named = topics.select(F.lower("topic").alias("token"), "topic", "score", "level")
+    order = F.struct((-F.col("score")).alias("s"), "topic")
+    return asked.join(named, "token").groupBy("query_id").agg(F.min_by("topic", order).alias("topic"), F.min_by("level", order).alias("level"))
+
+
+#: What each arm adds to the depth and to the vector and graph weights, and its full-text weight.
+ARM_CHANGES = {
+    "default": (0, 0.0, 0.0, 0.0),
+    "graph_boost": (1, 0.0, 0.1, 0.0),
+    "deep_graph": (2, 0.0, 0.2, 0.1),
+    "vector_focus": (0, 0.1, -0.1, 0.0),
+}
+
+
+def cascaded(classified: DataFrame, arms: DataFrame, overrides: DataFrame, changes: dict[str, tuple] = ARM_CHANGES) -> DataFrame:
+    """(query_id, task, topic, strategy fields, source): each task's strategy, changed by an arm, then by an override.
+
+    `classified` has (query_id, task, topic), `arms` (context, arm) with context `task_topic`, or `task` without topic,
+    `overrides` (key, any strategy fields) with key `task_topic` or `task`; the longer key wins, field by field.
+    """
+    rows = strategies(classified.select("query_id", "task", "topic"))
+    context = F.when(F.col("topic").isNull(), F.col("task")).otherwise(F.concat_ws("_", "task", "topic"))
+    rows = rows.withColumn("context", context).join(arms.select("context", "arm").distinct(), "context", "left")
+    for no, field in enumerate(("graph_depth", "vector_weight", "graph_weight")):
+        change = F.lit(0.0)
+        for arm, own in changes.items():
+            change = F.when(F.col("arm") == arm, F.lit(float(own[no]))).otherwise(change)
+        moved = F.col(field).cast("double") + change
+        rows = rows.withColumn(field, F.greatest(F.lit(1.0), moved) if no == 0 else F.greatest(F.lit(0.0), F.round(moved, 4)))
+    rows = rows.select(*(F.col(c).cast("double").alias(c) if c in STRATEGY_FIELDS else F.col(c) for c in rows.columns))
+    held = [c for c in STRATEGY_FIELDS if c in overrides.columns]
+    for key, mark in (("context", "long"), ("task", "short")):
+        own = overrides.select(F.col("key").alias(key), *(F.col(c).cast("double").alias(f"{mark}_{c}") for c in held), F.lit(1).alias(f"{mark}_found"))
+        rows = rows.join(own, key, "left")
+    source = F.when(F.col("long_found").isNotNull() | F.col("short_found").isNotNull(), "override").when(F.coalesce(F.col("arm"), F.lit("default")) != "default", "arm").otherwise("base")
+    return rows.select(
+        "query_id", "task", "topic",
+        *((F.coalesce(f"long_{c}", f"short_{c}", c) if c in held else F.col(c)).alias(c) for c in STRATEGY_FIELDS),
+        source.alias("source"),
+    )
+
+
+def routed(queries: DataFrame, learned: DataFrame, topics: DataFrame, keywords: dict[str, tuple[str, ...]] = TASK_KEYWORDS) -> DataFrame:
+    """(query_id, task, how, topic, level): the learned class (query_id, predicted) if there is one, else the keyword class."""
+    by_word = keyword_classes(queries, keywords)
+    taught = learned.filter("predicted IS NOT NULL").groupBy("query_id").agg(F.min("predicted").alias("predicted"))
+    found = by_word.join(taught, "query_id", "left").join(detected_topics(queries, topics), "query_id", "left")
+    how = F.when(F.col("predicted").isNotNull(), "learned").when(F.col("score") > 0, "keyword").otherwise("fallback")
+    return found.select("query_id", F.coalesce("predicted", "task").alias("task"), how.alias("how"), "topic", F.coalesce("level", F.lit("Unknown")).alias("level"))

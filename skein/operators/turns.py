@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import chars4, overlap, starts_negation, token_set
+from skein.functions.text import chars4, overlap, starts_negation, token_set, without_fences
+from skein.session import ensure_checkpoints
 
 #: Openings that reject the previous answer.
 NEGATIONS = (
@@ -121,14 +122,45 @@ def emergency_trim(turns: DataFrame, limit: int) -> DataFrame:
     return _ranked(turns).filter(~F.col("spoken") | (F.col("tokens_from_end") <= limit)).select(*turns.columns)
 
 
-def compaction_plan(turns: DataFrame, soft: int, hard: int, emergency: int) -> DataFrame:
+def limits_of(task: Column, no: int) -> Column:
+    out = F.lit(OTHER_LIMITS[no])
+    for name, own in LIMITS.items():
+        out = F.when(task == name, F.lit(own[no])).otherwise(out)
+    return out
+
+
+def compaction_plan(turns: DataFrame, soft: int | Column, hard: int | Column, emergency: int | Column) -> DataFrame:
     """(conv_id, tokens, action): none below the soft limit, snip below the hard one, else summary, or emergency beyond that."""
     tokens = F.sum(F.when(F.col("role").isin("user", "assistant"), chars4(F.col("text"))).otherwise(0)).alias("tokens")
     action = F.when(F.col("tokens") < soft, "none").when(F.col("tokens") < hard, "snip").when(F.col("tokens") <= emergency, "summary").otherwise("emergency")
-    return turns.groupBy("conv_id").agg(tokens).withColumn("action", action)
+    keys = ["conv_id", *(["task"] if "task" in turns.columns else [])]
+    return turns.groupBy(*keys).agg(tokens).withColumn("action", action)
+
+
+def compaction_by_task(turns: DataFrame) -> DataFrame:
+    """(conv_id, task, tokens, keep_turns, action) of turns (conv_id, role, text, task), by the limits of each task."""
+    task = F.col("task")
+    return compaction_plan(turns, limits_of(task, 0), limits_of(task, 1), limits_of(task, 2)).withColumn("keep_turns", limits_of(task, 3))
+
+
+#: Characters of dropped turns that a summary is made from.
+SUMMARY_CHARS = 12_000
+
+
+def summary_input(turns: DataFrame) -> DataFrame:
+    """(conv_id, text): "role: text" of each turn in order, without code fences, a blank line between, cut at 12,000 characters.
+
+    The cut is part of the operator; it is taken on running lengths, so no conversation is put together beyond it.
+    """
+    line = F.concat("role", F.lit(": "), without_fences(F.col("text")))
+    lines = turns.filter(F.col("text").isNotNull()).select("conv_id", "turn", line.alias("line"))
+    before = F.sum(F.length("line") + 2).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    short = lines.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SUMMARY_CHARS)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n\n")
+    return short.groupBy("conv_id").agg(F.substring(joined, 1, SUMMARY_CHARS).alias("text"))
 
 
-def summarised(turns: DataFrame, keep_turns: int, sentences: int = 6) -> DataFrame:
+def summarised(turns: DataFrame, keep_turns: int) -> DataFrame:
     """`turns` with the part that `snip` drops replaced by one system turn of its first sentences.
 
     The summary takes the first sentence of each dropped turn, in order; conversations from which nothing is dropped
@@ -137,22 +169,61 @@ def summarised(turns: DataFrame, keep_turns: int, sentences: int = 6) -> DataFra
     kept = snip(turns, keep_turns)
     dropped = turns.join(kept.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
     first = F.regexp_extract("text", r"^\s*([^.\n]*)", 1)
-    lines = dropped.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.slice(F.array_sort(F.collect_list(F.struct("turn", first.alias("line")))), 1, sentences).alias("lines"))
+    lines = dropped.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.array_sort(F.collect_list(F.struct("turn", first.alias("line")))).alias("lines"))
     note = lines.select("conv_id", "turn", F.lit("system").alias("role"), F.concat(F.lit("- "), F.array_join(F.transform("lines", lambda x: x["line"]), "\n- ")).alias("text"))
     return kept.select("conv_id", "turn", "role", "text").unionByName(note)
 
 
 def parent_chain(messages: DataFrame, starts: DataFrame, hops: int = 20) -> DataFrame:
-    """(conv_id, id, depth, n_nodes, text_length) of each start's chain of parents, at most `hops` long.
+    """(conv_id, id, depth, n_nodes, context) of each start's chain of parents, at most `hops` long.
 
-    `messages` has (conv_id, id, parent, text); a chain ends at a message without a known parent.
+    `messages` has (conv_id, id, parent, role, text). A chain ends at a message without a known parent or at the first
+    user message, which belongs to it; `context` joins the assistant's texts of the chain in the order of the
+    conversation, the start's own included. Steps go on while a chain is open and are cut off by checkpoints.
     """
-    at = starts.select("conv_id", "id", F.col("id").alias("node"), F.lit(0).alias("depth"))
-    nodes = messages.select("conv_id", F.col("id").alias("node"), F.col("parent"), F.length("text").alias("n"))
-    walked = at.join(nodes, ["conv_id", "node"])
-    step = walked
+    ensure_checkpoints(messages.sparkSession)
+    nodes = messages.select("conv_id", F.col("id").alias("node"), "parent", "role", "text")
+    step = starts.select("conv_id", "id", F.col("id").alias("node"), F.lit(0).alias("depth")).join(nodes, ["conv_id", "node"]).checkpoint()
+    walked = step
     for depth in range(1, hops + 1):
-        up = step.select("conv_id", "id", F.col("parent").alias("node"), F.lit(depth).alias("depth")).filter("node IS NOT NULL")
-        step = up.join(nodes, ["conv_id", "node"])
+        up = step.filter("parent IS NOT NULL AND (depth = 0 OR role <> 'user')").select("conv_id", "id", F.col("parent").alias("node"), F.lit(depth).alias("depth"))
+        step = up.join(nodes, ["conv_id", "node"]).checkpoint()
+        if step.isEmpty():
+            break
         walked = walked.unionByName(step)
-    return walked.groupBy("conv_id", "id").agg(F.max("depth").cast("long").alias("depth"), F.count("*").alias("n_nodes"), F.sum("n").cast("long").alias("text_length"))
+    said = F.when(F.col("role") == "assistant", F.struct((-F.col("depth")).alias("d"), "text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), "\n\n")
+    return walked.groupBy("conv_id", "id").agg(F.max("depth").cast("long").alias("depth"), F.count("*").alias("n_nodes"), joined.alias("context"))
+
+
+def session_stats(accepted: DataFrame) -> DataFrame:
+    """(category, sessions, pairs) of accepted pairs (conv_id, category), and over all (a null category)."""
+    return accepted.rollup("category").agg(F.count_distinct("conv_id").alias("sessions"), F.count("*").alias("pairs"))
+
+
+def exported_pairs(interactions: DataFrame, feedback: DataFrame, least: str = "any") -> DataFrame:
+    """(instruction, input, output, metadata) of interactions (id, input_text, output_text, context, model, was_accepted) by their latest feedback (record_id, feedback).
+
+    `least` positive takes positive ones alone, neutral all that aren't negative, any all; what was not accepted never
+    counts, no word on acceptance does.
+    """
+    both = interactions.join(feedback.select(F.col("record_id").alias("id"), "feedback"), "id", "left")
+    keep = {"positive": F.coalesce(F.col("feedback") == "positive", F.lit(False)), "neutral": F.coalesce(F.col("feedback") != "negative", F.lit(True)), "any": F.lit(True)}[least]
+    good = both.filter(keep & F.coalesce("was_accepted", F.lit(True)))
+    return good.select(F.col("input_text").alias("instruction"), F.coalesce("context", F.lit("")).alias("input"), F.col("output_text").alias("output"), F.struct("id", "model", "feedback").alias("metadata"))
+
+
+def enriched(captures: DataFrame, direct: DataFrame, fuzzy: DataFrame, keep_low: bool = True) -> DataFrame:
+    """`captures` (id, …) with thinking, text and prompt of the direct match, else of the fuzzy one, and enrichment_confidence.
+
+    Both matches have (id, thinking, text, prompt). Confidence is high with over 100 characters of thinking, medium with
+    over 50 of text, else low; low ones stay only with `keep_low` and a prompt.
+    """
+    d = direct.select("id", F.struct("thinking", "text", "prompt").alias("d"))
+    f = fuzzy.select("id", F.struct("thinking", "text", "prompt").alias("f"))
+    some = lambda c: (F.length(F.coalesce(F.col(f"{c}.thinking"), F.lit(""))) + F.length(F.coalesce(F.col(f"{c}.text"), F.lit("")))) > 0
+    both = captures.join(d, "id", "left").join(f, "id", "left").withColumn("m", F.when(some("d"), F.col("d")).when(some("f"), F.col("f")))
+    conf = F.when(F.length("m.thinking") > 100, "high").when(F.length("m.text") > 50, "medium").otherwise("low")
+    out = both.filter("m IS NOT NULL").select(*captures.columns, F.col("m.thinking").alias("reasoning"), F.col("m.text").alias("assistant_context"), F.col("m.prompt").alias("user_prompt"), conf.alias("enrichment_confidence"))
+    prompted = F.length(F.coalesce("user_prompt", F.lit(""))) > 0
+    return out.filter((F.col("enrichment_confidence") != "low") | (F.lit(keep_low) & prompted))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scores import stepped_decay
-from skein.functions.text import entity_id
+from skein.functions.text import distinct_words, entity_id
 from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
 from skein.plans import oracles
 from skein.sources import lake
@@ -92,7 +92,7 @@ REFERENCE = "2001-08-02 00:00:00"
 
 
 def graph_entities(spark, sf):
-    return graph.fold_entities(place_triples(spark, sf))
+    return graph.fold_entities(place_triples(spark, sf)).drop("first_ord")
 
 
 def graph_edges(spark, sf):
@@ -125,28 +125,84 @@ def graph_stats(spark, sf):
     return graph.type_counts(graph.fold_entities(triples), graph.fold_edges(triples))
 
 
-def _supplier_edges(spark, sf):
-    return graph.fold_edges(place_triples(spark, sf).filter("subject_type <> 'customer'"))
+def _place_edges(spark, sf):
+    return graph.fold_edges(place_triples(spark, sf))
+
+
+def _nations(spark, sf):
+    return table(spark, sf, "nation").select(F.lower("n_name").alias("name"))
 
 
 def neighbours_depth2(spark, sf):
-    seeds = table(spark, sf, "nation").select(F.lower("n_name").alias("name"))
-    return graph.neighbourhood(_supplier_edges(spark, sf), seeds, 2).select("seed", "name", "distance", *rounded("score"))
+    return graph.neighbourhood(_place_edges(spark, sf), _nations(spark, sf), 2, 0.3).select("seed", "name", "distance", *rounded("score"))
 
 
 def context_paths(spark, sf):
-    s, r = table(spark, sf, "supplier"), table(spark, sf, "region")
-    pairs = s.select(F.lower("s_name").alias("src"), F.explode(F.array(*map(F.lit, ("africa", "asia")))).alias("dst")).join(r.select(F.lower("r_name").alias("dst")), "dst", "left_semi")
-    return graph.shortest_paths(_supplier_edges(spark, sf), pairs, 4)
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("nation"))
+    # Five regions, so this is five pairs a supplier.
+    regions = F.explode(F.array(*(F.lit(r["r_name"].lower()) for r in table(spark, sf, "region").limit(100).collect())))
+    own = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("s"), "nation")
+    pairs = s.select(F.lower("s_name").alias("src"), regions.alias("dst")).unionByName(own.select(F.col("s").alias("src"), F.col("nation").alias("dst"))).unionByName(own.select(F.col("nation").alias("src"), F.col("s").alias("dst")))
+    return graph.context_paths(_place_edges(spark, sf), pairs, 4)
 
 
 def components(spark, sf):
     from skein.session import ensure_checkpoints
 
     ensure_checkpoints(spark)
-    own = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("dst"))
-    s = table(spark, sf, "supplier").join(own, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("src"), "dst")
-    return graph.connected_components(s).groupBy("component").agg(F.count("*").alias("n"))
+    return graph.connected_components(_place_edges(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+def _named_entities(spark, sf):
+    """Entities with an alias: their names without white space and signs."""
+    return graph.fold_entities(place_triples(spark, sf)).withColumn("aliases", F.array(F.regexp_replace("name", "[ #]", "")))
+
+
+def entity_search(spark, sf):
+    """The first ten entities by mentions that hold a text: the number is the feature."""
+    return graph.search_entities(_named_entities(spark, sf), "SUPPLIER0", "supplier", 10).select("name", "mention_count")
+
+
+def entity_lookup(spark, sf):
+    s = table(spark, sf, "supplier")
+    asked = s.select(F.upper("s_name").alias("query")).unionByName(s.select(F.regexp_replace("s_name", "[ #]", "").alias("query"))).unionByName(s.select(F.concat(F.lit("no "), "s_name").alias("query")))
+    return graph.find_entities(_named_entities(spark, sf), asked).select("query", "name")
+
+
+def entity_relations(spark, sf):
+    return graph.relations_of(_place_edges(spark, sf), _nations(spark, sf)).groupBy("name", "direction", "relation").agg(F.count("*").alias("n"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
+
+
+def neighbourhood_docs(spark, sf):
+    triples = place_triples(spark, sf)
+    near = graph.neighbourhood(graph.fold_edges(triples), _nations(spark, sf), 1)
+    return graph.neighbourhood_docs(near, graph.entity_docs(triples))
+
+
+def entity_upserts(spark, sf):
+    """Events as upserts of entities by type, with a description now and then and an alias for each user."""
+    e = table(spark, sf, "events")
+    rows = e.select(
+        F.col("event_type").alias("name"), F.col("event_id").alias("ord"), F.concat(F.lit("kind"), F.pmod("user_id", F.lit(3)).cast("string")).alias("type"),
+        F.when(F.col("event_id") % 5 == 3, F.concat(F.lit("seen by "), F.col("user_id").cast("string"))).otherwise("").alias("description"),
+        F.array(F.concat(F.lit("u"), F.pmod("user_id", F.lit(20)).cast("string"))).alias("aliases"), F.lit(1).alias("mentions"), F.col("ts").alias("seen"),
+    )
+    return graph.merged_entities(rows).select("name", "type", "description", F.array_join("aliases", ",").alias("aliases"), *long("mention_count"), "last_seen")
+
+
+def _merges(spark, sf):
+    """Of every three suppliers the second merges into the first and the third into the second."""
+    name = lambda c: F.concat(F.lit("supplier#"), F.lpad(c.cast("string"), 9, "0"))
+    own = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0")
+    return own.select(F.lower("s_name").alias("alias"), F.lower(name(F.col("s_suppkey") - 1)).alias("canonical"))
+
+
+def alias_rewrite_edges(spark, sf):
+    return graph.rewritten_edges(_place_edges(spark, sf), _merges(spark, sf)).select("src", "dst", "relation", *rounded("weight"))
+
+
+def alias_rewrite_entities(spark, sf):
+    return graph.rewritten_entities(_named_entities(spark, sf), _merges(spark, sf)).select("name", "type", "mention_count", F.array_join("aliases", ",").alias("aliases"))
 
 
 def neighbour_jaccard_drift(spark, sf):
@@ -199,8 +255,11 @@ def vector_topk_filtered(spark, sf):
 
 
 def adaptive_stop(spark, sf):
-    hits = retrieve.vector_top_k(_queries(spark, sf), _corpus(spark, sf), 8, "cosine")
-    return retrieve.adaptive_stop(hits, 0.33, 2, 8).select("query_id", "stop_rank", "reason", *rounded("confidence"), "n_hits")
+    """With the words of the document of the same number as what a query is about, and coverage by the texts found."""
+    queries = _queries(spark, sf)
+    hits = retrieve.vector_top_k(queries, _corpus(spark, sf), 8, "cosine")
+    wanted = queries.select("query_id").join(_texts(spark, sf).withColumnRenamed("id", "query_id"), "query_id").select("query_id", F.explode(F.slice(F.array_sort(distinct_words(F.col("text"))), 1, 12)).alias("entity"))
+    return retrieve.adaptive_stop(hits, 0.25, 2, 8, entities=wanted, texts=_texts(spark, sf)).select("query_id", "stop_rank", "reason", *rounded("confidence"), "n_hits")
 
 
 def _texts(spark, sf):
@@ -215,17 +274,57 @@ def bm25_topk(spark, sf):
     return retrieve.bm25_top_k(_items(spark, sf), _texts(spark, sf), 10).select("query_id", "id", *rounded("bm25", places=4), "rank", *rounded("score"))
 
 
+ENTITIES = (("thing", 9), ("things", 4), ("the thing", 7), ("erth", 12), ("erth and", 3), ("und", 6), ("und nicht", 5), ("nicht", 8), ("para", 2), ("dans les", 2), ("les", 11), ("was", 1))
+
+
+def _known_entities(spark):
+    return spark.createDataFrame([(n, m, i) for i, (n, m) in enumerate(ENTITIES)], "name string, mention_count long, first_ord long")
+
+
+def recognised_entities(spark, sf):
+    return graph.recognised(_asked(spark, sf), _known_entities(spark))
+
+
+def _term_graph(spark, sf):
+    """Entities of one document, related by how many documents hold both."""
+    held = F.filter(F.array(*(F.lit(n) for n, _ in ENTITIES)), lambda n: F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" "))))
+    hits = table(spark, sf, "documents").select("doc_id", F.explode(held).alias("term"))
+    return lexicon.cooccurrence(hits).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+
+
+def _expansions(spark, sf):
+    known = _known_entities(spark)
+    seeds = graph.recognised(_items(spark, sf), known)
+    near = graph.neighbourhood(_term_graph(spark, sf), known.select("name"), 2, 0.6)
+    return seeds, graph.expansion_queries(seeds, near)
+
+
+def graph_expansion(spark, sf):
+    return _expansions(spark, sf)[1].select("query_id", "expansion", *rounded("score"), "no")
+
+
+def graph_retrieve(spark, sf):
+    seeds, expanded = _expansions(spark, sf)
+    return retrieve.graph_guided(seeds, expanded, _texts(spark, sf), 20)
+
+
+def neighbour_cap(spark, sf):
+    """The first five neighbours of each entity: the number is the feature."""
+    near = graph.neighbourhood(_term_graph(spark, sf), _known_entities(spark).select("name"), 2, 0.6)
+    return graph.first_neighbours(near, 5).select("seed", "name", F.col("rank").cast("long").alias("rank"))
+
+
 def _lists(spark, sf):
     items = _items(spark, sf)
     keyword = retrieve.bm25_top_k(items, _texts(spark, sf), 10).select("query_id", "id", "rank")
     q = table(spark, sf, "embeddings").join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     vector = retrieve.vector_top_k(q, _corpus(spark, sf), 10).select("query_id", "id", "rank")
-    return vector, keyword
+    guided = graph_retrieve(spark, sf).select("query_id", "id", "rank")
+    return {"vector": (vector, 0.5), "graph": (guided, 0.3), "fulltext": (keyword, 0.2)}
 
 
 def rrf_fusion(spark, sf):
-    vector, keyword = _lists(spark, sf)
-    return retrieve.fuse({"vector": (vector, 0.75), "fulltext": (keyword, 0.25)}, 10).select("query_id", "id", *rounded("score"), "origin", "n_sources", "rank")
+    return retrieve.fuse(_lists(spark, sf), 10).select("query_id", "id", *rounded("score"), "origin", "n_sources", "rank")
 
 
 def context_aging(spark, sf):
@@ -239,14 +338,20 @@ def relevance_filter(spark, sf):
     return retrieve.relevant(_items(spark, sf), _texts(spark, sf), 0.12).select("query_id", "id", *rounded("relevance"))
 
 
-def hybrid_retrieve(spark, sf):
-    vector, keyword = _lists(spark, sf)
-    fused = retrieve.fuse({"vector": (vector, 0.75), "fulltext": (keyword, 0.25)}, 10)
+def _hybrid(spark, sf):
+    """(query_id, id, origin, score, relevance, age_factor, query, text, rank): fused, aged and filtered hits."""
     docs = _texts(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts"), "id", "left")
-    dated = fused.join(docs, "id").join(_items(spark, sf).withColumnRenamed("text", "query"), "query_id")
     days = F.timestamp_diff("MICROSECOND", F.col("ts"), ts("2024-02-01 00:00:00")) / F.lit(86_400_000_000)
-    scored = retrieve.aged(dated, days).withColumn("relevance", retrieve.relevance(F.col("query"), F.col("text"))).filter(F.col("relevance") >= retrieve.RELEVANCE)
-    return scored.select("query_id", "id", "origin", *rounded("score", "relevance"), "age_factor")
+    return retrieve.hybrid(_items(spark, sf), docs, _lists(spark, sf), days, 10)
+
+
+def hybrid_retrieve(spark, sf):
+    return _hybrid(spark, sf).select("query_id", "id", "origin", *rounded("score", "relevance"), "age_factor")
+
+
+def context_prompts(spark, sf):
+    prompts = retrieve.context_prompts(_items(spark, sf), _hybrid(spark, sf).withColumn("category", F.lit("doc")), 3)
+    return prompts.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
 def chunk_documents(spark, sf):
@@ -292,8 +397,9 @@ def compaction_summary(spark, sf):
 
 def parent_chain(spark, sf):
     t = table(spark, sf, "conversations")
-    messages = t.select("conv_id", F.col("turn").alias("id"), F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("parent"), "text")
-    return turns.parent_chain(messages, t.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("id")))
+    messages = t.select("conv_id", F.col("turn").alias("id"), F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("parent"), "role", "text")
+    found = turns.parent_chain(messages, t.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("id")))
+    return found.select("conv_id", "id", "depth", "n_nodes", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 # --- routing ---------------------------------------------------------------------------------------------------------
@@ -330,7 +436,7 @@ def context_map(spark, sf):
 
 def tfidf_centroid(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
-    return routing.centroid_classes(docs, 2000, least=0.05).select("id", "label", "predicted", "cosine")
+    return routing.centroid_classes(docs, least=0.05).select("id", "label", "predicted", "cosine")
 
 
 def response_eval(spark, sf):
@@ -479,8 +585,10 @@ def stream_sessions(spark, sf):
 QUERIES = (
     lexicon_entities, cooccurrence_edges, category_links, substring_patterns, regex_class_fixes, regex_class_hits, entity_ids,
     graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
+    entity_search, entity_lookup, entity_relations, neighbourhood_docs, entity_upserts, alias_rewrite_edges, alias_rewrite_entities,
     neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_merge,
-    vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, chunk_documents,
+    vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,
+    rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, context_prompts, chunk_documents,
     conversation_pairs, pair_quality, outcome_inference, outcome_rates, compaction_snip, compaction_emergency, compaction_plan, compaction_summary, parent_chain,
     keyword_classify, routing_strategy, gate_votes, context_map, tfidf_centroid, response_eval,
     profile_topics, topic_drift_ema, replay_buffer, competence_map, bandit_posterior, thompson_draw, feedback_latest, instinct_decay, instinct_confidence, topic_trigger, nearest_event,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skein.operators.retrieve import STOP_WORDS
+
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
@@ -36,7 +38,7 @@ decayed AS (
   FROM folded
 )"""
 _UNDIRECTED = """
-edges AS (SELECT DISTINCT lower(trim(subject)) AS src, lower(trim(object)) AS dst FROM triples WHERE st <> 'customer'),
+edges AS (SELECT DISTINCT lower(trim(subject)) AS src, lower(trim(object)) AS dst FROM triples),
 both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
 _COSINE = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 _VEC = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -54,23 +56,65 @@ def _top(where_q: str, where_d: str = "true", k: int = 10, distance: str = _L2)
   ) WHERE rank <= {k}"""
 
 
-_BM25 = f"""
+_TF = f"""
 tok AS (SELECT doc_id AS id, {words('text')} AS w FROM documents),
 lens AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM tok),
 tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({words('text')})) AS term FROM benchmark),
-scored AS (
-  SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS bm25
-  FROM q JOIN tf USING (term) JOIN df USING (term), lens GROUP BY 1, 2
-),
-keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
+
+def _bm25(name: str, asked: str, key: str, k: int) -> str:
+    """The best k documents of each key of `asked` (key, text), as (key, id, bm25, rank)."""
+    return f"""
+{name}_q AS (SELECT {key}, unnest(list_distinct({words('text')})) AS term FROM ({asked})),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY bm25 DESC, id) AS rank FROM (
+  SELECT {key}, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS bm25
+  FROM {name}_q JOIN tf USING (term) JOIN df USING (term), lens GROUP BY 1, 2)) WHERE rank <= {k})"""
+
+
+_BM25 = f"{_TF}, {_bm25('keyword', 'SELECT item_id AS query_id, text FROM benchmark', 'query_id', 10)}"
+_KNOWN = "ents AS (SELECT * FROM (VALUES ('thing', 9, 0), ('things', 4, 1), ('the thing', 7, 2), ('erth', 12, 3), ('erth and', 3, 4), ('und', 6, 5), ('und nicht', 5, 6), ('nicht', 8, 7), ('para', 2, 8), ('dans les', 2, 9), ('les', 11, 10), ('was', 1, 11)) AS v(name, mention_count, first_ord))"
+
+
+def _recognised(asked: str) -> str:
+    return rf"""
+{_KNOWN},
+cand_l AS (SELECT query_id, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), w) AS l FROM (SELECT query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM ({asked}))),
+cand AS (SELECT query_id, i - 1 AS pos, l[i] AS candidate FROM cand_l, unnest(range(1, len(l) + 1)) AS r(i) WHERE length(l[i]) >= 2),
+named AS (SELECT candidate, arg_min(name, first_ord - 1000 * mention_count) AS name FROM (SELECT DISTINCT candidate FROM cand) c JOIN ents ON contains(name, candidate) GROUP BY 1),
+seeds AS (
+  SELECT query_id, name, min(pos)::BIGINT AS pos FROM cand JOIN named USING (candidate)
+  WHERE len(list_intersect(string_split(name, ' '), string_split(candidate, ' '))) / len(list_distinct(string_split(name, ' '))) >= 0.8 GROUP BY 1, 2
+)"""
+
+
+_TERM_GRAPH = r"""
+held AS (SELECT doc_id, name AS term FROM documents, ents WHERE contains(' ' || regexp_replace(lower(text), '\s+', ' ', 'g') || ' ', ' ' || name || ' ')),
+heavy AS (SELECT a.term AS src, b.term AS dst FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2 HAVING count(*) >= 2),
+both_ways AS (SELECT src, dst FROM heavy UNION SELECT dst, src FROM heavy),
+walk AS (SELECT name AS seed, name, 0 AS distance FROM ents UNION SELECT seed, dst, distance + 1 FROM walk JOIN both_ways ON name = src WHERE distance < 2),
+near AS (SELECT seed, name, 1.0 / (1 + min(distance)) AS score FROM walk WHERE name <> seed GROUP BY 1, 2),
+capped AS (SELECT seed, name AS other, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, name) AS rk FROM near)"""
+_EXPANSIONS = f"""
+{_recognised('SELECT item_id AS query_id, text FROM benchmark')}, {_TERM_GRAPH},
+paired AS (SELECT query_id, name, other, score, pos, rk, least(name, other) || '|' || greatest(name, other) AS key FROM seeds JOIN capped ON seed = name WHERE rk <= 3),
+expanded AS (SELECT * FROM (SELECT query_id, name || ' ' || other AS expansion, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, name, rk) AS no
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY pos, name, rk) AS r FROM paired) WHERE r = 1) WHERE no <= 5)"""
+_GUIDED = f"""
+{_EXPANSIONS},
+phases AS (SELECT query_id, 0 AS phase, no, expansion AS text FROM expanded UNION ALL SELECT query_id, 1, pos, name FROM seeds),
+{_bm25('searched', 'SELECT DISTINCT text AS phrase, text FROM phases', 'phrase', 3)},
+keyed AS (SELECT p.query_id, phase, no, p.text, s.rank AS hit, s.id, d.text[1:100] AS start FROM phases p JOIN searched s ON s.phrase = p.text JOIN documents d ON d.doc_id = s.id),
+guided AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY phase, no, text, hit, id) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start ORDER BY phase, no, text, hit, id) AS r FROM keyed) WHERE r = 1) WHERE rank <= 20)"""
 _FUSED = f"""
+{_GUIDED},
 {_VEC},
 vector AS ({_top('q.vec_id IN (SELECT item_id FROM benchmark)')}),
 parts AS (
-  SELECT query_id, id, 0 AS no, 'vector' AS source, 0.75 / (60 + rank - 1) AS part FROM vector
-  UNION ALL SELECT query_id, id, 1, 'fulltext', 0.25 / (60 + rank - 1) FROM keyword
+  SELECT query_id, id, 0 AS no, 'vector' AS source, 0.5 / (60 + rank - 1) AS part FROM vector
+  UNION ALL SELECT query_id, id, 1, 'graph', 0.3 / (60 + rank - 1) FROM guided
+  UNION ALL SELECT query_id, id, 2, 'fulltext', 0.2 / (60 + rank - 1) FROM keyword
 ),
 fused AS (
   SELECT query_id, id, round(sum(part), 9) AS score, count(DISTINCT source) AS n_sources,
@@ -78,6 +122,22 @@ fused AS (
   FROM parts GROUP BY 1, 2
 ),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10)"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+def _telling(text: str) -> str:
+    return f"list_filter(list_distinct({words(text)}), lambda x: NOT list_contains({_STOP}, x))"
+
+
+_HYBRID = f"""
+{_BM25}, {_FUSED},
+x AS (
+  SELECT r.query_id, r.id, origin, score, i.text AS query, d.text, {_telling('i.text')} AS qw, {_telling('d.text[1:500]')} AS dw,
+         CASE WHEN ts IS NULL OR {{days}} < 0 THEN 1.0 ELSE greatest(pow(0.5, {{days}} / 90.0), 0.3) END::DOUBLE AS f
+  FROM ranked r JOIN documents d ON d.doc_id = r.id JOIN benchmark i ON i.item_id = r.query_id LEFT JOIN events e ON e.event_id = r.id
+),
+y AS (SELECT *, CASE WHEN len(qw) = 0 THEN 1.0 WHEN len(dw) = 0 THEN 0.0 ELSE len(list_intersect(qw, dw)) / len(qw) END AS relevance FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * f, 9) DESC, id) AS rank FROM y WHERE relevance >= 0.12)"""
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> ''))"
 _OVERLAP = "CASE WHEN least(len({a}), len({b})) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b})) END"
 _NEGATIONS = "['no,', 'no ', 'not ', 'wrong', 'incorrect', 'that''s not', 'thats not', 'don''t', 'dont ', 'didn''t', 'didnt ', 'isn''t', 'isnt ', 'wasn''t', 'wasnt ', 'mal,', 'mal ', 'incorrecto', 'eso no', 'esta mal', 'está mal', 'no es']"
@@ -125,7 +185,7 @@ _TFIDF = f"""
 tok AS (SELECT doc_id AS id, lang AS label, {words('text')} AS w FROM documents),
 term AS (SELECT id, label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok),
 tf AS (SELECT id, label, term, count(*) AS tf FROM term GROUP BY ALL),
-vocab AS (SELECT term, df FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 2000)),
+vocab AS (SELECT term, df FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000)),
 w AS (SELECT id, label, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
 unit AS (SELECT id, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w),
 cent AS (SELECT label AS class, term, sum(weight) / any_value(m) AS cw FROM unit JOIN (SELECT lang AS label, count(*) AS m FROM documents GROUP BY 1) USING (label) GROUP BY 1, 2),
@@ -170,32 +230,44 @@ walk AS (
 SELECT seed, name, min(distance)::BIGINT AS distance, round(1.0 / (1 + min(distance)), 6)::DOUBLE AS score FROM walk WHERE name <> seed GROUP BY 1, 2""",
     "context_paths": f"""
 WITH RECURSIVE {_PLACE}, {_UNDIRECTED},
-pairs AS (SELECT lower(s_name) AS src, r AS dst FROM supplier, (VALUES ('africa'), ('asia')) AS v(r) WHERE r IN (SELECT lower(r_name) FROM region)),
+pairs AS (
+  SELECT lower(s_name) AS src, lower(r_name) AS dst FROM supplier, region
+  UNION ALL SELECT lower(s_name), lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT lower(n_name), lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+),
+direct AS (
+  SELECT p.src, p.dst, CASE WHEN bool_or(ahead) THEN p.src || ' --[PART_OF]--> ' || p.dst ELSE p.dst || ' --[PART_OF]--> ' || p.src END AS path
+  FROM pairs p JOIN (SELECT src, dst, true AS ahead FROM edges UNION ALL SELECT dst, src, false FROM edges) e ON e.src = p.src AND e.dst = p.dst GROUP BY p.src, p.dst
+),
+rest AS (SELECT src, dst FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.src = p.src AND d.dst = p.dst)),
 walk AS (
-  SELECT p.src, p.dst, [p.src] AS nodes, p.src AS here FROM pairs p
-  UNION ALL SELECT w.src, w.dst, list_append(w.nodes, b.dst), b.dst FROM walk w JOIN both_ways b ON w.here = b.src
-  WHERE len(w.nodes) < 4 AND w.here <> w.dst AND NOT list_contains(w.nodes, b.dst)
+  SELECT src AS start, [src] AS nodes, src AS here FROM (SELECT DISTINCT src FROM rest)
+  UNION ALL SELECT start, list_append(nodes, b.dst), b.dst FROM walk w JOIN both_ways b ON w.here = b.src WHERE len(nodes) < 4 AND NOT list_contains(nodes, b.dst)
 ),
-best AS (SELECT src, dst, min(len(nodes)) AS n FROM walk WHERE here = dst GROUP BY 1, 2)
-SELECT src, dst, array_to_string(min(nodes), ' -> ') AS path, any_value(n)::BIGINT AS n_nodes FROM walk JOIN best USING (src, dst) WHERE here = dst AND len(nodes) = n GROUP BY 1, 2""",
+hit AS (SELECT src, dst, nodes FROM rest JOIN walk ON start = src AND here = dst),
+best AS (SELECT src, dst, min(len(nodes)) AS n FROM hit GROUP BY 1, 2)
+SELECT src, dst, path, 2::BIGINT AS n_nodes FROM direct
+UNION ALL SELECT src, dst, array_to_string(min(nodes), ' -> '), any_value(n)::BIGINT FROM hit JOIN best USING (src, dst) WHERE len(nodes) = n GROUP BY 1, 2""",
     "components": """
-WITH e AS (SELECT lower(s_name) AS src, lower(n_name) AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT component, count(*) AS n FROM (
-  SELECT dst, least(min(src), dst) AS component, unnest(list_append(list_distinct(list(src)), dst)) AS name FROM e GROUP BY dst
-) GROUP BY component""",
+WITH part AS (
+  SELECT lower(r_name) AS region, lower(r_name) AS name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+  UNION SELECT lower(r_name), lower(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT lower(r_name), lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT lower(r_name), lower(c_name) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)
+SELECT min(name) AS component, count(*) AS n FROM part GROUP BY region""",
     "neighbour_jaccard_drift": f"""
-WITH {_BRAND},
-o AS (SELECT subject AS name, list_sort(list_distinct(list(object))) AS was FROM uses WHERE ts < TIMESTAMP '1998-04-17' GROUP BY 1),
-n AS (SELECT subject AS name, list_sort(list_distinct(list(object))) AS now FROM uses WHERE ts >= TIMESTAMP '1998-04-17' GROUP BY 1),
+WITH {_BRAND}, ends AS (SELECT subject AS name, object AS near, ts FROM uses UNION ALL SELECT object, subject, ts FROM uses),
+o AS (SELECT name, list_sort(list_distinct(list(near))) AS was FROM ends WHERE ts < TIMESTAMP '1998-04-17' GROUP BY 1),
+n AS (SELECT name, list_sort(list_distinct(list(near))) AS now FROM ends WHERE ts >= TIMESTAMP '1998-04-17' GROUP BY 1),
 j AS (SELECT name, was, coalesce(now, []) AS now FROM o LEFT JOIN n USING (name)),
 k AS (SELECT name, len(list_intersect(was, now)) / len(list_distinct(list_concat(was, now))) AS jaccard,
         coalesce(array_to_string(list_sort(list_filter(now, lambda x: NOT list_contains(was, x))), ','), '') AS added,
         coalesce(array_to_string(list_sort(list_filter(was, lambda x: NOT list_contains(now, x))), ','), '') AS removed FROM j)
 SELECT name, round(jaccard, 6) AS jaccard, added, removed FROM k WHERE jaccard < 0.4""",
     "graph_snapshot": f"""
-WITH {_BRAND},
-o AS (SELECT subject AS name, list_sort(list_distinct(list(object))) AS was FROM uses WHERE ts < TIMESTAMP '1998-04-17' GROUP BY 1),
-n AS (SELECT subject AS name, list_sort(list_distinct(list(object))) AS now FROM uses GROUP BY 1)
+WITH {_BRAND}, ends AS (SELECT subject AS name, object AS near, ts FROM uses UNION ALL SELECT object, subject, ts FROM uses),
+o AS (SELECT name, list_sort(list_distinct(list(near))) AS was FROM ends WHERE ts < TIMESTAMP '1998-04-17' GROUP BY 1),
+n AS (SELECT name, list_sort(list_distinct(list(near))) AS now FROM ends GROUP BY 1)
 SELECT name, array_to_string(now, ',') AS neighbours, CASE WHEN was IS NOT NULL AND was <> now THEN 2 ELSE 1 END::BIGINT AS version FROM n LEFT JOIN o USING (name)""",
     "alias_candidates": f"WITH {_VEC}, {_CANDIDATES} SELECT kind::BIGINT AS kind, a, b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.35",
     "alias_merge": f"""
@@ -210,30 +282,66 @@ WITH {_VEC} SELECT 'pre' AS placement, query_id, id, round(distance, 6) AS dista
 UNION ALL SELECT 'post', query_id, id, round(distance, 6), rank FROM ({_top('q.vec_id % 50 = 0')}) WHERE label < 3""",
     "adaptive_stop": f"""
 WITH {_VEC}, h AS ({_top('q.vec_id % 50 = 0', k=8, distance='round(1 - ' + _COSINE.format(a='q.v', b='d.v') + ', 9)')}),
-k AS (SELECT query_id, rank, avg(greatest(0.0, least(1.0, 1 - distance))) OVER (PARTITION BY query_id ORDER BY rank) AS conf FROM h WHERE greatest(0.0, least(1.0, 1 - distance)) >= 0.2),
-s AS (SELECT query_id, min(CASE WHEN rank >= 2 AND conf >= 0.33 THEN rank END) AS stop, max(rank) AS last, count(*) AS n FROM k GROUP BY 1)
+kept AS (SELECT *, greatest(0.0, least(1.0, 1 - distance)) AS sim FROM h WHERE greatest(0.0, least(1.0, 1 - distance)) >= 0.2),
+wanted AS (SELECT doc_id AS query_id, unnest(list_sort(list_distinct({words('text')}))[1:12]) AS entity FROM documents WHERE doc_id IN (SELECT query_id FROM h)),
+counts AS (SELECT query_id, count(*) AS n_entities FROM wanted GROUP BY 1),
+fresh AS (SELECT query_id, rank, count(*) AS fresh FROM (
+  SELECT k.query_id, entity, min(rank) AS rank FROM kept k JOIN wanted w USING (query_id) JOIN documents d ON d.doc_id = k.id WHERE contains(lower(d.text), entity) GROUP BY 1, 2) GROUP BY 1, 2),
+k AS (
+  SELECT k.query_id, k.rank, CASE WHEN n_entities IS NULL THEN avg(sim) OVER u ELSE 0.6 * avg(sim) OVER u + 0.4 * sum(coalesce(fresh, 0)) OVER u / n_entities END AS conf
+  FROM kept k LEFT JOIN counts USING (query_id) LEFT JOIN fresh f ON f.query_id = k.query_id AND f.rank = k.rank WINDOW u AS (PARTITION BY k.query_id ORDER BY k.rank ROWS UNBOUNDED PRECEDING)
+),
+s AS (SELECT query_id, min(CASE WHEN rank >= 2 AND conf >= 0.25 THEN rank END) AS stop, max(rank) AS last, count(*) AS n FROM k GROUP BY 1)
 SELECT x.query_id, coalesce(stop, last, 0)::BIGINT AS stop_rank, CASE WHEN stop IS NOT NULL THEN 'threshold' WHEN last IS NOT NULL THEN 'max_k' ELSE 'no_results' END AS reason,
        coalesce(round(k.conf, 6), 0.0) AS confidence, coalesce(n, 0)::BIGINT AS n_hits
 FROM (SELECT DISTINCT query_id FROM h) x LEFT JOIN s USING (query_id) LEFT JOIN k ON k.query_id = x.query_id AND k.rank = coalesce(stop, last)""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25, rank, round(1.0 / rank, 6)::DOUBLE AS score FROM keyword",
-    "rrf_fusion": f"WITH {_BM25}, {_FUSED} SELECT query_id, id, round(score, 6)::DOUBLE AS score, origin, n_sources, rank FROM ranked",
+    "rrf_fusion": f"WITH RECURSIVE {_BM25}, {_FUSED} SELECT query_id, id, round(score, 6)::DOUBLE AS score, origin, n_sources, rank FROM ranked",
     "context_aging": f"""
 SELECT event_id, round(value * f, 6) AS score, round(value, 6) AS score_raw, round(f, 3) AS age_factor
 FROM (SELECT *, CASE WHEN d < 0 THEN 1.0 ELSE greatest(pow(0.5, d / 10.0), 0.3) END::DOUBLE AS f FROM (SELECT *, {_DAYS} AS d FROM events))""",
     "relevance_filter": f"""
-WITH q AS (SELECT item_id AS query_id, list_distinct({words('text')}) AS w FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, {_telling('text')} AS w FROM benchmark),
 qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q),
-d AS (SELECT doc_id AS id, unnest(list_distinct({words('text')})) AS word FROM documents)
+d AS (SELECT doc_id AS id, unnest({_telling('text[1:500]')}) AS word FROM documents)
 SELECT query_id, id, round(count(*) / any_value(n), 6) AS relevance FROM qw JOIN d USING (word) GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.12""",
-    "hybrid_retrieve": f"""
-WITH {_BM25}, {_FUSED},
-x AS (
-  SELECT r.query_id, r.id, origin, score, list_distinct({words('i.text')}) AS qw, list_distinct({words('d.text')}) AS dw,
-         CASE WHEN ts IS NULL OR {_DAYS} < 0 THEN 1.0 ELSE greatest(pow(0.5, {_DAYS} / 90.0), 0.3) END::DOUBLE AS f
-  FROM ranked r JOIN documents d ON d.doc_id = r.id JOIN benchmark i ON i.item_id = r.query_id LEFT JOIN events e ON e.event_id = r.id
-),
-y AS (SELECT *, CASE WHEN len(qw) = 0 THEN 1.0 WHEN len(dw) = 0 THEN 0.0 ELSE len(list_intersect(qw, dw)) / len(qw) END AS relevance FROM x)
-SELECT query_id, id, origin, round(score * f, 6) AS score, round(relevance, 6) AS relevance, round(f, 3) AS age_factor FROM y WHERE relevance >= 0.12""",
+    "hybrid_retrieve": f"WITH RECURSIVE {_HYBRID.replace('{days}', _DAYS)} SELECT query_id, id, origin, round(score * f, 6) AS score, round(relevance, 6) AS relevance, round(f, 3) AS age_factor FROM z",
+    "context_prompts": f"""
+WITH RECURSIVE {_HYBRID.replace('{days}', _DAYS)},
+c AS (SELECT query_id, string_agg('[doc|' || origin || '] ' || text[1:300], chr(10) || '---' || chr(10) ORDER BY rank) AS parts FROM z WHERE rank <= 3 GROUP BY 1),
+p AS (SELECT item_id AS query_id, CASE WHEN parts IS NULL THEN text ELSE 'Context:' || chr(10) || parts || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer from the context where it is relevant.' END AS prompt FROM benchmark LEFT JOIN c ON c.query_id = item_id)
+SELECT query_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM p""",
+    "recognised_entities": f"WITH {_recognised("SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'")} SELECT query_id, name, pos AS \"at\" FROM seeds",
+    "graph_expansion": f"WITH RECURSIVE {_EXPANSIONS} SELECT query_id, expansion, round(score, 6)::DOUBLE AS score, no FROM expanded",
+    "graph_retrieve": f"WITH RECURSIVE {_TF}, {_GUIDED} SELECT query_id, id, rank FROM guided",
+    "neighbour_cap": f"WITH RECURSIVE {_KNOWN}, {_TERM_GRAPH} SELECT seed, other AS name, rk AS rank FROM capped WHERE rk <= 5",
+    "entity_search": f"""
+WITH {_PLACE}, sides AS (SELECT ord, lower(trim(subject)) AS name, st AS type FROM triples UNION ALL SELECT ord, lower(trim(object)), ot FROM triples)
+SELECT name, count(*) AS mention_count FROM sides WHERE type = 'supplier' AND (contains(name, 'supplier0') OR contains(regexp_replace(name, '[ #]', '', 'g'), 'supplier0')) GROUP BY name ORDER BY count(*) DESC, min(ord) LIMIT 10""",
+    "entity_lookup": "SELECT upper(s_name) AS query, lower(s_name) AS name FROM supplier UNION ALL SELECT regexp_replace(s_name, '[ #]', '', 'g'), lower(s_name) FROM supplier",
+    "entity_relations": f"""
+WITH {_PLACE}, {_PART_OF}, n AS (SELECT lower(n_name) AS name FROM nation),
+r AS (SELECT name, 'out' AS direction, src, dst FROM n JOIN edges ON src = name UNION ALL SELECT name, 'in', src, dst FROM n JOIN edges ON dst = name)
+SELECT name, direction, 'PART_OF' AS relation, count(*) AS n, min(src) AS first_src, max(dst) AS last_dst FROM r GROUP BY 1, 2""",
+    "neighbourhood_docs": f"""
+WITH {_PLACE}, {_UNDIRECTED}, n AS (SELECT lower(n_name) AS seed FROM nation),
+near AS (SELECT seed, dst AS name FROM n JOIN both_ways ON src = seed UNION SELECT seed, seed FROM n),
+docs AS (SELECT lower(subject) AS name, doc FROM triples UNION SELECT lower(object), doc FROM triples)
+SELECT DISTINCT seed, doc FROM near JOIN docs USING (name)""",
+    "entity_upserts": """
+WITH e AS (SELECT event_type AS name, event_id, user_id, ts, 'u' || (user_id % 20) AS alias FROM events),
+a AS (SELECT name, string_agg(alias, ',' ORDER BY first) AS aliases FROM (SELECT name, alias, min(event_id) AS first FROM e GROUP BY 1, 2) GROUP BY 1)
+SELECT name, arg_min('kind' || (user_id % 3), event_id) AS type, arg_min('seen by ' || user_id, event_id) FILTER (event_id % 5 = 3) AS description, any_value(aliases) AS aliases, count(*) AS mention_count, max(ts) AS last_seen
+FROM e JOIN a USING (name) GROUP BY name""",
+    "alias_rewrite_edges": f"""
+WITH {_PLACE}, {_PART_OF}
+SELECT DISTINCT CASE WHEN starts_with(src, 'supplier#') THEN 'supplier#' || lpad((k - k % 3)::VARCHAR, 9, '0') ELSE src END AS src, dst, 'PART_OF' AS relation, 0.5::DOUBLE AS weight
+FROM (SELECT *, CASE WHEN starts_with(src, 'supplier#') THEN src[10:]::BIGINT ELSE 0 END AS k FROM edges)""",
+    "alias_rewrite_entities": f"""
+WITH {_PLACE}, {_ENTITIES},
+k AS (SELECT *, CASE WHEN starts_with(name, 'supplier#') THEN 'supplier#' || lpad((name[10:]::BIGINT - name[10:]::BIGINT % 3)::VARCHAR, 9, '0') ELSE name END AS f FROM (SELECT name, type, mention_count FROM entities)),
+l AS (SELECT f, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT f, regexp_replace(name, '[ #]', '', 'g') AS a FROM k UNION SELECT f, name FROM k WHERE name <> f) GROUP BY f)
+SELECT f AS name, arg_min(type, name <> f) AS type, sum(mention_count)::BIGINT AS mention_count, any_value(aliases) AS aliases FROM k JOIN l USING (f) GROUP BY f""",
     "conversation_pairs": """
 SELECT conv_id, turn, instruction, output FROM (
   SELECT conv_id, turn, role, text AS output, lag(role) OVER w AS before, lag(text) OVER w AS instruction
@@ -277,16 +385,17 @@ WITH {_RANKED_TURNS},
 gone AS (SELECT conv_id, turn, regexp_extract(text, '^\s*([^.\n]*)', 1) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM r WHERE NOT ({_SNIP})),
 every AS (
   SELECT conv_id, turn, role, text FROM r WHERE {_SNIP}
-  UNION ALL SELECT conv_id, min(turn), 'system', '- ' || string_agg(line, chr(10) || '- ' ORDER BY turn) FILTER (no <= 6) FROM gone GROUP BY conv_id
+  UNION ALL SELECT conv_id, min(turn), 'system', '- ' || string_agg(line, chr(10) || '- ' ORDER BY turn) FROM gone GROUP BY conv_id
 )
 SELECT conv_id, turn, role, length(text) AS n_chars, md5(text) AS digest FROM every""",
     "parent_chain": """
-WITH RECURSIVE m AS (SELECT conv_id, turn AS id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent, length(text) AS n FROM conversations),
+WITH RECURSIVE m AS (SELECT conv_id, turn AS id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent, role, text FROM conversations),
 walk AS (
-  SELECT conv_id, turn AS id, turn AS node, 0 AS depth FROM conversations WHERE role = 'assistant'
-  UNION ALL SELECT w.conv_id, w.id, m.parent, depth + 1 FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.id = w.node WHERE m.parent IS NOT NULL AND depth < 20
+  SELECT conv_id, turn AS id, turn AS node, 0 AS depth, role FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT w.conv_id, w.id, m.parent, depth + 1, p.role FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.id = w.node JOIN m p ON p.conv_id = m.conv_id AND p.id = m.parent WHERE depth < 20 AND (depth = 0 OR w.role <> 'user')
 )
-SELECT w.conv_id, w.id, max(depth)::BIGINT AS depth, count(*) AS n_nodes, sum(n)::BIGINT AS text_length FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.id = w.node GROUP BY 1, 2""",
+SELECT w.conv_id, w.id, max(depth)::BIGINT AS depth, count(*) AS n_nodes, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY depth DESC) FILTER (m.role = 'assistant'), '')) AS digest
+FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.id = w.node GROUP BY 1, 2""",
     "keyword_classify": f"WITH {_CLASSES} SELECT query_id, task, round(best, 6) AS score FROM classes",
     "routing_strategy": f"""
 WITH {_CLASSES}, n AS (SELECT query_id, CASE task WHEN 'reading' THEN 'explanation' WHEN 'law' THEN 'code_review' WHEN 'travel' THEN 'architecture' ELSE task END AS task FROM classes)
@@ -348,7 +457,7 @@ SELECT topic, entries, score, CASE WHEN score >= 0.8 THEN 'Expert' WHEN score >=
 WITH o AS (SELECT user_id % 6 AS context, {_ARM}[event_id % 5 + 1] AS arm, event_type = 'purchase' AS won FROM events WHERE event_type IN ('purchase', 'error')),
 g AS (SELECT context, arm, arm_no FROM (SELECT DISTINCT user_id % 6 AS context FROM events), (VALUES ('default', 0), ('graph_boost', 1), ('deep_graph', 2), ('vector_focus', 3)) AS a(arm, arm_no)),
 p AS (SELECT g.context, g.arm, arm_no, CASE arm_no WHEN 0 THEN 2 ELSE 1 END + count(*) FILTER (won) AS alpha, 1 + count(*) FILTER (NOT won) AS beta FROM g LEFT JOIN o ON o.context = g.context AND o.arm = g.arm GROUP BY 1, 2, 3)
-SELECT context, arm, alpha::BIGINT AS alpha, beta::BIGINT AS beta, round(alpha / (alpha + beta), 6) AS mean, row_number() OVER (PARTITION BY context ORDER BY alpha / (alpha + beta) DESC, arm_no) = 1 AS best FROM p""",
+SELECT context, arm, alpha::BIGINT AS alpha, beta::BIGINT AS beta, round(alpha / (alpha + beta), 6) AS mean, arm_no > 0 AND row_number() OVER (PARTITION BY context ORDER BY arm_no = 0, alpha / (alpha + beta) DESC, arm_no) = 1 AS best FROM p""",
     "feedback_latest": """
 WITH l AS (SELECT * FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type IN ('click', 'error')) WHERE r = 1)
 SELECT e.event_id, e.user_id, e.value, l.event_type AS feedback, l.event_id AS feedback_event FROM events e LEFT JOIN l USING (user_id)
