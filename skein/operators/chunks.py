@@ -28,7 +28,12 @@ def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_no, chunk) of (doc_id, text); where a piece starts depends on where the one before it ended."""
+    """(doc_id, chunk_no, chunk) of (doc_id, text); where a piece starts depends on where the one before it ended.
+
+    An overlap of more than half a piece would never come to an end, and is an error.
+    """
+    if not 0 <= overlap <= size // 2:
+        raise ValueError("an overlap is half a piece at most")
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:

@@ -71,7 +71,7 @@ def anywhere(text: Column, lexicon: dict[str, Sequence[str]]) -> Column:
 
 def matching(text: Column, patterns: dict[str, str]) -> Column:
     """The names whose pattern the text matches, in any case."""
-    return F.array_compact(F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(f"(?i){p}"), F.lit(n)) for n, p in patterns.items()))).cast("array<string>")
+    return F.array_compact(F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(f"(?iu){p}"), F.lit(n)) for n, p in patterns.items()))).cast("array<string>")
 
 
 def _triples(subjects: Column, subject_type: str, relation: str, other: Column | None, object_type: str, confidence: Column | float) -> Column:

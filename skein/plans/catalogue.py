@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions.scores import stepped_decay
 from skein.functions.text import distinct_words, entity_id
 from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
-from skein.plans import oracles
+from skein.plans import more, more_sql, oracles
+from skein.plans.common import long, rounded, table, ts
 from skein.sources import lake
 
 LEXICON = {"thing": ("thing", "things"), "earth": ("erth", "erea"), "joining": ("und", "nicht"), "purpose": ("para", "dans"), "article": ("the", "les", "las"), "being": ("was", "are")}
@@ -20,22 +21,6 @@ STRATEGIES = {"comma": r"[\p{L}]+, and", "colon": r"[\p{L}]+: ", "with": r"with
 TASKS = {"reading": ("the", "that", "this"), "travel": ("dans", "les", "pour"), "law": ("und", "nicht", "der"), "kitchen": ("para", "los", "con una"), "garden": ("thing", "erth")}
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def long(*names: str) -> list:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
-def rounded(*names: str, places: int = 6) -> list:
-    return [F.round(F.col(n), places).alias(n) for n in names]
-
-
-def ts(text: str):
-    return F.lit(text).cast("timestamp_ntz")
-
-
 # --- lexicon ---------------------------------------------------------------------------------------------------------
 def lexicon_entities(spark, sf):
     return lexicon.entities_of_hits(lexicon.term_hits(table(spark, sf, "documents"), LEXICON))
@@ -597,8 +582,8 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *more.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return oracles.SQL | more_sql.SQL

@@ -342,6 +342,23 @@ WITH {_PLACE}, {_ENTITIES},
 k AS (SELECT *, CASE WHEN starts_with(name, 'supplier#') THEN 'supplier#' || lpad((name[10:]::BIGINT - name[10:]::BIGINT % 3)::VARCHAR, 9, '0') ELSE name END AS f FROM (SELECT name, type, mention_count FROM entities)),
 l AS (SELECT f, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT f, regexp_replace(name, '[ #]', '', 'g') AS a FROM k UNION SELECT f, name FROM k WHERE name <> f) GROUP BY f)
 SELECT f AS name, arg_min(type, name <> f) AS type, sum(mention_count)::BIGINT AS mention_count, any_value(aliases) AS aliases FROM k JOIN l USING (f) GROUP BY f""",
+    "chunk_documents": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+step AS (
+  SELECT doc_id, 0 AS no, 0 AS start FROM d
+  UNION ALL SELECT doc_id, no + 1, stop - 200 FROM (
+    SELECT p.doc_id, no, total, start + CASE WHEN start + 1000 < total AND brk > 500 THEN brk + 1 ELSE 1000 END AS stop FROM (
+      SELECT s.doc_id, no, start, length(text) AS total, greatest(1000 - nullif(strpos(reverse(text[start + 1 : start + 1000]), ' .'), 0) - 1, 1000 - nullif(strpos(reverse(text[start + 1 : start + 1000]), chr(10)), 0), -1) AS brk
+      FROM step s JOIN d USING (doc_id)
+    ) p
+  ) WHERE total > 1000 AND stop - 200 < total
+),
+cut AS (
+  SELECT doc_id, no, CASE WHEN length(text) <= 1000 THEN text WHEN start + 1000 < length(text) AND brk > 500 THEN text[start + 1 : start + brk + 1] ELSE text[start + 1 : start + 1000] END AS piece, length(text) > 1000 AS stripped
+  FROM (SELECT s.doc_id, no, start, text, greatest(1000 - nullif(strpos(reverse(text[start + 1 : start + 1000]), ' .'), 0) - 1, 1000 - nullif(strpos(reverse(text[start + 1 : start + 1000]), chr(10)), 0), -1) AS brk FROM step s JOIN d USING (doc_id))
+),
+c AS (SELECT doc_id, no, CASE WHEN stripped THEN regexp_replace(piece, '^[\s\x{85}\x{A0}\x{1c}-\x{1f}]+|[\s\x{85}\x{A0}\x{1c}-\x{1f}]+$', '', 'g') ELSE piece END AS chunk FROM cut)
+SELECT doc_id, no::BIGINT AS chunk_no, length(chunk) AS n_chars, md5(chunk) AS digest FROM c""",
     "conversation_pairs": """
 SELECT conv_id, turn, instruction, output FROM (
   SELECT conv_id, turn, role, text AS output, lag(role) OVER w AS before, lag(text) OVER w AS instruction

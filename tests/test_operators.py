@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import bigrams, date_in, extension, jaccard, overlap, without_fences
 from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
 from skein.sources import lake
-from skein.streaming.outcomes import COLUMNS, followed_turns, run_available
+from skein.streaming.outcomes import followed_schema, followed_turns, run_available
 
 
 def frame(spark, schema, *rows):
@@ -183,8 +183,10 @@ def test_scan_leaves_out_folders_and_suffixes(spark, tmp_path):
 
 
 def test_graph_and_logs_are_written_and_read_again(spark, tmp_path):
-    entities, edges = frame(spark, "name string", ("a",)), frame(spark, "src string, dst string", ("a", "b"))
-    lake.save_graph(entities, edges, f"{tmp_path}/g")
+    assert lake.load_graph(spark, f"{tmp_path}/g") is None
+    for n in (2, 1):
+        entities, edges = frame(spark, "name string, type string", *[("a", "t")] * n), frame(spark, "src string, dst string, relation string", ("a", "b", "r"))
+        lake.save_graph(entities, edges, f"{tmp_path}/g")
     assert [df.count() for df in lake.load_graph(spark, f"{tmp_path}/g")] == [1, 1]
     log = frame(spark, "timestamp string, x int", ("2026-01-01T05:00:00", 1), ("2026-01-02T05:00:00", 2))
     lake.write_by_day(log, f"{tmp_path}/log")
@@ -203,5 +205,5 @@ def test_followed_turns_over_micro_batches(spark, tmp_path, batches):
     for b in range(batches):
         frame(spark, schema, *rows[b * size : (b + 1) * size]).write.mode("append").parquet(f"{tmp_path}/in")
         run_available(followed_turns(stream), str(tmp_path), "followed")
-    got = spark.read.schema(COLUMNS).parquet(f"{tmp_path}/followed").collect()
+    got = spark.read.schema(followed_schema(stream)).parquet(f"{tmp_path}/followed").collect()
     assert sorted(map(tuple, got)) == [(c, t, f"c{c} t{t}", f"c{c} t{t + 2}") for c in (1, 2) for t in (0, 2)]

@@ -42,7 +42,7 @@ def test_query_matches_sql(spark, sf_dir, db, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"chunk_documents", "thompson_draw"}
+    assert set(QUERIES) - set(SQL) == {"thompson_draw"}
 
 
 def test_entry_runs(spark):
