@@ -186,12 +186,13 @@ def first_rule(queries: DataFrame, rules: list[tuple[str, str]], otherwise: str)
 def response_scores(rows: DataFrame, include: tuple[str, ...], exclude: tuple[str, ...], weights: tuple[float, float, float] = (0.5, 0.3, 0.2), ideal: int = 200) -> DataFrame:
     """`rows` with `score`: required terms, length against the ideal and clarity, less 0.2 for each forbidden term.
 
-    Without required terms all of them are held.
+    Without required terms all of them are held. A null text counts as empty.
     """
-    low = F.lower("text")
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
     count = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(low, t)))
     held = count(include) / len(include) if include else F.lit(1.0)
-    n = F.length("text")
+    n = F.length(text)
     complete = F.when(n < 0.3 * ideal, 0.3).when(n < 0.6 * ideal, 0.6).otherwise(F.least(F.lit(1.0), n / (1.5 * ideal)))
     clear = F.when(n < 50, 0.5).when(n > 2000, 0.7).otherwise(1.0)
     score = weights[0] * held + weights[1] * complete + weights[2] * clear - 0.2 * count(exclude)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -199,6 +200,54 @@ def messages_of(records: DataFrame) -> DataFrame:
     )
 
 
+def thinking_blocks(records: DataFrame) -> DataFrame:
+    """(file, ord, no, text): the thinking blocks of assistant records (file, ord, record), in order."""
+    v = records.select("file", "ord", F.try_parse_json("record").alias("v")).filter("v IS NOT NULL")
+    own = v.filter(F.try_variant_get("v", "$.type", "string") == "assistant")
+    blocks = own.select("file", "ord", F.posexplode(F.coalesce(F.try_variant_get("v", "$.message.content", "array<variant>"), F.array().cast("array<variant>"))).alias("no", "b"))
+    return blocks.filter(F.try_variant_get("b", "$.type", "string") == "thinking").select("file", "ord", F.col("no").cast("long").alias("no"), F.coalesce(F.try_variant_get("b", "$.thinking", "string"), F.lit("")).alias("text"))
+
+
+def thinking_stats(records: DataFrame, least: int = 100) -> DataFrame:
+    """(file, scanned, found, processed): records, thinking blocks, and those of `least` characters or more, of each file."""
+    blocks = thinking_blocks(records).groupBy("file").agg(F.count("*").alias("found"), F.count_if(F.length("text") >= least).alias("processed"))
+    every = records.groupBy("file").agg(F.count("*").alias("scanned")).join(blocks, "file", "left")
+    return every.select("file", "scanned", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("processed", F.lit(0)).alias("processed"))
+
+
+def outcomes_of(records: DataFrame, topic: str | None = None, task: str | None = None) -> DataFrame:
+    """Outcome records (record) as columns, of one topic or task if given; what can't be read is left out."""
+    schema = "id string, timestamp string, query string, response_summary string, task_type string, model string, topic string, competence_level string, outcome string, inference_reason string, latency_ms double, session_id string"
+    rows = records.select(F.from_json("record", schema).alias("r")).select("r.*").filter("id IS NOT NULL")
+    if topic is not None:
+        rows = rows.filter(F.col("topic") == topic)
+    return rows.filter(F.col("task_type") == task) if task is not None else rows
+
+
+def zone_rows(spark: SparkSession, root: str) -> DataFrame:
+    """(text, source, category, project) of a lake's four zones for the vector index.
+
+    Training pairs, decisions and learnings in Markdown cut into overlapping pieces, and the descriptions of the last
+    thirty files of code changes.
+    """
+    from skein.operators.chunks import chunk
+
+    files = scan(spark, root)
+    own = lambda part, suffix: files.filter(F.contains("path", F.lit(part)) & (F.col("suffix") == suffix))
+    changes = last_files(own("/code-changes/", ".jsonl"))
+    parts = [index_rows(_records_in(read_files(spark, own("/training-pairs/", ".jsonl")))), index_rows(_records_in(read_files(spark, changes)), "description", "code_change")]
+    for part, name in (("/decisions/", "decision"), ("/learnings/", "learning")):
+        text = read_files(spark, own(part, ".md")).filter(F.trim("content") != "").select(F.col("path").alias("doc_id"), F.col("content").alias("text"))
+        parts.append(chunk(text).select(F.col("chunk").alias("text"), F.col("doc_id").alias("source"), F.lit(name).alias("category"), F.lit("").alias("project")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _records_in(files: DataFrame) -> DataFrame:
+    """(file, ord, record): the lines of files (path, content) that are JSON."""
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("ord", "record"))
+    return lines.filter((F.trim("record") != "") & F.try_parse_json("record").isNotNull())
+
+
 def messages_by_uuid(messages: DataFrame) -> DataFrame:
     """One message for each uuid of a file, the last one."""
     rest = [c for c in messages.columns if c not in ("file", "uuid")]

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import rules
+
 from skein.functions.text import bigrams, date_in, extension, jaccard, overlap, without_fences
-from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
+from skein.operators import build, chunks, extract, graph, lexicon, profile, retrieve, routing, turns
 from skein.sources import lake
 from skein.streaming.outcomes import followed_schema, followed_turns, run_available
 
@@ -207,3 +210,176 @@ def test_followed_turns_over_micro_batches(spark, tmp_path, batches):
         run_available(followed_turns(stream), str(tmp_path), "followed")
     got = spark.read.schema(followed_schema(stream)).parquet(f"{tmp_path}/followed").collect()
     assert sorted(map(tuple, got)) == [(c, t, f"c{c} t{t}", f"c{c} t{t + 2}") for c in (1, 2) for t in (0, 2)]
+
+
+# --- retrieval in blocks and on odd input ----------------------------------------------------------------------------
+def test_vector_top_k_in_blocks_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 5))
+    v[10] = v[20]
+    v[30] = 0
+    corpus = frame(spark, "id long, v array<double>, tag string", *((i, x.tolist(), f"t{i % 3}") for i, x in enumerate(v)), (900, None, "n"), (901, [1.0], "s")).repartition(4)
+    queries = frame(spark, "query_id long, q array<double>", *((i, v[i].tolist()) for i in range(0, 300, 7)), (902, None))
+    for metric in ("l2", "cosine"):
+        for block in (1 << 24, 300):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(retrieve.in_query_blocks, "__defaults__", (block,))
+                got = {(r.query_id, r.rank): (r.id, r.tag) for r in retrieve.vector_top_k(queries, corpus, 5, metric).collect()}
+            for i in range(0, 300, 7):
+                if metric == "l2":
+                    d = np.round(np.sqrt(((v - v[i]) ** 2).sum(axis=1)), 9)
+                else:
+                    norms = np.linalg.norm(v, axis=1) * np.linalg.norm(v[i])
+                    d = np.round(1 - np.divide(v @ v[i], norms, out=np.zeros(300), where=norms > 0), 9)
+                want = [j for _, j in sorted((x, j) for j, x in enumerate(d) if j != i)][:5]
+                assert [got[i, r + 1] for r in range(5)] == [(j, f"t{j % 3}") for j in want]
+            assert not [k for k in got if k[0] == 902]
+    assert retrieve.vector_top_k(queries.limit(0), corpus, 5).count() == 0 == retrieve.vector_top_k(queries, corpus.limit(0), 5).count()
+
+
+def test_relevance_in_blocks_and_without_words(spark):
+    queries = frame(spark, "query_id long, text string", (1, "red fox"), (2, "the of"), (3, None), (4, "blue whale song"))
+    docs = frame(spark, "id long, text string", (1, "a red door"), (2, None), (3, "Blue WHALE " * 100), (4, "x" * 600 + " red"))
+    for block in (1 << 24, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(retrieve.in_query_blocks, "__defaults__", (block,))
+            got = {(r.query_id, r.id): round(r.relevance, 3) for r in retrieve.relevant(queries, docs).collect()}
+        assert got == {(1, 1): 0.5, (4, 3): 0.667}
+
+
+def test_fusion_without_any_weight_and_rules_that_are_no_patterns(spark):
+    one = frame(spark, "query_id long, id long, rank long", (1, 7, 1))
+    assert retrieve.fuse({"vector": (one, 0.0)}).count() == 0
+    asked = frame(spark, "query_id long, text string", (1, "Why (not"), (2, None))
+    assert {r.query_id: r.rule for r in routing.first_rule(asked, [("broken", "(not"), ("why", "why")], "none").collect()} == {1: "why", 2: "none"}
+    assert {r.query_id: r.score for r in routing.response_scores(asked, (), ()).collect()} == {1: 0.69, 2: 0.69}
+
+
+def test_prompts_with_and_without_hits(spark):
+    asked = frame(spark, "query_id long, text string", (1, "q"), (2, "r"))
+    hits = frame(spark, "query_id long, category string, origin string, text string, rank long", (1, "c", "graph", "x" * 400, 1), (1, "d", "vector", "y", 2), (1, "e", "vector", "z", 3))
+    paths = frame(spark, "query_id long, path string", (1, "a -> b"))
+    got = {r.query_id: r.prompt for r in retrieve.context_prompts(asked, hits, 2, paths=paths).collect()}
+    assert got[2] == "r" and got[1].startswith("Context:\n[c|graph] " + "x" * 300 + "\n---\n[d|vector] y\n---\n\nKnown relations:\n- a -> b\n\n---\nQuestion: q\n") and "z" not in got[1].split("Question")[0]
+
+
+# --- graph rewrites and builds ---------------------------------------------------------------------------------------
+def test_alias_merges_match_a_greedy_fold(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        mentions = {i: rng.randrange(4) for i in range(14)}
+        pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(20)})
+        rows = [("k", a, b, round(rng.random(), 2)) for a, b in pairs]
+        gone, want = set(), {}
+        for _, a, b, s in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+            canonical, alias = (b, a) if mentions[b] > mentions[a] else (a, b)
+            if alias in gone:
+                continue
+            gone.add(alias)
+            want[alias] = (canonical, canonical not in want)
+        got = {r.alias: (r.canonical, r.effective) for r in graph.alias_merges(frame(spark, "kind string, a long, b long, similarity double", *rows), frame(spark, "id long, mention_count int", *mentions.items())).collect()}
+        assert got == want
+
+
+def test_paths_prefer_edges_and_weights_bound_walks(spark):
+    edges = frame(spark, "src string, dst string, relation string, weight double", ("a", "b", "r", 0.9), ("b", "c", "s", 0.2), ("c", "d", "t", 0.5), ("a", "a", "loop", 0.5))
+    pairs = frame(spark, "src string, dst string", ("a", "b"), ("b", "a"), ("a", "c"), ("a", "d"), ("a", "zz"))
+    got = {(r.src, r.dst): (r.path, r.n_nodes) for r in graph.context_paths(edges, pairs).collect()}
+    assert got == {("a", "b"): ("a --[r]--> b", 2), ("b", "a"): ("a --[r]--> b", 2), ("a", "c"): ("a -> b -> c", 3), ("a", "d"): ("a -> b -> c -> d", 4)}
+    near = graph.neighbourhood(edges, frame(spark, "name string", ("a",)), 3, 0.3)
+    assert [(r.name, r.distance) for r in near.collect()] == [("b", 1)]
+    both = graph.relations_of(edges, frame(spark, "name string", ("a",)))
+    assert sorted((r.direction, r.dst) for r in both.collect()) == [("in", "a"), ("out", "a"), ("out", "b")]
+    weak = graph.prune(frame(spark, "name string, mention_count int", ("b", 1), ("c", 1)), edges.withColumn("inferred", F.col("weight") < 0.3), keep_inferred=True)
+    assert weak[1].count() == 0 and graph.prune(frame(spark, "name string, mention_count int", ("b", 1), ("c", 1)), edges)[1].count() == 1
+
+
+def test_builds_reinforce_what_was_saved(spark):
+    schema = "ord long, subject string, subject_type string, relation string, object string, object_type string, doc string, confidence double"
+    first = build.built(frame(spark, schema, (1, "a", "t", "depends_on", "b", "t", "d", 0.5), (2, "b", "t", "depends_on", "c", "t", "d", 0.5)))
+    assert sorted((r.src, r.dst, r.weight, r.inferred) for r in first.edges.collect()) == [("a", "b", 0.5, False), ("a", "c", 0.3, True), ("b", "c", 0.5, False)]
+    second = build.built(frame(spark, schema, (1, "A ", "u", "uses", "b", "t", "e", 0.9), (2, "b", "t", "uses", "x", "t", "e", 0.9)), (first.entities, first.edges), first.snapshots)
+    got = {(r.src, r.dst): (r.relation, round(r.weight, 6), r.reinforcement_count) for r in second.edges.filter("NOT inferred").collect()}
+    assert got == {("a", "b"): ("depends_on", 0.6, 1), ("b", "c"): ("depends_on", 0.5, 0), ("b", "x"): ("uses", 0.9, 0)}
+    assert {r.name: (r.type, r.mention_count) for r in second.entities.collect()} == {"a": ("t", 2), "b": ("t", 4), "c": ("t", 1), "x": ("t", 1)}
+    assert {r.name: r.version for r in second.snapshots.collect()} == {"a": 1, "b": 2, "c": 1, "x": 1}
+    assert [(r.name, r.added) for r in second.drifted.collect()] == [("b", ["x"])]
+
+
+# --- extraction ------------------------------------------------------------------------------------------------------
+def test_whole_words_of_several_words_and_shared_aliases(spark):
+    texts = ["Use GitHub Actions, tf and next.js", "nextly tfx", "Ports and Adapters with CQRS", None, ""]
+    df = frame(spark, "doc long, text string", *enumerate(texts))
+    got = df.select("doc", extract.whole_words(F.col("text"), rules.TECHNOLOGIES).alias("t"), extract.anywhere(F.col("text"), rules.PATTERNS).alias("p")).collect()
+    assert [r.t for r in got] == [["nextjs", "terraform", "github actions", "tensorflow"], [], [], [], []]
+    assert {"hexagonal architecture", "cqrs", "adapter pattern"} <= set(got[2].p) and got[3].p == []
+
+
+def test_decisions_in_markdown(spark):
+    text = ["# Old", "# Use queues ", "", "## Decision:", "", " take kafka ", "Lesson learned", "", "retry with backoff helps"]
+    lines = frame(spark, "doc string, no long, line string", *(("d", i, x) for i, x in enumerate(text)), ("e", 0, "nothing"))
+    got = {r.doc: (r.topic, r.chosen, r.lesson) for r in extract.decision_fields(lines).collect()}
+    assert got == {"d": ("Use queues", "take kafka", "retry with backoff helps"), "e": (None, None, None)}
+    triples = extract.from_decisions(extract.decision_fields(lines)).collect()
+    assert {(r.subject, r.relation, r.object) for r in triples} == {("kafka", "related_to", "use queues"), ("retry with backoff", "learned_from", "use queues")}
+
+
+def test_rules_are_read_from_a_file(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"technologies": {"zig": ["ziglang"]}, "errors": {"panic": "pan.c"}}')
+    own = extract.Rules(**rules.load_rules(spark, f"file:{tmp_path}/r.json"))
+    pairs = frame(spark, "doc string, instruction string, output string, category string", ("d", "a Ziglang panic", None, None))
+    assert sorted(r.subject for r in extract.from_pairs(pairs, own).collect()) == ["panic", "zig"]
+
+
+# --- readers and sinks -----------------------------------------------------------------------------------------------
+def test_files_zones_and_saved_tables(spark, tmp_path):
+    lake_dir = tmp_path / "lake"
+    files = {
+        "02-processed/training-pairs/a.jsonl": '{"instruction": "ask", "output": "' + "long answer " * 9 + '", "source_file": "proj/x.py"}\nbroken\n{"output": "short"}\n',
+        "03-metadata/decisions/d.md": "# T\nchoose this. " * 200,
+        "03-metadata/learnings/l.md": "   ",
+        "01-raw/code-changes/c.jsonl": '{"description": "' + "changed much " * 9 + '"}\n',
+        "x/bad.json": "{no",
+        "x/good.json": '{"a": 1}',
+    }
+    for name, text in files.items():
+        (lake_dir / name).parent.mkdir(parents=True, exist_ok=True)
+        (lake_dir / name).write_text(text)
+    rows = lake.zone_rows(spark, f"file:{lake_dir}").collect()
+    assert {r.category for r in rows} == {"training", "decision", "code_change"} and sum(r.category == "decision" for r in rows) > 3
+    assert [r.project for r in rows if r.category == "training"] == ["proj"] and next(r.text for r in rows if r.category == "training").startswith("Q: ask\nA: long")
+    read = {r.path.rsplit("/", 1)[1]: (r.record, r.n_records) for r in lake.read_files(spark, lake.scan(spark, f"file:{lake_dir}")).collect()}
+    assert read["bad.json"] == (None, None) and read["good.json"][0] == '{"a": 1}' and read["a.jsonl"] == (None, 2)
+    assert lake.of_category(lake.scan(spark, f"file:{lake_dir}"), "decision").count() == 1
+    state = f"{tmp_path}/state"
+    assert lake.read_table_or(spark, state, "id string, n int").count() == 0
+    lake.append(frame(spark, "id string, n int", ("a", 1)), state)
+    now = lake.read_table_or(spark, state, "id string, n int")
+    lake.replace_table(now.withColumn("n", F.col("n") + 1), state)
+    assert [tuple(r) for r in lake.read_table_or(spark, state, "id string, n int").collect()] == [("a", 2)]
+    for _ in range(2):
+        lake.append_vectors(frame(spark, "id string, v array<double>", ("a", [1.0]), ("a", [1.0]), ("b", [2.0])), f"{tmp_path}/v", "id")
+    assert spark.read.parquet(f"{tmp_path}/v").count() == 2
+    assert lake.captures_since(lake.read_records(spark, f"file:{lake_dir}/01-raw"), "2026-01-01").count() == 1
+
+
+def test_transcripts_of_strings_arrays_and_odd_records(spark):
+    rows = [
+        '{"type":"user","uuid":"a","message":{"content":"[not an array"}}', '{"type":"assistant","uuid":"b","parentUuid":"a","message":{"content":[{"type":"text","text":"x"},"y",{"type":"thinking","thinking":"hm"},{"type":"image"}]}}',
+        '{"type":"progress","message":{"content":"z"}}', "broken", '{"type":"user","message":null}', '{"type":"assistant","message":{"content":[]}}',
+    ]
+    records = frame(spark, "file string, ord long, record string", *(("f", i, r) for i, r in enumerate(rows)))
+    got = {r.ord: (r.text, r.thinking, r.parent) for r in lake.messages_of(records).collect()}
+    assert got == {0: ("[not an array", "", None), 1: ("x\ny", "hm", "a"), 4: ("", "", None), 5: ("", "", None)}
+    assert [tuple(r) for r in lake.thinking_stats(records, 2).collect()] == [("f", 6, 1, 1)]
+    folders = frame(spark, "path string, folder string", ("p1", "-home-My-Proj"), ("p2", "other"))
+    assert [tuple(r) for r in lake.transcripts_of(frame(spark, "project string", ("myproj",)), folders).collect()] == [("myproj", "p1")]
+
+
+def test_stream_state_with_null_turns_texts_and_string_ids(spark, tmp_path):
+    schema = "conv_id string, turn int, role string, text string"
+    frame(spark, schema, ("a", 1, "user", None), ("a", None, "user", "lost"), ("a", 1, "user", "same"), ("a", 3, "user", None)).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    run_available(followed_turns(stream), str(tmp_path), "followed")
+    got = spark.read.schema(followed_schema(stream)).parquet(f"{tmp_path}/followed").collect()
+    assert sorted((r.conv_id, r.turn, r.text or "", r.next or "") for r in got) == [("a", 1, "", "same"), ("a", 1, "same", "")]
