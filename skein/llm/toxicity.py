@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import id_mod
 from skein.llm.hashed import Batch, Ftrl, batches_of, from_sparse, hash_of, in_slices, labelled_sample, with_scores, word_features
+from skein.llm.text import hand_back
 
 #: Labelled documents of each class that training takes at most, on average, and the longest text among them.
 TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
@@ -98,8 +99,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     if not len(y):
         texts, y = [b""], np.zeros(1, np.float32)
     rows = in_slices(texts, lambda t: word_features(t, BITS))
-    batches = batches_of(rows)
-    return fit_chain(batches, category_labels(rows, batches, y), np.array([hash_of(t) % FOLDS for t in texts]))
+    batches = batches_of(rows, size=64)
+    chain = fit_chain(batches, category_labels(rows, batches, y), np.array([hash_of(t) % FOLDS for t in texts]))
+    del rows, batches
+    hand_back()
+    return chain
 
 
 def score_toxicity(docs: DataFrame, chain: list[Ftrl], carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
