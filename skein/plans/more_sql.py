@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from skein.plans.oracles import _ENTITIES, _PART_OF, _PLACE, _TASKS, _has, _outcomes
 
-_ALIASES = "(VALUES ('thing','thing'),('things','thing'),('earth','earth'),('erth','earth'),('erth and','earth'),('joining','joining'),('und','joining'),('und nicht','joining'),('both','both'),('und','both'),('purpose','purpose'),('para','purpose'),('dans les','purpose'),('article','article'),('the','article'),('las','article')) AS a(alias, term)"
+_ALIASES = (("thing", "thing"), ("things", "thing"), ("earth", "earth"), ("erth", "earth"), ("erth and", "earth"), ("joining", "joining"), ("und", "joining"), ("und nicht", "joining"), ("both", "both"), ("und", "both"), ("purpose", "purpose"), ("para", "purpose"), ("dans les", "purpose"), ("article", "article"), ("the", "article"), ("las", "article"))
 _FOUND_ANYWHERE = "(VALUES ('nation','nation'),('ation','nation'),('heit','heit'),('ment','ment'),('mente','ment'),('ción','ment')) AS p(alias, term)"
-_ERR = r"(VALUES ('ending', '(tion|heit|ción)\.'), ('double', '(the the|de de|und und)')) AS e(term, pattern)"
-_STR = r"(VALUES ('comma', '[\p{L}]+, and'), ('colon', '[\p{L}]+: '), ('with', 'with [\p{L}]+')) AS s(term, pattern)"
+_ERR = (("ending", r"(tion|heit|ción)\."), ("double", "(the the|de de|und und)"))
+_STR = (("comma", r"[\p{L}]+, and"), ("colon", r"[\p{L}]+: "), ("with", r"with [\p{L}]+"))
+
+
+def _matching(patterns, text: str) -> str:
+    """(doc, term) of each (term, pattern); one select a pattern, so that each is compiled once."""
+    return " UNION ".join(f"SELECT doc, '{term}' AS term FROM src WHERE regexp_matches({text}, '{pattern}')" for term, pattern in patterns)
 
 
 def _hits(rows: str) -> str:
     """tech, pat, err and strat (doc, term) of rows (doc, t)."""
-    return rf"""
-src AS ({rows}),
-tech AS (SELECT DISTINCT doc, term FROM src, {_ALIASES} WHERE regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])' || alias || '($|[^\p{{L}}\p{{N}}_])')),
-pat AS (SELECT DISTINCT doc, term FROM src, {_FOUND_ANYWHERE} WHERE contains(lower(t), alias)),
-err AS (SELECT doc, term FROM src, {_ERR} WHERE regexp_matches(t, '(?i)' || pattern)),
-strat AS (SELECT doc, term FROM src, {_STR} WHERE regexp_matches(t, '(?i)' || pattern))"""
+    border = r"[^\p{L}\p{N}_]"
+    return f"""
+src AS MATERIALIZED (SELECT doc, t, lower(t) AS low FROM ({rows})),
+tech AS ({_matching([(term, f"(^|{border}){alias}($|{border})") for alias, term in _ALIASES], "low")}),
+pat AS (SELECT DISTINCT doc, term FROM src, {_FOUND_ANYWHERE} WHERE contains(low, alias)),
+err AS ({_matching([(t, "(?i)" + x) for t, x in _ERR], "t")}),
+strat AS ({_matching([(t, "(?i)" + x) for t, x in _STR], "t")})"""
 
 
 def _self(table: str, kind: str, conf: float) -> str:
