@@ -58,7 +58,7 @@ def _is_shared() -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
 
 
-def _refined(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _refined(docs: DataFrame, text_col: str, id_col: str, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(doc, id, points, text, survives): whether another row shares the row's length and prefix hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.length(normalised(text))
@@ -66,21 +66,22 @@ def _refined(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     alike = _with_part(docs.select(text.alias("text"), length.alias("length"), _bucket(length).alias("bucket")))
     alike = alike.join(F.broadcast(lengths), "part").filter(_is_shared())
     both = _shared(alike.select(_bucket(F.col("length"), _prefix(F.col("text"))).alias("bucket")))
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("points"), text.alias("text"), _bucket(length, _prefix(text)).alias("bucket"))
+    rows = docs.select(F.struct(*(carry or ["*"])).alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("points"), text.alias("text"), _bucket(length, _prefix(text)).alias("bucket"))
     return _with_part(rows).join(F.broadcast(both), "part", "left").select("doc", "id", "points", "text", _is_shared().alias("survives"))
 
 
-def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
+def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_all: bool = False, carry: tuple[str, ...] | None = None) -> DataFrame:
     """Adds the decision on each row of `docs` to it: columns (doc, keep_id, group_size, kept, digest).
 
-    `doc` is the input row as a struct, so no column of the input can clash. Of equal texts the row with the most
+    `doc` is the input row, or its columns `carry`, as a struct, so no column of the input can clash. With `carry` the
+    narrow rows are written down, so that texts are read once for all that follows. Of equal texts the row with the most
     code points stays, then the smallest id (null ids last). A null text counts as empty. Rows that repeat both id
     and text are the same document: every one of them is marked kept, see `drop_exact_copies`. An empty table gives
     an empty table. `digest` is the SHA-256 of the normalised text for rows that reached the last key, for all rows
     with `digest_all`, else null.
     """
     full = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    rows = _refined(docs, text_col, id_col).select(
+    rows = _refined(docs, text_col, id_col, carry).select(
         "doc",
         "id",
         "points",
@@ -89,6 +90,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     )
     # Rows that are alone already get a spread-out key that equals no digest.
     rows = rows.withColumn("key", F.when(F.col("survives"), F.col("digest")).otherwise(F.hex(F.xxhash64("id", "points"))))
+    rows = cut_lineage(rows) if carry else rows
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id")))
     groups = (
         rows.filter("survives")

@@ -62,8 +62,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_groups(docs, digest_all=True).select(
+    docs = read_table(spark, sf_dir, "documents")
+    return exact_groups(docs, digest_all=True, carry=("doc_id",)).select(
         F.col("doc.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
 
