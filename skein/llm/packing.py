@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -27,28 +27,10 @@ LENGTH = 1024
 END_ID = 0
 #: Pieces that meet in one group, on average.
 GROUP_PIECES = 2048
-#: Distinct chunks whose ids a task keeps; later ones are forgotten after each slice of texts.
+#: Distinct chunks whose ids a worker keeps; later ones are forgotten after each slice of texts.
 CACHED_CHUNKS = 400_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_CLEAN = re.compile(r" ?\S+")
-
-
-#: Places inside a chunk where the tokenizer always splits: between a letter and a sign, around a lone line end.
-_INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-_SIGNS = frozenset(",.;:!?")
-_SPECIAL = "<|endoftext|>"
-#: Parts that are encoded together, one to a line.
-_JOINED = 256
-
-
-def _parts_of(chunk: str) -> list[str]:
-    """A chunk with the space before it, cut where the tokenizer always splits."""
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[-1:] in _SIGNS and chunk[:-1].isalpha():
-        return [" " + chunk[:-1], chunk[-1]]
-    return [" " + chunk] if _SPECIAL in chunk else _INSIDE.split(" " + chunk)
 
 
 class _Numbering(dict):
@@ -63,18 +45,14 @@ class ChunkTokenizer:
     """Token ids of whole texts, each distinct space-separated chunk being encoded once and then looked up.
 
     The tokenizer splits at every space that a non-space follows and never merges across, so the ids of a text are
-    those of its chunks in order. A text with other runs of spaces is cut by pattern instead of at every space. A new
-    chunk is put together from its parts; new parts are encoded many at a time, and the ids of each are told apart
-    by the bytes that they stand for.
+    those of its chunks, each with the space before it, in order. A text with other runs of spaces is cut by pattern
+    instead of at every space.
     """
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        size = self.tokenizer.get_vocab_size()
-        # Each character of a token's name stands for one byte.
-        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known = _Numbering()
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -82,44 +60,20 @@ class ChunkTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> dict[str, list[int]]:
-        clean = _CLEAN.fullmatch
-        joinable, alone = [], []
-        for p in parts:
-            (joinable if clean(p) else alone).append(p)
-        out = dict(zip(alone, self._encode(alone), strict=True))
-        groups = [joinable[i : i + _JOINED] for i in range(0, len(joinable), _JOINED)]
-        joined = ["\n".join(g) for g in groups]
-        for group, ids in zip(groups, self._encode(joined), strict=True):
-            ends = np.cumsum(self.bytes_of[ids])
-            last = np.cumsum([len(p.encode()) + 1 for p in group]) - 1
-            stop = np.searchsorted(ends, last)
-            if stop[-1] + 1 != len(ids) or (ends[stop] != last).any() or (ends[stop[:-1] + 1] != last[:-1] + 1).any():
-                out.update(zip(group, self._encode(group), strict=True))
-                continue
-            stop += 1
-            for part, a, b in zip(group, [0, *(stop[:-1] + 1).tolist()], stop.tolist(), strict=True):
-                out[part] = ids[a:b]
-        return out
-
     def _add(self, chunks: list[str], at: int) -> None:
-        made = [_parts_of(c) for c in chunks]
-        parts = self._encode_parts(list({p: None for m in made for p in m}))
-        flat: list[int] = []
-        ends = []
-        for m in made:
-            for p in m:
-                flat += parts[p]
-            ends.append(len(flat))
-        sizes = np.diff(ends, prepend=0)
-        total, need = len(flat), at + len(chunks)
-        if need > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(need, np.int64)]) for x in (self.starts, self.sizes))
-        if self.filled + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(self.filled + total, np.uint32)])
-        self.ids[self.filled : self.filled + total] = flat
-        self.sizes[at:need], self.starts[at:need] = sizes, self.filled + np.cumsum(sizes) - sizes
-        self.filled += total
+        """Numbers from `at` on for new chunks."""
+        for first in range(0, len(chunks), 50_000):
+            made = self._encode([" " + c for c in chunks[first : first + 50_000]])
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            total, begin = int(sizes.sum()), at + first
+            need = begin + len(made)
+            if need > len(self.starts):
+                self.starts, self.sizes = (np.concatenate([x, np.zeros(need, np.int64)]) for x in (self.starts, self.sizes))
+            if self.filled + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(self.filled + total, np.uint32)])
+            self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
+            self.sizes[begin:need], self.starts[begin:need] = sizes, self.filled + np.cumsum(sizes) - sizes
+            self.filled += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         firsts, chunks, counts = [], [], []
@@ -145,6 +99,17 @@ class ChunkTokenizer:
         return [np.concatenate([np.array(h, np.uint32), ids[a:b]]) for h, a, b in zip(heads, bounds, bounds[1:], strict=False)]
 
 
+_coders: dict[str, ChunkTokenizer] = {}
+
+
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each path, which a worker keeps between its tasks; it takes some 150 MB at most."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = ChunkTokenizer(path)
+    return _coders[path]
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -159,7 +124,7 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_path: str | None, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkTokenizer(tokenizer_path or default_tokenizer_path())
+        coder = chunk_tokenizer(tokenizer_path or default_tokenizer_path())
         salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for rows, texts in text_slices(batches, "text", 1 << 22):
             owner, start, size, crc, total = [], [], [], [], []
@@ -175,7 +140,6 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_path: str | None, text_co
             out = [rows.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, range(salt, salt + len(owner))))]
             salt += len(owner)
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
-        del coder
         hand_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
