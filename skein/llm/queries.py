@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.centroids import cluster_vectors
 from skein.llm.common import id_mod, read_table
 from skein.llm.decontaminate import contamination
 from skein.llm.exact_dedup import exact_groups
+from skein.llm.fim import fill_in_middle, restore
 from skein.llm.lang_id import identify, train_language_id
 from skein.llm.lm import score
 from skein.llm.packing import pack
@@ -103,8 +105,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return made.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restore(F.col("output"), F.col("form"), digest_only=True).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op8_secrets, op9_decontamination, op10_toxicity)}
+    found = (
+        op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op8_secrets, op9_decontamination,
+        op10_toxicity, op11_fim, op12_centroids,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP7_SQL = r"""
@@ -152,5 +168,56 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), u AS (
+  SELECT *, CAST(len(lines) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(lines) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(lines) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t
+), v AS (
+  SELECT *, array_to_string(lines[1 : least(a, b)], '') AS p, array_to_string(lines[least(a, b) + 1 : greatest(a, b)], '') AS m,
+         array_to_string(lines[greatest(a, b) + 1 : n], '') AS s
+  FROM u
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM v
+"""
+
+
+def _op12_sql() -> str:
+    """k-means in long form: one row a vector and component, one a centroid and component, for each round in turn."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT id, first(k ORDER BY d, k) AS k, min(d) AS d
+  FROM (SELECT id, k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} AS c USING (i) GROUP BY id, k) GROUP BY id
+)"""
+    move = """c{n} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.x, c.x) AS x
+  FROM c{r} AS c LEFT JOIN (SELECT k, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS HUGEINT) AS x FROM v JOIN a{r} USING (id) GROUP BY k, i) AS m ON m.k = c.k AND m.i = c.i
+)"""
+    steps = [
+        """e AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        "v AS MATERIALIZED (SELECT id, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS HUGEINT) AS x FROM e, unnest(range(1, 65)) AS r(i))",
+        "f AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM e QUALIFY k < 8)",
+        "c0 AS MATERIALIZED (SELECT k, i, x FROM v JOIN f USING (id))",
+    ]
+    for r in range(10):
+        steps += [near.format(r=r), move.format(r=r, n=r + 1)]
+    steps.append(near.format(r=10))
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a10 AS a JOIN e USING (id) JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c10 GROUP BY k) AS c ON c.k = a.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op11_fim": OP11_SQL, "op12_centroids": _op12_sql()}
