@@ -12,6 +12,7 @@ from skein.llm.common import id_mod, read_table
 from skein.llm.decontaminate import contamination
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.fim import fill_in_middle, restore
+from skein.llm.html_text import extract_pages
 from skein.llm.lang_id import identify, train_language_id
 from skein.llm.lm import score
 from skein.llm.packing import pack
@@ -115,10 +116,15 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(read_table(spark, sf_dir, "pages"), carry=("page_id", "url"))
+    return found.select("page.page_id", "page.url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_simhash, op3_sharding, op4_quality, op5_lm_scoring, op6_packing, op7_exact_dedup, op8_secrets, op9_decontamination,
-        op10_toxicity, op11_fim, op12_centroids,
+        op10_toxicity, op11_fim, op12_centroids, op13_html_text,
     )
     return {f.__name__: f for f in found}
 
