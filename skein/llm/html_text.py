@@ -119,7 +119,7 @@ def graph_of(forest: Forest, cache: dict | None = None) -> Graph:
     for pair in names:
         if pair not in cache:
             cache[pair] = (key_features(*pair), kind_of(pair[0]))
-    kinds = np.array([cache[pair][1] for pair in names])
+    kinds = np.array([cache[pair][1] for pair in names], np.int64)
     # The text of a paragraph has the paragraph's shape already; only other runs of text show one of their own.
     shaped = np.flatnonzero(~is_text | (kinds[key[np.maximum(parent, 0)]] != 1))
     rows, columns = [], []
@@ -129,13 +129,13 @@ def graph_of(forest: Forest, cache: dict | None = None) -> Graph:
         columns.append(table[is_text[shaped].astype(int), value[shaped]])
     n_shapes = sum(map(len, rows))
     own = [cache[pair][0] for pair in names]
-    sizes = np.array([len(x) for x in own])
+    sizes = np.array([len(x) for x in own], np.int64)
     starts = np.cumsum(sizes) - sizes
     elements = np.flatnonzero(~is_text)
     k = key[elements]
     rows.append(np.repeat(elements, sizes[k]))
     steps = np.arange(int(sizes[k].sum())) - np.repeat(np.cumsum(sizes[k]) - sizes[k], sizes[k])
-    columns.append(np.concatenate(own)[np.repeat(starts[k], sizes[k]) + steps])
+    columns.append(np.concatenate([np.zeros(0, np.int64), *own])[np.repeat(starts[k], sizes[k]) + steps])
     texts = np.flatnonzero(is_text)
     rows.append(texts)
     columns.append(np.full(len(texts), _slot("run of text")))
@@ -243,13 +243,15 @@ def train_extractor(pages: DataFrame | None = None, limit: int = TRAIN_PAGES, ht
     else:
         known = pages.select(F.col(html_col).alias("h"), F.col(text_col).alias("t")).filter(F.col("h").isNotNull() & F.col("t").isNotNull() & (F.length("h") <= TRAIN_PAGE_CHARS))
         rows = [(r["h"], r["t"]) for r in known.orderBy(F.xxhash64("h", F.lit(seed)), "h", "t").limit(limit).collect()]
+    model = TreeModel(np.zeros((1 << BITS, STATES)), np.zeros((KINDS, STATES, STATES)))
     forest = Forest()
     for page, _ in rows:
         forest.add(page)
-    g = graph_of(forest)
-    # A third of the pages are learned from by tags and names alone, so that these count beside the shapes of texts.
-    g = g.without_shapes(np.arange(max(forest.pages, 1)) % 3 == 0)
-    model = fit(g, labels_of(g, [text.split("\n") if text else [] for _, text in rows])) if len(g.parent) else TreeModel(np.zeros((1 << BITS, STATES)), np.zeros((KINDS, STATES, STATES)))
+    if rows:
+        g = graph_of(forest)
+        # A third of the pages are learned from by tags and names alone, so that these count beside the shapes of texts.
+        g = g.without_shapes(np.arange(forest.pages) % 3 == 0)
+        model = fit(g, labels_of(g, [text.split("\n") if text else [] for _, text in rows]))
     return TreeModel(model.weights.astype(np.float32), model.pairs.astype(np.float32))
 
 
