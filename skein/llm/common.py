@@ -41,3 +41,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def id_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`: the fixed split into training and held-out documents."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
+
+
+def hash_rank(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**63 - 1 that depends on the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1)
+
+
+def rank_bound(wanted: int, total: int) -> int:
+    """The bound on `hash_rank` under which about `wanted` of `total` keys lie, or all if there are no more."""
+    return (1 << 63) - 1 if total <= wanted else ((1 << 63) - 1) * wanted // total
+
+
+def row_columns(df: DataFrame, inside: str = "") -> list[Column]:
+    """The columns of `df`, or those of a struct with them, in a form that can be hashed: maps and variants as JSON."""
+    at = (lambda c: F.col(f"{inside}.`{c}`")) if inside else (lambda c: F.col(f"`{c}`"))
+    odd = {f.name for f in df.schema if any(t in f.dataType.simpleString() for t in ("map<", "variant"))}
+    return [F.to_json(F.struct(at(c).alias("v"))) if c in odd else at(c) for c in df.columns]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, cut_lineage
+from skein.llm.common import bounded_batches, cut_lineage, row_columns
 from skein.llm.text import BY_LETTER, joined_words, per_text, rolled, text_slices
 
 WINDOW = 10
@@ -147,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     def found(block: int) -> Column:
         # About block_bytes of text: what reaches the driver and each task has that bound.
-        part = [(r["id"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toLocalIterator()]
+        part = [(r["id"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).toLocalIterator()]
         index = window_index(part, window)
         return per_text(F.col(text_col), FOUND, lambda: _scan(index))
 
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 
 def _row_key(docs: DataFrame) -> Column:
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = row_columns(docs)
     return F.concat_ws(":", F.xxhash64(*columns).cast("string"), F.xxhash64(F.lit(1), *columns).cast("string"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut_lineage
+from skein.llm.common import cut_lineage, row_columns
 
 #: Fixed by the contract: the characters that equality ignores.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -119,8 +119,10 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     for each full hash, so a hot group shrinks before the shuffle.
     """
     rows = _refined(docs, text_col, id_col)
+    # A struct can't be hashed with a map or a variant in it, so the hash goes by columns.
+    rows = rows.select("*", F.xxhash64(*row_columns(docs, "doc")).alias("hash"))
     alone = rows.filter(~F.col("survives")).select("doc.*")
-    order = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.xxhash64("doc").alias("h"))
+    order = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("hash").alias("h"))
     hashed = rows.filter("survives").select("doc", order.alias("order"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"))
     best = hashed.groupBy("digest").agg(F.min_by("doc", "order").alias("doc"))
     return alone.unionByName(best.select("doc.*"))

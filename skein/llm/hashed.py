@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches
+from skein.llm.common import bounded_batches, cut_lineage, hash_rank, rank_bound
 from skein.llm.text import _BASE, BY_LETTER, blocks, mixed, per_text, run_hashes
 
 #: Number of weights is 2**BITS.
@@ -189,23 +189,40 @@ def from_sparse(parts: tuple[np.ndarray, np.ndarray, int], bits: int, dense: int
     return model
 
 
+def within_budget(rows: list[tuple[int, int]], budget: int) -> int:
+    """The highest rank up to which (rank, bytes) rows fit into `budget`, those that exceed it alone left out; -1 if none does."""
+    best, used = -1, 0
+    for rank, size in sorted(r for r in rows if r[1] <= budget):
+        used += size
+        if used > budget:
+            break
+        best = rank
+    return best
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, text_col: str = "text", id_col: str = "doc_id") -> tuple[list[bytes], np.ndarray]:
     """(texts, labels 0 or 1) of about `per_class` labelled documents of each class, or of all if there are fewer.
 
-    The choice goes by a hash of the id, so it is the same on every run. Rows with a null label or id, and texts over
-    `max_bytes`, are left out; of several labels for one id the least counts. Both bounds hold at any table size:
-    the chosen ids are broadcast, and only the chosen texts reach the driver.
+    The choice goes by a hash of the id, so it is the same on every run. Rows with a null label or id are left out; of
+    several labels for one id the least counts. The texts of a class have `max_bytes` at most: ids are taken in the
+    order of their hashes up to there, and an id whose rows exceed that alone is left out. So whatever the table's
+    size, its longest text or its repeated ids, the driver holds that many bytes; the chosen rows are written down
+    before they are counted.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("int").alias("__y"))
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).filter("__y IN (0, 1)").collect()}
-    rank = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1_000_000))
-    share = F.lit(0)
-    for y, n in counts.items():
-        share = F.when(F.col("__y") == y, min(1_000_000, int(1_000_000 * per_class / n))).otherwise(share)
-    chosen = known.filter(rank < share)
-    size = F.octet_length(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("t")).filter(size <= max_bytes).join(F.broadcast(chosen), "__id")
-    got = sorted(((bytes(r["t"]), r["__y"]) for r in rows.select("t", "__y").toLocalIterator()), key=lambda r: (hash_of(r[0]), r))
+    bounds = {y: rank_bound(per_class, n) for y, n in counts.items()}
+    below = lambda limits: F.coalesce(*(F.when(F.col("__y") == y, F.col("__rank") <= b) for y, b in limits.items()), F.lit(False))
+    chosen = known.withColumn("__rank", hash_rank(F.col("__id"), 11)).filter(below(bounds))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("t")).filter("t IS NOT NULL").join(F.broadcast(chosen), "__id").select("t", "__y", "__rank")
+    rows = cut_lineage(rows)
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("__y", "__rank").agg(F.sum(F.octet_length("t")).alias("size")).collect():
+        sizes.setdefault(r["__y"], []).append((r["__rank"], r["size"]))
+    limits = {y: within_budget(found, max_bytes) for y, found in sizes.items()}
+    over = [rank for found in sizes.values() for rank, size in found if size > max_bytes]
+    fits = rows.filter(below(limits) & ~F.col("__rank").isin(over)) if over else rows.filter(below(limits))
+    got = sorted(((bytes(r["t"]), r["__y"]) for r in fits.select("t", "__y").toLocalIterator()), key=lambda r: (hash_of(r[0]), r))
     return [t for t, _ in got], np.array([y for _, y in got], np.float32)
 
 

@@ -8,6 +8,7 @@ over all its positions. Training is backpropagation through time in numpy on a b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, id_mod
-from skein.llm.text import per_text
+from skein.llm.common import bounded_batches, hash_rank, id_mod, rank_bound
+from skein.llm.text import per_text, text_slices
 
 WINDOW, STATE = 128, 8
 #: Labelled documents of each language and windows of each that training takes at most, on average.
-TRAIN_PER_LANGUAGE, TRAIN_WINDOWS, TRAIN_TEXT_BYTES = 600, 6, 1 << 18
+TRAIN_PER_LANGUAGE, TRAIN_WINDOWS = 600, 6
 TRAIN_STEPS = 400
 #: Names of languages that training takes at most.
 TRAIN_LANGUAGES = 256
@@ -201,23 +202,40 @@ def document_probabilities(net: Network, texts: list[bytes], batch: int = BATCH)
     return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
-def train_language_id(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, languages: int = TRAIN_LANGUAGES, text_bytes: int = TRAIN_TEXT_BYTES, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
+def few_windows(text: bytes, windows: int, width: int = WINDOW) -> bytes:
+    """`windows` windows of a text at most, chosen by its checksum and joined in their order: a text of those windows."""
+    n = -(-len(text) // width)
+    if n <= windows:
+        return text
+    chosen = np.sort(np.random.default_rng(zlib.crc32(text)).permutation(n)[:windows])
+    return b"".join(text[k * width : (k + 1) * width] for k in chosen.tolist())
+
+
+def train_language_id(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, languages: int = TRAIN_LANGUAGES, windows: int = TRAIN_WINDOWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
     """Learned from text and non-null language of ids whose crc32 modulo 4 is not 2, about `per_language` of each.
 
-    The choice goes by a hash of the id. The bounds on the sample: the `languages` most frequent names are learned,
-    and texts over `text_bytes`, and rows without id, text or language, are not learned from. Without any such row the
-    network knows no language.
+    The choice goes by a hash of the id, and of a whole text `windows` windows are cut out in its task, so that the
+    driver gets languages * per_language * windows * 128 bytes. Rows without id, text or language are not learned from.
+    The `languages` most frequent names are learned. Without any such row the network knows no language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (id_mod(F.col(id_col), 4) != 2))
     # A dirty column may hold any number of names; the most frequent ones are learned.
     named = known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages)
-    counts = {r["l"]: r["n"] for r in named.collect()}
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang_col) == name, min(1_000_000, int(1_000_000 * per_language / n))).otherwise(share)
-    rows = known.filter((F.octet_length(F.col(text_col)) <= text_bytes) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1_000_000)) < share))
-    got = sorted((r["l"], bytes(r["t"])) for r in rows.select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("t")).toLocalIterator())
-    return train([t for _, t in got], [n for n, _ in got])
+    bounds = [(r["l"], rank_bound(per_language, r["n"])) for r in named.collect()]
+    if not bounds:
+        return train([], [])
+    # One row a language.
+    shares = docs.sparkSession.createDataFrame(bounds, "l string, bound bigint")
+    rows = known.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("binary").alias("t"), hash_rank(F.col(id_col), 13).alias("rank"))
+    rows = rows.join(F.broadcast(shares), "l").filter("rank <= bound").select("l", "t")
+    bounded_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([batch.column("l"), pa.array([few_windows(t, windows) for t in texts], pa.binary())], names=["l", "t"])
+
+    got = sorted((r["l"], bytes(r["t"])) for r in rows.mapInArrow(cut, "l string, t binary").toLocalIterator())
+    return train([t for _, t in got], [n for n, _ in got], windows=windows)
 
 
 def has_letter(text: bytes) -> bool:

@@ -10,21 +10,21 @@ from skein.llm.common import id_mod
 from skein.llm.hashed import Ftrl, batches_of, from_sparse, in_slices, labelled_sample, ngram_features, with_scores
 from skein.llm.text import hand_back
 
-#: Labelled documents of each class that training takes at most, on average, and the longest text among them.
-TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
+#: Labelled documents of each class that training takes at most, on average, and the bytes of their texts.
+TRAIN_PER_CLASS, TRAIN_CLASS_BYTES = 4000, 64 << 20
 BITS = 20
 THRESHOLD = 0.7
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, text_bytes: int = TRAIN_TEXT_BYTES) -> Ftrl:
+def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, class_bytes: int = TRAIN_CLASS_BYTES) -> Ftrl:
     """A model of `labels.quality`, learned only from ids whose crc32 modulo 4 is not 2.
 
-    The sample is bounded: about `per_class` documents of each class, none of them over `text_bytes`. The bias is
+    The sample is bounded: about `per_class` documents of each class, of `class_bytes` at most. The bias is
     shifted back to the classes' shares among all training labels. If only one class was seen, every score is 0.982
     (label 1) or 0.018 (label 0); without any labels it is one half.
     """
     allowed = labels.filter(id_mod(F.col("doc_id"), 4) != 2)
-    texts, y = labelled_sample(docs, allowed, "quality", per_class, text_bytes)
+    texts, y = labelled_sample(docs, allowed, "quality", per_class, class_bytes)
     model = Ftrl(bits=BITS, alpha=1.0, l1=1.0, l2=0.1)
     if len(set(y.tolist())) < 2:
         model.weights = np.zeros((1 << BITS) + 1, np.float32)

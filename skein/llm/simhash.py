@@ -248,8 +248,8 @@ def _one_position_more(sets: list[tuple[int, ...]], sig_words: int):
     return run
 
 
-def _grouped(signed: DataFrame, names: list[str], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`signed` (doc_id, node, names) with component_id: the least doc_id of all documents reachable over links.
+def _grouped(signed: DataFrame, names: list[str], found: Callable[[DataFrame], DataFrame], kept: list[str] | None = None) -> DataFrame:
+    """`signed` (doc_id, node, names, kept) with component_id: the least doc_id of all documents reachable over links.
 
     `found` gives the links (a, b) of the distinct nodes. `signed` is read several times.
     """
@@ -261,7 +261,7 @@ def _grouped(signed: DataFrame, names: list[str], found: Callable[[DataFrame], D
     named = nodes.select("node", "least").join(by_node, "node", "left").select(F.col("node").alias("k"), F.coalesce("component", "least").alias("component_id"))
     # Written down, so that the last join is one of two plain shuffles, whose large partitions Spark splits.
     named = cut_lineage(named)
-    return signed.join(named, F.col("node") == F.col("k")).select("doc_id", *names, "component_id")
+    return signed.join(named, F.col("node") == F.col("k")).select("doc_id", *names, *(kept or []), "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -371,13 +371,13 @@ def jaccard_links(nodes: DataFrame, rows: DataFrame, sets: DataFrame, similarity
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similarity: float = STAGE["similarity"], bands: int = STAGE["bands"], rows: int = STAGE["rows"], text_col: str = "text", id_col: str = "doc_id", weight: int = WEIGHT) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose sets of `words`-word shingles are `similarity` alike or more.
+    """(doc_id, component_id, text_hash): groups of documents whose sets of `words`-word shingles are `similarity` alike or more.
 
     Every link is a pair whose Jaccard similarity, worked out on the 64-bit hashes of all shingles, is `similarity` or
     more. A pair comes up for that if it shares one of `bands` bands of `rows` minima or meets in a loose group: at
     0.8 with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994 at least. Texts without words form no groups.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("node", "long").add("size", "long").add("bands", ArrayType(LongType()))
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("text_hash", "long").add("node", "long").add("size", "long").add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given, texts in text_slices(batches):
@@ -385,7 +385,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similari
             keys = band_keys(sets, bands, rows).view(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
             sizes = np.array([len(s) for s in sets], np.int64)
-            cols = [given.column("doc_id"), pa.array(set_names(sets).view(np.int64)), pa.array(sizes), listed]
+            cols = [given.column("doc_id"), given.column("text_hash"), pa.array(set_names(sets).view(np.int64)), pa.array(sizes), listed]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(sizes > 0))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,13 +400,24 @@ def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similari
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["node", "members"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = cut_lineage(texts.mapInArrow(run, schema))
+    signed = cut_lineage(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
     keyed = signed.select(F.explode("bands").alias("key"), "node")
     sets = texts.select("text").mapInArrow(members, "node long, members binary")
-    return _grouped(signed, ["size"], lambda nodes: jaccard_links(nodes, keyed, sets, similarity, weight)).select("doc_id", "component_id")
+    return _grouped(signed, ["size"], lambda nodes: jaccard_links(nodes, keyed, sets, similarity, weight), ["text_hash"]).select("doc_id", "component_id", "text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """`docs` without the documents of each group other than the one with its least id; rows without an id stay."""
-    gone = near_duplicate_groups(docs, id_col=id_col, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """`docs` without the documents of each group other than the one with its least id.
+
+    A document is an id with a text: rows that repeat an id with unlike texts are judged each by its own text, rows
+    that repeat both stay or go together, and of a group's texts under its least id the one with the least hash stays.
+    Rows without an id stay.
+    """
+    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **how).filter("doc_id IS NOT NULL")
+    groups = cut_lineage(groups)
+    own = groups.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("least"))
+    gone = groups.filter("doc_id <> component_id").select("doc_id", "text_hash").unionByName(
+        groups.filter("doc_id = component_id").join(own, "component_id").filter("text_hash <> least").select("doc_id", "text_hash")
+    )
+    gone = gone.distinct().select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
+    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("__hash")), "left_anti")

@@ -17,8 +17,8 @@ from skein.llm.common import id_mod
 from skein.llm.hashed import Batch, Ftrl, batches_of, from_sparse, hash_of, in_slices, labelled_sample, with_scores, word_features
 from skein.llm.text import hand_back
 
-#: Labelled documents of each class that training takes at most, on average, and the longest text among them.
-TRAIN_PER_CLASS, TRAIN_TEXT_BYTES = 4000, 1 << 18
+#: Labelled documents of each class that training takes at most, on average, and the bytes of their texts.
+TRAIN_PER_CLASS, TRAIN_CLASS_BYTES = 4000, 64 << 20
 BITS = 22
 KINDS, FOLDS = 3, 3
 #: Words of the greatest weight on which toxic texts are clustered.
@@ -90,12 +90,12 @@ def predict_chain(chain: list[Ftrl], rows: list) -> np.ndarray:
     return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, text_bytes: int = TRAIN_TEXT_BYTES) -> list[Ftrl]:
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, class_bytes: int = TRAIN_CLASS_BYTES) -> list[Ftrl]:
     """The chain, learned from `labels.toxic` of ids whose crc32 modulo 4 is not 2; without labels it predicts 0.
 
     The sample is bounded: about `per_class` documents of each label, none of them over `text_bytes`.
     """
-    texts, y = labelled_sample(docs, labels.filter(id_mod(F.col("doc_id"), 4) != 2), "toxic", per_class, text_bytes)
+    texts, y = labelled_sample(docs, labels.filter(id_mod(F.col("doc_id"), 4) != 2), "toxic", per_class, class_bytes)
     if not len(y):
         texts, y = [b""], np.zeros(1, np.float32)
     rows = in_slices(texts, lambda t: word_features(t, BITS))
