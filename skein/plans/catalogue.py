@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.scores import stepped_decay
 from skein.functions.text import distinct_words, entity_id
 from skein.operators import chunks, graph, lexicon, profile, retrieve, routing, turns
-from skein.plans import more, more_sql, oracles
+from skein.plans import more, more_sql, oracles, streams
 from skein.plans.common import long, rounded, table, ts
 from skein.sources import lake
 
@@ -582,8 +582,8 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*QUERIES, *more.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *more.QUERIES, *streams.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | more_sql.SQL
+    return oracles.SQL | more_sql.SQL | streams.SQL
