@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import rules as fixed
+from skein.functions.automaton import held_names
 from skein.functions.text import extension
 
 #: Confidences of steps, of captures by how they were enriched, and of co-occurring pairs.
@@ -39,34 +40,17 @@ class Rules:
     file_technologies: dict[str, str] = field(default_factory=lambda: fixed.FILE_TECHNOLOGIES)
 
 
-def _literal(text: str) -> str:
-    """A regular expression for exactly this text."""
-    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in text)
-
-
 def whole_words(text: Column, lexicon: dict[str, Sequence[str]]) -> Column:
     """The names of which the text holds the name or an alias between word borders, in the table's order.
 
     One pass over the text finds all aliases, several words included; an alias of two names stands for both.
     """
-    names: dict[str, list[str]] = {}
-    for name, aliases in lexicon.items():
-        for alias in (name, *aliases):
-            names.setdefault(alias.lower(), []).append(name)
-    if not names:
-        return F.array().cast("array<string>")
-    # Every alias is looked for on its own, so that a longer one doesn't hide a shorter one inside it.
-    low = F.lower(F.coalesce(text, F.lit("")))
-    held = [(F.contains(low, F.lit(a)) & low.rlike(rf"(?U)\b{_literal(a)}\b"), own) for a, own in names.items()]
-    found = F.array_compact(F.flatten(F.array(*(F.array(*(F.when(hit, F.lit(n)) for n in own)) for hit, own in held))))
-    return F.filter(F.array(*map(F.lit, lexicon)), lambda n: F.array_contains(found, n))
+    return held_names(text, lexicon, borders=True)
 
 
 def anywhere(text: Column, lexicon: dict[str, Sequence[str]]) -> Column:
     """The names of which the lower-cased text holds the name or an alias, word borders or not."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    held = [F.when(F.exists(F.array(*(F.lit(a.lower()) for a in (name, *aliases))), lambda a: F.contains(low, a)), F.lit(name)) for name, aliases in lexicon.items()]
-    return F.array_compact(F.array(*held)).cast("array<string>")
+    return held_names(text, lexicon, borders=False)
 
 
 def matching(text: Column, patterns: dict[str, str]) -> Column:
