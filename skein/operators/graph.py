@@ -161,7 +161,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, min_weight
     Only edges of `min_weight` or more are walked. Each step is cut off by a checkpoint.
     """
     ensure_checkpoints(edges.sparkSession)
-    both = undirected(edges, min_weight)
+    both = undirected(edges, min_weight).checkpoint()  # every step reads them
     frontier = seeds.select(F.col("name").alias("seed"), "name", F.lit(0).cast("long").alias("distance")).distinct()
     seen = frontier
     for step in range(1, depth + 1):
@@ -190,7 +190,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 4) -> Da
     no path is carried beyond half its length.
     """
     ensure_checkpoints(edges.sparkSession)
-    both = undirected(edges).select(F.col("src").alias("from"), F.col("dst").alias("to"))
+    both = undirected(edges).select(F.col("src").alias("from"), F.col("dst").alias("to")).checkpoint()
 
     def grown(open_: DataFrame, backwards: bool) -> DataFrame:
         end = F.element_at("nodes", 1 if backwards else -1)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scores import age_factor, similarity
-from skein.functions.text import distinct_words, words
+from skein.functions.text import distinct_words
+from skein.operators.keyword_index import KeywordIndex, build_index, search
 from skein.session import ensure_checkpoints
 
 RRF_K = 60
@@ -24,8 +25,8 @@ BM25_K1, BM25_B = 1.2, 0.75
 MIN_K, MAX_K, CONFIDENCE, SIMILARITY_FLOOR = 1, 8, 0.7, 0.2
 SIMILARITY_WEIGHT, COVERAGE_WEIGHT = 0.6, 0.4
 RELEVANCE, RELEVANCE_CHARS = 0.12, 500
-#: Bytes of queries that travel with the tasks at once, and query terms up to which their table may be broadcast.
-BLOCK_BYTES, BROADCAST_TERMS = 16 << 20, 500_000
+#: Bytes of queries that travel with the tasks at once.
+BLOCK_BYTES = 16 << 20
 #: Words of two languages that say nothing about relevance.
 STOP_WORDS = (
     "el", "la", "los", "las", "un", "una", "de", "del", "en", "con", "por", "para", "que", "es", "son", "este", "esta", "estos", "estas",
@@ -170,33 +171,15 @@ def adaptive_stop(hits: DataFrame, confidence: float = CONFIDENCE, min_k: int =
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, len): the inverted index of (id, text), of `terms` (term) alone if given.
-
-    A bounded table of terms is broadcast, so that other words end in the task that read them.
-    """
-    every = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
-    if terms is not None:
-        every = every.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
-    return every.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-
-
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame | None, k: int = 10, k1: float = BM25_K1, b: float = BM25_B, index: KeywordIndex | None = None) -> DataFrame:
     """(query_id, id, bm25, rank, score): documents that share a term with the query; score is 1 / (1 + rank from 0).
 
-    `queries` has (query_id, text). Only postings of query terms are built, once; the number of documents and their
-    mean length come from one aggregate that is joined as a single row.
+    `queries` has (query_id, text). The search goes over `index`, or over one that is built of `docs` (id, text). It
+    is exact: what it skips can't be among the first k.
     """
-    ensure_checkpoints(docs.sparkSession)
-    wanted = queries.select("query_id", F.explode(distinct_words(F.col("text"))).alias("term"))
-    lengths = docs.select(F.size(words(F.col("text"))).cast("double").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    index = postings(docs, wanted.select("term").distinct()).checkpoint()
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    matched = index.join(wanted.join(frequency, "term"), "term").join(F.broadcast(lengths))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = matched.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("bm25"))
-    top = first_k(scored, k, F.desc("bm25"), F.asc("id"))
+    index = index or build_index(docs)
+    scored = search(queries.select("query_id", distinct_words(F.col("text")).alias("terms")).filter(F.size("terms") > 0), index, k, k1, b)
+    top = first_k(scored.select("query_id", "id", F.round("score", 6).alias("bm25")), k, F.desc("bm25"), F.asc("id"))
     return top.withColumn("score", 1.0 / F.col("rank"))
 
 
@@ -271,16 +254,17 @@ def relevant(queries: DataFrame, docs: DataFrame, least: float = RELEVANCE, stop
     return in_query_blocks(asked, F.aggregate("w", F.lit(8), lambda n, w: n + F.length(w) + 8), one)
 
 
-def graph_guided(seeds: DataFrame, expanded: DataFrame, docs: DataFrame, limit: int = 10, hits: int = 3) -> DataFrame:
+def graph_guided(seeds: DataFrame, expanded: DataFrame, docs: DataFrame, limit: int = 10, hits: int = 3, index: KeywordIndex | None = None) -> DataFrame:
     """(query_id, id, rank): documents found by a query's expansion texts, then by its seeds' names.
 
     `seeds` has (query_id, name, at), `expanded` (query_id, expansion, no), `docs` (id, text). Each text brings its
-    first `hits` documents; of documents with the same first 100 characters the first one stays.
+    first `hits` documents by keywords, over `index` if there is one; of documents with the same first 100 characters
+    the first one stays.
     """
     asked = expanded.select("query_id", F.lit(0).alias("phase"), "no", F.col("expansion").alias("text"))
     asked = asked.unionByName(seeds.select("query_id", F.lit(1).alias("phase"), F.col("at").alias("no"), F.col("name").alias("text")))
     # A text that several queries share is searched once.
-    found = bm25_top_k(asked.select(F.col("text").alias("query_id"), "text").distinct(), docs, hits).select(F.col("query_id").alias("text"), "id", F.col("rank").alias("hit"))
+    found = bm25_top_k(asked.select(F.col("text").alias("query_id"), "text").distinct(), docs, hits, index=index).select(F.col("query_id").alias("text"), "id", F.col("rank").alias("hit"))
     keyed = asked.join(found, "text").join(docs.select("id", F.substring("text", 1, 100).alias("start")), "id")
     order = F.struct("phase", "no", "text", "hit", "id")
     once = keyed.groupBy("query_id", "start").agg(F.min(order).alias("ord"))

@@ -288,9 +288,15 @@ def graph_expansion(spark, sf):
     return _expansions(spark, sf)[1].select("query_id", "expansion", *rounded("score"), "no")
 
 
-def graph_retrieve(spark, sf):
+def _index(spark, sf):
+    from skein.operators.keyword_index import build_index
+
+    return build_index(_texts(spark, sf))
+
+
+def graph_retrieve(spark, sf, index=None):
     seeds, expanded = _expansions(spark, sf)
-    return retrieve.graph_guided(seeds, expanded, _texts(spark, sf), 20)
+    return retrieve.graph_guided(seeds, expanded, _texts(spark, sf), 20, index=index or _index(spark, sf))
 
 
 def neighbour_cap(spark, sf):
@@ -301,10 +307,11 @@ def neighbour_cap(spark, sf):
 
 def _lists(spark, sf):
     items = _items(spark, sf)
-    keyword = retrieve.bm25_top_k(items, _texts(spark, sf), 10).select("query_id", "id", "rank")
+    index = _index(spark, sf)
+    keyword = retrieve.bm25_top_k(items, None, 10, index=index).select("query_id", "id", "rank")
     q = table(spark, sf, "embeddings").join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     vector = retrieve.vector_top_k(q, _corpus(spark, sf), 10).select("query_id", "id", "rank")
-    guided = graph_retrieve(spark, sf).select("query_id", "id", "rank")
+    guided = graph_retrieve(spark, sf, index).select("query_id", "id", "rank")
     return {"vector": (vector, 0.5), "graph": (guided, 0.3), "fulltext": (keyword, 0.2)}
 
 
