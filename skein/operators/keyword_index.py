@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from skein.functions.text import words
-from skein.session import shared_folder
+from skein.session import shared_folder, spread
 
 #: Documents of a block (a power of two) and of a shard at most, and words of a shard at most unless one document has more.
-BLOCK, SHARD_DOCS, SHARD_WORDS = 64, 8192, 2_000_000
-#: Blocks that are scored before the first look at the bounds; each further look takes twice as many.
-FIRST_BLOCKS = 4
+BLOCK, SHARD_DOCS, SHARD_WORDS = 64, 8192, 500_000
+#: Blocks that are scored before the first look at the bounds; each further look takes three times as many.
+FIRST_BLOCKS = 8
 #: Scores are compared as rounded to six places, so a bound must be this much lower to rule a block out.
 SLACK = 2e-6
 _LISTS = ("docs", "tfs", "block_no", "block_start", "max_tf", "min_len")
@@ -111,7 +111,7 @@ def build_index(docs: DataFrame, path: str | None = None, shard_docs: int = SHAR
             yield shard_rows(part.column(0), part.column(1), uuid.uuid4().hex)
 
     path = path or shared_folder(spark, "keywords")
-    docs.select("id", words(F.col("text")).alias("w")).mapInArrow(run, _schema(docs)).write.parquet(path)
+    spread(docs).select("id", words(F.col("text")).alias("w")).mapInArrow(run, _schema(docs)).write.parquet(path)
     return open_index(spark, path)
 
 
@@ -124,54 +124,68 @@ def open_index(spark: SparkSession, path: str) -> KeywordIndex:
 
 @dataclass
 class Shard:
-    """The rows of one shard: {term: (docs, tfs, block_no, block_start, max_tf, min_len)} and its documents."""
+    """One shard, flat: its documents, all postings, all blocks of postings, and where each term's blocks lie."""
 
     ids: pa.Array
     lens: np.ndarray
-    terms: dict[str, tuple[np.ndarray, ...]]
-
-
-def _numpy(column: pa.ChunkedArray, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
+    docs: np.ndarray
+    tfs: np.ndarray
+    block: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    max_tf: np.ndarray
+    min_len: np.ndarray
+    terms: dict[str, tuple[int, int]]
 
 
 def read_shard(table: pa.Table) -> Shard:
+    """The rows of one shard, in any order."""
+    table = table.combine_chunks()
+    lists = {c: pa.concat_arrays(table.column(c).chunks) for c in (*_LISTS, "ids")}
+    flat = {c: lists[c].flatten().to_numpy(zero_copy_only=False) for c in _LISTS}
+    sizes = {c: pc.list_value_length(lists[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("docs", "block_no")}
+    posts, blocks = np.append(0, np.cumsum(sizes["docs"])), np.append(0, np.cumsum(sizes["block_no"]))
+    row = np.repeat(np.arange(table.num_rows), sizes["block_no"])
+    begin = flat["block_start"] + posts[row]
+    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+    end = np.where(last, posts[row + 1], np.append(begin[1:], 0))
     names = table.column("term").to_pylist()
     at = names.index("")
-    columns = [table.column(c) for c in _LISTS]
-    terms = {t: tuple(_numpy(c, i) for c in columns) for i, t in enumerate(names) if t}
-    return Shard(table.column("ids")[at].values, _numpy(table.column("tfs"), at), terms)
+    terms = {t: (int(blocks[i]), int(blocks[i + 1])) for i, t in enumerate(names) if t}
+    return Shard(lists["ids"].flatten(), flat["tfs"][posts[at] : posts[at + 1]], flat["docs"], flat["tfs"], flat["block_no"], begin, end, flat["max_tf"], flat["min_len"], terms)
 
 
 def best_of_shard(shard: Shard, terms: list[tuple[str, float]], k: int, k1: float, b: float, mean: float) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(numbers, scores, blocks, scored blocks) of a query of (term, weight): the k best documents and ties with the last one."""
     held = [(weight, *shard.terms[t]) for t, weight in terms if t in shard.terms]
-    n_blocks = len(shard.lens) // BLOCK + 1
     part = lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-    bound = np.zeros(n_blocks)
-    for weight, _, _, block, _, most, least in held:
-        bound[block] += weight * part(most, least)
+    own = np.concatenate([np.arange(first, last) for _, first, last in held] or [np.zeros(0, np.int64)])
+    weight = np.repeat([w for w, _, _ in held], [last - first for _, first, last in held])
+    block = shard.block[own]
+    bound = np.bincount(block, weight * part(shard.max_tf[own], shard.min_len[own]), len(shard.lens) // BLOCK + 1)
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
     total, score = len(order), np.zeros(len(shard.lens))
     done, step, reached = 0, FIRST_BLOCKS, -math.inf
     while done < total and bound[order[done]] >= reached - SLACK:
         chosen = order[done : done + step]
-        chosen = np.sort(chosen[bound[chosen] >= reached - SLACK])
-        for weight, docs, tfs, block, start, _, _ in held:
-            at = np.searchsorted(block, chosen)
-            at = at[(at < len(block)) & (block[np.minimum(at, len(block) - 1)] == chosen)]
-            begin, end = start[at], np.append(start, len(docs))[at + 1]
-            sizes = end - begin
-            own = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            score[docs[own]] += weight * part(tfs[own], shard.lens[docs[own]])
+        chosen = chosen[bound[chosen] >= reached - SLACK]
+        taken = np.zeros(len(bound), bool)
+        taken[chosen] = True
+        hit = np.flatnonzero(taken[block])
+        begin = shard.begin[own[hit]]
+        sizes = shard.end[own[hit]] - begin
+        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        docs = shard.docs[at]
+        score += np.bincount(docs, np.repeat(weight[hit], sizes) * part(shard.tfs[at], shard.lens[docs]), len(score))
         done += len(chosen)
-        step *= 2
+        step *= 3
         found = np.flatnonzero(score)
         if len(found) >= k:
             reached = np.partition(score[found], len(found) - k)[len(found) - k]
     found = np.flatnonzero(score)
-    return found[score[found] >= reached - SLACK], score[found[score[found] >= reached - SLACK]], total, done
+    found = found[score[found] >= reached - SLACK]
+    return found, score[found], total, done
 
 
 def search(queries: DataFrame, index: KeywordIndex, k: int, k1: float, b: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
@@ -23,3 +23,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt evenly over the cores if it has fewer partitions than there are: for work that is long for each row.
+
+    A table of a few large row groups is read by a few tasks; a large one has more partitions than cores and stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
