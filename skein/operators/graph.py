@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,6 +312,55 @@ def alias_candidates(vectors: DataFrame, threshold: float = 0.85, block: int = 2
     return rows.groupBy("kind", "x", "y").applyInPandas(multiplied, schema)
 
 
+def hash_plan(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
+    """(bits, tables) of signed random projections for `n` vectors.
+
+    Unlike vectors of one kind spread over 2**bits buckets of about `bucket`. Two vectors of the cosine `threshold` agree
+    in a bit with probability 1 - angle / pi, and there are so many tables that they share a bucket in one of them with
+    probability `recall` at least. The tables grow with a power of n below one, so the work stays below the square.
+    """
+    bits = max(1, math.ceil(math.log2(max(2, n / bucket))))
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def projected(v: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """(n, tables) bucket numbers: which side of `bits` random planes each vector lies on."""
+    planes = np.random.default_rng((seed, v.shape[1])).normal(size=(v.shape[1], tables * bits))
+    return ((v @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+
+
+def alias_candidates_by_hash(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.95, block: int = 2048, seed: int = 11) -> DataFrame:
+    """(kind, a, b, similarity): as `alias_candidates`, with pairs held against each other only in buckets of signed random projections.
+
+    Every pair that comes out is verified by its cosine; one at the threshold comes out with probability `recall`, one
+    above it with more (`hash_plan`). A bucket of any size is worked off in blocks as a kind is there, so like vectors that
+    fill one bucket are not confined to one task. `alias_candidates` is the exact way.
+    """
+    known = vectors.select("kind", "id", F.col("vector").cast("array<double>").alias("vector")).filter("kind IS NOT NULL AND vector IS NOT NULL")
+    largest = known.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    bits, tables = hash_plan(int(largest), threshold, recall)
+
+    @F.arrow_udf("array<bigint>")
+    def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list = [None] * len(batch)
+            values = batch.to_pylist()
+            for size in {len(v) for v in values}:
+                own = [i for i, v in enumerate(values) if len(v) == size]
+                # A missing component makes a vector equal to none; it is left to the verification.
+                m = np.array([[x if x is not None else np.nan for x in values[i]] for i in own], np.float64).reshape(len(own), size)
+                for i, codes in zip(own, projected(m, bits, tables, seed).tolist(), strict=True):
+                    out[i] = codes
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    spread_out = known.select("kind", "id", "vector", F.posexplode(buckets("vector")).alias("table", "bucket"))
+    found = alias_candidates(spread_out.select(F.to_json(F.struct("kind", "table", "bucket")).alias("kind"), "id", "vector"), threshold, block)
+    own = known.select("kind").schema
+    pairs = found.select(F.from_json("kind", own)["kind"].alias("kind"), "a", "b", "similarity")
+    return pairs.groupBy("kind", "a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def alias_merges(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     """(alias, canonical, similarity, effective): merges by falling similarity; ties go by the pair's ids.
 

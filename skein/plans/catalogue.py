@@ -213,6 +213,11 @@ def alias_candidates(spark, sf):
     return graph.alias_candidates(_vectors(spark, sf), 0.35).select("kind", "a", "b", *rounded("similarity"))
 
 
+def alias_candidates_by_hash(spark, sf):
+    """So many tables that no pair is missed."""
+    return graph.alias_candidates_by_hash(_vectors(spark, sf), 0.35, 1 - 1e-7).select("kind", "a", "b", *rounded("similarity"))
+
+
 def alias_merge(spark, sf):
     vectors = _vectors(spark, sf)
     found = graph.alias_candidates(vectors, 0.3).withColumn("similarity", F.round("similarity", 9))
@@ -578,7 +583,7 @@ QUERIES = (
     lexicon_entities, cooccurrence_edges, category_links, substring_patterns, regex_class_fixes, regex_class_hits, entity_ids,
     graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
     entity_search, entity_lookup, entity_relations, neighbourhood_docs, entity_upserts, alias_rewrite_edges, alias_rewrite_entities,
-    neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_merge,
+    neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_candidates_by_hash, alias_merge,
     vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,
     rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, context_prompts, chunk_documents,
     conversation_pairs, pair_quality, outcome_inference, outcome_rates, compaction_snip, compaction_emergency, compaction_plan, compaction_summary, parent_chain,

@@ -270,6 +270,7 @@ o AS (SELECT name, list_sort(list_distinct(list(near))) AS was FROM ends WHERE t
 n AS (SELECT name, list_sort(list_distinct(list(near))) AS now FROM ends GROUP BY 1)
 SELECT name, array_to_string(now, ',') AS neighbours, CASE WHEN was IS NOT NULL AND was <> now THEN 2 ELSE 1 END::BIGINT AS version FROM n LEFT JOIN o USING (name)""",
     "alias_candidates": f"WITH {_VEC}, {_CANDIDATES} SELECT kind::BIGINT AS kind, a, b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.35",
+    "alias_candidates_by_hash": f"WITH {_VEC}, {_CANDIDATES} SELECT kind::BIGINT AS kind, a, b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.35",
     "alias_merge": f"""
 WITH {_VEC}, {_CANDIDATES},
 d AS (SELECT CASE WHEN (b * 7) % 11 > (a * 7) % 11 THEN a ELSE b END AS alias, CASE WHEN (b * 7) % 11 > (a * 7) % 11 THEN b ELSE a END AS canonical,
