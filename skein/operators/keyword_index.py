@@ -122,6 +122,18 @@ def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     return KeywordIndex(rows, int(total[0] or 0), float(total[2] or 0) / total[1] if total[1] else 0.0)
 
 
+def index_counts(index: KeywordIndex) -> DataFrame:
+    """One row: documents, distinct terms, postings and words of an index; zeros for an empty one."""
+    of_terms = F.col("term") != ""
+    known = F.filter("tfs", lambda n: n > 0)
+    return index.rows.agg(
+        F.coalesce(F.sum(F.when(~of_terms, F.size("tfs"))), F.lit(0)).cast("long").alias("documents"),
+        F.count_distinct(F.when(of_terms, F.col("term"))).alias("terms"),
+        F.coalesce(F.sum(F.when(of_terms, F.size("tfs"))), F.lit(0)).cast("long").alias("postings"),
+        F.coalesce(F.sum(F.when(~of_terms, F.aggregate(known, F.lit(0).cast("long"), lambda a, n: a + n))), F.lit(0)).cast("long").alias("words"),
+    )
+
+
 @dataclass
 class Shard:
     """One shard, flat: its documents, all postings, all blocks of postings, and where each term's blocks lie."""

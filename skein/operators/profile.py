@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.automaton import held_names
 from skein.functions.scores import half_life, level, linear_saturation, log_saturation, stepped_decay
 from skein.functions.text import date_in, extension
+from skein.operators.retrieve import in_query_blocks
 
 #: Weights of entries, density, recency and outcome by (graph, recency, outcome) being known.
 COMPETENCE_WEIGHTS = {
@@ -201,12 +203,18 @@ INSTINCT_CATEGORIES, USABLE = ("workflow", "preference", "shortcut", "context",
 
 def matched_instincts(queries: DataFrame, instincts: DataFrame, least: float = USABLE) -> DataFrame:
     """(query_id, id, confidence, rank): enabled instincts (id, pattern, confidence, enabled) whose pattern a query holds, best first."""
-    usable = small(instincts.filter(F.col("enabled") & (F.col("confidence") >= least)).select("id", F.lower("pattern").alias("pattern"), "confidence"))
-    rows = F.array(*(F.struct(F.lit(r["id"]).alias("id"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["confidence"]).alias("confidence")) for r in usable)) if usable else F.array().cast("array<struct<id:string,pattern:string,confidence:double>>")
-    held = F.filter(rows, lambda i: F.contains(F.lower("text"), i["pattern"]))
-    best = F.array_sort(F.transform(held, lambda i: F.struct((-i["confidence"]).alias("c"), i["id"].alias("id"))))
-    found = queries.select("query_id", F.posexplode(best).alias("pos", "i"))
-    return found.select("query_id", "i.id", (-F.col("i.c")).alias("confidence"), (F.col("pos") + 1).cast("long").alias("rank"))
+    usable = instincts.filter(F.col("enabled") & (F.col("confidence") >= least)).select("id", F.lower("pattern").alias("pattern"), "confidence")
+    patterns = usable.select(F.col("pattern").alias("query_id")).filter("pattern <> ''").distinct()
+
+    def one(block: list) -> DataFrame:
+        held = held_names(F.col("text"), {r["query_id"]: () for r in block}, borders=False)
+        return queries.filter("text IS NOT NULL").select("query_id", F.explode(held).alias("pattern"))
+
+    # Patterns go through the texts in bounded blocks; one of no characters is in every text.
+    found = in_query_blocks(patterns, F.length("query_id") + 8, one)
+    found = found.unionByName(queries.filter("text IS NOT NULL").select("query_id", F.lit("").alias("pattern")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
+    return found.join(usable, "pattern").select("query_id", "id", "confidence", F.row_number().over(best).cast("long").alias("rank"))
 
 
 def changed_instincts(current: DataFrame, changes: DataFrame) -> DataFrame:

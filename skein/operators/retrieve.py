@@ -241,10 +241,11 @@ def relevant(queries: DataFrame, docs: DataFrame, least: float = RELEVANCE, stop
                 for d, held in enumerate(rb.column("w").to_pylist()):
                     own = [places[w] for w in held or () if w in places]
                     if own:
-                        share = np.bincount(np.concatenate(own), minlength=len(sizes)) / sizes
-                        hit = np.flatnonzero(share >= least)
-                        left += hit.tolist()
-                        right += [d] * len(hit)
+                        some, counts = np.unique(np.concatenate(own), return_counts=True)
+                        share = counts / sizes[some]
+                        hit = share >= least
+                        left += some[hit].tolist()
+                        right += [d] * int(hit.sum())
                         shares += share[hit].tolist()
                 out = [pa.array([ids[i] for i in left], id_type), rb.column("id").take(pa.array(right, pa.int64())), pa.array(shares, pa.float64())]
                 yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "relevance"])

@@ -262,3 +262,17 @@ def routed(queries: DataFrame, learned: DataFrame, topics: DataFrame, keywords:
     found = by_word.join(taught, "query_id", "left").join(detected_topics(queries, topics), "query_id", "left")
     how = F.when(F.col("predicted").isNotNull(), "learned").when(F.col("score") > 0, "keyword").otherwise("fallback")
     return found.select("query_id", F.coalesce("predicted", "task").alias("task"), how.alias("how"), "topic", F.coalesce("level", F.lit("Unknown")).alias("level"))
+
+
+def label_of(answer: Column, labels: tuple[str, ...], otherwise: str = "general") -> Column:
+    """The label that a model's answer names: the answer itself if it is one, else the first of `labels` that it holds.
+
+    White space around and case don't count; an answer that names none, or is null, is `otherwise`.
+    """
+    low = F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", ""))
+    out = F.lit(otherwise)
+    for name in reversed(labels):
+        out = F.when(F.contains(low, F.lit(name.lower())), F.lit(name)).otherwise(out)
+    for name in labels:
+        out = F.when(low == name.lower(), F.lit(name)).otherwise(out)
+    return out

@@ -201,13 +201,14 @@ def session_stats(accepted: DataFrame) -> DataFrame:
     return accepted.rollup("category").agg(F.count_distinct("conv_id").alias("sessions"), F.count("*").alias("pairs"))
 
 
-def exported_pairs(interactions: DataFrame, feedback: DataFrame, least: str = "any") -> DataFrame:
-    """(instruction, input, output, metadata) of interactions (id, input_text, output_text, context, model, was_accepted) by their latest feedback (record_id, feedback).
+def exported_pairs(interactions: DataFrame, feedback: DataFrame, least: str = "any", order: str = "timestamp") -> DataFrame:
+    """(instruction, input, output, metadata) of interactions (id, input_text, output_text, context, model, was_accepted) by their latest feedback (record_id, feedback, `order`).
 
     `least` positive takes positive ones alone, neutral all that aren't negative, any all; what was not accepted never
     counts, no word on acceptance does.
     """
-    both = interactions.join(feedback.select(F.col("record_id").alias("id"), "feedback"), "id", "left")
+    last = feedback.groupBy(F.col("record_id").alias("id")).agg(F.max_by("feedback", F.struct(F.col(order), "feedback")).alias("feedback"))
+    both = interactions.join(last, "id", "left")
     keep = {"positive": F.coalesce(F.col("feedback") == "positive", F.lit(False)), "neutral": F.coalesce(F.col("feedback") != "negative", F.lit(True)), "any": F.lit(True)}[least]
     good = both.filter(keep & F.coalesce("was_accepted", F.lit(True)))
     return good.select(F.col("input_text").alias("instruction"), F.coalesce("context", F.lit("")).alias("input"), F.col("output_text").alias("output"), F.struct("id", "model", "feedback").alias("metadata"))

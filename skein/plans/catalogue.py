@@ -123,11 +123,11 @@ def neighbours_depth2(spark, sf):
 
 
 def context_paths(spark, sf):
-    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("nation"))
-    # Five regions, so this is five pairs a supplier.
-    regions = F.explode(F.array(*(F.lit(r["r_name"].lower()) for r in table(spark, sf, "region").limit(100).collect())))
-    own = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("s"), "nation")
-    pairs = s.select(F.lower("s_name").alias("src"), regions.alias("dst")).unionByName(own.select(F.col("s").alias("src"), F.col("nation").alias("dst"))).unionByName(own.select(F.col("nation").alias("src"), F.col("s").alias("dst")))
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("nation"))
+    own = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("s"), "nation", F.explode(F.array("n_regionkey", (F.col("n_regionkey") + 1) % 5)).alias("r_regionkey"))
+    regions = own.join(table(spark, sf, "region"), "r_regionkey").select(F.col("s").alias("src"), F.lower("r_name").alias("dst"))
+    own = own.select("s", "nation").distinct()
+    pairs = regions.unionByName(own.select(F.col("s").alias("src"), F.col("nation").alias("dst"))).unionByName(own.select(F.col("nation").alias("src"), F.col("s").alias("dst")))
     return graph.context_paths(_place_edges(spark, sf), pairs, 4)
 
 
@@ -248,7 +248,7 @@ def adaptive_stop(spark, sf):
     """With the words of the document of the same number as what a query is about, and coverage by the texts found."""
     queries = _queries(spark, sf)
     hits = retrieve.vector_top_k(queries, _corpus(spark, sf), 8, "cosine")
-    wanted = queries.select("query_id").join(_texts(spark, sf).withColumnRenamed("id", "query_id"), "query_id").select("query_id", F.explode(F.slice(F.array_sort(distinct_words(F.col("text"))), 1, 12)).alias("entity"))
+    wanted = queries.select("query_id").join(_texts(spark, sf).withColumnRenamed("id", "query_id"), "query_id").select("query_id", F.explode(distinct_words(F.col("text"))).alias("entity"))
     return retrieve.adaptive_stop(hits, 0.25, 2, 8, entities=wanted, texts=_texts(spark, sf)).select("query_id", "stop_rank", "reason", *rounded("confidence"), "n_hits")
 
 
@@ -299,6 +299,12 @@ def _index(spark, sf):
     return build_index(_texts(spark, sf))
 
 
+def index_counts(spark, sf):
+    from skein.operators.keyword_index import index_counts as counted
+
+    return counted(_index(spark, sf))
+
+
 def graph_retrieve(spark, sf, index=None):
     seeds, expanded = _expansions(spark, sf)
     return retrieve.graph_guided(seeds, expanded, _texts(spark, sf), 20, index=index or _index(spark, sf))
@@ -408,6 +414,12 @@ def keyword_classify(spark, sf):
     return routing.keyword_classes(_asked(spark, sf), TASKS)
 
 
+def model_labels(spark, sf):
+    """Texts of conversations as a model's answers."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.element_at(F.split("text", " "), 1), F.lit(" "))).otherwise(F.col("text")).alias("answer"))
+    return said.groupBy(routing.label_of(F.col("answer"), ("in", "the", "und", "les", "para")).alias("label")).agg(F.count("*").alias("n"), F.min(F.struct("conv_id", "turn")).alias("f")).select("label", "n", F.col("f.conv_id").alias("first_conv"))
+
+
 def routing_strategy(spark, sf):
     tasks = routing.keyword_classes(_asked(spark, sf), TASKS)
     named = tasks.withColumn("task", F.when(F.col("task") == "reading", "explanation").when(F.col("task") == "law", "code_review").when(F.col("task") == "travel", "architecture").otherwise(F.col("task")))
@@ -584,10 +596,10 @@ QUERIES = (
     graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
     entity_search, entity_lookup, entity_relations, neighbourhood_docs, entity_upserts, alias_rewrite_edges, alias_rewrite_entities,
     neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_candidates_by_hash, alias_merge,
-    vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,
+    vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, index_counts, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,
     rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, context_prompts, chunk_documents,
     conversation_pairs, pair_quality, outcome_inference, outcome_rates, compaction_snip, compaction_emergency, compaction_plan, compaction_summary, parent_chain,
-    keyword_classify, routing_strategy, gate_votes, context_map, tfidf_centroid, response_eval,
+    keyword_classify, model_labels, routing_strategy, gate_votes, context_map, tfidf_centroid, response_eval,
     profile_topics, topic_drift_ema, replay_buffer, competence_map, bandit_posterior, thompson_draw, feedback_latest, instinct_decay, instinct_confidence, topic_trigger, nearest_event,
     datalake_stats, datalake_search, quality_gate, unprocessed_files, stream_outcomes, stream_sessions,
 )

@@ -130,7 +130,7 @@ def competence_lookup(spark, sf):
 
 def _instincts(spark, sf):
     """Users as instincts: what they did most often is the pattern."""
-    e = table(spark, sf, "events").filter("user_id < 40").groupBy("user_id").agg(F.max("ts").alias("last_used"), F.count("*").alias("activations"), F.avg("value").alias("mean"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last_used"), F.count("*").alias("activations"), F.avg("value").alias("mean"))
     return e.select(
         F.concat(F.lit("i"), F.col("user_id").cast("string")).alias("id"), pick(("Erth", "thing", "und", "para", "zzz"), F.col("user_id")).alias("pattern"), pick(("workflow", "preference", "shortcut"), F.col("user_id")).alias("category"),
         F.round(F.least(F.lit(0.95), F.pmod("user_id", F.lit(10)) / 10 + 0.05), 6).alias("confidence"), (F.col("user_id") % 7 > 0).alias("enabled"), "activations", "last_used",
@@ -225,7 +225,9 @@ def exported_pairs(spark, sf):
     e = table(spark, sf, "events")
     said = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("input_text"), F.col("props").alias("output_text"), F.lit(None).cast("string").alias("context"), F.lit("m").alias("model"), F.when(F.col("event_id") % 3 > 0, F.col("value") > 20).alias("was_accepted"))
     marks = e.filter(F.col("event_id") % 2 == 0).select(F.col("event_id").alias("record_id"), pick(("positive", "negative", "neutral"), F.col("user_id")).alias("feedback"))
-    every = [turns.exported_pairs(said, marks, least).groupBy("instruction").agg(F.count("*").alias("n"), F.max("metadata.id").alias("last_id")).withColumn("least", F.lit(least)) for least in ("positive", "neutral", "any")]
+    second = e.filter(F.col("event_id") % 4 == 0).select(F.col("event_id").alias("record_id"), pick(("negative", "positive"), F.col("event_id") / 4).alias("feedback"))
+    marks = marks.withColumn("marked", F.lit(1)).unionByName(second.withColumn("marked", F.lit(2)))
+    every = [turns.exported_pairs(said, marks, least, "marked").groupBy("instruction").agg(F.count("*").alias("n"), F.max("metadata.id").alias("last_id")).withColumn("least", F.lit(least)) for least in ("positive", "neutral", "any")]
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 

@@ -60,7 +60,7 @@ _INSTINCTS = """
 inst AS (
   SELECT 'i' || user_id AS id, ['Erth', 'thing', 'und', 'para', 'zzz'][user_id % 5 + 1] AS pattern, ['workflow', 'preference', 'shortcut'][user_id % 3 + 1] AS category,
          round(least(0.95, (user_id % 10) / 10 + 0.05), 6)::DOUBLE AS confidence, user_id % 7 > 0 AS enabled, count(*) AS activations, max(ts) AS last_used
-  FROM events WHERE user_id < 40 GROUP BY user_id
+  FROM events GROUP BY user_id
 ),
 idle AS (SELECT *, date_diff('microsecond', last_used, TIMESTAMP '2024-05-01') // 86400000000 AS days FROM inst),
 worn AS (SELECT id, enabled, activations, round(CASE WHEN days >= 30 THEN greatest(0.2, confidence - 0.05 * (days // 30)) ELSE confidence END, 6)::DOUBLE AS confidence FROM idle)"""
@@ -182,7 +182,7 @@ j AS (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn)[1:12000
 SELECT conv_id, length(text) AS n_chars, md5(text) AS digest FROM j""",
     "session_stats": "",
     "exported_pairs": """
-WITH b AS (SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN ['positive', 'negative', 'neutral'][user_id % 3 + 1] END AS f FROM events WHERE event_id % 3 = 0 OR value > 20),
+WITH b AS (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN ['negative', 'positive'][(event_id // 4) % 2 + 1] WHEN event_id % 2 = 0 THEN ['positive', 'negative', 'neutral'][user_id % 3 + 1] END AS f FROM events WHERE event_id % 3 = 0 OR value > 20),
 k AS (SELECT *, 'positive' AS least FROM b WHERE f = 'positive' UNION ALL SELECT *, 'neutral' FROM b WHERE coalesce(f <> 'negative', true) UNION ALL SELECT *, 'any' FROM b)
 SELECT event_type AS instruction, count(*) AS n, max(event_id) AS last_id, least FROM k GROUP BY event_type, least""",
     "enriched_captures": """

@@ -231,7 +231,7 @@ SELECT seed, name, min(distance)::BIGINT AS distance, round(1.0 / (1 + min(dista
     "context_paths": f"""
 WITH RECURSIVE {_PLACE}, {_UNDIRECTED},
 pairs AS (
-  SELECT lower(s_name) AS src, lower(r_name) AS dst FROM supplier, region
+  SELECT lower(s_name) AS src, lower(r_name) AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5)
   UNION ALL SELECT lower(s_name), lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT lower(n_name), lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ),
 direct AS (
@@ -284,7 +284,7 @@ UNION ALL SELECT 'post', query_id, id, round(distance, 6), rank FROM ({_top('q.v
     "adaptive_stop": f"""
 WITH {_VEC}, h AS ({_top('q.vec_id % 50 = 0', k=8, distance='round(1 - ' + _COSINE.format(a='q.v', b='d.v') + ', 9)')}),
 kept AS (SELECT *, greatest(0.0, least(1.0, 1 - distance)) AS sim FROM h WHERE greatest(0.0, least(1.0, 1 - distance)) >= 0.2),
-wanted AS (SELECT doc_id AS query_id, unnest(list_sort(list_distinct({words('text')}))[1:12]) AS entity FROM documents WHERE doc_id IN (SELECT query_id FROM h)),
+wanted AS (SELECT doc_id AS query_id, unnest(list_distinct({words('text')})) AS entity FROM documents WHERE doc_id IN (SELECT query_id FROM h)),
 counts AS (SELECT query_id, count(*) AS n_entities FROM wanted GROUP BY 1),
 fresh AS (SELECT query_id, rank, count(*) AS fresh FROM (
   SELECT k.query_id, entity, min(rank) AS rank FROM kept k JOIN wanted w USING (query_id) JOIN documents d ON d.doc_id = k.id WHERE contains(lower(d.text), entity) GROUP BY 1, 2) GROUP BY 1, 2),
@@ -297,6 +297,14 @@ SELECT x.query_id, coalesce(stop, last, 0)::BIGINT AS stop_rank, CASE WHEN stop
        coalesce(round(k.conf, 6), 0.0) AS confidence, coalesce(n, 0)::BIGINT AS n_hits
 FROM (SELECT DISTINCT query_id FROM h) x LEFT JOIN s USING (query_id) LEFT JOIN k ON k.query_id = x.query_id AND k.rank = coalesce(stop, last)""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25, rank, round(1.0 / rank, 6)::DOUBLE AS score FROM keyword",
+    "index_counts": f"""
+WITH t AS (SELECT doc_id, unnest({words('text')}) AS w FROM documents)
+SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT w) AS terms, count(DISTINCT (doc_id, w)) AS postings, count(*) AS words FROM t""",
+    "model_labels": r"""
+WITH a AS (SELECT conv_id, turn, lower(trim(CASE WHEN turn % 3 = 0 THEN ' ' || string_split(text, ' ')[1] || ' ' ELSE text END)) AS a FROM conversations),
+l AS (SELECT *, CASE WHEN a IN ('in', 'the', 'und', 'les', 'para') THEN a WHEN contains(a, 'in') THEN 'in' WHEN contains(a, 'the') THEN 'the' WHEN contains(a, 'und') THEN 'und'
+                     WHEN contains(a, 'les') THEN 'les' WHEN contains(a, 'para') THEN 'para' ELSE 'general' END AS label FROM a)
+SELECT label, count(*) AS n, min(conv_id) AS first_conv FROM l GROUP BY label""",
     "rrf_fusion": f"WITH RECURSIVE {_BM25}, {_FUSED} SELECT query_id, id, round(score, 6)::DOUBLE AS score, origin, n_sources, rank FROM ranked",
     "context_aging": f"""
 SELECT event_id, round(value * f, 6) AS score, round(value, 6) AS score_raw, round(f, 3) AS age_factor

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,6 +17,8 @@ from skein.functions.text import extension
 SUFFIXES = (".md", ".txt", ".json", ".jsonl", ".py", ".ts", ".tsx", ".yaml", ".yml", ".toml")
 SKIPPED = ("__pycache__", "node_modules", ".git", ".venv", "venv", ".next", "dist", "build", ".cache", "$RECYCLE.BIN", "System Volume Information")
 MAX_BYTES = 5 * 1024 * 1024
+#: Folders that a reader is given by name; beyond them it is given what is above all.
+MAX_FOLDERS = 10_000
 CATEGORY_PARTS = (("decision", "decision"), ("learning", "learning"), ("problem", "problem_solution"), ("solution", "problem_solution"), ("session", "conversation"), ("conversation", "conversation"), ("code-change", "code_change"), ("training", "training_data"), ("claude.md", "prompt_template"), ("readme", "documentation"))
 CATEGORY_ENDS = ((".py", "code_python"), (".ts", "code_typescript"), (".tsx", "code_typescript"), (".js", "code_typescript"))
 #: Least stripped lengths of typed log entries.
@@ -33,8 +36,16 @@ def category(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, suffix, category) of the files under `root` that are indexed; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    """(path, length, modified, suffix, category) of the files under `root` that are indexed; contents aren't read. A root that is missing has none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    files = found.select("path", "length", F.col("modificationTime").alias("modified"))
     relative = F.replace("path", F.lit(root.rstrip("/")), F.lit(""))
     parts = F.split(relative, "/")
     listed = files.filter((F.col("length") <= MAX_BYTES) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
@@ -48,9 +59,14 @@ def lake_stats(files: DataFrame, *dimensions: str) -> DataFrame:
     return files.groupingSets(sets, *dimensions).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), *(F.grouping(d).cast("long").alias(f"all_{d}") for d in dimensions))
 
 
-def search(files: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Files (path, content) whose path or content holds the query in any case; the limit is part of the feature."""
+def search(files: DataFrame, query: str, limit: int = 50, **equal: str) -> DataFrame:
+    """Files (path, content, …) whose path or content holds the query in any case; the limit is part of the feature.
+
+    `equal` names columns, as category or lake, and the value that they must have.
+    """
     q = F.lit(query.lower())
+    for name, value in equal.items():
+        files = files.filter(F.col(name) == value)
     return files.filter(F.contains(F.lower("path"), q) | F.contains(F.lower("content"), q)).orderBy("path").limit(limit)
 
 
@@ -116,10 +132,15 @@ def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     Bytes that are no UTF-8 are dropped; text that is no JSON has no record, lines that are none don't count. The
     listing is joined with its own folder's contents, so only listed files are read.
     """
-    roots = [r["root"] for r in files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("root")).distinct().limit(10_001).collect()]
+    roots = [r["root"] for r in files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("root")).distinct().limit(MAX_FOLDERS + 1).collect()]
     if not roots:
         return files.select("*", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("record"), F.lit(None).cast("long").alias("n_records"))
-    raw = spark.read.format("binaryFile").load(roots).select("path", F.decode("content", "UTF-8").alias("content"))
+    read = spark.read.format("binaryFile")
+    if len(roots) > MAX_FOLDERS:
+        # What the first and the last path share is above all others; of its files only the listed ones pass the join.
+        ends = files.agg(F.min("path").alias("a"), F.max("path").alias("b")).first()
+        read, roots = read.option("recursiveFileLookup", True), os.path.commonprefix([ends["a"], ends["b"]]).rpartition("/")[0]
+    raw = read.load(roots).filter(F.col("length") <= MAX_BYTES).select("path", F.decode("content", "UTF-8").alias("content"))
     text = raw.withColumn("content", F.replace("content", F.lit("\ufffd"), F.lit("")))
     both = files.join(text, "path")
     parsed = F.when((F.col("suffix") == ".json") & F.try_parse_json("content").isNotNull(), F.col("content"))
