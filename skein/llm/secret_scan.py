@@ -1,7 +1,7 @@
 """Secret scanning with patterns and a battery of randomness tests, in DataFrame and SQL functions only.
 
 Three patterns find assignments, access keys and long hexadecimal runs. Beside them every long run of encoding
-characters is a candidate: its encoding is inferred (hexadecimal, base 32, 36 or 64), and three tests ask whether its
+characters is a candidate: its encoding is inferred (hexadecimal, base 32, 36 or 64, letters of both cases or of one), and three tests ask whether its
 symbols could be uniformly random: chi-squared on the alphabet (its symbols, and its digits and cases), runs above and
 below the middle, and serial correlation. The p-values are combined by Fisher's method. Dismissing a candidate as not random is a discovery;
 within each length class those are made by Benjamini and Hochberg's rule, because short strings have weak tests and
@@ -22,9 +22,13 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE_LENGTH = 12
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates for the tests (an equals sign is padding at the end, or parts a name from a value), their least length with padding, and the share of dismissals that may be random strings.
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,6}"
+#: A run with hyphens or underscores is one candidate if it has letters of both cases and digits, as base 64 has; else each of its parts is one.
+_RUN = "[A-Za-z0-9+/_-]"
+CANDIDATE = rf"(?<!{_RUN})(?={_RUN}*[a-z])(?={_RUN}*[A-Z])(?={_RUN}*[0-9]){_RUN}{{16,}}={{0,6}}|[A-Za-z0-9+/]{{16,}}={{0,6}}"
 CANDIDATE_LENGTH = 20
 FALSE_DISCOVERIES = 0.01
+#: Letters of one case are taken for a code from this length on: shorter ones are words too often.
+ONE_CASE_LENGTH = 28
 #: p-values are counted in bins of a hundredth of a decimal power, down to this power.
 BINS, LOWEST_POWER = 100, 15
 _SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string>"
@@ -71,23 +75,29 @@ _STEPS = [
              WHEN (c.t RLIKE '^[A-Z2-7]+$' OR c.t RLIKE '^[a-z2-7]+$') AND c.t RLIKE '[2-7]' AND c.t RLIKE '[A-Za-z]' THEN 32
              WHEN (c.t RLIKE '^[A-Z0-9]+$' OR c.t RLIKE '^[a-z0-9]+$') AND c.t RLIKE '[0-9]' AND c.t RLIKE '[A-Za-z]' THEN 36
              WHEN c.t RLIKE '^[A-Za-z0-9+/_-]+$' AND c.t RLIKE '[a-z]' AND c.t RLIKE '[A-Z]' AND c.t RLIKE '[0-9]' THEN 64
-             ELSE 0 END))""",
-    # How far digits, cases and letters are from their shares of the alphabet.
+             WHEN c.t RLIKE '^[A-Za-z]+$' AND c.t RLIKE '[a-z]' AND c.t RLIKE '[A-Z]' THEN 52
+             WHEN length(c.t) >= {n} AND (c.t RLIKE '^[a-z]+$' OR c.t RLIKE '^[A-Z]+$') THEN 26
+             ELSE 0 END))""".replace("{n}", str(ONE_CASE_LENGTH)),
+    # How far digits, cases, letters and vowels are from their shares of the alphabet.
     """transform(filter(found, c -> c.k > 0), c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k', c.k,
-        'n', CAST(length(c.t) AS double), 'digits', CAST(length(regexp_replace(c.t, '[^0-9]', '')) AS double),
+        'n', CAST(length(c.t) AS double), 'vowels', CAST(length(regexp_replace(c.t, '[^aeiouyAEIOUY]', '')) AS double), 'digits', CAST(length(regexp_replace(c.t, '[^0-9]', '')) AS double),
         'lower', CAST(length(regexp_replace(c.t, '[^a-z]', '')) AS double), 'upper', CAST(length(regexp_replace(c.t, '[^A-Z]', '')) AS double)))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 't', c.t, 'k', c.k, 'df', CASE c.k WHEN 64 THEN 2D ELSE 1D END,
         'cells', CASE c.k WHEN 16 THEN pow(c.digits - c.n * 10 / 16, 2D) * (1 / (c.n * 10 / 16) + 1 / (c.n * 6 / 16))
                           WHEN 32 THEN pow(c.digits - c.n * 6 / 32, 2D) * (1 / (c.n * 6 / 32) + 1 / (c.n * 26 / 32))
                           WHEN 36 THEN pow(c.digits - c.n * 10 / 36, 2D) * (1 / (c.n * 10 / 36) + 1 / (c.n * 26 / 36))
+                          WHEN 52 THEN pow(c.lower - c.n * 26 / 52, 2D) * (1 / (c.n * 26 / 52) + 1 / (c.n * 26 / 52))
+                          WHEN 26 THEN pow(c.vowels - c.n * 6 / 26, 2D) * (1 / (c.n * 6 / 26) + 1 / (c.n * 20 / 26))
                           ELSE pow(c.lower - c.n * 26 / 64, 2D) / (c.n * 26 / 64) + pow(c.upper - c.n * 26 / 64, 2D) / (c.n * 26 / 64)
                                + pow(c.n - c.lower - c.upper - c.n * 12 / 64, 2D) / (c.n * 12 / 64) END))""",
     # The symbols as numbers: the text is brought to its alphabet once, split once, and each symbol looked up.
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k,
         'classes', (pow(c.cells / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)),
-        'letters', filter(split(CASE c.k WHEN 16 THEN lower(c.t) WHEN 64 THEN translate(c.t, '-_', '+/') ELSE upper(c.t) END, ''), x -> x <> ''),
+        'letters', filter(split(CASE c.k WHEN 16 THEN lower(c.t) WHEN 64 THEN translate(c.t, '-_', '+/') WHEN 52 THEN c.t ELSE upper(c.t) END, ''), x -> x <> ''),
         'alphabet', CASE c.k WHEN 16 THEN '0123456789abcdef' WHEN 32 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
                              WHEN 36 THEN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'
+                             WHEN 52 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'
+                             WHEN 26 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'
                              ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END))""",
     """transform(found, c -> named_struct('start', c.start, 'end', c.end, 'k', c.k, 'classes', c.classes,
         'x', transform(c.letters, x -> CAST(instr(c.alphabet, x) - 1 AS double))))""",

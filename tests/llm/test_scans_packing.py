@@ -213,12 +213,19 @@ def battery(token):
         k, alphabet, u = 36, digits + up, t.upper()
     elif has("[a-z]") and has("[A-Z]") and has("[0-9]"):
         k, alphabet, u = 64, up + up.lower() + digits + "+/", t.replace("-", "+").replace("_", "/")
+    elif whole("[A-Za-z]+") and has("[a-z]") and has("[A-Z]"):
+        k, alphabet, u = 52, up + up.lower(), t
+    elif len(t) >= 28 and (whole("[a-z]+") or whole("[A-Z]+")):
+        k, alphabet, u = 26, up, t.upper()
     else:
         return None
     x, n = [alphabet.index(c) for c in u], len(t)
     kinds = [sum(c in digits for c in t), sum(c.islower() for c in t), sum(c.isupper() for c in t)]
     if k == 64:
         shares, seen, df = (26, 26, 12), (kinds[1], kinds[2], n - kinds[1] - kinds[2]), 2
+    elif k in (52, 26):
+        first = kinds[1] if k == 52 else sum(c in "aeiouyAEIOUY" for c in t)
+        shares, seen, df = {52: (26, 26), 26: (6, 20)}[k], (first, n - first), 1
     else:
         shares = {16: (10, 6), 32: (6, 26), 36: (10, 26)}[k]
         seen, df = (kinds[0], n - kinds[0]), 1
@@ -240,10 +247,13 @@ def brute_random(texts, rate=0.01):
     """Spans of candidates that are not dismissed, by the plain step-up rule in each length class."""
     tested = []
     for i, t in enumerate(texts):
-        for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,6}", t):
-            found = battery(m[0]) if len(m[0]) >= 20 else None
-            if found:
-                tested.append((i, m.start(), m.end(), int(math.log2(found[0])), found[1]))
+        for run in re.finditer("[A-Za-z0-9+/_-]+={0,6}", t):
+            both = all(re.search(p, run[0]) for p in ("[a-z]", "[A-Z]", "[0-9]")) and len(run[0].rstrip("=")) >= 16
+            for m in [run] if both else re.finditer("[A-Za-z0-9+/]{16,}={0,6}", run[0]):
+                found = battery(m[0]) if len(m[0]) >= 20 else None
+                if found:
+                    at = 0 if both else run.start()
+                    tested.append((i, at + m.start(), at + m.end(), int(math.log2(found[0])), found[1]))
     out = set()
     for size in {x[3] for x in tested}:
         own = sorted((x for x in tested if x[3] == size), key=lambda x: x[4])
@@ -299,3 +309,31 @@ def test_chunk_tokenizer_on_random_unicode():
     coder = ChunkTokenizer(default_tokenizer_path(), 5000)
     got = [ids.tolist() for a in range(0, len(texts), 200) for ids in coder.encode(texts[a : a + 200])]
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_keys_of_every_shape_are_found_and_prose_is_not(spark, documents):
+    rng = np.random.default_rng(9)
+    pick = lambda alphabet, n: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shapes = {
+        "part after a hyphen": lambda: "xoxb-" + pick(low + digits, 30),
+        "part after underscores": lambda: "sk_live_" + pick(low + digits, 32),
+        "both cases": lambda: pick(low + up, 32),
+        "lower case": lambda: pick(low, 40),
+        "upper case": lambda: pick(up, 40),
+        "all": lambda: pick(low + up + digits, 40),
+        "with separators": lambda: pick(low + up + digits + "-_", 40),
+    }
+    plain = [r.text for r in documents.filter("doc_id < 150").collect() if r.text]
+    made = [(k, name, make()) for k, (name, make) in enumerate((n, m) for n, m in shapes.items() for _ in range(40))]
+    texts = [f"the value here is {token} and no more" for _, _, token in made] + plain
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in find_secrets(df, ("doc_id",)).select("doc.doc_id", "spans").collect()}
+    for name in shapes:
+        own = [k for k, n, _ in made if n == name]
+        hit = sum(any(texts[k][a:b] and texts[k][a:b] in made[k][2] and b - a >= 20 for a, b in got[k]) for k in own)
+        assert hit >= 0.85 * len(own), (name, hit)
+    words = "Donaudampfschifffahrtsgesellschaft internationalization getDocumentByIdentifierName MAXIMUM_NUMBER_OF_CONNECTIONS well-known-long-hyphenated-expression Rechtsschutzversicherungsgesellschaften".split()
+    prose = spark.createDataFrame([(k, f"{w} {w.lower()} some words") for k, w in enumerate(words * 50)], "doc_id int, text string")
+    found = sum(len(r.spans) for r in find_secrets(prose.unionByName(df.filter(f"doc_id < {len(made)}")), ("doc_id",)).filter("doc.doc_id < 1000").select("spans").collect()) - sum(len(got[k]) for k, _, _ in made)
+    assert found <= 0.2 * 2 * len(words) * 50, found
