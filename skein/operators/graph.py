@@ -312,6 +312,57 @@ def alias_candidates(vectors: DataFrame, threshold: float = 0.85, block: int = 2
     return rows.groupBy("kind", "x", "y").applyInPandas(multiplied, schema)
 
 
+def neighbour_pairs(edges: DataFrame, key: str = "src", value: str = "dst", both_ways: bool = True) -> DataFrame:
+    """(name, near): the distinct names at the other end of a node's edges, a row each, so that a hub is many rows and no array."""
+    pairs = edges.select(F.col(key).alias("name"), F.col(value).alias("near"))
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select(F.col("near").alias("name"), F.col("name").alias("near")))
+    return pairs.filter("name IS NOT NULL AND near IS NOT NULL").distinct()
+
+
+def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, near, side): 0 for a pair of both tables, -1 for one of the old, 1 for one of the new; dealt by the whole pair."""
+    marked = old.select("name", "near", F.lit(-1).alias("side")).unionByName(new.select("name", "near", F.lit(1).alias("side")))
+    return marked.groupBy("name", "near").agg(F.sum("side").cast("int").alias("side"))
+
+
+def neighbour_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, kept, removed, added, jaccard): counts of neighbours (name, near; distinct rows) between two tables.
+
+    The tables meet pair by pair, and the counts of a node are summed before they are shuffled by its name.
+    """
+    counts = _sides(old, new).groupBy("name").agg(F.count_if(F.col("side") == 0).alias("kept"), F.count_if(F.col("side") == -1).alias("removed"), F.count_if(F.col("side") == 1).alias("added"))
+    return counts.withColumn("jaccard", F.col("kept") / (F.col("kept") + F.col("removed") + F.col("added")))
+
+
+def drift_by_counts(old: DataFrame, new: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(drifted, changes) of neighbour pairs (name, near): nodes that had neighbours and whose Jaccard similarity is below `threshold`.
+
+    `drifted` has their counts (name, kept, removed, added, jaccard), `changes` (name, near, change) each neighbour that
+    came or went. Nodes that have neighbours only now did not drift; one that has lost all has similarity 0.
+    """
+    ensure_checkpoints(old.sparkSession)
+    counts = neighbour_changes(old, new)
+    drifted = counts.filter((F.col("kept") + F.col("removed") > 0) & (F.col("jaccard") < threshold)).checkpoint()
+    moved = _sides(old, new).filter("side <> 0").join(drifted.select("name"), "name", "left_semi")
+    return drifted, moved.select("name", "near", F.when(F.col("side") > 0, "added").otherwise("removed").alias("change"))
+
+
+def drift_in_arrays(old: DataFrame, new: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """`drift`, from pairs (name, near): arrays are made of the neighbours that came or went, and of drifted nodes alone."""
+    drifted, changes = drift_by_counts(old, new, threshold)
+    lists = changes.groupBy("name").agg(*(F.array_sort(F.collect_list(F.when(F.col("change") == c, F.col("near")))).alias(c) for c in ("added", "removed")))
+    return drifted.select("name", "jaccard").join(lists, "name").select("name", "jaccard", "added", "removed")
+
+
+def snapshot_versions(versions: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, version) of the nodes of `new` (name, near): one more than in `versions` (name, version) where `old` pairs differ, else the same, 1 for new nodes."""
+    counts = neighbour_changes(old, new).filter("kept + added > 0")
+    changed = (F.col("kept") + F.col("removed") > 0) & (F.col("removed") + F.col("added") > 0)
+    known = counts.select("name", changed.cast("int").alias("changed")).join(versions, "name", "left")
+    return known.select("name", (F.coalesce("version", F.lit(1)) + F.col("changed")).cast("long").alias("version"))
+
+
 def hash_plan(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
     """(bits, tables) of signed random projections for `n` vectors.
 

@@ -193,12 +193,26 @@ def alias_rewrite_entities(spark, sf):
 def neighbour_jaccard_drift(spark, sf):
     triples = brand_triples(spark, sf)
     half = ts("1998-04-17 00:00:00")
-    old = graph.neighbour_sets(triples.filter(F.col("ts") < half), "subject", "object")
-    new = graph.neighbour_sets(triples.filter(F.col("ts") >= half), "subject", "object")
-    found = graph.drift(old, new, 0.4)
+    old = graph.neighbour_pairs(triples.filter(F.col("ts") < half), "subject", "object")
+    new = graph.neighbour_pairs(triples.filter(F.col("ts") >= half), "subject", "object")
+    found = graph.drift_in_arrays(old, new, 0.4)
     return found.select("name", *rounded("jaccard"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
+def neighbour_drift_counts(spark, sf):
+    triples = brand_triples(spark, sf)
+    half = ts("1998-04-17 00:00:00")
+    drifted, changes = graph.drift_by_counts(graph.neighbour_pairs(triples.filter(F.col("ts") < half), "subject", "object"), graph.neighbour_pairs(triples.filter(F.col("ts") >= half), "subject", "object"), 0.4)
+    first = changes.groupBy("name").agg(F.min("near").alias("first_change"), F.count("*").alias("n_changes"))
+    return drifted.join(first, "name").select("name", *long("kept", "removed", "added"), *rounded("jaccard"), "first_change", "n_changes")
+
+
+def snapshot_versions(spark, sf):
+    triples = brand_triples(spark, sf)
+    old = graph.neighbour_pairs(triples.filter(F.col("ts") < ts("1998-04-17 00:00:00")), "subject", "object")
+    return graph.snapshot_versions(old.select("name").distinct().withColumn("version", F.lit(1)), old, graph.neighbour_pairs(triples, "subject", "object"))
+
+
 def graph_snapshot(spark, sf):
     triples = brand_triples(spark, sf)
     old = graph.neighbour_sets(triples.filter(F.col("ts") < ts("1998-04-17 00:00:00")), "subject", "object").withColumn("version", F.lit(1))
@@ -595,7 +609,7 @@ QUERIES = (
     lexicon_entities, cooccurrence_edges, category_links, substring_patterns, regex_class_fixes, regex_class_hits, entity_ids,
     graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
     entity_search, entity_lookup, entity_relations, neighbourhood_docs, entity_upserts, alias_rewrite_edges, alias_rewrite_entities,
-    neighbour_jaccard_drift, graph_snapshot, alias_candidates, alias_candidates_by_hash, alias_merge,
+    neighbour_jaccard_drift, neighbour_drift_counts, snapshot_versions, graph_snapshot, alias_candidates, alias_candidates_by_hash, alias_merge,
     vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, index_counts, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,
     rrf_fusion, context_aging, relevance_filter, hybrid_retrieve, context_prompts, chunk_documents,
     conversation_pairs, pair_quality, outcome_inference, outcome_rates, compaction_snip, compaction_emergency, compaction_plan, compaction_summary, parent_chain,

@@ -264,6 +264,15 @@ k AS (SELECT name, len(list_intersect(was, now)) / len(list_distinct(list_concat
         coalesce(array_to_string(list_sort(list_filter(now, lambda x: NOT list_contains(was, x))), ','), '') AS added,
         coalesce(array_to_string(list_sort(list_filter(was, lambda x: NOT list_contains(now, x))), ','), '') AS removed FROM j)
 SELECT name, round(jaccard, 6) AS jaccard, added, removed FROM k WHERE jaccard < 0.4""",
+    "neighbour_drift_counts": f"""
+WITH {_BRAND}, ends AS (SELECT subject AS name, object AS near, ts FROM uses UNION ALL SELECT object, subject, ts FROM uses),
+p AS (SELECT name, near, bool_or(ts < TIMESTAMP '1998-04-17') AS o, bool_or(ts >= TIMESTAMP '1998-04-17') AS n FROM ends GROUP BY 1, 2),
+c AS (SELECT name, count(*) FILTER (o AND n) AS kept, count(*) FILTER (NOT n) AS removed, count(*) FILTER (NOT o) AS added, min(near) FILTER (o <> n) AS first_change, count(*) FILTER (o <> n) AS n_changes FROM p GROUP BY 1)
+SELECT name, kept, removed, added, round(kept / (kept + removed + added), 6) AS jaccard, first_change, n_changes FROM c WHERE kept + removed > 0 AND kept / (kept + removed + added) < 0.4""",
+    "snapshot_versions": f"""
+WITH {_BRAND}, ends AS (SELECT subject AS name, object AS near, ts FROM uses UNION ALL SELECT object, subject, ts FROM uses),
+p AS (SELECT name, near, bool_or(ts < TIMESTAMP '1998-04-17') AS o FROM ends GROUP BY 1, 2)
+SELECT name, CASE WHEN bool_or(o) AND bool_or(NOT o) THEN 2 ELSE 1 END::BIGINT AS version FROM p GROUP BY 1""",
     "graph_snapshot": f"""
 WITH {_BRAND}, ends AS (SELECT subject AS name, object AS near, ts FROM uses UNION ALL SELECT object, subject, ts FROM uses),
 o AS (SELECT name, list_sort(list_distinct(list(near))) AS was FROM ends WHERE ts < TIMESTAMP '1998-04-17' GROUP BY 1),
