@@ -174,6 +174,57 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, min_weight
     return seen.filter("distance > 0").withColumn("score", 1.0 / (1 + F.col("distance")))
 
 
+#: Seeds that are numbered in one task.
+NUMBERED = 4096
+
+
+def numbered_seeds(seeds: DataFrame) -> DataFrame:
+    """(seed, word, bit): each distinct name of `seeds` (name) as a bit of a 64-bit word; null names are left out."""
+    names = seeds.select(F.col("name").alias("seed")).filter("seed IS NOT NULL").distinct()
+    parts = max(1, -(-names.count() // NUMBERED))
+    own = names.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(parts)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("seed")) - 1
+    placed = own.withColumn("place", place.cast("long"))
+    return placed.select("seed", (F.shiftleft("part", 32) + F.shiftright("place", 6)).alias("word"), F.pmod("place", F.lit(64)).cast("int").alias("bit"))
+
+
+def bit_walk(edges: DataFrame, numbered: DataFrame, depth: int = 2, min_weight: float | None = None) -> DataFrame:
+    """(name, word, bits, distance): at which distance up to `depth` a node is first reached by which seeds, 64 of them a row.
+
+    All seeds walk at once: a step joins the rows that are new with the edges and combines what reaches a node by OR,
+    before the shuffle and after it. A hub is opened once for 64 seeds and not for each, so a step's rows are bounded by
+    edges times words. Each step is cut off by a checkpoint.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    both = undirected(edges, min_weight).checkpoint()
+    start = numbered.groupBy(F.col("seed").alias("name"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).checkpoint()
+    fresh, seen, levels = start, start, [start.withColumn("distance", F.lit(0).cast("long"))]
+    for step in range(1, depth + 1):
+        reached = fresh.join(both, fresh["name"] == both["src"]).groupBy(F.col("dst").alias("name"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = seen.select("name", "word", F.col("bits").alias("old"))
+        left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        fresh = reached.join(known, ["name", "word"], "left").select("name", "word", left.alias("bits")).filter("bits <> 0").checkpoint()
+        levels.append(fresh.withColumn("distance", F.lit(step).cast("long")))
+        if step < depth:
+            seen = seen.unionByName(fresh).groupBy("name", "word").agg(F.bit_or("bits").alias("bits")).checkpoint()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def neighbourhood_of_all(edges: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: float | None = None) -> DataFrame:
+    """`neighbourhood`, for any number of seeds: (seed, name, distance, score), worked out by `bit_walk`."""
+    numbered = numbered_seeds(seeds).checkpoint() if ensure_checkpoints(edges.sparkSession) else None
+    walked = bit_walk(edges, numbered, depth, min_weight).filter("distance > 0")
+    out = walked.join(numbered, "word").filter("(bits & shiftleft(1L, bit)) <> 0")
+    return out.select("seed", "name", "distance", (1.0 / (1 + F.col("distance"))).alias("score"))
+
+
+def seeds_near(edges: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: float | None = None) -> DataFrame:
+    """(name, distance, n_seeds): how many seeds are first at each distance of a node; no pair of a seed and a node is made."""
+    ensure_checkpoints(edges.sparkSession)
+    walked = bit_walk(edges, numbered_seeds(seeds).checkpoint(), depth, min_weight)
+    return walked.groupBy("name", "distance").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_seeds"))
+
+
 def neighbourhood_docs(near: DataFrame, docs: DataFrame) -> DataFrame:
     """(seed, doc): the documents (name, doc) of each seed and of its neighbourhood (seed, name)."""
     both = near.select("seed", "name").unionByName(near.select("seed", F.col("seed").alias("name"))).distinct()

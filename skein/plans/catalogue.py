@@ -122,6 +122,17 @@ def neighbours_depth2(spark, sf):
     return graph.neighbourhood(_place_edges(spark, sf), _nations(spark, sf), 2, 0.3).select("seed", "name", "distance", *rounded("score"))
 
 
+def customers_near(spark, sf):
+    """All customers are seeds."""
+    return graph.seeds_near(_place_edges(spark, sf), table(spark, sf, "customer").select(F.lower("c_name").alias("name")), 2)
+
+
+def neighbours_of_all(spark, sf):
+    """All suppliers are seeds; of each the number and the first name by distance."""
+    near = graph.neighbourhood_of_all(_place_edges(spark, sf), table(spark, sf, "supplier").select(F.lower("s_name").alias("name")), 2)
+    return near.groupBy("seed", "distance").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+
+
 def context_paths(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("nation"))
     own = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("s"), "nation", F.explode(F.array("n_regionkey", (F.col("n_regionkey") + 1) % 5)).alias("r_regionkey"))
@@ -607,7 +618,7 @@ def stream_sessions(spark, sf):
 
 QUERIES = (
     lexicon_entities, cooccurrence_edges, category_links, substring_patterns, regex_class_fixes, regex_class_hits, entity_ids,
-    graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, context_paths, components,
+    graph_entities, graph_edges, transitive_part_of, edge_decay, decay_summary, prune_graph, graph_stats, neighbours_depth2, customers_near, neighbours_of_all, context_paths, components,
     entity_search, entity_lookup, entity_relations, neighbourhood_docs, entity_upserts, alias_rewrite_edges, alias_rewrite_entities,
     neighbour_jaccard_drift, neighbour_drift_counts, snapshot_versions, graph_snapshot, alias_candidates, alias_candidates_by_hash, alias_merge,
     vector_topk, vector_topk_filtered, adaptive_stop, bm25_topk, index_counts, recognised_entities, graph_expansion, graph_retrieve, neighbour_cap,

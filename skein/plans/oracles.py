@@ -228,6 +228,20 @@ walk AS (
   UNION SELECT seed, dst, distance + 1 FROM walk JOIN both_ways ON name = src WHERE distance < 2
 )
 SELECT seed, name, min(distance)::BIGINT AS distance, round(1.0 / (1 + min(distance)), 6)::DOUBLE AS score FROM walk WHERE name <> seed GROUP BY 1, 2""",
+    "customers_near": f"""
+WITH RECURSIVE {_PLACE}, {_UNDIRECTED},
+walk AS (
+  SELECT lower(c_name) AS seed, lower(c_name) AS name, 0 AS distance FROM customer
+  UNION SELECT seed, dst, distance + 1 FROM walk JOIN both_ways ON name = src WHERE distance < 2
+)
+SELECT name, distance::BIGINT AS distance, count(*) AS n_seeds FROM (SELECT seed, name, min(distance) AS distance FROM walk GROUP BY 1, 2) GROUP BY 1, 2""",
+    "neighbours_of_all": f"""
+WITH RECURSIVE {_PLACE}, {_UNDIRECTED},
+walk AS (
+  SELECT lower(s_name) AS seed, lower(s_name) AS name, 0 AS distance FROM supplier
+  UNION SELECT seed, dst, distance + 1 FROM walk JOIN both_ways ON name = src WHERE distance < 2
+)
+SELECT seed, distance::BIGINT AS distance, count(*) AS n, min(name) AS first_name FROM (SELECT seed, name, min(distance) AS distance FROM walk WHERE name <> seed GROUP BY 1, 2) GROUP BY 1, 2""",
     "context_paths": f"""
 WITH RECURSIVE {_PLACE}, {_UNDIRECTED},
 pairs AS (
