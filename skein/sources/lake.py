@@ -296,7 +296,15 @@ def transcripts_of(projects: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_table_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small saved table of JSON Lines or a JSON array; an empty one where it is missing, and without rows that can't be read."""
+    """A small saved table of JSON Lines or a JSON array, in its last version if it was replaced.
+
+    An empty one where it is missing, and without rows that can't be read.
+    """
+    found = _last_version(spark, path)
+    return _read_or_empty(spark, found[0] if found else path, schema)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
@@ -334,14 +342,31 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def _versions(path: str) -> str:
+    return f"{path.rstrip('/')}.versions"
+
+
+def _last_version(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a replaced table, the last one first; none for a table that never was."""
+    log = _read_or_empty(spark, f"{_versions(path)}/log", "version string, no long")
+    return [f"{_versions(path)}/{r['version']}" for r in log.orderBy(F.desc("no"), "version").collect()]
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Puts `rows` in the place of a saved table. They are written beside it first, for they may come from the table itself."""
+    """Puts `rows` in the place of a saved table, from which they may come.
+
+    They are written to a folder of their own, and readers see them once the log of versions names it: a crash before
+    leaves the table as it was. The version before stays for readers that have begun, older ones are deleted.
+    """
     import uuid
 
-    spark = rows.sparkSession
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.json(aside)
-    spark.read.schema(rows.schema).json(aside).write.mode("overwrite").json(path)
+    spark, version = rows.sparkSession, uuid.uuid4().hex
+    rows.write.json(f"{_versions(path)}/{version}")
+    before = _last_version(spark, path)
+    spark.createDataFrame([(version, len(before))], "version string, no long").coalesce(1).write.mode("append").json(f"{_versions(path)}/log")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(_versions(path)).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in before[1:]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def mark_processed(files: DataFrame, path: str) -> None:

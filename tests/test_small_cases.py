@@ -68,3 +68,20 @@ def test_outcome_records_and_benchmark_cases(spark, tmp_path):
     (tmp_path / "cases.json").write_text(json.dumps(cases))
     assert sorted(r.id for r in lake.benchmark_cases(spark, f"file:{tmp_path}/cases.json").collect()) == ["1", "2"]
     assert [r.input.prompt for r in lake.benchmark_cases(spark, f"file:{tmp_path}/cases.json", "c1").collect()] == ["p"]
+
+
+def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path, schema = f"{tmp_path}/state", "id long, n long"
+    rows = lambda: sorted(map(tuple, lake.read_table_or(spark, path, schema).collect()))
+    assert rows() == []
+    lake.append(spark.range(2).selectExpr("id", "0L AS n"), path)
+    assert rows() == [(0, 0), (1, 0)]
+    for n in range(1, 5):
+        lake.replace_table(lake.read_table_or(spark, path, schema).withColumn("n", F.col("n") + 1), path)
+        assert rows() == [(0, n), (1, n)]
+    # A crash leaves a version that the log does not name.
+    spark.range(9).selectExpr("id", "99L AS n").write.json(f"{path}.versions/crashed")
+    assert rows() == [(0, 4), (1, 4)]
+    assert len([p for p in (tmp_path / "state.versions").iterdir() if p.is_dir() and p.name not in ("log", "crashed")]) == 2
+    lake.replace_table(lake.read_table_or(spark, path, schema).limit(0), path)
+    assert rows() == []
