@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import rules
-from skein.operators import extract, profile, routing, turns
+from skein.operators import extract, profile, prompts, routing, turns
 from skein.operators.extract import Rules
 from skein.plans.common import long, rounded, table, ts
 from skein.sources import lake
@@ -307,10 +307,33 @@ def keyword_rows(spark, sf):
     return lake.keyword_rows(_training_records(spark, sf)).groupBy("id", "category").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("n_chars"))
 
 
+def _profile_rows(spark, sf):
+    """Users with what they did as topics (by number), habits and tasks."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    own = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "event_type"))).alias("t"), F.array_sort(F.collect_list("event_type")).alias("task_types"))
+    u = F.col("user_id")
+    profiles = own.select(
+        "user_id", pick(("software_engineering", "data_science", "unknown"), u).alias("domain"), (u % 10 / 10).alias("domain_confidence"), pick(("en", "es"), u).alias("language"), (u % 11 / 10).alias("formality"), (u % 9 / 8).alias("verbosity"),
+        F.transform("t", lambda x: x["event_type"]).alias("topics"), F.transform(F.filter("t", lambda x: x["n"] <= -14), lambda x: F.concat(F.lit("Use "), x["event_type"])).alias("patterns"), "task_types",
+    )
+    competence = e.select("user_id", F.col("event_type").alias("topic"), F.when(F.col("n") >= 18, "Expert").when(F.col("n") >= 12, "Competent").otherwise("Novice").alias("level"), (-F.col("n")).alias("place"))
+    return profiles, competence
+
+
+PROMPT_TASKS = ("debugging", "architecture", "explanation", "general", "poetry")
+
+
+def system_prompts(spark, sf):
+    profiles, competence = _profile_rows(spark, sf)
+    asked = profiles.select("user_id", pick(PROMPT_TASKS, F.col("user_id")).alias("task"))
+    return prompts.system_prompts(asked, profiles, competence)
+
+
 QUERIES = (
     pair_triples, thought_triples, decision_triples, learning_triples, capture_triples, model_json_triples,
     profile_build, capture_counts, tag_counts, task_types, capture_topics, topic_activity, topic_edges, competence_lookup, instinct_matches, instinct_changes, instinct_summary, instinct_review,
     feedback_loop, arm_updates, best_arms, habit_trigger, drifted_topics,
     compaction_by_task, summary_inputs, session_stats, exported_pairs, enriched_captures,
     detected_topics, routing_decisions, strategy_cascade, response_report, session_messages, messages_by_uuid, tool_messages, index_rows, keyword_rows,
+    system_prompts,
 )

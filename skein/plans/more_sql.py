@@ -181,6 +181,24 @@ WITH l AS (SELECT conv_id, turn, role || ': ' || regexp_replace(CASE WHEN turn %
 j AS (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn)[1:12000] AS text FROM l GROUP BY 1)
 SELECT conv_id, length(text) AS n_chars, md5(text) AS digest FROM j""",
     "session_stats": "",
+    "system_prompts": """
+WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+t AS (SELECT user_id, list(event_type ORDER BY n DESC, event_type) AS topics, list(event_type ORDER BY event_type) AS tasks, list(event_type ORDER BY n DESC, event_type) FILTER (n >= 14) AS habits,
+             list(event_type ORDER BY n DESC, event_type) FILTER (n >= 18) AS expert, list(event_type ORDER BY n DESC, event_type) FILTER (n >= 12 AND n < 18) AS competent FROM e GROUP BY 1),
+p AS (SELECT *, ['debugging', 'architecture', 'explanation', 'general', 'poetry'][user_id % 5 + 1] AS task, ['software engineering', 'data science', 'unknown'][user_id % 3 + 1] AS domain,
+             user_id % 3 < 2 AND user_id % 10 >= 1 AS known, user_id % 2 = 1 AS other FROM t),
+f AS (SELECT *, CASE WHEN known THEN 'You are assisting a ' || domain || ' professional.' || CASE WHEN other THEN ' Respond in es.' ELSE '' END ELSE 'You are a general-purpose assistant.' END AS identity,
+             'Tech focus: ' || array_to_string(topics[1:5], ', ') || '.' AS stack, array_to_string(list_transform(habits[1:5], lambda x: 'Use ' || x || '.'), ' ') AS patterns,
+             'Common tasks: ' || array_to_string(tasks[1:5], ', ') || '.' AS projects FROM p),
+c AS (SELECT *, concat_ws('. ', 'Expert in: ' || array_to_string(expert[1:5], ', '), 'Competent in: ' || array_to_string(competent[1:5], ', ')) AS able FROM f)
+SELECT user_id, task, concat_ws(' ',
+  CASE task WHEN 'debugging' THEN 'Task: debugging. Focus on root cause analysis. Be direct about the fix.' WHEN 'architecture' THEN 'Task: architecture. Explain trade-offs. Consider scalability and maintainability.'
+            WHEN 'explanation' THEN 'Task: explanation. Be clear and structured. Use examples when helpful.' END,
+  CASE WHEN task <> 'poetry' THEN identity WHEN known THEN 'You are assisting a ' || domain || ' professional.' ELSE 'You are a general-purpose assistant. Adapt your responses to the user''s needs.' END,
+  CASE WHEN task IN ('debugging', 'architecture', 'explanation') THEN stack END,
+  CASE WHEN task IN ('debugging', 'architecture') OR task = 'poetry' AND known THEN nullif(patterns, '') END,
+  CASE WHEN task = 'architecture' THEN projects WHEN task = 'poetry' AND known AND other THEN 'Respond in es.' END,
+  CASE WHEN able <> '' THEN able || '.' END) AS prompt FROM c""",
     "exported_pairs": """
 WITH b AS (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN ['negative', 'positive'][(event_id // 4) % 2 + 1] WHEN event_id % 2 = 0 THEN ['positive', 'negative', 'neutral'][user_id % 3 + 1] END AS f FROM events WHERE event_id % 3 = 0 OR value > 20),
 k AS (SELECT *, 'positive' AS least FROM b WHERE f = 'positive' UNION ALL SELECT *, 'neutral' FROM b WHERE coalesce(f <> 'negative', true) UNION ALL SELECT *, 'any' FROM b)
