@@ -155,7 +155,8 @@ def summary_input(turns: DataFrame) -> DataFrame:
     line = F.concat("role", F.lit(": "), without_fences(F.col("text")))
     lines = turns.filter(F.col("text").isNotNull()).select("conv_id", "turn", line.alias("line"))
     before = F.sum(F.length("line") + 2).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    short = lines.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SUMMARY_CHARS)
+    # A line whose text lies beyond the cut may still bring the blank line before it.
+    short = lines.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SUMMARY_CHARS + 2)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n\n")
     return short.groupBy("conv_id").agg(F.substring(joined, 1, SUMMARY_CHARS).alias("text"))
 

@@ -85,3 +85,11 @@ def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
     assert len([p for p in (tmp_path / "state.versions").iterdir() if p.is_dir() and p.name not in ("log", "crashed")]) == 2
     lake.replace_table(lake.read_table_or(spark, path, schema).limit(0), path)
     assert rows() == []
+
+
+def test_the_cut_of_a_summary_keeps_a_part_of_the_blank_line(spark):
+    """Lines that end one, two or three characters before the cut."""
+    rows = [(k, turn, "user", "x" * (turns.SUMMARY_CHARS - len("user: ") - k) if turn == 1 else "next") for k in range(4) for turn in (1, 2)]
+    got = {r.conv_id: r.text for r in turns.summary_input(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for k in range(4):
+        assert got[k] == "\n\n".join("user: " + r[3] for r in rows if r[0] == k)[: turns.SUMMARY_CHARS]
