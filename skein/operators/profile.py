@@ -11,6 +11,7 @@ from skein.functions.automaton import held_names
 from skein.functions.scores import half_life, level, linear_saturation, log_saturation, stepped_decay
 from skein.functions.text import date_in, extension
 from skein.operators.retrieve import in_query_blocks
+from skein.session import ensure_checkpoints
 
 #: Weights of entries, density, recency and outcome by (graph, recency, outcome) being known.
 COMPETENCE_WEIGHTS = {
@@ -201,20 +202,51 @@ def competence_of(topics: DataFrame, competences: DataFrame) -> DataFrame:
 INSTINCT_CATEGORIES, USABLE = ("workflow", "preference", "shortcut", "context", "timing"), 0.3
 
 
-def matched_instincts(queries: DataFrame, instincts: DataFrame, least: float = USABLE) -> DataFrame:
-    """(query_id, id, confidence, rank): enabled instincts (id, pattern, confidence, enabled) whose pattern a query holds, best first."""
-    usable = instincts.filter(F.col("enabled") & (F.col("confidence") >= least)).select("id", F.lower("pattern").alias("pattern"), "confidence")
+def usable_instincts(instincts: DataFrame, least: float = USABLE) -> DataFrame:
+    return instincts.filter(F.col("enabled") & (F.col("confidence") >= least)).select("id", F.lower("pattern").alias("pattern"), "confidence")
+
+
+def held_patterns(queries: DataFrame, usable: DataFrame) -> DataFrame:
+    """(query_id, pattern) of the patterns of `usable` that a query holds; one of no characters is in every text."""
     patterns = usable.select(F.col("pattern").alias("query_id")).filter("pattern <> ''").distinct()
 
     def one(block: list) -> DataFrame:
         held = held_names(F.col("text"), {r["query_id"]: () for r in block}, borders=False)
         return queries.filter("text IS NOT NULL").select("query_id", F.explode(held).alias("pattern"))
 
-    # Patterns go through the texts in bounded blocks; one of no characters is in every text.
+    # Patterns go through the texts in bounded blocks.
     found = in_query_blocks(patterns, F.length("query_id") + 8, one)
-    found = found.unionByName(queries.filter("text IS NOT NULL").select("query_id", F.lit("").alias("pattern")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
-    return found.join(usable, "pattern").select("query_id", "id", "confidence", F.row_number().over(best).cast("long").alias("rank"))
+    return found.unionByName(queries.filter("text IS NOT NULL").select("query_id", F.lit("").alias("pattern")))
+
+
+#: Queries and instincts that meet at once.
+CELL_QUERIES, CELL_INSTINCTS = 4096, 1024
+#: Tasks that cells are dealt to at most.
+MOST_CELL_TASKS = 4000
+
+
+def matched_instincts(queries: DataFrame, instincts: DataFrame, least: float = USABLE) -> DataFrame:
+    """(query_id, id, confidence, rank): enabled instincts (id, pattern, confidence, enabled) whose pattern a query holds, best first.
+
+    Queries that hold the same patterns have the same list, which is ranked once. A list and its queries are dealt into
+    cells of a bounded number of rows, so that no pattern is worked off in one task.
+    """
+    ensure_checkpoints(queries.sparkSession)
+    usable = usable_instincts(instincts, least).checkpoint()
+    kinds = usable.select("pattern").distinct()
+    asked = held_patterns(queries, usable).join(kinds, "pattern", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list("pattern")).alias("held")).checkpoint()
+    lists = asked.groupBy("held").agg(F.ceil(F.count("*") / F.lit(CELL_QUERIES)).cast("long").alias("blocks"))
+    best = Window.partitionBy("held").orderBy(F.desc("confidence"), "id")
+    ranked = lists.select("held", F.explode("held").alias("pattern")).join(usable, "pattern").select("held", "id", "confidence", F.row_number().over(best).cast("long").alias("rank"))
+    ranked = ranked.withColumn("part", F.floor((F.col("rank") - 1) / CELL_INSTINCTS)).checkpoint()
+    sizes = lists.join(ranked.groupBy("held").agg((F.max("part") + 1).alias("parts")), "held").checkpoint()
+    n = int(sizes.agg(F.sum(F.col("blocks") * F.col("parts"))).first()[0] or 1)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = asked.join(sizes, "held").select("query_id", "held", F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), upto("parts").alias("part"))
+    right = ranked.join(sizes.select("held", "blocks"), "held").select("held", upto("blocks").alias("block"), "part", "id", "confidence", "rank")
+    # A number that is asked for stays: by the size of what is read, Spark would put all cells into a few tasks.
+    cells, keys = min(n, MOST_CELL_TASKS), ["held", "block", "part"]
+    return left.repartition(cells, *keys).join(right.repartition(cells, *keys), keys).select("query_id", "id", "confidence", "rank")
 
 
 def changed_instincts(current: DataFrame, changes: DataFrame) -> DataFrame:
@@ -266,6 +298,19 @@ def loop_updates(outcomes: DataFrame, decisions: DataFrame, matched: DataFrame)
     return arms, events
 
 
+def taught_instincts(outcomes: DataFrame, queries: DataFrame, instincts: DataFrame, least: float = USABLE) -> DataFrame:
+    """(key, confidence, n) of each instinct (id, pattern, …; an id once) that a turn with an outcome matched.
+
+    `outcomes` has (conv_id, turn, outcome), `queries` (query_id, text) with a query_id (conv_id, turn). Instincts of one
+    pattern learn from the same turns, so the lesson is worked out once for each pattern.
+    """
+    usable = usable_instincts(instincts, least)
+    held = held_patterns(queries, usable).select("query_id.conv_id", "query_id.turn", F.col("pattern").alias("id"))
+    _, events = loop_updates(outcomes, outcomes.select("conv_id", "turn", F.lit(None).alias("context"), F.lit(None).alias("arm")), held)
+    lessons = clamped_confidence(events).withColumnRenamed("key", "pattern")
+    return usable.select(F.col("id").alias("key"), "pattern").join(lessons, "pattern").select("key", "confidence", "n")
+
+
 def best_arms(posterior: DataFrame) -> DataFrame:
     """(context, arm, mean) of the arm with the largest mean other than the default one; the lower number wins ties."""
     order = F.struct((-F.col("mean")).alias("m"), "arm_no")

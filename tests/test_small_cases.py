@@ -93,3 +93,33 @@ def test_the_cut_of_a_summary_keeps_a_part_of_the_blank_line(spark):
     got = {r.conv_id: r.text for r in turns.summary_input(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     for k in range(4):
         assert got[k] == "\n\n".join("user: " + r[3] for r in rows if r[0] == k)[: turns.SUMMARY_CHARS]
+
+
+def test_lists_of_instincts_are_dealt_in_cells(spark, monkeypatch):
+    """Many queries that hold one pattern of many instincts: the same rows whatever the cells, and lessons once a pattern."""
+    instincts = spark.createDataFrame([(f"i{k:03}", ("ab", "cd", "")[k % 3] if k < 90 else "none", 0.3 + (k % 7) / 10, k % 5 > 0) for k in range(100)], "id string, pattern string, confidence double, enabled boolean")
+    rows = [(k, ("AB", "cd ab", "x", None)[k % 4]) for k in range(60)]
+    queries = spark.createDataFrame(rows, "query_id long, text string")
+    held = [(f"i{k:03}", ("ab", "cd", "")[k % 3], 0.3 + (k % 7) / 10) for k in range(90) if k % 5]
+    want = {}
+    for q, text in rows:
+        own = sorted((-c, i) for i, p, c in held if text is not None and p in text.lower())
+        want |= {(q, i): n + 1 for n, (_, i) in enumerate(own)}
+    for size in (4096, 4):
+        monkeypatch.setattr(profile, "CELL_QUERIES", size)
+        monkeypatch.setattr(profile, "CELL_INSTINCTS", size)
+        found = profile.matched_instincts(queries, instincts)
+        assert {(r.query_id, r.id): r["rank"] for r in found.collect()} == want and found.count() == len(want)
+    sizes = found.rdd.glom().map(len).collect()
+    assert len(sizes) > 100 and max(sizes) < found.count() / 4
+    outcomes = queries.select(F.col("query_id").alias("conv_id"), F.lit(1).alias("turn"), F.when(F.col("query_id") % 3 == 0, "rejected").otherwise("accepted").alias("outcome"))
+    lessons, clamped = [], profile.clamped_confidence
+    monkeypatch.setattr(profile, "clamped_confidence", lambda events: lessons.append(events.count()) or clamped(events))
+    got = {r.key: (round(r.confidence, 6), r.n) for r in profile.taught_instincts(outcomes, queries.select(F.struct(F.col("query_id").alias("conv_id"), F.lit(1).alias("turn")).alias("query_id"), "text"), instincts).collect()}
+    for i, p, _ in held:
+        now, n = 0.5, 0
+        for q, text in rows:
+            if text is not None and p in text.lower():
+                now, n = (max(0.2, now - 0.05) if q % 3 == 0 else min(0.95, now + 0.03)), n + 1
+        assert got[i] == (round(now, 6), n)
+    assert len(got) == len(held) and lessons == [30 + 15 + 45]
