@@ -179,10 +179,8 @@ def _posterior(spark, sf):
 
 def feedback_loop(spark, sf):
     """What outcomes teach the arms and the instincts that matched the turn."""
-    found = profile.matched_instincts(_asked(spark, sf), _instincts(spark, sf))
-    matched = found.select((F.floor(F.col("query_id") / 1000)).cast("long").alias("conv_id"), F.pmod("query_id", F.lit(1000)).alias("turn"), "id")
-    _, events = profile.loop_updates(_outcomes(spark, sf), _decisions(spark, sf), matched)
-    return profile.clamped_confidence(events).select("key", *rounded("confidence"), "n")
+    asked = table(spark, sf, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    return profile.taught_instincts(_outcomes(spark, sf), asked, _instincts(spark, sf)).select("key", *rounded("confidence"), "n")
 
 
 def arm_updates(spark, sf):
