@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import bounded_batches  # noqa: F401  # the text operators take it from here
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that only Spark has to understand."""
@@ -24,14 +26,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
 
-def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
-    """Lowers the session's bound on an Arrow batch's bytes to `limit`, so that long rows don't pile up in a worker."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name)
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > limit:
-        spark.conf.set(name, str(limit))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df`, written once to the shared checkpoint folder so that later reads don't recompute it."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import bounded_batches
+
 SIZE, OVERLAP = 1000, 200
 
 
@@ -35,6 +37,8 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
     if not 0 <= overlap <= size // 2:
         raise ValueError("an overlap is half a piece at most")
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut(t or "", size, overlap))

@@ -123,3 +123,15 @@ def test_lists_of_instincts_are_dealt_in_cells(spark, monkeypatch):
                 now, n = (max(0.2, now - 0.05) if q % 3 == 0 else min(0.95, now + 0.03)), n + 1
         assert got[i] == (round(now, 6), n)
     assert len(got) == len(held) and lessons == [30 + 15 + 45]
+
+
+def test_chunks_bound_their_batches(spark):
+    from skein.operators import chunks
+
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set(name, str(1 << 30))
+        got = chunks.chunk(spark.createDataFrame([(1, "ab " * 900), (2, None)], "doc_id long, text string"))
+        assert int(spark.conf.get(name)) == 8 << 20 and got.filter("doc_id = 1").count() == len(chunks.cut("ab " * 900)) and got.filter("doc_id = 2").count() == 1
+    finally:
+        spark.conf.set(name, before)
