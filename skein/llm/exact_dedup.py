@@ -35,7 +35,7 @@ def _prefix(text: Column) -> Column:
     return F.substring(F.when((F.length(head) >= PREFIX_POINTS) | (F.length(text) <= HEAD_POINTS), head).otherwise(normalised(text)), 1, PREFIX_POINTS)
 
 
-def _bucket(*keys: Column) -> Column:
+def bucket(*keys: Column) -> Column:
     """A number from 1 to BUCKETS."""
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + 1
 
@@ -46,9 +46,13 @@ def _with_part(rows: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """(part, bits): a bitmap of the values of `bucket` that several rows have."""
-    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return bucket_bitmap(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+
+
+def bucket_bitmap(rows: DataFrame) -> DataFrame:
+    """(part, bits): a bitmap of the values of `bucket`."""
     # At most BUCKETS / 32768 rows of 4096 bytes each, so what is broadcast has a proven bound.
-    return cut_lineage(several.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")))
+    return cut_lineage(rows.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")))
 
 
 def _is_shared() -> Column:
@@ -58,15 +62,20 @@ def _is_shared() -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
 
 
+def within_buckets(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key's bucket is set in the bitmap."""
+    return _with_part(rows.withColumn("bucket", bucket(F.col(key)))).join(F.broadcast(bitmap), "part").filter(_is_shared()).select(*rows.columns)
+
+
 def _refined(docs: DataFrame, text_col: str, id_col: str, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(doc, id, points, text, survives): whether another row shares the row's length and prefix hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.length(normalised(text))
-    lengths = _shared(docs.select(_bucket(length).alias("bucket")))
-    alike = _with_part(docs.select(text.alias("text"), length.alias("length"), _bucket(length).alias("bucket")))
+    lengths = _shared(docs.select(bucket(length).alias("bucket")))
+    alike = _with_part(docs.select(text.alias("text"), length.alias("length"), bucket(length).alias("bucket")))
     alike = alike.join(F.broadcast(lengths), "part").filter(_is_shared())
-    both = _shared(alike.select(_bucket(F.col("length"), _prefix(F.col("text"))).alias("bucket")))
-    rows = docs.select(F.struct(*(carry or ["*"])).alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("points"), text.alias("text"), _bucket(length, _prefix(text)).alias("bucket"))
+    both = _shared(alike.select(bucket(F.col("length"), _prefix(F.col("text"))).alias("bucket")))
+    rows = docs.select(F.struct(*(carry or ["*"])).alias("doc"), F.col(id_col).alias("id"), F.length(text).alias("points"), text.alias("text"), bucket(length, _prefix(text)).alias("bucket"))
     return _with_part(rows).join(F.broadcast(both), "part", "left").select("doc", "id", "points", "text", _is_shared().alias("survives"))
 
 

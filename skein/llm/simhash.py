@@ -9,8 +9,10 @@ go, and the rest are verified on all bits. A posting returns a spanning forest o
 themselves. Rows of postings beyond a size are keyed once more with a fourth position, which a linking pair shares as
 well; only what is oversized then is worked off as pairs of bounded chunks. Components of the links give the groups.
 
-The corpus stage asks for a Jaccard similarity of shingle sets, of which a signature gives only an estimate. There,
-bands of minima bring together what may be alike, and every link is verified on the shingle sets themselves.
+The corpus stage asks for a Jaccard similarity of shingle sets, of which a signature gives only an estimate. There, a
+longer signature is indexed by its bytes: positions lie in classes, and a posting stands for two positions of a class.
+Pairs of a posting that share no further byte of the part of the signature that travels along go, as do those whose
+bits differ too often, and every link that is left is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -23,18 +25,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from skein.llm.common import cut_lineage
 from skein.llm.components import components
+from skein.llm.exact_dedup import bucket, bucket_bitmap, within_buckets
 from skein.llm.text import BY_SPACE, joined_words, mixed, rolled, text_slices
 
 SEED = 42
 SHINGLE, MAX_BITS = 4, 4
 #: Signatures in one posting that are compared within one task; larger postings are dealt out in chunks of half.
 BLOCK = 1024
-#: The corpus stage: five-word shingles, a similarity of 0.8, and 40 bands of 8 minima.
-STAGE = {"words": 5, "similarity": 0.8, "bands": 40, "rows": 8}
+#: The corpus stage: five-word shingles, a similarity of 0.8, signatures of 640 bits, their positions in 16 classes.
+STAGE = {"words": 5, "similarity": 0.8, "sig_words": 10, "classes": 16}
+#: Words of the stage's signatures that postings carry, and the share of their bits that may differ (0.15 are expected).
+CARRIED, DIFFERING = 3, 0.25
+#: Signatures in one posting of the stage that are compared within one task.
+STAGE_BLOCK = 1 << 14
+#: Longer runs of a key are worked off from row to row of a group instead of pair by pair.
+RUN = 2048
 #: Shingles that are compared within one task of the corpus stage; larger groups are dealt out in chunks of half.
 WEIGHT = 1 << 19
 
@@ -72,20 +80,29 @@ def set_names(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64))
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """(n, bands) keys; two sets share a band's key if `rows` random orders have the same least element in both."""
-    rng = np.random.default_rng(SEED)
-    factor, plus = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
-    factor |= np.uint32(1)
-    out = np.full((len(sets), bands * rows), np.uint32(0xFFFFFFFF))
+def signatures(sets: list[np.ndarray], sig_words: int) -> np.ndarray:
+    """(n, sig_words) SimHash signatures of sets of hashes.
+
+    Each hash gives every bit a weight of -3, -1, 1 or 3, so that few shingles too come near the share of differing bits
+    that their angle has; a bit is set if the sum is positive.
+    """
+    salts = mixed(np.arange(1, 2 * sig_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = np.zeros((len(sets), sig_words), np.uint64)
     for d, own in enumerate(sets):
-        short = (own >> np.uint64(32)).astype(np.uint32)
-        for a in range(0, len(short), 2048):
-            np.minimum(out[d], (short[a : a + 2048, None] * factor + plus).min(axis=0), out=out[d])
-    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
-    for k in range(rows):
-        keys = mixed(keys ^ out[:, k::rows].astype(np.uint64) + np.uint64(k << 32))
-    return keys
+        ones = np.zeros(128 * sig_words, np.int64)
+        for a in range(0, len(own), 255):  # sums of up to 255 ones fit a byte
+            h = own[a : a + 255, None] * salts
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+            ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        low, high = ones.reshape(2, -1)
+        out[d] = np.packbits(2 * (low + 2 * high) > 3 * len(own), bitorder="little").view(np.uint64)
+    return out
+
+
+def classed_pairs(n: int, classes: int) -> list[tuple[int, int]]:
+    """The pairs of n positions that lie in the same class; any `classes` + 1 positions hold one."""
+    return [t for t in combinations(range(n), 2) if t[0] % classes == t[1] % classes]
 
 
 def covering_triples(n: int) -> list[tuple[int, ...]]:
@@ -115,9 +132,14 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _links(keys: np.ndarray, sigs: np.ndarray, max_bits: int) -> np.ndarray:
+def _near(differing: np.ndarray, least: np.ndarray, max_bits: int) -> np.ndarray:
+    """Where the tally of equal bytes reaches `least` and at most `max_bits` bits differ."""
+    reached = np.flatnonzero((differing.view(np.uint8) == 0).sum(axis=1, dtype=np.int64) >= least)
+    return reached[np.bitwise_count(differing[reached]).sum(axis=1, dtype=np.int64) <= max_bits]
+
+
+def _links(keys: np.ndarray, sigs: np.ndarray, max_bits: int, least: np.ndarray) -> np.ndarray:
     """Rows are sorted by key; the least row that each reaches over verified pairs inside its key."""
-    least = max(0, 8 * sigs.shape[1] - max_bits)
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows, lag = np.arange(len(keys)), 1
     while True:
@@ -125,24 +147,45 @@ def _links(keys: np.ndarray, sigs: np.ndarray, max_bits: int) -> np.ndarray:
         rows = rows[keys[rows] == keys[rows + lag]]
         if not len(rows):
             break
-        differing = sigs[rows] ^ sigs[rows + lag]
-        reached = np.flatnonzero((differing.view(np.uint8) == 0).sum(axis=1, dtype=np.int64) >= least) if least else np.arange(len(rows))
-        near = rows[reached[np.bitwise_count(differing[reached]).sum(axis=1, dtype=np.int64) <= max_bits]]
+        near = rows[_near(sigs[rows] ^ sigs[rows + lag], least[rows], max_bits)]
         lefts.append(near)
         rights.append(near + lag)
         lag += 1
     return _forest(np.concatenate(lefts), np.concatenate(rights), len(keys))
 
 
-def _linker(sig_words: int, max_bits: int, block: int | None):
-    """Over rows sorted by key: (a, b, key) with key null for a link of two nodes; rows of oversized keys come back."""
+def _spread(sigs: np.ndarray, max_bits: int, least: int) -> np.ndarray:
+    """What `_links` gives for rows of one key, where each row found is held against those not found yet."""
+    root, left, queue = np.arange(len(sigs)), np.arange(len(sigs)), []
+    while len(left):
+        if not queue:
+            first, left = int(left[0]), left[1:]
+            queue.append(first)
+            continue
+        near = _near(sigs[left] ^ sigs[queue.pop()], least, max_bits)
+        root[left[near]] = first
+        queue += left[near].tolist()
+        left = np.delete(left, near)
+    return root
+
+
+def _linker(sig_words: int, max_bits: int, block: int | None, needed: Callable[[np.ndarray], np.ndarray]):
+    """Over rows sorted by key: (a, b, key) with key null for a link of two nodes; rows of oversized keys come back.
+
+    `needed` gives the equal bytes that two rows of each key must have.
+    """
     names = ["node", *(f"s{i}" for i in range(sig_words))]
 
     def batch(a, b, key) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
 
     def solved(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        root = _links(keys, rows[:, 1:].view(np.uint64), max_bits)
+        sigs, least, root = np.ascontiguousarray(rows[:, 1:]).view(np.uint64), needed(keys), np.arange(len(keys))
+        _, first, size = np.unique(keys, return_index=True, return_counts=True)
+        for a, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
+            root[a : a + n] = a + _spread(sigs[a : a + n], max_bits, least[a])
+        rest = np.flatnonzero(np.repeat(size <= RUN, size))
+        root[rest] = rest[_links(keys[rest], sigs[rest], max_bits, least[rest])]
         moved = np.flatnonzero(root != np.arange(len(root)))
         return batch(rows[root[moved], 0], rows[moved, 0], pa.nulls(len(moved), pa.int64()))
 
@@ -187,14 +230,59 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block
 
     `nodes` has node and s0.. (longs), one row per distinct signature.
     """
+    least = max(0, 8 * sig_words - max_bits)
     sets = _posting_sets(sig_words, positions)
-    names = ["node", *(f"s{i}" for i in range(sig_words))]
+    return _posted(nodes, sets, sig_words, sig_words, max_bits, block, lambda keys: np.full(len(keys), least), positions > len(sets[0]))
+
+
+def likely_links(nodes: DataFrame, sig_words: int, classes: int, block: int = STAGE_BLOCK) -> DataFrame:
+    """(a, b): links between nodes whose signatures share three bytes, two of them in one class of positions, and differ
+    in a quarter of the carried bits at most; a group of such nodes comes out connected."""
+    sets = classed_pairs(8 * sig_words, classes)
+    inside = np.array([sum(place < 8 * CARRIED for place in places) for places in sets])
+
+    def needed(keys: np.ndarray) -> np.ndarray:
+        # Of the three, those of the posting count only if they are carried.
+        return 1 + inside[keys >> 16]
+
+    found = _posted(nodes, sets, sig_words, CARRIED, int(64 * CARRIED * DIFFERING), block, needed, False)
+    # Twice, as the nodes that the first pass moves to are themselves often linked to several.
+    return _starred(_starred(found))
+
+
+def _starred(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of the same groups: what links to a node links to the least such instead, so groups keep few links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, head = None, 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            a, b = rb.column("a").to_numpy(), rb.column("b").to_numpy()
+            heads = a[np.maximum.accumulate(np.where(np.append(True, b[1:] != b[:-1]), np.arange(len(b)), 0))]
+            if node is not None and b[0] == node:
+                heads[b == node] = head
+            node, head = b[-1], heads[-1]
+            ends = np.unique(np.column_stack([np.concatenate([heads, heads]), np.concatenate([a, b])]), axis=0)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    return rows.repartition("b").sortWithinPartitions("b", "a").mapInArrow(run, "a long, b long").distinct()
+
+
+def _posted(nodes: DataFrame, sets: list[tuple[int, ...]], sig_words: int, carried: int, max_bits: int, block: int, needed: Callable[[np.ndarray], np.ndarray], deeper: bool) -> DataFrame:
+    """(a, b): the links of `nodes` inside the postings `sets`, whose rows carry the first words of the signatures.
+
+    With `deeper`, nodes of an oversized posting that may link share one more position.
+    """
+    every = ["node", *(f"s{i}" for i in range(sig_words))]
+    names = every[: 1 + carried]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 rb = whole.slice(first, 1000)
-                sig = np.column_stack([rb.column(n).to_numpy() for n in names[1:]]).view(np.uint8).astype(np.int64)
+                sig = np.column_stack([rb.column(n).to_numpy() for n in every[1:]]).view(np.uint8).astype(np.int64)
                 keys = np.empty((rb.num_rows, len(sets)), np.int64)
                 for p, places in enumerate(sets):
                     key = np.full(rb.num_rows, p, np.int64)
@@ -204,17 +292,17 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(rb.column(n).to_numpy(), len(sets))) for n in names)], names=["key", *names])
 
     schema = "key long, " + ", ".join(f"{n} long" for n in names)
-    rows = nodes.select(*names).mapInArrow(expand, schema)
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(sig_words, max_bits, block), "a long, b long, key long")
+    rows = nodes.select(*every).mapInArrow(expand, schema)
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linker(carried, max_bits, block, needed), "a long, b long, key long")
     found = cut_lineage(found.distinct())
     easy, hot = found.filter("key IS NULL").select("a", "b"), found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
     if hot.isEmpty():
         return easy
-    if positions > len(sets[0]):
+    if deeper:
         # The rows of an oversized posting that may still link share one more position, so each is keyed anew by that.
         again = hot.join(nodes.select(*names), "node").select("key", *names)
         again = again.mapInArrow(_one_position_more(sets, sig_words), schema).repartition("key").sortWithinPartitions("key")
-        found = cut_lineage(again.mapInArrow(_linker(sig_words, max_bits, block), "a long, b long, key long").distinct())
+        found = cut_lineage(again.mapInArrow(_linker(carried, max_bits, block, needed), "a long, b long, key long").distinct())
         easy, hot = easy.unionByName(found.filter("key IS NULL").select("a", "b")), found.filter("key IS NOT NULL").select(F.col("a").alias("node"), "key")
         if hot.isEmpty():
             return easy
@@ -224,7 +312,7 @@ def links(nodes: DataFrame, sig_words: int, max_bits: int, positions: int, block
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     dealt = dealt.select("node", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
     again = dealt.join(nodes.select(*names), "node").select("key", *names)
-    more = again.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(sig_words, max_bits, None), "a long, b long, key long")
+    more = again.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linker(carried, max_bits, None, lambda keys: np.full(len(keys), needed(np.zeros(1, np.int64))[0])), "a long, b long, key long")
     return easy.unionByName(more.select("a", "b"))
 
 
@@ -286,26 +374,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _band_links(rows: DataFrame) -> DataFrame:
-    """(a, b): in each key of (key, node) the first node and each other one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head = None, 0
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            keys, nodes = rb.column("key").to_numpy(), rb.column("node").to_numpy()
-            new = np.append(True, keys[1:] != keys[:-1])
-            heads = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-            if key is not None and keys[0] == key:
-                heads[keys == key] = head
-            key, head = keys[-1], heads[-1]
-            at = np.flatnonzero(heads != nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(heads[at]), pa.array(nodes[at])], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
-
 def _alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
     """Pairs (a, several b) with at least this Jaccard similarity that connect all sets which such pairs connect."""
     sizes = np.array([len(s) for s in sets])
@@ -353,14 +421,16 @@ def _verifier(similarity: float):
     return run
 
 
-def jaccard_links(nodes: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float, weight: int = WEIGHT) -> DataFrame:
+def jaccard_links(nodes: DataFrame, likely: DataFrame, sets: DataFrame, similarity: float, weight: int = WEIGHT) -> DataFrame:
     """(a, b): links between nodes whose sets have at least this Jaccard similarity.
 
-    `nodes` has node and size, `rows` (key, node) what may be alike, `sets` (node, members) the hashes of each set, at
-    least once. Nodes that keys connect form a loose group, and within it every pair is held against the sets, unless
-    other links connect it already.
+    `nodes` has node and size, `likely` (a, b) links of what may be alike, `sets` (node, members) the hashes of each set,
+    at least once. Nodes that `likely` connects form a loose group, and within it every pair is held against the sets,
+    unless other links connect it already.
     """
-    loose = cut_lineage(components(_band_links(rows)).join(nodes.select("node", "size"), "node"))
+    loose = cut_lineage(components(likely).join(nodes.select("node", "size"), "node"))
+    # Only sets of loose groups move; the bitmap of their nodes has a bound, and a set too many is dropped by the join.
+    sets = within_buckets(sets, "node", bucket_bitmap(loose.select(bucket("node").alias("bucket"))))
     # A group of many shingles is dealt into chunks of half a task's weight; every two chunks meet in one task.
     chunks = loose.groupBy("root").agg(F.sum("size").alias("w")).select("root", F.when(F.col("w") <= weight, 1).otherwise(F.ceil(F.col("w") / F.lit(weight // 2))).cast("long").alias("n"))
     dealt = loose.join(chunks, "root").withColumn("c", F.pmod(F.xxhash64("node"), "n"))
@@ -370,22 +440,25 @@ def jaccard_links(nodes: DataFrame, rows: DataFrame, sets: DataFrame, similarity
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(_verifier(similarity), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similarity: float = STAGE["similarity"], bands: int = STAGE["bands"], rows: int = STAGE["rows"], text_col: str = "text", id_col: str = "doc_id", weight: int = WEIGHT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similarity: float = STAGE["similarity"], sig_words: int = STAGE["sig_words"], classes: int = STAGE["classes"], text_col: str = "text", id_col: str = "doc_id", weight: int = WEIGHT) -> DataFrame:
     """(doc_id, component_id, text_hash): groups of documents whose sets of `words`-word shingles are `similarity` alike or more.
 
     Every link is a pair whose Jaccard similarity, worked out on the 64-bit hashes of all shingles, is `similarity` or
-    more. A pair comes up for that if it shares one of `bands` bands of `rows` minima or meets in a loose group: at
-    0.8 with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994 at least. Texts without words form no groups.
+    more. A pair comes up for that if the index of its signatures' bytes brings it together (see `likely_links`) or if it
+    meets in a loose group: at 0.8 with a probability of 0.999 for texts of many shingles. Texts without words form no
+    groups.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("text_hash", "long").add("node", "long").add("size", "long").add("bands", ArrayType(LongType()))
+    parts = [f"s{i}" for i in range(sig_words)]
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("text_hash", "long").add("node", "long").add("size", "long")
+    for name in parts:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given, texts in text_slices(batches):
             sets = shingle_sets(texts, words)
-            keys = band_keys(sets, bands, rows).view(np.int64)
-            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
             sizes = np.array([len(s) for s in sets], np.int64)
-            cols = [given.column("doc_id"), given.column("text_hash"), pa.array(set_names(sets).view(np.int64)), pa.array(sizes), listed]
+            cols = [given.column("doc_id"), given.column("text_hash"), pa.array(set_names(sets).view(np.int64)), pa.array(sizes)]
+            cols += [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in signatures(sets, sig_words).T]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(sizes > 0))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,9 +474,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = STAGE["words"], similari
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = cut_lineage(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
-    keyed = signed.select(F.explode("bands").alias("key"), "node")
     sets = texts.select("text").mapInArrow(members, "node long, members binary")
-    return _grouped(signed, ["size"], lambda nodes: jaccard_links(nodes, keyed, sets, similarity, weight), ["text_hash"]).select("doc_id", "component_id", "text_hash")
+    return _grouped(signed, ["size", *parts], lambda nodes: jaccard_links(nodes, likely_links(nodes, sig_words, classes), sets, similarity, weight), ["text_hash"]).select("doc_id", "component_id", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
