@@ -135,3 +135,14 @@ def test_chunks_bound_their_batches(spark):
         assert int(spark.conf.get(name)) == 8 << 20 and got.filter("doc_id = 1").count() == len(chunks.cut("ab " * 900)) and got.filter("doc_id = 2").count() == 1
     finally:
         spark.conf.set(name, before)
+
+
+def test_texts_of_the_term_graph_are_spaced_once(spark, tmp_path):
+    """Neither for each name nor for a filter that a generator brings."""
+    from skein.plans import catalogue
+
+    rows = [(1, "Thing  ERTH\nx"), (2, "thing\tund nicht"), (3, None), (4, "things"), (5, "x thing erth y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue._term_graph(spark, str(tmp_path))
+    assert sorted((r.src, r.dst) for r in found.collect()) == [("erth", "thing"), ("nicht", "thing"), ("nicht", "und"), ("nicht", "und nicht"), ("thing", "und"), ("thing", "und nicht"), ("und", "und nicht")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
