@@ -27,6 +27,8 @@ SIMILARITY_WEIGHT, COVERAGE_WEIGHT = 0.6, 0.4
 RELEVANCE, RELEVANCE_CHARS = 0.12, 500
 #: Bytes of queries that travel with the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Queries of a block that meet 4,096 rows in one product of matrices: 8 MB.
+PART_QUERIES = 256
 #: Words of two languages that say nothing about relevance.
 STOP_WORDS = (
     "el", "la", "los", "las", "un", "una", "de", "del", "en", "con", "por", "para", "que", "es", "son", "este", "esta", "estos", "estas",
@@ -64,7 +66,7 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide((q * v).sum(axis=1), norms, out=np.zeros(len(q)), where=norms > 0)
 
 
-def _nearest_in_task(queries: list[tuple], names: list[str], k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _nearest_in_task(queries: list[tuple], names: list[str], k: int, metric: str, step: int = PART_QUERIES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over batches (names, v): for each query the k nearest rows of the task, ties by id."""
     by_length: dict[int, list[tuple]] = {}
     for i, q in queries:
@@ -98,16 +100,22 @@ def _nearest_in_task(queries: list[tuple], names: list[str], k: int, metric: str
                     if not len(own):
                         continue
                     v = np.array([lists[i] for i in own], np.float64)
-                    if metric == "l2":
-                        near = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * q @ v.T
-                    else:
-                        lq, lv = np.linalg.norm(q, axis=1, keepdims=True), np.linalg.norm(v, axis=1, keepdims=True)
-                        near = -np.divide(q, lq, out=np.zeros_like(q), where=lq > 0) @ np.divide(v, lv, out=np.zeros_like(v), where=lv > 0).T
-                    near[query_ids[:, None] == ids[own]] = np.inf
-                    # Matrix products are rounded, so a little more than the k nearest is worked out exactly.
-                    border = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, [min(k, near.shape[1]) - 1]]
-                    i, j = np.nonzero((near <= border + 1e-6 * np.maximum(1, np.abs(border))) & np.isfinite(near))
-                    found.append((query_ids[i], ids[own[j]], np.round(_distances(q[i], v[j], metric), 9), own[j], carried))
+                    hits = []
+                    # A part of the queries at a time, so that a product's size does not grow with them.
+                    for of in range(0, len(q), step):
+                        part, asked = q[of : of + step], query_ids[of : of + step]
+                        if metric == "l2":
+                            near = (part * part).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * part @ v.T
+                        else:
+                            lq, lv = np.linalg.norm(part, axis=1, keepdims=True), np.linalg.norm(v, axis=1, keepdims=True)
+                            near = -np.divide(part, lq, out=np.zeros_like(part), where=lq > 0) @ np.divide(v, lv, out=np.zeros_like(v), where=lv > 0).T
+                        near[asked[:, None] == ids[own]] = np.inf
+                        # Matrix products are rounded, so a little more than the k nearest is worked out exactly.
+                        border = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, [min(k, near.shape[1]) - 1]]
+                        i, j = np.nonzero((near <= border + 1e-6 * np.maximum(1, np.abs(border))) & np.isfinite(near))
+                        hits.append((asked[i], j, np.round(_distances(part[i], v[j], metric), 9)))
+                    query, j, distance = (np.concatenate(x) for x in zip(*hits, strict=True))
+                    found.append((query, ids[own[j]], distance, own[j], carried))
                 if len(found) > 16:
                     found = [cut(found)]
         if found:

@@ -146,3 +146,25 @@ def test_texts_of_the_term_graph_are_spaced_once(spark, tmp_path):
     found = catalogue._term_graph(spark, str(tmp_path))
     assert sorted((r.src, r.dst) for r in found.collect()) == [("erth", "thing"), ("nicht", "thing"), ("nicht", "und"), ("nicht", "und nicht"), ("thing", "und"), ("thing", "und nicht"), ("und", "und nicht")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_products_of_vectors_do_not_grow_with_the_queries():
+    """Parts of the queries find what all at once find, in memory that is that of a part."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.operators import retrieve
+
+    rng = np.random.default_rng(3)
+    queries = [(i, q.tolist()) for i, q in enumerate(rng.normal(size=(3000, 8)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(rng.normal(size=(4096, 8)).tolist())], names=["id", "v"])
+    for metric in ("l2", "cosine"):
+        run = retrieve._nearest_in_task(queries, ["id"], 3, metric)
+        tracemalloc.start()
+        got = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 << 20, peak
+        assert got == list(retrieve._nearest_in_task(queries, ["id"], 3, metric, 10_000)(iter([batch])))
