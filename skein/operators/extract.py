@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions import rules as fixed
 from skein.functions.automaton import held_names
 from skein.functions.text import extension
-from skein.session import spread
+from skein.session import bounded_batches, spread
 
 #: Confidences of steps, of captures by how they were enriched, and of co-occurring pairs.
 CAPTURE_CONFIDENCE, CAPTURE_PAIR = {"high": 0.7, "medium": 0.6}, {"high": 0.6, "medium": 0.55}
@@ -93,11 +93,17 @@ def _numbered(rows: DataFrame, steps: list[Column], doc: str, zone: int) -> Data
     return flat.select(F.struct(F.lit(zone).alias("zone"), "doc", "pos").alias("ord"), "t.subject", "t.subject_type", "t.relation", "t.object", "t.object_type", "doc", "t.confidence")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows whose texts go to Python: over idle cores, in Arrow batches of a bounded size."""
+    bounded_batches(rows.sparkSession)
+    return spread(rows)
+
+
 def from_pairs(pairs: DataFrame, rules: Rules | None = None, zone: int = 0) -> DataFrame:
     """Triples of training pairs (doc, instruction, output, category), in six steps."""
     r = rules or Rules()
     text = F.concat_ws(" ", F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit("")))
-    rows = spread(pairs).select(
+    rows = _dealt(pairs).select(
         "doc", F.lower(F.trim(F.coalesce("category", F.lit("")))).alias("cat"), whole_words(text, r.technologies).alias("tech"), anywhere(text, r.patterns).alias("pat"), matching(text, r.errors).alias("err"), matching(text, r.strategies).alias("str")
     )
     named = F.when(F.col("cat") != "", F.col("tech")).otherwise(F.array().cast("array<string>"))
@@ -117,7 +123,7 @@ def from_thoughts(thoughts: DataFrame, rules: Rules | None = None, zone: int = 4
     """Triples of thinking blocks (doc, text) of `least` characters or more, all of one confidence."""
     r = rules or Rules()
     t = F.col("text")
-    rows = spread(thoughts.filter(F.length("text") >= least)).select("doc", whole_words(t, r.technologies).alias("tech"), anywhere(t, r.patterns).alias("pat"), matching(t, r.errors).alias("err"), matching(t, r.strategies).alias("str"))
+    rows = _dealt(thoughts.filter(F.length("text") >= least)).select("doc", whole_words(t, r.technologies).alias("tech"), anywhere(t, r.patterns).alias("pat"), matching(t, r.errors).alias("err"), matching(t, r.strategies).alias("str"))
     steps = [
         _triples(F.col("tech"), "technology", "related_to", None, "technology", TRANSCRIPT),
         _triples(F.col("pat"), "pattern", "related_to", None, "pattern", TRANSCRIPT),
@@ -134,7 +140,7 @@ def from_decisions(decisions: DataFrame, rules: Rules | None = None, zone: int =
     r = rules or Rules()
     blank = lambda c: F.coalesce(c, F.lit(""))
     text = F.concat_ws(" ", blank("topic"), blank("chosen"), blank("lesson"))
-    rows = spread(decisions).select("doc", F.lower(F.trim(blank("topic"))).alias("topic"), (blank("chosen") != "").alias("chose"), whole_words(text, r.technologies).alias("tech"), matching(text, r.strategies).alias("str"))
+    rows = _dealt(decisions).select("doc", F.lower(F.trim(blank("topic"))).alias("topic"), (blank("chosen") != "").alias("chose"), whole_words(text, r.technologies).alias("tech"), matching(text, r.strategies).alias("str"))
     none = F.array().cast("array<string>")
     steps = [
         _triples(F.when(F.col("topic") != "", F.col("tech")).otherwise(none), "technology", "related_to", F.col("topic"), "concept", 0.7),
@@ -148,7 +154,7 @@ def from_learnings(learnings: DataFrame, rules: Rules | None = None, zone: int =
     r = rules or Rules()
     text = F.concat_ws(" ", F.coalesce("topic", F.lit("")), F.array_join(F.coalesce("applicable_to", F.array().cast("array<string>")), " "))
     topic = F.lower(F.trim(F.coalesce("topic", F.lit(""))))
-    rows = spread(learnings).select("doc", F.when(topic != "", whole_words(text, r.technologies)).otherwise(F.array().cast("array<string>")).alias("tech"), topic.alias("topic"))
+    rows = _dealt(learnings).select("doc", F.when(topic != "", whole_words(text, r.technologies)).otherwise(F.array().cast("array<string>")).alias("tech"), topic.alias("topic"))
     made = F.transform("tech", lambda t: F.struct(F.col("topic").alias("subject"), F.lit("concept").alias("subject_type"), F.lit("related_to").alias("relation"), t.alias("object"), F.lit("technology").alias("object_type"), F.lit(0.6).alias("confidence")))
     return _numbered(rows, [made.cast(f"array<{TRIPLE}>")], "doc", zone)
 
@@ -164,7 +170,7 @@ def from_captures(captures: DataFrame, rules: Rules | None = None, zone: int = 3
     told = F.when(blank("reasoning") != "", F.concat_ws(" ", blank("description"), blank("reasoning"))).otherwise(blank("description"))
     suffixes = F.create_map(*(F.lit(x) for pair_ in r.file_technologies.items() for x in pair_))
     by_file = F.array_compact(F.array(suffixes[F.lower(extension(blank("file_modified")))]))
-    rows = spread(captures).select(
+    rows = _dealt(captures).select(
         "doc", F.lower(F.trim(blank("project"))).alias("project"), base.alias("base"), pair.alias("pair"), by_file.alias("ext"),
         whole_words(F.concat_ws(" ", blank("file_modified"), told), r.technologies).alias("tech"), anywhere(told, r.patterns).alias("pat"), matching(told, r.strategies).alias("str"),
     )

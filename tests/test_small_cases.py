@@ -168,3 +168,16 @@ def test_products_of_vectors_do_not_grow_with_the_queries():
         tracemalloc.stop()
         assert peak < 80 << 20, peak
         assert got == list(retrieve._nearest_in_task(queries, ["id"], 3, metric, 10_000)(iter([batch])))
+
+
+def test_thoughts_go_to_python_in_bounded_batches(spark):
+    from skein.operators import extract
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(1 << 30))
+        extract.from_thoughts(spark.createDataFrame([(1, "x" * 200)], "doc long, text string"))
+        assert int(spark.conf.get(name).rstrip("b")) == 8 << 20
+    finally:
+        spark.conf.set(name, before)
