@@ -34,6 +34,8 @@ _FLUSH = 200_000
 #: In a text's classes: a word that is not in the table.
 _OUTSIDE = 255
 END = b""  # no word is empty
+#: Classes beside a word, as a task hands them on: all of a word in one value, so that the word itself is moved once.
+PACKED = np.dtype([("slot", "<u2"), ("n", "<u4")])
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -209,19 +211,25 @@ def seed_classes(docs: DataFrame, vocab: Vocabulary, exchange_words: int, classe
 
 
 def neighbour_classes(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    """(word, slot, n) of the words that are no seeds: class c before the word is slot c, class c after it slot k + c."""
+    """(word, found) of the words that are no seeds: class c before the word is slot c, class c after it slot k + c.
+
+    `found` holds the slots of a word and their counts as `PACKED`; a task gives a word once for each part of its texts.
+    """
     class_of, k = seeds.class_of, len(seeds.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words, found = dict(class_of), [], []
+        own, words, counted = dict(class_of), [], []
 
         def out() -> Iterator[pa.RecordBatch]:
-            codes, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in found])).astype(np.int64)
-            for a in range(0, len(codes), 100_000):
-                part = codes[a : a + 100_000]
-                named = pa.array([words[i] for i in (part // (2 * k)).tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([named, pa.array((part % (2 * k)).astype(np.int32)), pa.array(n[a : a + 100_000])], names=["word", "slot", "n"])
+            codes, place = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
+            packed = np.empty(len(codes), PACKED)
+            packed["slot"], packed["n"] = codes % (2 * k), np.bincount(place, np.concatenate([n for _, n in counted]))
+            number, first = np.unique(codes // (2 * k), return_index=True)
+            bounds = np.append(first, len(codes))
+            for a in range(0, len(number), 100_000):
+                part, cuts = number[a : a + 100_000], bounds[a : a + 100_001]
+                held = [None, pa.py_buffer(((cuts - cuts[0]) * PACKED.itemsize).astype(np.int32)), pa.py_buffer(packed[cuts[0] : cuts[-1]].tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in part.tolist()], pa.binary()), pa.Array.from_buffers(pa.binary(), len(part), held)], names=["word", "found"])
 
         for _, texts in text_slices(batches):
             ids = [0]
@@ -236,28 +244,28 @@ def neighbour_classes(docs: DataFrame, seeds: Seeds) -> DataFrame:
             row = np.array(ids, np.int64)
             here, before = np.flatnonzero((row[1:] >= k) & (row[:-1] < k)) + 1, np.flatnonzero((row[:-1] >= k) & (row[1:] < k))
             codes = np.concatenate([(row[here] - k) * 2 * k + row[here - 1], (row[before] - k) * 2 * k + k + row[before + 1]])
-            found.append(np.unique(codes, return_counts=True))
-            if len(words) > _FLUSH or len(found) > 50:
+            counted.append(np.unique(codes, return_counts=True))
+            if len(words) > _FLUSH or len(counted) > 50:
                 yield from out()
-                own, words, found = dict(class_of), [], []
-        if found:
+                own, words, counted = dict(class_of), [], []
+        if counted:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, found binary")
 
 
 def likeliest_class(seeds: Seeds) -> Callable[[Column], Column]:
-    """From an array of (slot, n) to the class, 1 and up, under which a word's neighbours are likeliest; ties go to the lowest."""
+    """From an array of `PACKED` counts to the class, 1 and up, under which a word's neighbours are likeliest; ties go to the lowest."""
     weight = np.concatenate([seeds.left, seeds.right])[:, 1:]
     bias = 1e-6 * np.log(seeds.size[1:])
 
     @F.arrow_udf("int")
     def chosen(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for found in arrays:
-            sizes = np.array([len(x) if x is not None else 0 for x in found.to_pylist()], np.int64)
-            flat = found.flatten()
-            counts = np.zeros((len(found), len(weight)))
-            counts[np.repeat(np.arange(len(found)), sizes), flat.field("slot").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+            held = [b"".join(x) if x is not None else b"" for x in found.to_pylist()]
+            pairs = np.frombuffer(b"".join(held), PACKED)
+            rows = np.repeat(np.arange(len(found)), [len(x) // PACKED.itemsize for x in held])
+            counts = np.bincount(rows * len(weight) + pairs["slot"], pairs["n"], len(found) * len(weight)).reshape(len(found), len(weight))
             score = counts @ weight + bias
             yield pa.array((score.argmax(axis=1) + 1 if weight.shape[1] else np.ones(len(found))).astype(np.int32))
 
@@ -268,7 +276,7 @@ def classed_words(docs: DataFrame, vocabulary: DataFrame, seeds: Seeds) -> DataF
     """(word, c, class) of every word: seeds keep theirs, repeated words take the likeliest, words seen once are class k."""
     k = len(seeds.size)
     of_seed = docs.sparkSession.createDataFrame(list(seeds.class_of.items()), "word binary, seed int")  # EXCHANGE_WORDS rows at most
-    seen = neighbour_classes(docs, seeds).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
+    seen = neighbour_classes(docs, seeds).groupBy("word").agg(F.collect_list("found").alias("found"))
     every = vocabulary.join(F.broadcast(of_seed), "word", "left")
     known = every.filter("seed IS NOT NULL OR c = 1").select("word", "c", F.coalesce("seed", F.lit(k)).alias("class"))
     rest = every.filter("seed IS NULL AND c > 1").join(seen, "word", "left")

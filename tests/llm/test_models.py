@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.llm import queries
 from skein.llm.hashed import Ftrl, batches_of, ngram_features
 from skein.llm.lang_id import Network, document_probabilities, gradients, identify, new_network, train, train_language_id, windows_of
-from skein.llm.lm import classed_words, exchange, score, seed_classes, summarise, word_counts, word_table
+from skein.llm.lm import PACKED, Seeds, classed_words, exchange, neighbour_classes, score, seed_classes, summarise, word_counts, word_table
 from skein.llm.quality import keep_quality, score_quality, train_quality
 from skein.llm.text import BY_LETTER, BY_SPACE, joined_words
 from skein.llm.toxicity import category_labels, fit_chain, predict_chain, score_toxicity, train_toxicity
@@ -280,3 +280,12 @@ def test_lm_knows_the_end_whatever_its_count(spark):
     many = spark.createDataFrame([(i, "a a a b b b") for i in range(3)], "doc_id long, text string")
     rows = score(many, F.lit(True), table_words=2).collect()
     assert {r.n_known for r in rows} == {7} and rows[0].base_score == pytest.approx((6 * math.log10(10) + math.log10(4)) - 7 * math.log10(21 + 3 + 1))
+
+
+def test_neighbours_of_a_word_are_handed_on_in_one_value(spark):
+    seeds = Seeds({b"": 0, b"a": 1, b"b": 2}, np.zeros((3, 3)), np.zeros((3, 3)), np.ones(3))
+    docs = spark.createDataFrame([("a x b x a",), ("x x y",), ("y",), ("",), (None,), ("B z A",)], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
+    rows = neighbour_classes(docs, seeds).collect()
+    told = {bytes(r.word): {int(p["slot"]): int(p["n"]) for p in np.frombuffer(r.found, PACKED)} for r in rows}
+    # Slots 0 to 2: the end, a, b before the word; 3 to 5: after it. A row for each word, not for each slot.
+    assert len(rows) == 3 and told == {b"x": {1: 1, 2: 1, 5: 1, 4: 1, 0: 1}, b"y": {0: 1, 3: 2}, b"z": {2: 1, 4: 1}}
