@@ -30,13 +30,20 @@ class Buffer(StatefulProcessor):
         self.kept = handle.getListState("kept", _KEPT)
         self.done = handle.getMapState("done", "day string", "batches long")
 
-    def _batch(self, key: tuple, day: str, rows: list[tuple], reason: str) -> list[tuple]:
-        no = int(self.done.getValue((day,))[0]) if self.done.containsKey((day,)) else 0
-        self.done.updateValue((day,), (no + 1,))
+    def _batch(self, key: tuple, day: str, rows: list[tuple], reason: str, numbers: dict[str, int]) -> list[tuple]:
+        """A batch of a day; `numbers` has the next number of each day met in this call, so that state is asked once a day."""
+        if day not in numbers:
+            numbers[day] = int(self.done.getValue((day,))[0]) if self.done.containsKey((day,)) else 0
+        no = numbers[day]
+        numbers[day] = no + 1
         return [(key[0], "record", day, no, k, reason, *r[1:]) for k, r in enumerate(rows)]
 
-    def _flushed(self, key: tuple, days: dict[str, list[tuple]], reason: str) -> list[tuple]:
-        return [row for day in sorted(days) if days[day] for row in self._batch(key, day, days.pop(day), reason)]
+    def _flushed(self, key: tuple, days: dict[str, list[tuple]], reason: str, numbers: dict[str, int]) -> list[tuple]:
+        return [row for day in sorted(days) if days[day] for row in self._batch(key, day, days.pop(day), reason, numbers)]
+
+    def _remember(self, numbers: dict[str, int]) -> None:
+        for day, no in numbers.items():
+            self.done.updateValue((day,), (no,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         calls = sorted((r for pdf in rows for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False)), key=lambda r: (r.ts_ms, r.seq, r.id or ""))
@@ -47,9 +54,10 @@ class Buffer(StatefulProcessor):
         for r in self.kept.get() if self.kept.exists() else ():
             days.setdefault(r[0], []).append(tuple(r))
         out: list[tuple] = []
+        numbers: dict[str, int] = {}
         for c in calls:
             if c.kind == "close":
-                out += self._flushed(key, days, "close")
+                out += self._flushed(key, days, "close", numbers)
             elif c.kind == "mark":
                 held = next(((own, k) for own in days.values() for k in range(len(own) - 1, -1, -1) if own[k][1] == c.id), None)
                 if held:
@@ -61,7 +69,8 @@ class Buffer(StatefulProcessor):
                 own = days.setdefault(c.day, [])
                 own.append((c.day, c.id, int(c.ts_ms), c.payload, c.feedback, bool(c.edited)))
                 if len(own) >= self.size:
-                    out += self._batch(key, c.day, days.pop(c.day), "full")
+                    out += self._batch(key, c.day, days.pop(c.day), "full", numbers)
+        self._remember(numbers)
         left = [r for own in days.values() for r in own]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -77,7 +86,10 @@ class Buffer(StatefulProcessor):
         for r in self.kept.get() if self.kept.exists() else ():
             days.setdefault(r[0], []).append(tuple(r))
         self.kept.clear()
-        yield self._frame(self._flushed(key, days, "silence"))
+        numbers: dict[str, int] = {}
+        out = self._flushed(key, days, "silence", numbers)
+        self._remember(numbers)
+        yield self._frame(out)
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,49 @@ def test_a_batch_without_files(spark, tmp_path, n):
         (tmp_path / "in" / f"{k}.jsonl").write_text("{}")
     watch.watch_sessions(spark, f"{tmp_path}/in", str(tmp_path / "out"))
     assert watch.watched(spark, str(tmp_path / "out"))[0].count() == n
+
+
+class _Counted:
+    """A stand-in for state and its handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getListState(self, *_):  # noqa: N802
+        return _Counted()
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def containsKey(self, key):  # noqa: N802
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        self.asked += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self.held[key] = value
+
+    def exists(self):
+        return False
+
+    def listTimers(self):  # noqa: N802
+        return ()
+
+    def clear(self):
+        pass
+
+
+def test_state_is_asked_for_a_day_and_not_for_each_batch():
+    state, kept = _Counted(), buffer.Buffer(2, 1000)
+    kept.init(state)
+    names = ["session_id", "kind", "id", "ts_ms", "day", "payload", "feedback", "edited", "seq", "arrived_ms"]
+    numbers = []
+    for part in range(2):
+        rows = [("a", "record", str(i), part * 100 + i, f"d{i // 50}", "p", None, False, i, 0) for i in range(100)]
+        numbers += [n for out in kept.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=names)]), None) for n in zip(out.day, out.batch_no, strict=True)]
+    assert sorted(numbers) == sorted((d, n) for d in ("d0", "d1") for n in range(50) for _ in range(2))
+    assert state.held == {("d0",): (50,), ("d1",): (50,)} and state.asked <= 12
