@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from skein.functions.text import bigrams, space_tokens, words
-from skein.session import ensure_checkpoints
+from skein.session import bounded_batches, ensure_checkpoints
 
 #: Words and phrases of each task.
 TASK_KEYWORDS = {
@@ -37,6 +38,8 @@ STRATEGIES = {
 }
 STRATEGY_FIELDS = ("graph_depth", "vector_weight", "graph_weight", "confidence", "min_k", "max_k", "max_tokens")
 MAX_FEATURES, MAX_CLASSES, LEAST_CORPUS = 5000, 500, 50
+#: Words that travel with the tasks while their pairs are counted; with more, pairs are counted by name.
+KNOWN_WORDS = 100_000
 
 
 def keyword_classes(queries: DataFrame, keywords: dict[str, tuple[str, ...]] = TASK_KEYWORDS) -> DataFrame:
@@ -76,15 +79,84 @@ def tokenised(rows: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("id", "label", (F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept).alias("w")).checkpoint()
 
 
-def vocabulary(tokens: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, df) of the most frequent words and neighbouring pairs of (w); at most `max_features` rows."""
-    every = F.concat("w", bigrams(F.col("w")))
-    counted = F.concat(
-        F.transform(every, lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))),
-    )
-    sums = tokens.select(F.inline(counted)).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
-    return sums.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+def _numbered(batch: pa.RecordBatch, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number in `known` or -1, row) of every word of (w) of a batch, in order."""
+    held = batch.column("w")
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+    return pc.fill_null(pc.index_in(held.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64), row
+
+
+def _neighbours(number: np.ndarray, row: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first * known + second, row) of the neighbouring words of a row that both have a number."""
+    both = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0) & (row[:-1] == row[1:]))
+    return number[both] * known + number[both + 1], row[both]
+
+
+def _occurrences(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, times, rows that hold it) of the terms of a batch."""
+    order = np.lexsort((row, term))
+    term, row = term[order], row[order]
+    new = np.diff(term, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    return term[first], np.diff(first, append=len(term)), np.add.reduceat((new | (np.diff(row, prepend=-1) != 0)).astype(np.int64), first) if len(first) else first
+
+
+def _summed(counts: DataFrame, *key: str) -> DataFrame:
+    return counts.groupBy(*key).agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def word_totals(tokens: DataFrame) -> DataFrame:
+    """(term, total, df) of the words of (w), counted in the tasks a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            known = pc.unique(rb.column("w").flatten())
+            term, total, df = _occurrences(*_numbered(rb, known))
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(term)), pa.array(total, pa.int64()), pa.array(df, pa.int64())], names=["term", "total", "df"])
+
+    return _summed(tokens.select("w").mapInArrow(run, "term string, total long, df long"), "term")
+
+
+def pair_totals(tokens: DataFrame, known: list[str]) -> DataFrame:
+    """(term, total, df) of the neighbouring pairs of (w) whose words are both among `known`."""
+    words_of, size = pa.array(known, pa.string()), len(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            pair, total, df = _occurrences(*_neighbours(*_numbered(rb, words_of), size))
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total, pa.int64()), pa.array(df, pa.int64())], names=["pair", "total", "df"])
+
+    sums = _summed(tokens.select("w").mapInArrow(run, "pair long, total long, df long"), "pair")
+    names = tokens.sparkSession.createDataFrame(pa.table({"number": pa.array(range(size), pa.int64()), "name": words_of}))
+    left, right = names.withColumnsRenamed({"number": "left", "name": "left_name"}), names.withColumnsRenamed({"number": "right", "name": "right_name"})
+    numbered = sums.select(F.floor(F.col("pair") / F.lit(size)).cast("long").alias("left"), (F.col("pair") % F.lit(size)).alias("right"), "total", "df")
+    spelled = numbered.join(F.broadcast(left), "left").join(F.broadcast(right), "right")
+    return spelled.select(F.concat_ws(" ", "left_name", "right_name").alias("term"), "total", "df")
+
+
+def vocabulary(tokens: DataFrame, max_features: int = MAX_FEATURES, known_words: int = KNOWN_WORDS) -> DataFrame:
+    """(term, df) of the most frequent words and neighbouring pairs of (w); at most `max_features` rows.
+
+    A pair is no more frequent than either of its words, and the term of rank `max_features` no less than the word of
+    that rank. So only pairs of words that are as frequent as that word are counted. Where equal counts make these
+    more than `known_words`, or words are too few, all pairs are.
+    """
+    ensure_checkpoints(tokens.sparkSession)
+    totals = word_totals(tokens).checkpoint()
+    top = totals.orderBy(F.desc("total"), "term").limit(max_features)
+    last = top.agg(F.min("total").alias("least"), F.count("*").alias("n")).first()
+    least = last["least"] if last["n"] == max_features and max_features > 0 else 0
+    frequent = [r["term"] for r in totals.filter(F.col("total") >= least).select("term").limit(known_words + 1).toLocalIterator()]
+    if len(frequent) > known_words:
+        both = bigrams(F.col("w"))
+        counted = F.concat(
+            F.transform(both, lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))),
+            F.transform(F.array_distinct(both), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))),
+        )
+        pairs = _summed(tokens.select(F.inline(counted)), "term")
+    else:
+        pairs = pair_totals(tokens, frequent).filter(F.col("total") >= least)
+    return top.unionByName(pairs).orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
 
 
 def tfidf(tokens: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -93,26 +165,34 @@ def tfidf(tokens: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     The vocabulary has at most `max_features` rows whatever the corpus, so it travels with the tasks and a document's
     vector is made where the document is. `terms` are numbers of the vocabulary, in rising order.
     """
-    chosen = vocabulary(tokens, max_features).collect()
+    chosen = sorted(vocabulary(tokens, max_features).collect(), key=lambda r: r["term"])
     n = tokens.count()
-    number = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
-    idf = np.zeros(len(number))
-    for r in chosen:
-        idf[number[r["term"]]] = np.log((1 + n) / (1 + r["df"])) + 1
+    idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in chosen])
+    split = [r["term"].split(" ") for r in chosen]
+    known = sorted({w for parts in split for w in parts})
+    place = {w: i for i, w in enumerate(known)}
+    # Single words follow the pairs: both are looked up as sorted numbers.
+    code = np.array([place[p[0]] * len(known) + place[p[1]] if len(p) == 2 else len(known) ** 2 + place[p[0]] for p in split], np.int64)
+    order = np.argsort(code)
+    code = code[order]
     schema = tokens.select("id", "label").schema.add("terms", ArrayType(IntegerType())).add("weights", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
+        words_of = pa.array(known, pa.string())
         for rb in batches:
-            terms, weights = [], []
-            for held in rb.column("w").to_pylist():
-                held = held or []
-                found = [i for i in map(get, held) if i is not None] + [i for i in map(get, map(" ".join, zip(held, held[1:], strict=False))) if i is not None]
-                index, tf = np.unique(np.array(found, np.int64), return_counts=True)
-                w = tf * idf[index]
-                terms.append(index.astype(np.int32))
-                weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
-            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("label"), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=schema.names)
+            number, row = _numbered(rb, words_of)
+            pair, pair_row = _neighbours(number, row, len(known))
+            met, rows = np.concatenate([number[number >= 0] + len(known) ** 2, pair]), np.concatenate([row[number >= 0], pair_row])
+            at = np.minimum(np.searchsorted(code, met), max(len(code) - 1, 0))
+            held = code[at] == met if len(code) else np.zeros(0, bool)
+            found, tf = np.unique(rows[held] * len(code) + order[at[held]], return_counts=True)
+            rows, index = (found // len(code), found % len(code)) if len(code) else (found, found)
+            w = tf * idf[index]
+            w = w / np.sqrt(np.bincount(rows, w * w, rb.num_rows))[rows]
+            bounds = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=rb.num_rows))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("id"), rb.column("label"), pa.ListArray.from_arrays(bounds, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(w, pa.float64()))], names=schema.names
+            )
 
     return tokens.mapInArrow(run, schema)
 
@@ -123,6 +203,7 @@ def centroid_classes(rows: DataFrame, max_features: int = MAX_FEATURES, stop: tu
     The centroids are `max_features` numbers for each class, a table whose size is checked before it travels with the
     tasks. Rows without a term of the vocabulary are left out; below `least_corpus` rows nothing is predicted.
     """
+    bounded_batches(rows.sparkSession)
     tokens = tokenised(rows, stop)
     if tokens.count() < least_corpus:
         return rows.select("id", "label", F.col("label").alias("predicted"), F.lit(0.0).alias("cosine")).limit(0)
@@ -132,20 +213,35 @@ def centroid_classes(rows: DataFrame, max_features: int = MAX_FEATURES, stop: tu
         raise ValueError(f"more than {MAX_CLASSES} classes")
     names = sorted(members, key=lambda c: (c is not None, c))
     centroids = np.zeros((len(names), max_features))
-    pairs = F.arrays_zip("terms", "weights")
-    for r in vectors.select("label", F.explode(pairs).alias("p")).groupBy("label", F.col("p.terms").alias("term")).agg(F.sum("p.weights").alias("w")).toLocalIterator():
-        centroids[names.index(r["label"]), r["term"]] = r["w"] / members[r["label"]]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((len(names), max_features))
+        place = {c: i for i, c in enumerate(names)}
+        for rb in batches:
+            label = np.array([place[c] for c in rb.column("label").to_pylist()], np.int64)
+            index = np.repeat(label, pc.list_value_length(rb.column("terms")).to_numpy()) * max_features + rb.column("terms").flatten().to_numpy()
+            whole += np.bincount(index, rb.column("weights").flatten().to_numpy(), whole.size).reshape(whole.shape)
+        at = np.flatnonzero(whole)
+        for a in range(0, len(at), 100_000):
+            part = at[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(whole.ravel()[part])], names=["at", "w"])
+
+    for r in vectors.select("label", "terms", "weights").mapInArrow(sums, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toLocalIterator():
+        centroids[r["at"] // max_features, r["at"] % max_features] = r["w"]
+    centroids /= np.array([members[c] for c in names], float).reshape(-1, 1)
     length = np.sqrt((centroids * centroids).sum(axis=1))
     real = np.flatnonzero(length > 0)
-    names, unit = [names[i] for i in real], centroids[real] / length[real, None]
+    names_of, unit = [names[i] for i in real], centroids[real] / length[real, None]
     schema = vectors.select("id", "label", F.col("label").alias("predicted")).schema.add("cosine", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            cosines = np.round([unit[:, t] @ np.array(w) for t, w in zip(rb.column("terms").to_pylist(), rb.column("weights").to_pylist(), strict=True)], 9).reshape(rb.num_rows, len(names))
+            index, w = rb.column("terms").flatten().to_numpy(), rb.column("weights").flatten().to_numpy()
+            row = np.repeat(np.arange(rb.num_rows), pc.list_value_length(rb.column("terms")).to_numpy())
+            cosines = np.round(np.array([np.bincount(row, own[index] * w, rb.num_rows) for own in unit]).reshape(len(names_of), rb.num_rows).T, 9)
             best = cosines.argmax(axis=1) if rb.num_rows else np.zeros(0, int)
             top = cosines.max(axis=1) if rb.num_rows else np.zeros(0)
-            predicted = pa.array([names[b] if c >= least else None for b, c in zip(best, top, strict=True)], rb.schema.field("label").type)
+            predicted = pa.array([names_of[b] if c >= least else None for b, c in zip(best, top, strict=True)], rb.schema.field("label").type)
             yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("label"), predicted, pa.array(top)], names=schema.names)
 
     return vectors.mapInArrow(run, schema).select("id", "label", "predicted", F.round("cosine", 6).alias("cosine"))
